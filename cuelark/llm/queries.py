@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, secrets
+from . import bpe, chat, lattice, packing, secrets
 from .common import table
 
 
+def op1_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score(table(spark, sf_dir, "documents"))
+
+
+def op2_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"))))
+
+
+def op5_harmonic_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     versions = secrets.address(table(spark, sf_dir, "documents"), "doc_id", "text")
     return secrets.digest(secrets.scan_paths(versions))
@@ -24,6 +36,9 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lattice_score": op1_lattice_score,
+    "op2_bpe_roundtrip": op2_bpe_roundtrip,
+    "op5_harmonic_pack": op5_harmonic_pack,
     "op6_secret_scan": op6_secret_scan,
     "op9_chat_format": op9_chat_format,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, lattice, packing, secrets
+from . import bpe, chat, lattice, neardup, packing, secrets, vectors
 from .common import table
 
 
@@ -26,6 +26,14 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_paths(versions))
 
 
+def op7_grid_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"), 0.98)
+
+
+def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     logs = table(spark, sf_dir, "conversations").select(
         F.col("conv_id").cast("long"), F.col("turn").cast("long").alias("seq"), F.col("turn").cast("long").alias("message_id"), F.lit("message").alias("kind"), "role", "text"
@@ -40,7 +48,9 @@ QUERIES = {
     "op2_bpe_roundtrip": op2_bpe_roundtrip,
     "op5_harmonic_pack": op5_harmonic_pack,
     "op6_secret_scan": op6_secret_scan,
+    "op7_grid_vectors": op7_grid_vectors,
     "op9_chat_format": op9_chat_format,
+    "op10_lsh_forest": op10_lsh_forest,
 }
 
 ORACLES: dict[str, str] = {}

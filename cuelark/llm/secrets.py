@@ -42,29 +42,24 @@ def findings_of(blobs: DataFrame, rules=RULES) -> DataFrame:
     matching, so they still consume their characters. Start positions come from a running sum
     over the texts between matches and the matches themselves.
     """
-    may = blobs.filter(gate(F.col("text"), rules))
-    each = []
-    for no, (kind, pattern, group, least) in enumerate(rules):
-        own = may.filter(F.col("text").rlike(GATES.get(kind, pattern))).select(
-            "blob",
-            F.posexplode(
-                F.arrays_zip(
-                    F.transform(F.split("text", pattern, -1), F.length).alias("gap"),
-                    F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), F.length).alias("whole"),
-                    F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(group)), F.length).alias("part"),
-                )
-            ),
-        ).distinct()  # the same path and text twice give the same rows
-        run = Window.partitionBy("blob").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        each.append(
-            own.withColumn("stop", F.sum((F.col("col.gap") + F.coalesce("col.whole", F.lit(0))).cast("long")).over(run))
-            .filter(F.col("col.part") >= least)
-            .select("blob", F.lit(no).alias("rule_no"), F.lit(kind).alias("kind"), (F.col("stop") - F.col("col.whole")).alias("start"), "stop")
+    lists = []
+    for no, (kind, pattern, group, _) in enumerate(rules):
+        matches = F.arrays_zip(
+            F.transform(F.split("text", pattern, -1), F.length).alias("gap"),
+            F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), F.length).alias("whole"),
+            F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(group)), F.length).alias("part"),
         )
-    out = each[0]
-    for more in each[1:]:
-        out = out.unionByName(more)
-    return out
+        lists.append(F.when(F.col("text").rlike(GATES.get(kind, pattern)), F.struct(F.lit(no).alias("rule_no"), matches.alias("matches"))))
+    kinds = F.array(*[F.lit(r[0]) for r in rules])
+    least = F.array(*[F.lit(r[3]) for r in rules])
+    each = blobs.filter(gate(F.col("text"), rules)).select("blob", F.explode(F.array(*lists)).alias("rule")).filter("rule is not null")
+    rows = each.select("blob", "rule.rule_no", F.posexplode("rule.matches")).distinct()  # the same path and text twice give the same rows
+    run = Window.partitionBy("blob", "rule_no").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
+        rows.withColumn("stop", F.sum((F.col("col.gap") + F.coalesce("col.whole", F.lit(0))).cast("long")).over(run))
+        .filter(F.col("col.part") >= F.get(least, F.col("rule_no")))
+        .select("blob", "rule_no", F.get(kinds, F.col("rule_no")).alias("kind"), (F.col("stop") - F.col("col.whole")).alias("start"), "stop")
+    )
 
 
 def address(versions: DataFrame, path: str = "path", text: str = "text") -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # whole texts go to Python workers in batches: fewer rows keep a batch of long texts small
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -38,3 +40,16 @@ def keep(df: DataFrame, name: str) -> DataFrame:
 def crc(col) -> "F.Column":
     """crc32 of a value written as text."""
     return F.crc32(F.col(col).cast("string") if isinstance(col, str) else col.cast("string"))
+
+
+#: Stands for a null id on the way through pandas, which would turn long columns with nulls into floats.
+NO_ID = -(2**63)
+
+
+def solid(col) -> "F.Column":
+    return F.coalesce((F.col(col) if isinstance(col, str) else col).cast("long"), F.lit(NO_ID))
+
+
+def restored(col) -> "F.Column":
+    c = F.col(col) if isinstance(col, str) else col
+    return F.when(c != NO_ID, c)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import NO_ID, keep, restored, solid
 from .components import components, forest
 
 TREES, DEPTH, VALUES, DEEPER = 20, 4, 128, 8
@@ -99,7 +99,7 @@ def _features(words: int):
             sig: list = [None] * len(sets)
             for i, row in zip(full, rows):
                 sig[i] = row.tobytes()
-            yield pd.DataFrame({"id": b["id"], "n_shingles": [len(s) for s in sets], "class": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], "sig": sig}).astype({"id": "Int64"})
+            yield pd.DataFrame({"id": b["id"], "n_shingles": [len(s) for s in sets], "class": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], "sig": sig})
 
     return run
 
@@ -244,13 +244,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     that repeat an id are judged by their own text each. A null id is in no component but its own
     (null), and never kept nor a reason to drop another row.
     """
-    source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    source = docs.select(solid(doc_id).alias("id"), F.col(text).alias("text"))
     features = keep(source.mapInPandas(_features(words), "id long, n_shingles long, class binary, sig binary"), "features")
-    named = features.filter("class is not null and id is not null")
+    named = features.filter(F.col("class").isNotNull() & (F.col("id") != NO_ID))
     least = keep(named.groupBy("class").agg(F.min("id").alias("first")), "classes")
     classes = features.join(least.withColumnRenamed("first", "id"), ["class", "id"], "left_semi").select("id", "sig")
     families = keep(components(candidates(classes)).withColumnRenamed("component", "family"), "families")
     groups = components(confirm(source.filter("text is not null"), families, words, percent))
     joined = features.select("id", "n_shingles", "class").join(least, "class", "left").join(groups.withColumnRenamed("id", "first"), "first", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "first", "id"))
-    return joined.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+    own = restored("id")
+    component = F.when(own.isNotNull(), F.coalesce("component", "first", "id"))
+    return joined.select(own.alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(own == component, F.lit(False)).alias("kept"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import keep
+from .common import keep, restored, solid
 
 CAPACITY = 2048
 #: A piece is left uncut if it fills its slot but for this share.
@@ -59,7 +59,7 @@ def _pieces(ranks_path: str, end_id: int, capacity: int, slack: float):
                     seen[k] = no = seen.get(k, -1) + 1
                     rows.append((doc, at, n, zlib.crc32(data[4 * at : 4 * (at + n)]), total, k, task, no))
                     at += n
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "k", "task", "no"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "k", "task", "no"])
 
     return run
 
@@ -89,7 +89,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ranks_path
     a null doc_id stays null. ``offset`` is gapless from 0 in each sequence.
     """
     ranks_path = ranks_path or bpe.default_ranks()
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    source = docs.select(solid(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     shape = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, k int, task int, no long"
     pieces = keep(source.mapInPandas(_pieces(ranks_path, end_id, capacity, slack), shape), "pieces")
     counts = pieces.groupBy("task", "k").agg(F.count(F.lit(1)).alias("n"))
@@ -115,4 +115,4 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ranks_path
         .select(*columns, "rank", (F.col("bin") + bins).alias("sequence_id"))
     )
     order = Window.partitionBy("sequence_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-    return filled.unionByName(rest).select(*columns, "sequence_id", F.coalesce(F.sum("length").over(order), F.lit(0)).alias("offset"))
+    return filled.unionByName(rest).select(restored("doc_id").alias("doc_id"), *columns[1:], "sequence_id", F.coalesce(F.sum("length").over(order), F.lit(0)).alias("offset"))

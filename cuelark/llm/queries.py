@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, lattice, neardup, packing, secrets, vectors
+from . import bpe, chat, lattice, neardup, packing, secrets, toxicity, vectors
 from .common import table
 
 
@@ -17,6 +17,10 @@ def op2_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"))))
 
 
+def op3_block_max_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_harmonic_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_lattice_score": op1_lattice_score,
     "op2_bpe_roundtrip": op2_bpe_roundtrip,
+    "op3_block_max_toxicity": op3_block_max_toxicity,
     "op5_harmonic_pack": op5_harmonic_pack,
     "op6_secret_scan": op6_secret_scan,
     "op7_grid_vectors": op7_grid_vectors,

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import NO_ID, keep, restored, solid
 from .components import components, forest
 
 #: Leading directions in the grid and in the boxes; vectors a block; coordinates that the directions are found in.
@@ -42,7 +42,7 @@ def _valid(batches):
                 narrow = x.astype("float32")
                 raw = narrow.tobytes() if (narrow == x).all() else x.tobytes()
                 out.append((vec, str(label), len(x), xxhash.xxh3_128_digest(x.tobytes()), raw))
-        yield pd.DataFrame(out, columns=["vec_id", "label", "size", "class", "raw"]).astype({"vec_id": "Int64"})
+        yield pd.DataFrame(out, columns=["vec_id", "label", "size", "class", "raw"])
 
 
 def _read(raw: bytes, size: int) -> np.ndarray:
@@ -172,11 +172,11 @@ def _meet(least: float, epsilon: float):
                         links.extend(forest(zip(left[0][a + s].tolist(), right[0][c + t].tolist())))
 
                 join(0, len(left[0]), 0, len(right[0]))
-                out = [(i, None, n) for i, n in zip(left[0].tolist(), count_x.tolist()) if n]
-                out += [(i, None, n) for i, n in zip(right[0].tolist(), count_y.tolist()) if n]
-                out += [(i, j, None) for i, j in forest(links)]
+                out = [(i, 0, n) for i, n in zip(left[0].tolist(), count_x.tolist()) if n]
+                out += [(i, 0, n) for i, n in zip(right[0].tolist(), count_y.tolist()) if n]
+                out += [(i, j, 0) for i, j in forest(links)]
                 if out:
-                    yield pd.DataFrame(out, columns=["a", "b", "n"]).astype({"a": "int64", "b": "Int64", "n": "Int64"})
+                    yield pd.DataFrame(out, columns=["a", "b", "n"]).astype("int64")
 
     return run
 
@@ -190,10 +190,10 @@ def near_vectors(rows: DataFrame, least: float = 0.98) -> DataFrame:
     included. Rows that repeat an id count as rows. A null id has a null component and isn't kept.
     """
     epsilon = float(np.sqrt(2 - 2 * least)) + 1e-9
-    source = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
+    source = rows.select(solid("vec_id").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
     usable = keep(source.mapInPandas(_valid, "vec_id long, label string, size int, class binary, raw binary"), "usable")
-    named = usable.filter("vec_id is not null")
-    per_class = keep(usable.groupBy("label", "size", "class").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies")).filter("id is not null"), "classes")
+    named = usable.filter(F.col("vec_id") != NO_ID)
+    per_class = keep(usable.groupBy("label", "size", "class").agg(F.min(restored("vec_id")).alias("id"), F.count(F.lit(1)).alias("copies")).filter("id is not null"), "classes")
     firsts = named.withColumnRenamed("vec_id", "id").join(per_class, ["label", "size", "class", "id"]).groupBy("label", "size", "class", "id", "copies").agg(F.min("raw").alias("raw"))
     firsts = keep(firsts, "firsts")
     width = min(WIDEST, firsts.agg(F.max("size")).first()[0] or 1)
@@ -205,16 +205,17 @@ def near_vectors(rows: DataFrame, least: float = 0.98) -> DataFrame:
     left = blocks.select(F.col("block").alias("x"), "size", "ids", "copies", "raw", "at")
     right = blocks.select(F.col("block").alias("y"), *[F.col(c).alias(f"{c}_y") for c in ("ids", "copies", "raw", "at")])
     met = keep(meetings(blocks, epsilon).join(left, "x").join(right, "y").mapInPandas(_meet(least, epsilon), "a long, b long, n long"), "met")
-    counts = met.filter("n is not null").groupBy("a").agg(F.sum("n").alias("others"))
-    groups = components(met.filter("b is not null").select("a", "b"))
+    counts = met.filter("n > 0").groupBy("a").agg(F.sum("n").alias("others"))
+    groups = components(met.filter("n = 0").select("a", "b"))
     known = per_class.select("label", "size", "class", "id", "copies").join(counts.withColumnRenamed("a", "id"), "id", "left").join(groups, "id", "left")
     found = usable.join(known.select("label", "size", "class", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("group")), ["label", "size", "class"])
     lone = source.mapInPandas(_unusable, "vec_id long").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("group"))
-    every = found.select("vec_id", "n_links", F.when(F.col("vec_id").isNotNull(), F.col("group")).alias("group")).unionByName(lone)
-    return every.select("vec_id", "n_links", F.col("group").alias("component_id"), F.coalesce(F.col("vec_id") == F.col("group"), F.lit(False)).alias("kept"))
+    own = restored("vec_id")
+    every = found.select("vec_id", "n_links", "group").unionByName(lone)
+    return every.select(own.alias("vec_id"), "n_links", F.when(own.isNotNull(), F.col("group")).alias("component_id"), F.coalesce(own == F.col("group"), F.lit(False)).alias("kept"))
 
 
 def _unusable(batches):
     for b in batches:
         good = next(_valid(iter([b.assign(vec_id=np.arange(len(b)))])))["vec_id"].to_numpy("int64")
-        yield b.drop(index=b.index[good])[["vec_id"]].astype("Int64")
+        yield b.drop(index=b.index[good])[["vec_id"]]

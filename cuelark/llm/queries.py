@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, lattice, neardup, packing, secrets, toxicity, vectors
+from . import bpe, chat, lattice, neardup, packing, secrets, toxicity, vectors, winnow
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op3_block_max_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.compare_edited(table(spark, sf_dir, "documents"))
+
+
 def op5_harmonic_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op1_lattice_score": op1_lattice_score,
     "op2_bpe_roundtrip": op2_bpe_roundtrip,
     "op3_block_max_toxicity": op3_block_max_toxicity,
+    "op4_winnow": op4_winnow,
     "op5_harmonic_pack": op5_harmonic_pack,
     "op6_secret_scan": op6_secret_scan,
     "op7_grid_vectors": op7_grid_vectors,

@@ -27,8 +27,8 @@ from .common import crc, restored, solid
 EXAMPLES, TERMS, NEAREST = 16_384, 4096, 15
 #: A term needs so many examples, and so large a chi-square statistic (1 degree of freedom: about 1 in 10 million by chance).
 LEAST_EXAMPLES, LEAST_CHI2 = 5, 28.0
-#: ... and at least this share of the examples of one label: words of a few copied texts aren't terms.
-LEAST_SHARE = 0.05
+#: ... and at least this share of the examples of one label (words of a few copied texts aren't terms), so many times the other label's share.
+LEAST_SHARE, LEAST_LIFT = 0.05, 4.0
 BLOCK = 64
 #: Bytes of a word's beginning, and the term that stands for all words that are no term.
 BEGINNINGS, REST = (5, 7), b" "
@@ -62,7 +62,7 @@ def counts(text: str | None, at: dict[bytes, int]) -> list[tuple[int, int]]:
         if none:
             other += n
     if seen and other:
-        seen[at[REST]] = other
+        seen[at[REST]] = 1 << (other.bit_length() - 1)  # to a power of two: alike texts have equal vectors
     return sorted(seen.items())
 
 
@@ -188,17 +188,14 @@ def _scores(shared, terms):
     return run
 
 
-def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 3, held_fold: int = 1, threshold: float = 0.7, examples: int = EXAMPLES) -> DataFrame:
-    """(doc_id, held_out, score, predicted) and the three nearest examples (ids, labels, similarities) of every row.
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 3, held_fold: int = 1, examples: int = EXAMPLES):
+    """Broadcasts (index, weights, rates, curve) and (terms), bounded by ``examples`` and ``TERMS``.
 
     Labels are read only for rows whose crc32(doc_id as text) mod ``folds`` isn't ``held_fold``;
-    of these at most ``examples`` become examples, by the order of a hash of the id. A row's score
-    depends on its text alone. A text without any term, empty and null ones included, gets the
-    share of label 1 among examples without a term. Without examples every score is 0. Repeated
+    of these at most ``examples`` become examples, by the order of a hash of the id. Repeated
     label rows of an id count as 1 if one of them is 1; rows with a null id or label teach nothing.
     """
     spark = docs.sparkSession
-    held = F.coalesce((crc(F.col(doc_id)) % folds) == held_fold, F.lit(False))
     taught = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter("doc_id is not null and y is not null and y in (0, 1)")
     taught = taught.filter((crc(F.col("doc_id")) % folds) != held_fold).groupBy("doc_id").agg(F.max("y").alias("y"))
     chosen = taught.orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)  # at most so many ids and labels
@@ -210,8 +207,10 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     b, n0 = F.col("df") - F.col("toxic"), float(many - toxic)
     df = F.col("df").cast("double")
     chi2 = F.when((df < many) & F.lit(0 < n1 < many), F.lit(float(many)) * F.pow(a * (n0 - b) - b * (n1 - a), F.lit(2.0)) / F.greatest(df * (many - df) * n1 * n0, F.lit(1e-9))).otherwise(0.0)
+    p1, p0 = a / max(n1, 1.0), b / max(n0, 1.0)
+    lifted = ((p1 >= LEAST_SHARE) & (p1 >= LEAST_LIFT * p0)) | ((p0 >= LEAST_SHARE) & (p0 >= LEAST_LIFT * p1))
     counted = some.select("text", "y").mapInPandas(_example_words, "word binary, y int").groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.sum("y").alias("toxic"))
-    best = counted.filter((df >= LEAST_EXAMPLES) & ((a >= LEAST_SHARE * n1) | (b >= LEAST_SHARE * n0))).withColumn("chi2", chi2).filter(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "word").limit(TERMS).collect()
+    best = counted.filter((df >= LEAST_EXAMPLES) & lifted).withColumn("chi2", chi2).filter(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "word").limit(TERMS).collect()
     at = spark.sparkContext.broadcast({**{bytes(r["word"]): i for i, r in enumerate(best)}, REST: len(best)})
     idf = np.array([*(np.log((1 + many) / (1 + r["df"])) + 1 for r in best), 1.0])
     vectors = some.mapInPandas(_vectors(at), "doc_id long, y int, terms array<long>, tf array<long>")
@@ -228,7 +227,37 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         curve = monotone(seen["vote"].to_numpy(), seen["y"].to_numpy("float64"))
     some.unpersist()
     shared = spark.sparkContext.broadcast((index, idf, rate, plain, curve))
+    return shared, at
+
+
+def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 3, held_fold: int = 1, threshold: float = 0.7, examples: int = EXAMPLES) -> DataFrame:
+    """(doc_id, held_out, score, predicted) and the three nearest examples (ids, labels, similarities) of every row.
+
+    A row's score depends on its text alone (and on the examples, see :func:`train`). A text
+    without any term, empty and null ones included, gets the share of label 1 among examples
+    without a term. Without examples every score is 0.
+    """
+    shared, at = train(docs, labels, doc_id, text, label, folds, held_fold, examples)
+    held = F.coalesce((crc(F.col(doc_id)) % folds) == held_fold, F.lit(False))
     evidence = "score double, evidence_ids array<long>, evidence_labels array<long>, evidence_similarities array<double>"
     source = docs.select(solid(doc_id).alias("doc_id"), held.alias("held_out"), F.col(text).alias("text"))
     scored = source.mapInPandas(_scores(shared, at), f"doc_id long, held_out boolean, {evidence}")
     return scored.select(restored("doc_id").alias("doc_id"), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence_ids", "evidence_labels", "evidence_similarities")
+
+
+def _below(shared, terms, text: str, threshold: float):
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            texts = pd.DataFrame({"text": b.column(b.schema.get_field_index(text)).to_pylist()})
+            score = next(_scores(shared, terms)(iter([texts])))["score"] if len(texts) else []
+            yield b.filter(pa.array([x < threshold for x in score], pa.bool_()))
+
+    return run
+
+
+def reject(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.7, **options) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, with all their columns as they are."""
+    shared, at = train(docs, labels, doc_id, text, **options)
+    return docs.mapInArrow(_below(shared, at, text, threshold), docs.schema)

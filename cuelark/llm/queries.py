@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, lattice, neardup, packing, secrets, toxicity, vectors, winnow
+from . import bpe, chat, lattice, licenses, neardup, packing, secrets, toxicity, vectors, winnow
 from .common import table
 
 
@@ -42,6 +42,14 @@ def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: the source is the top directory, the language the one below it."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat(F.lit("/"), F.coalesce("source", F.lit("-")), F.lit("/"), F.coalesce("lang", F.lit("-")), F.lit("/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))
+    found = licenses.scan(docs.select(path.alias("path"), "text"))
+    return found.select(F.element_at(F.split("path", "/"), -1).try_cast("long").alias("doc_id"), "*")
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     logs = table(spark, sf_dir, "conversations").select(
         F.col("conv_id").cast("long"), F.col("turn").cast("long").alias("seq"), F.col("turn").cast("long").alias("message_id"), F.lit("message").alias("kind"), "role", "text"
@@ -59,6 +67,7 @@ QUERIES = {
     "op5_harmonic_pack": op5_harmonic_pack,
     "op6_secret_scan": op6_secret_scan,
     "op7_grid_vectors": op7_grid_vectors,
+    "op8_license_scan": op8_license_scan,
     "op9_chat_format": op9_chat_format,
     "op10_lsh_forest": op10_lsh_forest,
 }

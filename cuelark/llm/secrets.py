@@ -107,7 +107,7 @@ def digest(paths: DataFrame) -> DataFrame:
     return paths.select(F.col("path").alias("doc_id"), *map(count, BASE), F.sha2(spelled(base), 256).alias("base_sha256"), spelled(F.col("found")).alias("spans"))
 
 
-def redact(docs: DataFrame, found: Column, text: Column, mark: str = "[secret]") -> Column:
+def redact(found: Column, text: Column, mark: str = "[secret]") -> Column:
     """``text`` with every finding replaced by ``mark``; overlapping findings merge.
 
     ``found`` is ordered by start. The fold keeps the pieces written so far and the end of the

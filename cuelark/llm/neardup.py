@@ -225,7 +225,8 @@ def _confirm(words: int, percent: int):
 
 def confirm(texts: DataFrame, families: DataFrame, words: int, percent: int) -> DataFrame:
     """Confirmed links (a, b) between the texts (id, text) of each family (id, family)."""
-    members = keep(texts.join(families, "id").select("family", "id", "text"), "members")
+    # a hash join whatever the sizes: the texts cross once and aren't sorted
+    members = keep(texts.join(families.hint("shuffle_hash"), "id").select("family", "id", "text"), "members")
     blocks = members.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.length("text")) / BLOCK_CHARS)).cast("int").alias("blocks"))
     placed = members.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(

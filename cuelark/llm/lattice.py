@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc, keep
+from .common import crc, keep, restored, solid
 
 #: At most so many words are broadcast with their log probabilities.
 HEAD_WORDS = 300_000
@@ -56,10 +56,11 @@ def _count(classes: int):
         seen = [Counter() for _ in range(classes + 1)]
 
         def flush():
-            out = [(w, k, n) for k, c in enumerate(seen) for w, n in c.items()]
+            words = [w for c in seen for w in c]
+            out = pd.DataFrame({"word": pd.Series(words, dtype=object), "k": np.repeat(np.arange(classes + 1, dtype="int32"), [len(c) for c in seen]), "n": np.array([n for c in seen for n in c.values()], "int64")})
             for c in seen:
                 c.clear()
-            return pd.DataFrame(out, columns=["word", "k", "n"])
+            return out
 
         for b in batches:
             for text, k in zip(b["text"], b["k"]):
@@ -72,6 +73,22 @@ def _count(classes: int):
     return run
 
 
+_RADIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _points(words: list[str]) -> np.ndarray:
+    """Code points [word, position] of words of one length."""
+    return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(words), -1).astype("uint64")
+
+
+def _span_hashes(points: np.ndarray, longest: int) -> list[np.ndarray]:
+    """64-bit hashes [word, start] of all spans of length 1, 2, ... ``longest``."""
+    out = [points + np.uint64(1)]
+    for n in range(2, min(longest, points.shape[1]) + 1):
+        out.append(out[-1][:, :-1] * _RADIX + points[:, n - 1 :] + np.uint64(1))
+    return out
+
+
 class Pieces:
     """An existing subword vocabulary: its pieces, its bytes, and the prior its own scores give.
 
@@ -93,6 +110,15 @@ class Pieces:
         self.byte = {int(sp.id_to_piece(i)[3:5], 16): i for i in usable if sp.is_byte(i)}
         self.ids = {sp.id_to_piece(i): i for i in usable if not sp.is_byte(i)}
         self.longest = max(map(len, self.ids), default=1)
+        #: for each length the hashes of its pieces in order, and their ids
+        self.tables = []
+        for n in range(1, self.longest + 1):
+            own = [w for w in self.ids if len(w) == n] or ["\0" * n]
+            h = _span_hashes(_points(own), n)[-1][:, 0]
+            by = np.argsort(h)
+            there = np.zeros(1 << 20, bool)
+            there[h >> np.uint64(44)] = True  # tells most spans apart before the search
+            self.tables.append((h[by], np.array([self.ids.get(w, self.size) for w in own], "int32")[by], there))
 
 
 @lru_cache(maxsize=2)
@@ -101,7 +127,7 @@ def pieces_of(path: str) -> Pieces:
 
 
 #: Passes of re-weighing the pieces, and the prior's share in each of them.
-PASSES, PRIOR_SHARE = 3, 0.003
+PASSES, PRIOR_SHARE = 2, 0.003
 #: A log weight that no path takes.
 NEVER = -1e30
 
@@ -122,17 +148,23 @@ def log_weights(vocabulary: Pieces, counts: np.ndarray, words: np.ndarray) -> tu
 def _arcs(words: list[str], vocabulary: Pieces, weights: np.ndarray):
     """Words of one length: piece of each span [word, end, length - 1], and ``weights`` with rows for
     characters that are no piece (spelled in bytes) and for spans that are none."""
-    n = len(words[0])
-    span, ids, none = min(n, vocabulary.longest), vocabulary.ids, vocabulary.size
+    points, none = _points(words), vocabulary.size
+    n = points.shape[1]
+    span = min(n, vocabulary.longest)
     table = np.full((len(words), n + 1, span), none, "int32")
-    strange: dict[str, int] = {}
-    get = ids.get
-    for row, s in zip(table, words):
-        for i in range(1, n + 1):
-            m = min(i, span)
-            row[i, :m] = [get(s[i - 1 - k : i], none) for k in range(m)]
-            if row[i, 0] == none:
-                row[i, 0] = strange.setdefault(s[i - 1], none + 1 + len(strange))
+    for k, h in enumerate(_span_hashes(points, span)):
+        keys, ids, there = vocabulary.tables[k]
+        row, start = np.nonzero(there[h >> np.uint64(44)])
+        h = h[row, start]
+        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+        table[row, start + k + 1, k] = np.where(keys[at] == h, ids[at], none)
+    single = table[:, 1:, 0]
+    odd = single == none
+    strange: list[str] = []
+    if odd.any():
+        chars, which = np.unique(points[odd], return_inverse=True)
+        strange = [chr(c) for c in chars.tolist()]
+        single[odd] = none + 1 + which.astype("int32")
     spelled = [[vocabulary.byte[c] for c in x.encode("utf-8", "surrogatepass") if c in vocabulary.byte] for x in strange]
     more = [np.full(weights.shape[1], NEVER), *(weights[b].sum(0) if b else np.full(weights.shape[1], -700.0) for b in spelled)]
     return table, np.vstack([weights, *more]), spelled
@@ -158,15 +190,19 @@ def expected(table: np.ndarray, weights: np.ndarray, alpha: np.ndarray, times: n
     beta = np.full_like(alpha, NEVER)
     beta[:, -1] = 0.0
     whole = alpha[:, -1:]
+    places, shares = [], []
     for i in range(ends - 1, 0, -1):
         m = min(i, span)
         at = table[:, i, :m]
         step = weights[at] + beta[:, i : i + 1]
-        beta[:, i - m : i] = np.logaddexp(beta[:, i - m : i], step[:, ::-1])
-        share = np.exp(alpha[:, i - m : i][:, ::-1] + step - whole) * times[:, None]
-        used, place = np.unique(at, return_inverse=True)
-        for k in range(weights.shape[1]):
-            out[used, k] += np.bincount(place.ravel(), share[:, :, k].ravel(), len(used))
+        there = beta[:, i - m : i]
+        high = np.maximum(there, step[:, ::-1])
+        beta[:, i - m : i] = high + np.log1p(np.exp(-np.abs(there - step[:, ::-1])))
+        places.append(at.ravel())
+        shares.append((np.exp(alpha[:, i - m : i][:, ::-1] + step - whole) * times[:, None]).reshape(-1, weights.shape[1]))
+    place, share = np.concatenate(places), np.concatenate(shares)
+    for k in range(weights.shape[1]):
+        out[:, k] = np.bincount(place, share[:, k], len(weights))
     return out
 
 
@@ -181,6 +217,18 @@ def _same_length(words: list[str], span: int, classes: int, most: int = 4_000_00
             yield at[x : x + step]
 
 
+def _gathered(batches, most: int = 20_000):
+    """Batches of words put together, so that arrays are worth their overhead."""
+    held: list[pd.DataFrame] = []
+    for b in batches:
+        held.append(b)
+        if sum(map(len, held)) >= most:
+            yield pd.concat(held, ignore_index=True)
+            held = []
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def _spelled(raw: bytes) -> str:
     return "\u2581" + raw.decode("utf-8", "replace")
 
@@ -191,16 +239,18 @@ def _expect(path: str, shared, classes: int):
     def run(batches):
         vocabulary, (weights, _) = pieces_of(path), shared.value
         total = np.zeros((vocabulary.size, classes))
-        for b in batches:
+        for b in _gathered(batches):
             words = [_spelled(w) for w in b["word"]]
-            times = (b[cs].to_numpy() > 0).astype("float64")
-            for at in _same_length(words, vocabulary.longest, classes):
-                table, w, strange = _arcs([words[i] for i in at], vocabulary, weights)
-                got = expected(table, w, forward(table, w), times[at])
-                total += got[: vocabulary.size]
-                for row, spelled in zip(got[vocabulary.size + 1 :], strange):
-                    for c in spelled:
-                        total[c] += row
+            inside = b[cs].to_numpy() > 0
+            for k in range(classes):  # a word belongs to few classes: each class takes its own
+                own = np.flatnonzero(inside[:, k]).tolist()
+                for at in _same_length([words[i] for i in own], vocabulary.longest, 1):
+                    table, w, strange = _arcs([words[own[i]] for i in at], vocabulary, weights[:, k : k + 1])
+                    got = expected(table, w, forward(table, w), np.ones((len(at), 1)))[:, 0]
+                    total[:, k] += got[: vocabulary.size]
+                    for n, spelled in zip(got[vocabulary.size + 1 :], strange):
+                        for c in spelled:
+                            total[c, k] += n
         piece, k = np.nonzero(total)
         yield pd.DataFrame({"piece": piece.astype("int32"), "k": k.astype("int32"), "n": total[piece, k]})
 
@@ -210,7 +260,7 @@ def _expect(path: str, shared, classes: int):
 def _lattice(path: str, shared, classes: int):
     def run(batches):
         vocabulary, (weights, end) = pieces_of(path), shared.value
-        for b in batches:
+        for b in _gathered(batches):
             words = [_spelled(w) for w in b["word"]]
             out = np.zeros((len(words), classes))
             for at in _same_length(words, vocabulary.longest, classes):
@@ -265,7 +315,8 @@ def train(source: DataFrame, classes: int, vocabulary: str) -> Model:
     for k in range(classes):
         ask += [F.sum(f"c{k}").alias(f"s{k}"), F.count_if(F.col(f"c{k}") > 0).alias(f"t{k}"), F.sum(F.when(F.col("word") == F.lit(END), F.col(f"c{k}"))).alias(f"e{k}")]
     totals = raw.agg(*ask).first().asDict()
-    known = raw.filter((F.col("c") > 0) & (F.col("word") != F.lit(END))).select("word", *cs).repartition("word")
+    tasks = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = raw.filter((F.col("c") > 0) & (F.col("word") != F.lit(END))).select("word", *cs).repartition(tasks, "word")
     pieces, share = pieces_of(vocabulary), source.sparkSession.sparkContext.broadcast
     types = np.array([max(0, (totals[f"t{k}"] or 0) - 1) for k in range(classes)], "float64")
     weights = log_weights(pieces, np.zeros((pieces.size, classes)), np.zeros(classes))
@@ -277,7 +328,7 @@ def train(source: DataFrame, classes: int, vocabulary: str) -> Model:
         weights = log_weights(pieces, got, types)
     shape = "word binary, " + ", ".join(f"{c} long" for c in cs) + ", uses long, c long, " + ", ".join(f"lat{k} double" for k in range(classes))
     # by word, so that the lattice work spreads evenly over tasks
-    words = keep(raw.repartition("word").mapInPandas(_lattice(vocabulary, share(weights), classes), shape), "lattice")
+    words = keep(raw.repartition(tasks, "word").mapInPandas(_lattice(vocabulary, share(weights), classes), shape), "lattice")
     return Model(words, classes, totals)
 
 
@@ -297,35 +348,46 @@ def _head(model: Model, most: int):
     if least is None:
         return {}, np.zeros((0, model.classes + 2)), None
     lats = [f"lat{k}" for k in range(model.classes)]
-    top = model.words.filter(F.col("uses") >= least).toPandas()
-    c = top["c"].to_numpy("float64")
-    numbers = np.column_stack([model.arrays(c, top[cs].to_numpy("float64"), top[lats].to_numpy("float64")), model.base(c), c > 0])
-    return {bytes(w): i for i, w in enumerate(top["word"])}, numbers, least
+    top = model.words.filter(F.col("uses") >= least).select("word", "c", *cs, *lats).toArrow()
+    matrix = lambda names: np.column_stack([top[x].to_numpy() for x in names]).astype("float64")
+    c = matrix(["c"])[:, 0]
+    numbers = np.column_stack([model.arrays(c, matrix(cs), matrix(lats)), model.base(c), c > 0])
+    return {w.as_py(): i for i, w in enumerate(top["word"])}, numbers, least
 
 
 def _spread(head, classes: int):
     """Per text one row of what broadcast words add up to (word null), and a row for each other distinct word."""
-    names = ["word", "times", *(f"l{k}" for k in range(classes)), "base", "known"]
+    names = [*(f"l{k}" for k in range(classes)), "base", "known"]
 
     def run(batches):
         rows, numbers = head.value
-        empty = [None] * (classes + 2)
         for t in batches:
-            out = []
-            for doc, held, a, b, text in zip(t["doc_id"], t["held_out"], t["a"], t["b"], t["text"]):
+            sums = np.zeros((len(t), classes + 2))
+            many, rest, words_out, times_out = [], [], [], []
+            for d, text in enumerate(t["text"]):
                 words = Counter(words_of(text))
-                n = sum(words.values()) + 1
+                many.append(sum(words.values()) + 1)
                 words[END] += 1
-                at = [rows.get(w) for w in words]
+                at = list(map(rows.get, words))
                 times = list(words.values())
-                there = [i for i, x in enumerate(at) if x is not None]
-                tf = np.array([times[i] for i in there], "float64")
-                got = tf @ numbers[[at[i] for i in there]] if there else np.zeros(classes + 2)
-                out.append((doc, held, a, b, n, None, 1, *got.tolist()))
-                if len(there) < len(at):
-                    out += [(None, None, a, b, None, w, times[i], *empty) for i, w in enumerate(words) if at[i] is None]
-            df = pd.DataFrame(out, columns=["doc_id", "held_out", "a", "b", "n_tokens", *names])
-            yield df.astype({"doc_id": "Int64", "held_out": "boolean", "n_tokens": "Int64", "known": "float64"})
+                if None in at:
+                    own = [(w, n) for w, n, i in zip(words, times, at) if i is None]
+                    words_out += [w for w, _ in own]
+                    times_out += [n for _, n in own]
+                    rest.append(len(own))
+                    times = [n for n, i in zip(times, at) if i is not None]
+                    at = [i for i in at if i is not None]
+                else:
+                    rest.append(0)
+                if at:
+                    sums[d] = np.array(times, "float64") @ numbers[at]
+            size = len(t)
+            who = np.concatenate([np.arange(size), np.repeat(np.arange(size), rest)])
+            first = np.arange(len(who)) < size
+            out = {"doc_id": t["doc_id"].to_numpy()[who], "held_out": t["held_out"].to_numpy()[who], "a": t["a"].to_numpy()[who], "b": t["b"].to_numpy()[who], "n_tokens": np.where(first, np.array(many, "int64")[who], 0)}
+            out |= {"word": pd.Series([None] * size + words_out, dtype=object), "times": np.array([1] * size + times_out, "int64")}
+            sums = np.vstack([sums, np.zeros((len(who) - size, classes + 2))])
+            yield pd.DataFrame(out | {x: sums[:, i] for i, x in enumerate(names)})
 
     return run
 
@@ -360,7 +422,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", class_col
     held = (crc(F.col(doc_id)) % folds) == held_fold
     label = F.coalesce(F.col(class_column).cast("string"), F.lit("")) if class_column and class_column in docs.columns else F.lit("")
     source = docs.select(
-        F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(held, F.lit(False)).alias("held_out"), held.alias("fold"), label.alias("label"), body.alias("text"),
+        solid(doc_id).alias("doc_id"), F.coalesce(held, F.lit(False)).alias("held_out"), held.alias("fold"), label.alias("label"), body.alias("text"),
         F.xxhash64(F.col(doc_id), body).alias("a"), F.xxhash64(F.lit(1), body, F.col(doc_id)).alias("b"),
     )
     names = [r["label"] for r in source.filter(~F.col("fold")).groupBy("label").count().orderBy(F.desc("count"), "label").limit(CLASSES - 1).collect()]
@@ -386,5 +448,5 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", class_col
     whole = whole.withColumn("s", sums).withColumn("top", F.array_max("s"))
     total = F.aggregate("s", F.lit(0.0), lambda acc, x: acc + F.pow(F.lit(10.0), x - F.col("top")))
     return whole.select(
-        "doc_id", "held_out", "n_tokens", F.round(add("known")).cast("long").alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"), add("base").alias("base_score"), (F.col("top") + F.log10(total)).alias("score")
+        restored("doc_id").alias("doc_id"), "held_out", "n_tokens", F.round(add("known")).cast("long").alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"), add("base").alias("base_score"), (F.col("top") + F.log10(total)).alias("score")
     )

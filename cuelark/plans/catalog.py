@@ -1,12 +1,508 @@
-"""Registered queries over the library's own operators, each with its SQL where SQL can say it."""
+"""Registered queries over the library's operators, each with its SQL where SQL can say it."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scoring, text
+from ..operators import intervals, media, sequence, signal, store, tracks
+from ..sources import subtitles
+from ..streaming import feeds
+from .inputs import CUES, SPOKEN, TRANSLATIONS, WORDS, cues, spoken, table, translations, words
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    """Words of documents without overlap, as cues, counted by language."""
+    made = sequence.cues(sequence.group_words(sequence.dedup_words(words(spark, sf_dir))))
+    return made.groupBy("language").agg(F.count(F.lit(1)).alias("cues"), F.sum("n_words").alias("words"), text.timestamp(F.max("end")).alias("longest"), F.count_if(F.size("flags") > 0).alias("flagged"))
+
+
+# ------------------------------------------------------------- counts, choices, joins
+
+
+@query(f"with {CUES} select track, count(*) as cues from cues group by track")
+def cue_counts_by_track(spark, d):
+    return cues(spark, d).groupBy("track").agg(F.count(F.lit(1)).alias("cues"))
+
+
+@query(f"with {CUES} select distinct language from cues")
+def distinct_languages(spark, d):
+    return cues(spark, d).select("language").distinct()
+
+
+@query(f"""with {CUES}, {TRANSLATIONS} select language, count(*) as cues, count(translated_text) as translated, count(*) filter (fast and not reviewed) as review, count(*) filter (fast) as flagged, count(*) filter (edited) as edited
+from cues left join saved on id = cue_id group by language""")
+def review_counts(spark, d):
+    return tracks.review_counts(tracks.with_translation(cues(spark, d), translations(spark, d)), ["language"])
+
+
+@query("select count(*) as active from events where event_type in ('click', 'view')")
+def active_events(spark, d):
+    return table(spark, d, "events").agg(F.count_if(F.col("event_type").isin("click", "view")).alias("active"))
+
+
+@query("select event_id, user_id from events order by ts desc, event_id limit 100")
+def recent_projects_topk(spark, d):
+    return table(spark, d, "events").orderBy(F.desc("ts"), "event_id").limit(100).select("event_id", "user_id")
+
+
+@query("select user_id, event_id from (select *, row_number() over (partition by user_id order by ts desc, event_id) as n from events) where n = 1")
+def newest_snapshot_per_key(spark, d):
+    return tracks.newest_per_key(table(spark, d, "events"), ["user_id"], "ts", "event_id").select("user_id", "event_id")
+
+
+@query("select p_partkey, p_name, (select count(*) from part) as total from part order by p_name, p_partkey limit 10 offset 20")
+def page_with_total(spark, d):
+    return tracks.page(table(spark, d, "part").select("p_partkey", "p_name"), ["p_name", "p_partkey"], 20, 10)
+
+
+@query(f"with {CUES}, {TRANSLATIONS} select id, translated_text from cues left join saved on id = cue_id")
+def cues_left_translation(spark, d):
+    return tracks.with_translation(cues(spark, d), translations(spark, d)).select("id", "translated_text")
+
+
+@query(f"""with {CUES} select id, 'T ' || substr(text, 1, 20) as translated_text from cues where track % 11 <> 0 and track % 7 <> 0 and track % 13 <> 0""")
+def valid_translations(spark, d):
+    return tracks.valid_translations(cues(spark, d), translations(spark, d), "en").select(F.col("cue_id").alias("id"), "translated_text")
+
+
+@query(f"with {CUES} select doc_id from documents where doc_id in (select track from cues)")
+def tracks_with_cues_semi(spark, d):
+    return tracks.tracks_with_cues(table(spark, d, "documents"), cues(spark, d).withColumnRenamed("track", "doc_id"), "doc_id").select("doc_id")
+
+
+@query(f"with {CUES} select doc_id from documents where doc_id not in (select track from cues)")
+def tracks_not_selected_anti(spark, d):
+    return tracks.not_selected(table(spark, d, "documents"), cues(spark, d).withColumnRenamed("track", "doc_id"), "doc_id").select("doc_id")
+
+
+@query(f"with {CUES}, {TRANSLATIONS} select track, bool_and(translated_text is not null) as complete from cues left join (select cue_id, translated_text from saved) on id = cue_id group by track")
+def all_valid_tracks(spark, d):
+    return tracks.complete_tracks(cues(spark, d), translations(spark, d), ["track"])
+
+
+@query(f"with {CUES} select track, case when count(distinct language) = 1 then min(language) else 'und' end as language from cues group by track")
+def single_or_und_language(spark, d):
+    return tracks.single_language(cues(spark, d), ["track"])
+
+
+_SCORES = "select doc_id % 50 as track, lang as language, (n_chars % {m}) / {m}.0::double as score from documents"
+
+
+@query(f"select track, language, round(max(score), 6) as score from ({_SCORES.format(m=97)} union all select * from ({_SCORES.format(m=101)}) where score >= 0.7) group by track, language")
+def best_language_per_track(spark, d):
+    docs = table(spark, d, "documents")
+    made = lambda m: docs.select((F.col("doc_id") % 50).alias("track"), F.col("lang").alias("language"), ((F.col("n_chars") % m) / float(m)).alias("score"))
+    return tracks.best_language(made(97), made(101)).withColumn("score", F.round("score", 6))
+
+
+@query("""with audio as (select s_nationkey as project, s_suppkey as stream_index, row_number() over (partition by s_nationkey order by s_suppkey) as audio_ordinal, s_suppkey % 5 as audio_language from supplier),
+ranked as (select c_custkey as request, stream_index, row_number() over (partition by c_custkey order by case when stream_index = c_custkey % 100 then 0 when stream_index = c_custkey % 90 then 1 when audio_language = c_custkey % 5 then 2 else 3 end, audio_ordinal) as n
+  from customer join audio on project = c_nationkey)
+select request, stream_index from ranked where n = 1""")
+def preview_audio_priority(spark, d):
+    from pyspark.sql import Window
+
+    s, c = table(spark, d, "supplier"), table(spark, d, "customer")
+    audio = s.select(F.col("s_nationkey").alias("project"), F.col("s_suppkey").alias("stream_index"), F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")).alias("audio_ordinal"), (F.col("s_suppkey") % 5).alias("audio_language"))
+    k = F.col("c_custkey")
+    asked = c.select(k.alias("request"), F.col("c_nationkey").alias("project"), (k % 100).alias("explicit"), (k % 90).alias("source"), (k % 5).alias("language"))
+    return tracks.preview_audio(asked, audio).select("request", "stream_index")
+
+
+@query(f"with {CUES} select language, case when track % 2 = 0 then 's' else 'a' end as source, count(*) as cues from cues group by all")
+def cue_sources(spark, d):
+    c = cues(spark, d)
+    signed_ = c.withColumn("track", F.when(F.col("track") % 2 == 0, -F.col("track") - 1).otherwise(F.col("track")))
+    every = c.select(F.col("track").alias("stream_index")).distinct()
+    audio, subs = every.filter("stream_index % 2 <> 0").withColumn("name", F.lit("a")), every.filter("stream_index % 2 = 0").withColumn("name", F.lit("s"))
+    return tracks.cue_source(signed_, audio, subs).groupBy("language", "source").agg(F.count(F.lit(1)).alias("cues"))
+
+
+@query("""select n_name as project, coalesce(j, 0) as jobs, coalesce(c, 0) as cues from nation left join (select s_nationkey, count(*) as j from supplier group by 1) on s_nationkey = n_nationkey
+left join (select c_nationkey, count(*) as c from customer group by 1) on c_nationkey = n_nationkey""")
+def projects_with_counts(spark, d):
+    n = table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("project"))
+    of = lambda t, key: table(spark, d, t).join(n, F.col(key) == F.col("n_nationkey")).select("project")
+    return tracks.projects_with_counts(n.select("project"), of("supplier", "s_nationkey"), of("customer", "c_nationkey"))
+
+
+_STREAMS = """streams as (select p_size as project, p_partkey as stream_index, ['subrip', 'ass', 'hdmv_pgs_subtitle', 'mov_text', 'dvd_subtitle', 'odd'][1 + p_partkey % 6] as codec, ['eng', 'ger', 'fr_FR', 'xx', 'klingon'][1 + p_partkey % 5] as tag, p_partkey % 4 = 0 as f from part)"""
+
+
+def _streams(spark, d):
+    k = F.col("p_partkey").cast("int")
+    pick = lambda names, m: F.get(F.array(*[F.lit(x) for x in names]), k % m)
+    return table(spark, d, "part").select(
+        F.col("p_size").alias("project"), k.alias("stream_index"), pick(["subrip", "ass", "hdmv_pgs_subtitle", "mov_text", "dvd_subtitle", "odd"], 6).alias("codec"), pick(["eng", "ger", "fr_FR", "xx", "klingon"], 5).alias("tag_language"), F.lit(None).cast("string").alias("title"),
+        F.create_map(F.lit("forced"), (k % 4 == 0).cast("int"), F.lit("default"), F.lit(0)).alias("dispositions"),
+    )
+
+
+@query(f"""with {_STREAMS} select project, stream_index, row_number() over (partition by project order by stream_index) - 1 as subtitle_ordinal, -stream_index - 1 as cue_track,
+case when codec in ('hdmv_pgs_subtitle', 'dvd_subtitle') then 'image' when codec = 'odd' then 'unknown' else 'text' end as kind,
+case tag when 'eng' then 'en' when 'ger' then 'de' when 'fr_FR' then 'fr' when 'xx' then 'xx' else 'und' end as language,
+case codec when 'subrip' then 'srt' when 'ass' then 'ass' when 'hdmv_pgs_subtitle' then 'sup' when 'mov_text' then 'srt' else 'mks' end as extension, case when f then 'forced' else '' end as dispositions from streams""")
+def subtitle_streams(spark, d):
+    t = tracks.describe_subtitles(_streams(spark, d))
+    return t.select("project", "stream_index", "subtitle_ordinal", "cue_track", "kind", "language", F.col("extract_extension").alias("extension"), F.array_join("dispositions", ",").alias("dispositions"))
+
+
+@query(f"with {_STREAMS} select codec, case when codec = 'subrip' then 'copy' else 'srt' end as encoder, count(*) as tracks from streams where codec in ('subrip', 'ass', 'mov_text') group by 1, 2")
+def extraction_plan(spark, d):
+    return tracks.extraction_plan(tracks.describe_subtitles(_streams(spark, d)), True).groupBy("codec", "encoder").agg(F.count(F.lit(1)).alias("tracks"))
+
+
+@query("""select s_suppkey as track, 'en' as language, 'embedded' as kind from supplier where s_suppkey % 3 = 0 union all select s_suppkey, 'de', 'transcript' from supplier where s_suppkey % 3 = 1
+union all select s_suppkey, 'fr', 'translation' from supplier where s_suppkey % 3 = 2""")
+def union_choices(spark, d):
+    s = table(spark, d, "supplier")
+    part = lambda m, x: s.filter(F.col("s_suppkey") % 3 == m).select(F.col("s_suppkey").alias("track"), F.lit(x).alias("language"))
+    return tracks.subtitle_choices(part(0, "en"), part(1, "de"), part(2, "fr"))
+
+
+@query("""select track, language, is_default, origin from (select s_suppkey as track, 'en' as language, false as is_default, 'kept' as origin from supplier where s_suppkey not in (select s_suppkey - 1 from supplier where s_suppkey % 10 = 0)
+union all select s_suppkey + 100000, 'de', s_suppkey % 20 = 0, 'selected' from supplier where s_suppkey % 10 = 0)""")
+def remux_entries(spark, d):
+    s = table(spark, d, "supplier")
+    kept = s.select(F.col("s_suppkey").alias("track"), F.lit("en").alias("language"), (F.col("s_suppkey") % 2 == 0).alias("is_default"))
+    chosen = s.filter("s_suppkey % 10 = 0").select((F.col("s_suppkey") + 100000).alias("track"), F.lit("de").alias("language"), (F.col("s_suppkey") % 20 == 0).alias("is_default"), (F.col("s_suppkey") - 1).alias("replaces"))
+    return tracks.remux_entries(kept, chosen)
+
+
+@query("select distinct l_suppkey as cell from lineitem except select s_suppkey from supplier where s_suppkey % 2 = 0")
+def difference_grid(spark, d):
+    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("cell")).distinct().exceptAll(table(spark, d, "supplier").filter("s_suppkey % 2 = 0").select("s_suppkey"))
+
+
+@query("select 'clip-2' as name")
+def first_free_name(spark, d):
+    return tracks.first_free_name("clip", table(spark, d, "region").filter("r_regionkey = 0").select(F.lit("clip").alias("name")))
+
+
+# ------------------------------------------------------------- store
+
+
+@query(f"""with {CUES} select id, case when track % 2 = 0 or turn % 3 = 0 then 'mine' else text end as text, track % 2 = 0 or turn % 3 = 0 as touched from cues where track % 5 <> 4
+union all select id, 'mine', track % 2 = 0 or turn % 3 = 0 from cues where track % 5 = 4""")
+def replace_preserving_edits(spark, d):
+    old = cues(spark, d).withColumn("text", F.lit("mine")).drop("turn")
+    new = cues(spark, d).filter("track % 5 <> 4").withColumn("reviewed", F.lit(False)).withColumn("edited", F.lit(False)).drop("turn")
+    return store.replace_cues(old, new).select("id", "text", (F.col("reviewed") | F.col("edited")).alias("touched"))
+
+
+@query(f"with {CUES} select id, case when turn = 1 then 'changed' else text end as text, edited or turn = 1 as edited from cues")
+def update_cues(spark, d):
+    c = cues(spark, d)
+    change = c.filter("turn = 1").select("id", F.lit("changed").alias("text"), F.lit(None).cast("double").alias("start"), F.lit(None).cast("double").alias("end"), F.lit(None).cast("boolean").alias("reviewed"))
+    return store.update_cues(c.filter(F.length(F.trim("text")) > 0), change).select("id", "text", "edited")
+
+
+@query("select user_id, arg_max(event_type, struct_pack(ts := ts, e := event_id)) as status from events group by user_id")
+def job_latest_state(spark, d):
+    return store.latest(table(spark, d, "events"), ["user_id"], F.col("event_type"), F.struct("ts", "event_id"), "status")
+
+
+@query(f"with {CUES}, {TRANSLATIONS} select cue_id, case when track % 5 = 0 then 'new' else translated_text end as translated_text from saved union all select id, 'new' from cues where track % 5 = 0 and track % 11 = 0")
+def upsert_translations(spark, d):
+    old = translations(spark, d).select("cue_id", F.col("text").alias("translated_text"))
+    new = cues(spark, d).filter("track % 5 = 0").select(F.col("id").alias("cue_id"), F.lit("new").alias("translated_text"))
+    return store.upsert(old, new, ["cue_id"])
+
+
+@query("select doc_id from documents where doc_id % 3 <> 0")
+def missing_work(spark, d):
+    docs = table(spark, d, "documents").select("doc_id")
+    return store.missing_work(docs, docs.filter("doc_id % 3 = 0"), "doc_id")
+
+
+@query("select doc_id from documents where doc_id % 4 = 0")
+def stale_sources(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("path"), F.col("n_chars").cast("string").alias("fingerprint"))
+    now = docs.filter("doc_id % 8 <> 0").select("path", F.when(F.col("doc_id") % 4 == 0, F.lit("x")).otherwise(F.col("fingerprint")).alias("fingerprint"))
+    return store.stale(docs, now).select("doc_id")
+
+
+@query(f"with {CUES} select track, id, row_number() over (partition by track order by start) as number from cues")
+def row_numbered_cues(spark, d):
+    return store.numbered(cues(spark, d), ["track"], ["start", "id"]).select("track", "id", "number")
+
+
+@query("""with f as (select source as pool, doc_id as path, n_chars as size, sum(n_chars) over (partition by source order by doc_id desc) as so_far from documents) select path from f where so_far > 20000 and path % 10 <> 3""")
+def eviction_running_total(spark, d):
+    files = table(spark, d, "documents").select(F.col("source").alias("pool"), F.col("doc_id").alias("path"), F.col("n_chars").alias("size"), F.col("doc_id").alias("modified"))
+    return tracks.evictions(files, 20000, F.col("path") % 10 == 3).select("path")
+
+
+# ------------------------------------------------------------- event logs
+
+
+@query("select event_id from (select event_id, event_type, lag(event_type) over w as b, row_number() over w as n from events window w as (partition by user_id order by ts, event_id)) where n = 1 or event_type is distinct from b")
+def job_changes_only(spark, d):
+    return feeds.changes(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], "event_type").select("event_id")
+
+
+_LOG = """log as (select user_id as id, event_id as "at", ['create','start','pause','resume','finish','cancel'][1 + event_id % 6] as event from events)"""
+
+
+@query(f"""with {_LOG}, s as (select *, case event when 'create' then 'queued' when 'start' then 'running' when 'pause' then 'paused' when 'resume' then 'queued' when 'cancel' then 'cancelled' else 'done' end as status from log),
+e as (select id, min("at") as ended from s where status in ('done', 'cancelled') group by id)
+select s.id, arg_max(status, "at") as status, max("at") as "at" from s left join e on s.id = e.id where ended is null or "at" <= ended group by s.id""")
+def job_states(spark, d):
+    names = F.array(*[F.lit(x) for x in ("create", "start", "pause", "resume", "finish", "cancel")])
+    log = table(spark, d, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("at"), F.get(names, (F.col("event_id") % 6).cast("int")).alias("event"))
+    return feeds.job_states(log)
+
+
+@query("""select event_id, round(max(value) over (partition by user_id order by ts, event_id rows unbounded preceding), 6) as value from events""")
+def monotone_progress(spark, d):
+    return feeds.monotone(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], "value").select("event_id", F.round("value", 6).alias("value"))
+
+
+@query()
+def throttled_progress(spark, d):
+    log = table(spark, d, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("us"), F.col("event_type").alias("status")).withColumn("at", F.col("us") / 3.6e9)
+    return sequence.fold(log, ["user_id"], ["at", "event_id"], feeds.Throttle, "passed", least=0.5, on_change=True).filter("passed = 1").select("event_id")
+
+
+# ------------------------------------------------------------- intervals and sequences
+
+
+@query(f"""with {WORDS}, i as (select track, sum(n) over (partition by track order by pos) as island from (select track, pos, case when start - lag(stop) over (partition by track order by pos) > 0.8 or pos = 0 then 1 else 0 end as n from words)),
+c as (select track, island, count(*) as k from i group by 1, 2) select track, count(*) as islands, max(k) as longest from c group by track""")
+def gap_islands(spark, d):
+    return intervals.gaps(words(spark, d), ["track"], ["start", "end"], 0.8).groupBy("track").agg(F.count(F.lit(1)).alias("islands"), F.max("rows").alias("longest"))
+
+
+@query(f"""with {WORDS}, dur as (select track, max(stop) + 2 as duration from words group by 1),
+covered as (select distinct track, unnest(range(cast(floor(s / 0.02::double) as bigint), cast(ceil(case when e - s > 2 then least(e, s + 0.8::double) else e end / 0.02::double) as bigint))) as cell
+  from (select track, greatest(start - 0.15::double, 0) as s, least(stop + 0.15::double, duration) as e from words join dur using (track))),
+spoken as (select track, unnest(range(0, cast(ceil(duration / 0.02::double) as bigint))) as cell from dur),
+missing as (select track, cell, cell - row_number() over (partition by track order by cell) as run from (select * from spoken except select * from covered)),
+runs as (select track, min(cell) as lo, max(cell) + 1 as hi from missing group by track, run),
+pieces as (select track, lo * 0.02::double + k * 12.0::double as start, least(hi * 0.02::double, lo * 0.02::double + k * 12.0::double + 12.0::double) as stop
+  from (select *, unnest(range(0, cast(ceil((hi - lo) * 0.02::double / 12.0::double) as bigint))) as k from runs where (hi - lo) * 0.02::double >= 0.7::double))
+select track, count(*) as gaps, round(sum(stop - start), 4) as seconds from pieces where stop - start >= 0.7::double group by track""")
+def uncovered_intervals(spark, d):
+    w = words(spark, d)
+    whole = w.groupBy("track").agg((F.max("end") + 2).alias("duration"))
+    speech = whole.select("track", F.lit(0.0).alias("start"), F.col("duration").alias("end"))
+    found = intervals.uncovered(speech, w.select("track", "start", "end"), whole, ["track"])
+    return found.groupBy("track").agg(F.count(F.lit(1)).alias("gaps"), F.round(F.sum(F.col("end") - F.col("start")), 4).alias("seconds"))
+
+
+@query(f"""with {WORDS} select track, k, count(*) as words from words join (select unnest(range(0, 40)) as k) on (start + stop) / 2 >= k * 60 + 5 and (start + stop) / 2 <= k * 60 + 30.5::double group by track, k""")
+def words_in_gaps(spark, d):
+    w = words(spark, d)
+    gaps = w.select("track").distinct().select("track", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("k")).select("track", "k", (F.col("k") * 60.0 + 5).alias("start"), (F.col("k") * 60 + 30.5).alias("end"))
+    return intervals.words_in_gaps(w, gaps, ["track"]).groupBy("track", "k").agg(F.count(F.lit(1)).alias("words"))
+
+
+@query(f"""with recursive {SPOKEN}, s as (select *, row_number() over (partition by track order by start, stop) as n from spoken),
+g as (select track, n, start as first, stop, language, length(word) as size, 1 as k, 0 as cue, regexp_matches(word, '[.!?。！？]$') as dot from s where n = 1
+  union all select s.track, s.n, case when c then s.start else g.first end, s.stop, s.language, case when c then 0 else g.size end + length(s.word), case when c then 0 else g.k end + 1, g.cue + c::int, regexp_matches(s.word, '[.!?。！？]$')
+  from g join s on s.track = g.track and s.n = g.n + 1, lateral (select s.language <> g.language or s.start - g.stop > 0.8::double or s.stop - g.first > 5.5::double or g.size > 85 or (g.dot and g.k >= 3) as c))
+select track, cue, count(*) as n_words, round(min(first), 4) as start from g group by track, cue""")
+def group_words_cues(spark, d):
+    return sequence.cues(spoken(spark, d)).select("track", "cue", "n_words", F.round("start", 4).alias("start"))
+
+
+@query(f"""with recursive {CUES}, s as (select *, row_number() over (partition by track order by start, stop, id) as n from cues),
+g as (select track, n, id, start as first, stop, language, length(text) as size, 1 as k, 0 as utterance, regexp_matches(text, '[.!?。！？][\\s"”’]*$') as dot from s where n = 1
+  union all select s.track, s.n, s.id, case when c then s.start else g.first end, s.stop, s.language, case when c then 0 else g.size end + length(s.text), case when c then 0 else g.k end + 1, g.utterance + c::int, regexp_matches(s.text, '[.!?。！？][\\s"”’]*$')
+  from g join s on s.track = g.track and s.n = g.n + 1, lateral (select s.language <> g.language or s.start - g.stop > 1.2::double or s.stop - g.first > 30 or g.size + length(s.text) > 900 or g.k >= 8 or g.dot as c))
+select track, id, utterance from g""")
+def utterances(spark, d):
+    return sequence.utterances(cues(spark, d)).select("track", "id", "utterance")
+
+
+@query(f"""with recursive {CUES}, s as (select *, row_number() over (partition by track order by start, stop, id) as n from cues where language <> 'system'),
+g as (select track, n, id, stop, length(text) as size, 0 as block from s where n = 1
+  union all select s.track, s.n, s.id, s.stop, case when c then 0 else g.size end + length(s.text), g.block + c::int from g join s on s.track = g.track and s.n = g.n + 1, lateral (select s.start - g.stop > 3 or g.size >= 1000 as c))
+select track, id, block from g""")
+def transcript_blocks(spark, d):
+    return sequence.transcript_blocks(cues(spark, d).filter("language <> 'system'").withColumn("language", F.lit("en"))).select("track", "id", "block")
+
+
+@query()
+def dedup_words(spark, d):
+    w = words(spark, d)
+    again = w.filter("pos % 50 < 5").withColumn("chunk", F.col("chunk") + 1).withColumn("start", F.col("start") + 0.01)
+    return sequence.dedup_words(w.unionByName(again)).groupBy("track").agg(F.count(F.lit(1)).alias("words"))
+
+
+@query()
+def cues_by_language(spark, d):
+    return flagship(spark, d)
+
+
+@query()
+def distribute_translation(spark, d):
+    rows = sequence.utterances(cues(spark, d))
+    groups = rows.groupBy("track", "utterance").agg(sequence.in_order(["start", "id"], F.col("text"), " ").alias("text"), F.transform(F.array_sort(F.collect_list(F.struct("start", "id", "end"))), lambda r: r["end"] - r["start"]).alias("durations"))
+    return sequence.distribute(groups.withColumn("target", F.lit("de"))).select("track", "utterance", F.size("pieces").alias("cues"), F.array_join("pieces", "|").alias("text"))
+
+
+# ------------------------------------------------------------- signals and scalars
+
+
+@query("""select vec_id, block, round(max(abs(x::double)), 4) as peak from (select vec_id, unnest(embedding) as x, (generate_subscripts(embedding, 1) - 1) // 4 as block from embeddings) group by 1, 2""")
+def waveform_peaks(spark, d):
+    return signal.peaks(table(spark, d, "embeddings"), "vec_id", "embedding", 16)
+
+
+@query("select vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double)) / len(embedding)), 6) as rms from embeddings")
+def rms(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", F.round(signal.rms(F.col("embedding")), 6).alias("rms"))
+
+
+@query("""with t as (select l_orderkey, l_linenumber, cast(greatest(0, round_even((l_orderkey * 0.377::double + l_linenumber) * 1000, 0)) as bigint) as ms from lineitem)
+select l_orderkey, l_linenumber, printf('%02d:%02d:%02d,%03d', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60, ms % 1000) as shown from t""")
+def timestamps(spark, d):
+    at = F.col("l_orderkey") * 0.377 + F.col("l_linenumber")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", text.timestamp(at).alias("shown"))
+
+
+@query("select l_orderkey, l_linenumber, round(l_orderkey % 360000 / 10.0 + 0.125::double, 3) as seconds from lineitem")
+def clock_values(spark, d):
+    at = F.col("l_orderkey") % 360000 / 10.0 + 0.125
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(text.clock(text.timestamp(at)), 3).alias("seconds"))
+
+
+_TAGS = ("lower(substr(n_name, 1, 3))", "case {t} " + " ".join(f"when '{k}' then '{v}'" for k, v in (dict(zip(text.CODES3, text.CODES2)) | text.OLDER3).items()) + " else 'und' end")
+
+
+@query(f"select n_nationkey, {_TAGS[1].format(t=_TAGS[0])} as code from nation")
+def language_codes(spark, d):
+    return table(spark, d, "nation").select("n_nationkey", text.language_code(F.concat(F.upper(F.substr("n_name", F.lit(1), F.lit(3))), F.lit("_X"))).alias("code"))
+
+
+@query("""select l_orderkey, l_linenumber, concat_ws(',', case when l_discount * 10 < 0.5 or -l_tax * 12 < -0.8 then 'Low confidence' end, case when l_quantity / 50 > 0.5 then 'Possible non-speech' end, case when l_linenumber > 2.4 then 'Repetitive' end, case when l_linenumber = 1 or l_linenumber = 7 then 'Unusual timing' end) as flags from lineitem""")
+def word_flags(spark, d):
+    n = F.col("l_linenumber")
+    end = F.when(n == 7, 3.0).when(n == 1, 0.0).otherwise(1.0)
+    flags = tracks.word_flags(F.col("l_discount") * 10, -F.col("l_tax") * 12, F.col("l_quantity") / 50, n.cast("double"), F.lit(0.0), end)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(flags, ",").alias("flags"))
+
+
+@query("select page_id, sha256(regexp_replace(regexp_replace(regexp_replace(html, '<br\\s*/?>', chr(10), 'gi'), '</?(?:font|ruby|rt|b|i|u|s)(?:\\s[^>]*)?>', '', 'gi'), '\\{\\\\[^}]*\\}', '', 'g')) as plain_sha256 from pages")
+def markup_strip(spark, d):
+    return table(spark, d, "pages").select("page_id", F.sha2(text.without_markup(F.col("html")), 256).alias("plain_sha256"))
+
+
+@query(f"""with {CUES} select language, count(*) filter (regexp_matches(text, '[.!?。！？][\\s"”’]*$')) as complete, count(*) as cues from cues group by language""")
+def sentence_end(spark, d):
+    return cues(spark, d).groupBy("language").agg(F.count_if(text.ends_sentence(F.col("text"), True)).alias("complete"), F.count(F.lit(1)).alias("cues"))
+
+
+@query(f"with {WORDS} select track, pos, substr(sha256('p:' || track || ':' || printf('%.3f', round(start, 3)) || ':' || pos), 1, 20) as id from words")
+def stable_ids(spark, d):
+    return words(spark, d).select("track", "pos", text.stable_id(F.col("project"), F.col("track"), F.col("start"), F.col("pos")).alias("id"))
+
+
+@query("select doc_id, sha256(source || ':' || doc_id || ':' || printf('%.3f', doc_id / 8.0::double) || ':12.000') as clip from documents")
+def clip_keys(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.clip_key(F.col("source"), F.col("doc_id"), F.col("doc_id") / 8.0, F.lit(12.0)).alias("clip"))
+
+
+@query("select doc_id, sha256(text) as content from documents")
+def file_sha(spark, d):
+    return table(spark, d, "documents").select("doc_id", media.content_fingerprint(F.col("text")).alias("content"))
+
+
+@query("select c_custkey, levenshtein(c_name, s_name) as edits from customer join supplier on s_suppkey = 1 + c_custkey % 100")
+def edit_distance_chars(spark, d):
+    s = table(spark, d, "supplier").select("s_suppkey", "s_name")
+    return table(spark, d, "customer").join(s, F.col("s_suppkey") == 1 + F.col("c_custkey") % 100).select("c_custkey", F.levenshtein("c_name", "s_name").alias("edits"))
+
+
+@query("""select lang as language, sum(n // 7) as edits, round_even(sum(n // 7)::double / greatest(1, sum(n)), 4) as rate from (select lang, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) as n from documents) group by lang""")
+def error_rate_by_language(spark, d):
+    """Hypotheses lack every seventh word, so a seventh of the words are deletions."""
+    parts = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    pairs = table(spark, d, "documents").select("lang", parts.alias("reference")).repartition(32)
+    scored = pairs.select("lang", F.size("reference").alias("n"), scoring.distance(F.col("reference"), F.filter("reference", lambda w, i: i % 7 != 6)).alias("errors"))
+    total = scored.groupBy(F.col("lang").alias("language")).agg(F.sum("errors").alias("edits"), F.sum("n").alias("n"))
+    return total.select("language", "edits", scoring.error_rate(F.col("edits"), F.col("n")).alias("rate"))
+
+
+@query("select l_orderkey, l_linenumber, round(least(1.0, case when v < 0 then exp(v) else v end), 6) as score from (select l_orderkey, l_linenumber, l_quantity / 25 - 1 as v from lineitem)")
+def confidences(spark, d):
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(text.confidence(F.col("l_quantity") / 25 - 1), 6).alias("score"))
+
+
+@query("select o_orderkey, round(b, 6) as start, round(s, 6) as duration from (select o_orderkey, b, least(60, greatest(o_totalprice / 5000, 1), 400 - b) as s from (select *, greatest(o_totalprice / 1000 - 20, 0) as b from orders)) where s > 0")
+def preview_ranges(spark, d):
+    p = text.preview_range(F.col("o_totalprice") / 1000 - 20, F.col("o_totalprice") / 5000, F.lit(400.0))
+    return table(spark, d, "orders").select("o_orderkey", p.alias("p")).filter("p is not null").select("o_orderkey", F.round("p.start", 6).alias("start"), F.round("p.duration", 6).alias("duration"))
+
+
+@query("""select o_orderkey, case when s >= 3600 then printf('%d:%02d:%02d', s // 3600, s // 60 % 60, s % 60) else printf('%d:%02d', s // 60, s % 60) end as shown from (select o_orderkey, cast(floor(o_totalprice / 50) as bigint) as s from orders)""")
+def human_durations(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", text.human_duration(F.col("o_totalprice") / 50).alias("shown"))
+
+
+@query("""select doc_id, name, count(*) over () as total from (select doc_id, 'Clip ' || doc_id || case when doc_id % 3 = 0 then '.MKV' else '.txt' end as name from documents) where contains(lower(name), '1') and name like '%.MKV' order by lower(name), name limit 50 offset 5""")
+def file_page(spark, d):
+    name = F.concat(F.lit("Clip "), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 0, ".MKV").otherwise(".txt"))
+    files = table(spark, d, "documents").select("doc_id", name.alias("name"), name.alias("path"), F.lit("file").alias("kind"), F.col("n_chars").alias("size"))
+    return media.list_files(files, [".mkv"], "1", 5, 50).select("doc_id", "name", "total")
+
+
+@query("select min(event_id) as position, event_type as path from events group by event_type")
+def first_locations(spark, d):
+    e = table(spark, d, "events").select(F.col("event_id").alias("position"), F.lit("x").alias("label"), F.concat("event_type", F.when(F.col("event_id") % 2 == 0, "/").otherwise("")).alias("path"))
+    return media.locations(e).select("position", F.regexp_replace("path", "/$", "").alias("path"))
+
+
+@query()
+def repetitive_text(spark, d):
+    return table(spark, d, "documents").select("doc_id", scoring.repetitive("text").alias("loops"))
+
+
+@query()
+def token_edit_metrics(spark, d):
+    b = table(spark, d, "benchmark")
+    shorter = F.array_join(F.filter(F.split("text", " "), lambda w, i: i % 7 != 6), " ")
+    return scoring.score(b.select("item_id", F.col("text").alias("reference"), shorter.alias("hypothesis")))
+
+
+@query()
+def nfkc_words(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.size(scoring.tokens("text")).alias("tokens"))
+
+
+@query()
+def srt_text(spark, d):
+    return subtitles.srt_text(cues(spark, d))
+
+
+@query()
+def transcript_text(spark, d):
+    return subtitles.transcript_text(cues(spark, d))
+
+
+@query(f"with {CUES} select track, count(*) as cues, round(sum(start), 3) as starts from cues where trim(text) <> '' group by track")
+def srt_roundtrip(spark, d):
+    written = subtitles.srt_text(cues(spark, d)).withColumn("language", F.lit("en"))
+    return subtitles.read_srt(written).groupBy("track").agg(F.count(F.lit(1)).alias("cues"), F.round(F.sum("start"), 3).alias("starts"))
+
+
+@query()
+def project_backup(spark, d):
+    c = cues(spark, d)
+    return subtitles.backup(c.select("project").distinct(), c)

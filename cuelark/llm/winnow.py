@@ -64,9 +64,11 @@ def spelled(print_: Column) -> Column:
     return F.array_join(F.transform(print_, lambda p: F.concat_ws("@", F.lower(F.hex(p["hash"])), p["position"])), " ")
 
 
-def with_next(docs: DataFrame, key: str, carried: list[str], tie: str, tasks: int) -> DataFrame:
+def with_next(docs: DataFrame, key: str, carried: list[str], tie: str, tasks: int, derive: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     """Each row with ``carried`` columns (as struct ``next``) of the row that follows by descending ``key``; after the last comes the first.
 
+    ``derive`` adds columns after the rows have been dealt, so these needn't cross the exchange.
+
     Keys are dealt into ranges by their quantiles, a number of ranges that depends on the tasks
     and not on the rows. The first row of each range also goes, as a guest, to the end of the
     range before, so a window over one range finds every neighbour. Equal keys follow by ``tie``.
@@ -78,12 +80,13 @@ def with_next(docs: DataFrame, key: str, carried: list[str], tie: str, tasks: in
     heads = sorted((r["range"], r["top"]) for r in docs.select(where.alias("range"), key).groupBy("range").agg(F.max(key).alias("top")).collect())
     own = docs.withColumn("range", where).withColumn("guest", F.lit(False))
     if not heads:
-        return docs.withColumn("next", F.struct(*carried))  # no rows
+        return derive(docs).withColumn("next", F.struct(*carried))  # no rows
     to = {top: heads[(i + 1) % len(heads)][0] for i, (_, top) in enumerate(heads)}
     table = F.create_map(*[F.lit(x) for pair in to.items() for x in pair])
     guests = docs.filter(F.col(key).isin(list(to))).withColumn("range", F.element_at(table, F.col(key))).withColumn("guest", F.lit(True))
     order = Window.partitionBy("range").orderBy("guest", F.desc(key), tie)
-    return own.unionByName(guests).withColumn("next", F.lead(F.struct(*carried)).over(order)).filter(~F.col("guest")).drop("range", "guest")
+    dealt = derive(own.unionByName(guests).repartition("range"))
+    return dealt.withColumn("next", F.lead(F.struct(*carried)).over(order)).filter(~F.col("guest")).drop("range", "guest")
 
 
 def compare_edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -95,12 +98,12 @@ def compare_edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """
     spark = docs.sparkSession
     source = docs.select(solid(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    printed = source.withColumn("print", fingerprint(F.col("text")))
     tasks = min(4096, 3 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    paired = with_next(printed, "doc_id", ["text", "print"], "text", tasks)
+    printed = lambda rows: rows.withColumn("print", fingerprint(F.col("text"))).withColumn("own", hashes(F.col("print")))
+    paired = with_next(source, "doc_id", ["text", "own"], "text", tasks, printed)
     n = F.length("text")
     edited = F.concat(F.substr("text", F.lit(1), n - F.floor(n / 2).cast("int")), F.substr("next.text", F.lit(1), F.floor(n / 2).cast("int")))
-    made = paired.select("doc_id", n.cast("long").alias("n_chars"), "print", hashes(F.col("print")).alias("own"), hashes(F.col("next.print")).alias("following"), edited.alias("edited"))
+    made = paired.select("doc_id", n.cast("long").alias("n_chars"), "print", "own", F.col("next.own").alias("following"), edited.alias("edited"))
     made = made.select("*", fingerprint(F.col("edited")).alias("edited_print"))
     made = made.select("*", hashes(F.col("edited_print")).alias("changed"))
     return made.select(

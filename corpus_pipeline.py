@@ -25,11 +25,13 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     versions = secrets.address(docs, "doc_id", "text")
     fresh, _ = secrets.scan(versions)
     found = secrets.findings_by_blob(fresh)
-    named = docs.withColumn("blob", F.sha2(F.coalesce("text", F.lit("")), 256)).join(found.hint("shuffle_hash"), "blob", "left")
-    masked = F.when(F.col("found").isNull(), F.col("text")).otherwise(secrets.redact(F.col("found"), F.col("text")))
-    clean = named.withColumn("masked", masked)
-    chars = F.when(F.col("found").isNull(), F.col("n_chars")).otherwise(F.length("masked").cast("long"))
-    return clean.select(*[F.col("masked").alias("text") if c == "text" else chars.alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("blob"))
+    named = rows.join(found.hint("shuffle_hash"), "blob", "left")
+    hit = F.col("found").isNotNull()
+    masked = F.when(hit, secrets.redact(F.col("found"), F.col("row.text"))).otherwise(F.col("row.text"))
+    named = named.withColumn("masked", masked)
+    new = {"text": F.col("masked"), "n_chars": F.when(hit, F.length("masked").cast("long")).otherwise(F.col("row.n_chars"))}
+    return named.select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,7 +45,7 @@ def event_lines(lines: DataFrame, column: str = "value") -> tuple[DataFrame, Dat
 def encoder_progress(line: F.Column, duration: F.Column) -> F.Column:
     """Share done, 0 to .96, of an encoder's progress line; null for other lines."""
     micros = F.regexp_extract(line, r"^out_time_us=(\d+)$", 1).try_cast("double")
-    return F.least(F.lit(0.96), F.greatest(F.lit(0.0), micros / 1e6 / F.greatest(duration, F.lit(0.001))))
+    return F.when(micros.isNotNull(), F.least(F.lit(0.96), F.greatest(F.lit(0.0), micros / 1e6 / F.greatest(duration, F.lit(0.001)))))
 
 
 def gpu_rows(lines: DataFrame, column: str = "value") -> DataFrame:

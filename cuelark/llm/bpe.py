@@ -1,9 +1,10 @@
 """Byte-level BPE encoding and decoding.
 
-Encoding: the pre-tokens of every text are counted, each distinct one is encoded once, and the ids
-are joined back. The most frequent words (a bounded table) meet the texts as a broadcast; all
-other words go through an exchange by word, each encoded once, and return to their document,
-where they are put in by position. Frequent words thus never make a hot key of that exchange.
+Encoding: every text is cut into pre-tokens; distinct words go through one global exchange by word,
+where each is encoded once; the ids return to their documents and are put in by position.
+Frequent words would be hot keys of that exchange, so a bounded table of them is broadcast with
+its ids instead. Which words those are is decided on a bounded sample of texts; that choice only
+sets a word's route, never its ids, and every word of every text is encoded.
 Decoding: ids are looked up in the token-byte table, which is as large as the vocabulary.
 """
 
@@ -12,6 +13,7 @@ from __future__ import annotations
 import base64
 from collections import Counter
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -21,8 +23,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: At most so many words are broadcast, whatever the input (about 40 MB in a worker).
-HEAD_WORDS = 400_000
+from .common import keep, restored, solid
+
+#: At most so many words are broadcast, whatever the input (about 120 MB in a worker), chosen on about so many texts.
+HEAD_WORDS, SAMPLE = 800_000, 65_536
 #: A task's counts are handed on when it holds so many words.
 FLUSH = 400_000
 
@@ -51,8 +55,13 @@ def encoder(path: str, pattern: str | None = None) -> tiktoken.Encoding:
 
 
 @lru_cache(maxsize=4)
-def token_bytes(path: str) -> dict[int, bytes]:
-    return {i: t for t, i in ranks(path).items()}
+def token_bytes(path: str) -> np.ndarray:
+    """The bytes of each id; None where an id is free."""
+    own = ranks(path)
+    table = np.full(max(own.values()) + 1, None, object)
+    for t, i in own.items():
+        table[i] = t
+    return table
 
 
 @lru_cache(maxsize=4)
@@ -99,11 +108,11 @@ def _encode(ranks_path: str, pattern: str):
     return run
 
 
-def head_words(texts: DataFrame, ranks_path: str, pattern: str, most: int = HEAD_WORDS) -> dict[str, bytes]:
-    """The most frequent words and their ids: all words above the lowest count that keeps them within ``most``."""
-    from .common import keep
-
-    words = keep(texts.select("text").mapInPandas(_count(pattern), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+def head_words(texts: DataFrame, ranks_path: str, pattern: str, most: int = HEAD_WORDS, sample: int = SAMPLE) -> tuple[dict[str, int], np.ndarray]:
+    """Frequent words of about ``sample`` texts by rank, and the ids of each rank: all words above the lowest count that keeps them within ``most``."""
+    share = min(1.0, sample / max(1, texts.count()))
+    some = texts.select("text") if share == 1 else texts.select("text").sample(share, 7)
+    words = keep(some.mapInPandas(_count(pattern), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     least, total = None, 0
     # counts above 1,000 share a row: words so frequent are few
     for r in words.groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).collect():
@@ -112,112 +121,129 @@ def head_words(texts: DataFrame, ranks_path: str, pattern: str, most: int = HEAD
             break
         least = r["n"]
     if least is None:
-        return {}
-    top = words.filter(F.col("n") >= least).select("word", F.col("word").alias("key")).mapInPandas(_encode(ranks_path, pattern), "key string, ids binary")
-    return {r["key"]: bytes(r["ids"]) for r in top.toLocalIterator()}
+        return {}, np.empty(0, object)
+    top = words.filter(F.col("n") >= least).select("word", F.col("word").alias("key"), "n").mapInPandas(_encode(ranks_path, pattern), "key string, n long, ids binary").toArrow()
+    top = top.sort_by([("n", "descending"), ("key", "ascending")])
+    ids = np.empty(len(top), object)
+    ids[:] = top["ids"].to_pylist()
+    return {w.as_py(): i for i, w in enumerate(top["key"])}, ids
 
 
 def _tail(pattern: str, head):
-    """Rows (a, b, slot, word): the distinct words of each text that the broadcast lacks."""
+    """Rows (doc_id, mark, slot, word): the distinct words of each text that the broadcast lacks, by first position."""
 
     def run(batches):
-        find, known = splitter(pattern), head.value
+        find, known = splitter(pattern), head.value[0]
         for t in batches:
             rows = []
-            for a, b, text in zip(t["a"], t["b"], t["text"]):
-                rows += [(a, b, i, w) for i, w in enumerate(w for w in dict.fromkeys(find(text)) if w not in known)]
-            yield pd.DataFrame(rows, columns=["a", "b", "slot", "word"]).astype({"a": "int64", "b": "int64"})
+            for doc, mark, text in zip(t["doc_id"], t["mark"], t["text"]):
+                rows += [(doc, mark, i, w) for i, w in enumerate(w for w in dict.fromkeys(find(text)) if w not in known)]
+            yield pd.DataFrame(rows, columns=["doc_id", "mark", "slot", "word"])
 
     return run
 
 
 def _skeleton(pattern: str, head):
-    """Per text the ids of broadcast words, and where (ids before it) which slot goes in."""
+    """Per text, pressed: the ranks of its broadcast words, and the places of its other words with the slot that each takes.
+
+    Ranks are two bytes, the rare ones above 65,534 four more; low and high bytes lie apart, which presses better.
+    """
 
     def run(batches):
-        find, known, press = splitter(pattern), head.value, zstandard.ZstdCompressor(level=1)
+        find, rank, press = splitter(pattern), head.value[0].get, zstandard.ZstdCompressor(level=3).compress
         for t in batches:
-            blobs, gaps, slots = [], [], []
+            blobs = []
             for text in t["text"]:
-                words, at, own = find(text), 0, {}
-                parts = list(map(known.get, words))
-                where, which, full = [], [], []
-                for w, p in zip(words, parts):
-                    if p is None:
-                        where.append(at)
-                        which.append(own.setdefault(w, len(own)))
-                    else:
-                        full.append(p)
-                        at += len(p) >> 2
-                ids = np.frombuffer(b"".join(full), "<u4")
-                wide = bool(len(ids)) and int(ids.max()) > 65535
-                blobs.append((b"4" if wide else b"2") + press.compress(ids.tobytes() if wide else ids.astype("<u2").tobytes()))
-                gaps.append(press.compress(np.diff(np.array([0, *where]), 1).astype("<u4").tobytes()))
-                slots.append(press.compress(np.array(which, "<u4").tobytes()))
-            yield t.drop(columns="text").assign(blob=blobs, gap=gaps, slot=slots)
+                words = find(text)
+                at = np.array(list(map(rank, words, repeat(-1))), "int64")
+                gaps = np.flatnonzero(at < 0)
+                own: dict[str, int] = {}
+                slots = [own.setdefault(words[i], len(own)) for i in gaps.tolist()]
+                at = at[at >= 0]
+                rare = at[at >= 65_535].astype("<u4")
+                near = np.minimum(at, 65_535).astype("<u2").view("u1").reshape(-1, 2)
+                sizes = np.array([len(at), len(rare), len(gaps), len(own)], "<u4")
+                places = np.diff(gaps, prepend=0).astype("<u4").view("u1").reshape(-1, 4), np.array(slots, "<u4").view("u1").reshape(-1, 4)
+                blobs.append(press(b"".join(x.tobytes() for x in (sizes, near.T.copy(), rare, places[0].T.copy(), places[1].T.copy()))))
+            yield t.drop(columns="text").assign(blob=blobs)
 
     return run
 
 
-def _assemble(batches):
-    pull = zstandard.ZstdDecompressor()
-    for t in batches:
-        out = []
-        for blob, gap, slot, found in zip(t["blob"], t["gap"], t["slot"], t["found"]):
-            raw = pull.decompress(blob[1:])
-            base = raw if blob[:1] == b"4" else np.frombuffer(raw, "<u2").astype("<u4").tobytes()
-            where = np.cumsum(np.frombuffer(pull.decompress(gap), "<u4")) * 4
-            which = np.frombuffer(pull.decompress(slot), "<u4")
-            if len(which):
-                ids = {r["slot"]: r["ids"] for r in found}
-                parts, last = [], 0
-                for at, s in zip(where.tolist(), which.tolist()):
-                    parts += (base[last:at], ids[s])
-                    last = at
-                base = b"".join((*parts, base[last:]))
-            out.append(base)
-        yield t.drop(columns=["blob", "gap", "slot", "found"]).assign(ids=out)
+def _assemble(head):
+    """Puts the ids of a text together from its skeleton and the ids of its other words (``found``: slot, ids)."""
+
+    def run(batches):
+        table, pull = head.value[1], zstandard.ZstdDecompressor().decompress
+        for t in batches:
+            out = []
+            for blob, found in zip(t["blob"], t["found"]):
+                raw = np.frombuffer(pull(blob), "u1")
+                n, rare, gaps, slots = raw[:16].view("<u4").tolist()
+                ends = np.cumsum([16, 2 * n, 4 * rare, 4 * gaps, 4 * gaps])
+                near, far, place, slot = (raw[a:b] for a, b in zip(ends, ends[1:]))
+                at = near.reshape(2, -1).T.copy().view("<u2").ravel().astype("int64")
+                at[at == 65_535] = far.copy().view("<u4")
+                words = np.empty(n + gaps, object)
+                if gaps:
+                    ids = {r["slot"]: r["ids"] for r in found}
+                    if len(ids) != slots:
+                        raise ValueError("words of a text did not come back")
+                    other = np.zeros(n + gaps, bool)
+                    other[np.cumsum(place.reshape(4, -1).T.copy().view("<u4").ravel(), dtype="int64")] = True
+                    words[other] = [ids[s] for s in slot.reshape(4, -1).T.copy().view("<u4").ravel().tolist()]
+                    words[~other] = table[at]
+                else:
+                    words[:] = table[at]
+                out.append(b"".join(words.tolist()))
+            yield t[["doc_id"]].assign(ids=out)
+
+    return run
 
 
 def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ranks_path: str | None = None, pattern: str | None = None, head_limit: int = HEAD_WORDS) -> DataFrame:
-    """(doc_id, ids) of every row; ids are little-endian unsigned 32-bit integers in a binary.
+    """(doc_id, ids) of every row, doc_id as long; ids are little-endian unsigned 32-bit integers in a binary.
 
-    A null text is empty and has no ids. Rows are told apart by 128 bits of hash over id and text,
-    so repeated rows and null ids each return their own row.
+    A null text is empty and has no ids. Only where ids repeat, rows are told apart by a hash of
+    their text as well, so rows that repeat an id, or have none, each return their own row.
     """
     ranks_path, pattern = ranks_path or default_ranks(), pattern or default_pattern()
-    body = F.coalesce(F.col(text), F.lit(""))
-    source = docs.select(F.col(doc_id).alias("doc_id"), body.alias("text"), F.xxhash64(F.col(doc_id), body).alias("a"), F.xxhash64(F.lit(1), body, F.col(doc_id)).alias("b"))
+    source = docs.select(solid(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    repeated = bool(source.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").take(1))
+    source = source.withColumn("mark", F.xxhash64("text") if repeated else F.lit(0).cast("long")).select("doc_id", "mark", "text")
     head = docs.sparkSession.sparkContext.broadcast(head_words(source, ranks_path, pattern, head_limit))
     tails = (
-        source.select("a", "b", "text")
-        .mapInPandas(_tail(pattern, head), "a long, b long, slot int, word string")
+        source.mapInPandas(_tail(pattern, head), "doc_id long, mark long, slot int, word string")
         .repartition("word")
-        .mapInPandas(_encode(ranks_path, pattern), "a long, b long, slot int, ids binary")
-        .groupBy("a", "b")
+        .mapInPandas(_encode(ranks_path, pattern), "doc_id long, mark long, slot int, ids binary")
+        .repartition("doc_id", "mark")  # rows are smaller than partly collected lists
+        .groupBy("doc_id", "mark")
         .agg(F.collect_list(F.struct("slot", "ids")).alias("found"))
     )
-    kind = source.schema["doc_id"].dataType.simpleString()
-    skeleton = source.mapInPandas(_skeleton(pattern, head), f"doc_id {kind}, a long, b long, blob binary, gap binary, slot binary")
-    return skeleton.join(tails, ["a", "b"], "left").drop("a", "b").mapInPandas(_assemble, f"doc_id {kind}, ids binary")
+    skeleton = source.mapInPandas(_skeleton(pattern, head), "doc_id long, mark long, blob binary")
+    joined = skeleton.join(tails, ["doc_id", "mark"], "left").select("doc_id", "blob", "found")
+    return joined.mapInPandas(_assemble(head), "doc_id long, ids binary").select(restored("doc_id").alias("doc_id"), "ids")
+
 
+def _decode(ranks_path: str):
+    import pyarrow as pa
 
-def _decode(ranks_path: str, binary: bool):
     def run(batches):
         table = token_bytes(ranks_path)
         for t in batches:
-            data = [b"".join(map(table.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in t["ids"]]
-            yield t.assign(decoded=data)
+            ids = t.column(t.schema.get_field_index("ids"))
+            data = [b"".join(table[np.frombuffer(x, "<u4")].tolist()) for x in ids.to_pylist()]
+            yield pa.RecordBatch.from_arrays([*t.columns, pa.array(data, pa.binary())], names=[*t.schema.names, "decoded"])
 
     return run
 
 
 def decode(encoded: DataFrame, ranks_path: str | None = None) -> DataFrame:
-    """Adds ``decoded`` (bytes) to rows with ``ids``; an id outside the vocabulary fails the task."""
+    """Adds ``decoded`` (bytes) to rows with ``ids``, beside their other columns; an id outside the vocabulary fails the task."""
     from pyspark.sql.types import BinaryType, StructType
 
     ranks_path = ranks_path or default_ranks()
-    return encoded.mapInPandas(_decode(ranks_path, True), StructType([*encoded.schema.fields]).add("decoded", BinaryType()))
+    return encoded.mapInArrow(_decode(ranks_path), StructType([*encoded.schema.fields]).add("decoded", BinaryType()))
 
 
 def digest(decoded: DataFrame) -> DataFrame:

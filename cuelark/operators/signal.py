@@ -30,3 +30,12 @@ def sampling_positions(duration: Column, window: float = 12.0) -> Column:
     """Distinct starting points of seven windows over a track, inside it."""
     shares = F.array(*[F.lit(x) for x in (0.02, 0.15, 0.3, 0.45, 0.6, 0.75, 0.9)])
     return F.array_sort(F.array_distinct(F.transform(shares, lambda s: F.greatest(F.lit(0.0), F.least(s * duration, duration - window)))))
+
+
+def mixed(speech: Column, noise: Column, decibels: Column) -> Column:
+    """Speech with noise so many decibels below it, held to a peak of 1; the noise repeats to the speech's length."""
+    level = rms(speech) / F.greatest(rms(noise) * F.pow(F.lit(10.0), decibels / 20), F.lit(1e-8))
+    long = F.zip_with(speech, F.flatten(F.array_repeat(noise, F.ceil(F.size(speech) / F.greatest(F.size(noise), F.lit(1))).cast("int"))), lambda a, b: F.when(a.isNotNull(), a.cast("double") + F.coalesce(b, F.lit(0.0)).cast("double") * level))
+    sums = F.slice(long, F.lit(1), F.size(speech))
+    top = F.array_max(F.transform(sums, lambda x: F.abs(x)))
+    return F.transform(sums, lambda x: F.when(top > 1, x / top).otherwise(x))

@@ -223,3 +223,37 @@ def evictions(files: DataFrame, most: float, keep: Column) -> DataFrame:
     """Files to delete, newest first, once the sizes so far pass ``most``; never the kept one. Partition: ``pool``."""
     w = Window.partitionBy("pool").orderBy(F.desc("modified"), "path").rowsBetween(Window.unboundedPreceding, 0)
     return files.withColumn("so_far", F.sum("size").over(w)).filter((F.col("so_far") > most) & ~keep)
+
+
+# ------------------------------------------------------------- settings and messages
+
+
+def overlay(*maps: Column) -> Column:
+    """Maps put over each other; later keys win, whatever the session says about repeated keys."""
+    keys = F.array_distinct(F.flatten(F.array(*[F.map_keys(m) for m in maps])))
+
+    def value(key: Column) -> Column:
+        out = F.element_at(maps[0], key)
+        for m in maps[1:]:
+            out = F.when(F.array_contains(F.map_keys(m), key), F.element_at(m, key)).otherwise(out)
+        return out
+
+    return F.map_from_arrays(keys, F.transform(keys, value))
+
+
+def settings(given: Column, defaults: dict[str, str]) -> Column:
+    """Job settings over defaults; the retired ``audio_profile`` becomes ``enhance`` (anything but original) unless that is given."""
+    base = F.create_map(*[F.lit(x) for pair in defaults.items() for x in pair])
+    old = F.element_at(given, F.lit("audio_profile"))
+    moved = F.when(old.isNotNull(), F.create_map(F.lit("enhance"), (old != "original").cast("string"))).otherwise(F.create_map().cast("map<string,string>"))
+    return F.map_filter(overlay(base, moved, F.map_filter(given, lambda _, v: v.isNotNull())), lambda k, _: k != "audio_profile")
+
+
+def messages(*lists: Column) -> Column:
+    """All messages of several lists, each once, in order of first appearance."""
+    return F.array_distinct(F.flatten(F.array(*lists)))
+
+
+def hint_flag(flags: Column, language: Column, hint: Column, score: Column) -> Column:
+    """Marks words whose chunk was heard as another language with some confidence."""
+    return F.when((score > 0.75) & (hint != language), F.array_append(flags, F.lit("Language differs"))).otherwise(flags)

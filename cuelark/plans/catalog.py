@@ -506,3 +506,62 @@ def srt_roundtrip(spark, d):
 def project_backup(spark, d):
     c = cues(spark, d)
     return subtitles.backup(c.select("project").distinct(), c)
+
+
+@query("select o_orderkey, o_orderpriority <> '1-URGENT' as enhance, coalesce(case when o_orderkey % 3 = 0 then 'fast' end, 'turbo') as model from orders")
+def job_settings(spark, d):
+    given = F.create_map(F.lit("audio_profile"), F.when(F.col("o_orderpriority") == "1-URGENT", "original").otherwise("clean"), F.lit("model"), F.when(F.col("o_orderkey") % 3 == 0, "fast"))
+    made = table(spark, d, "orders").select("o_orderkey", tracks.settings(given, {"model": "turbo", "enhance": "true"}).alias("s"))
+    return made.select("o_orderkey", (F.col("s.enhance") == "true").alias("enhance"), F.col("s.model").alias("model"))
+
+
+@query("select doc_id, case when doc_id % 2 = 0 then 'a,b,c' else 'b,a,c' end as shown from documents")
+def ordered_messages(spark, d):
+    pick = lambda *x: F.array(*[F.lit(i) for i in x])
+    first = F.when(F.col("doc_id") % 2 == 0, pick("a", "b")).otherwise(pick("b", "a", "b"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(tracks.messages(first, pick("a", "c")), ",").alias("shown"))
+
+
+@query("select doc_id, case when (doc_id % 100) / 100.0::double > 0.75 and lang <> 'en' then 'Language differs' else '' end as flags from documents")
+def language_disagreement(spark, d):
+    flags = tracks.hint_flag(F.array().cast("array<string>"), F.col("lang"), F.lit("en"), (F.col("doc_id") % 100) / 100.0)
+    return table(spark, d, "documents").select("doc_id", F.array_join(flags, ",").alias("flags"))
+
+
+@query("select doc_id, list_aggregate(list_sort(list_distinct(list_transform([0.02::double, 0.15, 0.3, 0.45, 0.6, 0.75, 0.9], lambda s: round(greatest(0, least(s * n_chars, n_chars - 12)), 4)))), 'sum') as places from documents")
+def sampling_positions(spark, d):
+    places = F.array_distinct(F.transform(signal.sampling_positions(F.col("n_chars").cast("double")), lambda x: F.round(x, 4)))
+    return table(spark, d, "documents").select("doc_id", F.aggregate(places, F.lit(0.0), lambda a, x: a + x).alias("places"))
+
+
+@query("select doc_id, source || '.' || lang || '.srt' as name, case when n_chars > 1000000000 then 'GB' else 'MB' end as unit, round(n_chars / 8.0::double * (1 / 0.25::double - 1), 4) as remaining from documents")
+def export_names(spark, d):
+    return table(spark, d, "documents").select(
+        "doc_id", text.output_name(F.col("source"), F.col("lang"), F.lit(None).cast("string"), F.lit(".srt")).alias("name"), F.substring(text.human_size(F.col("n_chars")), -2, 2).alias("unit"),
+        F.round(text.remaining(F.col("n_chars") / 8.0, F.lit(0.25)), 4).alias("remaining"),
+    )
+
+
+@query("select doc_id, doc_id % 3 = 1 as good from documents")
+def track_choices(spark, d):
+    k = (F.col("doc_id") % 3).cast("int")
+    asked = F.when(k == 0, F.array(F.lit(1), F.lit(1))).when(k == 1, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(9)))
+    return table(spark, d, "documents").select("doc_id", tracks.valid_choice(asked, F.array(F.lit(1), F.lit(2), F.lit(3))).alias("good"))
+
+
+@query("select doc_id, lower(regexp_extract('/v/' || source || '/clip' || doc_id || '.MKV', '(\\.[^./]+)$', 1)) as suffix, '/v/' || source as folder, 'clip%20' || doc_id || '.MKV' as shown from documents")
+def path_parts(spark, d):
+    path = F.concat(F.lit("/v/"), "source", F.lit("/clip"), F.col("doc_id").cast("string"), F.lit(".MKV"))
+    shown = text.url_name(F.concat(F.lit("clip "), F.col("doc_id").cast("string"), F.lit(".MKV")))
+    return table(spark, d, "documents").select("doc_id", text.extension(path).alias("suffix"), text.parent(path).alias("folder"), shown.alias("shown"))
+
+
+@query("select distinct on (source) source, doc_id from documents order by source, doc_id desc")
+def first_of_each_source(spark, d):
+    return tracks.newest_per_key(table(spark, d, "documents").select("source", "doc_id"), ["source"], "doc_id", "doc_id")
+
+
+@query("""with s as (select doc_id % 40 as track, doc_id // 40 as segment from documents) select track, segment from s where track % 4 <> 0 and segment % 2 = 1""")
+def segments_to_do(spark, d):
+    s = table(spark, d, "documents").select((F.col("doc_id") % 40).alias("track"), F.floor(F.col("doc_id") / 40).alias("segment"))
+    return feeds.new_segments(s, s.filter("segment % 2 = 0 or track % 4 = 0").withColumn("complete", F.col("track") % 4 == 0))

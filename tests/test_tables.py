@@ -215,3 +215,10 @@ def test_recover(spark):
     n = spark.createDataFrame([(1, "good", 1.0, False), (2, "la la", 3.0, False), (3, "la la", 1.0, True)], "gap int, text string, compression double, repeats boolean")
     w = spark.createDataFrame([(2, "better", 1.0, False), (3, "la la", 1.0, True)], n.schema)
     assert {r.gap: (r.retried, r.text) for r in seams.recover(gaps, n, w).collect()} == {1: (False, "good"), 2: (True, "better"), 3: (True, None)}
+
+
+def test_overlay_and_mix(spark):
+    df = spark.createDataFrame([({"a": "1", "b": "2"}, {"b": "3", "c": None})], "x map<string,string>, y map<string,string>")
+    assert df.select(tracks.overlay(F.col("x"), F.col("y"))).first()[0] == {"a": "1", "b": "3", "c": None}
+    s = spark.createDataFrame([([0.5, -0.5, 0.5, -0.5], [1.0, -1.0])], "s array<double>, n array<double>")
+    assert s.select(signal.mixed(F.col("s"), F.col("n"), F.lit(20.0))).first()[0] == pytest.approx([0.55, -0.55, 0.55, -0.55])

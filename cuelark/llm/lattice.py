@@ -257,25 +257,11 @@ def _expect(path: str, shared, classes: int):
     return run
 
 
-def _lattice(path: str, shared, classes: int):
-    def run(batches):
-        vocabulary, (weights, end) = pieces_of(path), shared.value
-        for b in _gathered(batches):
-            words = [_spelled(w) for w in b["word"]]
-            out = np.zeros((len(words), classes))
-            for at in _same_length(words, vocabulary.longest, classes):
-                table, w, _ = _arcs([words[i] for i in at], vocabulary, weights)
-                out[at] = (forward(table, w)[:, -1] + end) / LN10
-            yield b.assign(**{f"lat{k}": out[:, k] for k in range(classes)})
-
-    return run
-
-
 class Model:
-    """Totals (bounded: a few numbers a class), and the table of words (word, uses, c, c0.., lat0..)."""
+    """Totals of the training rows: a few numbers a class."""
 
-    def __init__(self, words: DataFrame, classes: int, totals: dict):
-        self.words, self.classes = words, classes
+    def __init__(self, classes: int, totals: dict):
+        self.classes = classes
         self.n, self.v = totals["n"] or 0, totals["v"] or 0
         singles, pairs = totals["n1"] or 0, totals["n2"] or 0
         self.discount = min(0.95, max(0.1, singles / (singles + 2 * pairs))) if singles else 0.5
@@ -302,12 +288,32 @@ class Model:
         return np.log10((c + 0.1) / (self.n + 0.1 * (self.v + 1)))
 
 
+def _probabilities(path: str, shared, model: Model):
+    """Of each word its log10 probability in each class, in the base model, and whether training rows have it."""
+    classes = model.classes
+    cs = [f"c{k}" for k in range(classes)]
+
+    def run(batches):
+        vocabulary, (weights, end) = pieces_of(path), shared.value
+        for b in _gathered(batches):
+            words = [_spelled(w) for w in b["word"]]
+            out = np.zeros((len(words), classes))
+            for at in _same_length(words, vocabulary.longest, classes):
+                table, w, _ = _arcs([words[i] for i in at], vocabulary, weights)
+                out[at] = (forward(table, w)[:, -1] + end) / LN10
+            c = b["c"].to_numpy("float64")
+            each = model.arrays(c, b[cs].to_numpy("float64"), out)
+            yield b[["word", "uses"]].assign(**{f"l{k}": each[:, k] for k in range(classes)}, base=model.base(c), known=(c > 0).astype("float64"))
+
+    return run
+
+
 def _sum_class(k: int):
     return F.coalesce(F.sum(F.when(F.col("k") == k, F.col("n"))), F.lit(0)).alias(f"c{k}")
 
 
-def train(source: DataFrame, classes: int, vocabulary: str) -> Model:
-    """``source``: text, k (class of a training row; ``classes`` itself for rows not learned from)."""
+def train(source: DataFrame, classes: int, vocabulary: str) -> tuple[Model, DataFrame]:
+    """The model, and its numbers for every word of the corpus. ``source``: text, k (class of a training row; ``classes`` itself for rows not learned from)."""
     counted = source.select("text", "k").mapInPandas(_count(classes), "word binary, k int, n long")
     cs = [f"c{k}" for k in range(classes)]
     raw = keep(counted.groupBy("word").agg(*[_sum_class(k) for k in range(classes)], F.sum("n").alias("uses")).withColumn("c", sum((F.col(c) for c in cs), F.lit(0)).cast("long")), "counts")
@@ -326,38 +332,36 @@ def train(source: DataFrame, classes: int, vocabulary: str) -> Model:
         for r in known.mapInPandas(_expect(vocabulary, share(weights), classes), "piece int, k int, n double").groupBy("piece", "k").agg(F.sum("n").alias("n")).collect():
             got[r["piece"], r["k"]] = r["n"]
         weights = log_weights(pieces, got, types)
-    shape = "word binary, " + ", ".join(f"{c} long" for c in cs) + ", uses long, c long, " + ", ".join(f"lat{k} double" for k in range(classes))
+    model = Model(classes, totals)
     # by word, so that the lattice work spreads evenly over tasks
-    words = keep(raw.repartition(tasks, "word").mapInPandas(_lattice(vocabulary, share(weights), classes), shape), "lattice")
-    return Model(words, classes, totals)
+    shape = "word binary, uses long, " + ", ".join(f"{x} double" for x in _numbers(classes))
+    return model, keep(raw.repartition(tasks, "word").mapInPandas(_probabilities(vocabulary, share(weights), model), shape), "words")
+
+
+def _numbers(classes: int) -> list[str]:
+    return [*(f"l{k}" for k in range(classes)), "base", "known"]
 
 
 # ---------------------------------------------------------------- scoring
 
 
-def _head(model: Model, most: int):
-    """{word: row} and the rows' numbers: log10 in each class, base, known. Words above the lowest use count that keeps them within ``most``."""
+def _head(words: DataFrame, classes: int, most: int) -> tuple[dict[bytes, int], np.ndarray]:
+    """{word: row} and the rows' numbers, of words above the lowest use count that keeps them within ``most``."""
     least, total = None, 0
-    bins = model.words.groupBy(F.least("uses", F.lit(1000)).alias("uses")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("uses"))
-    for r in bins.collect():
+    for r in words.groupBy(F.least("uses", F.lit(1000)).alias("uses")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("uses")).collect():
         total += r["words"]
         if total > most:
             break
         least = r["uses"]
-    cs = [f"c{k}" for k in range(model.classes)]
     if least is None:
-        return {}, np.zeros((0, model.classes + 2)), None
-    lats = [f"lat{k}" for k in range(model.classes)]
-    top = model.words.filter(F.col("uses") >= least).select("word", "c", *cs, *lats).toArrow()
-    matrix = lambda names: np.column_stack([top[x].to_numpy() for x in names]).astype("float64")
-    c = matrix(["c"])[:, 0]
-    numbers = np.column_stack([model.arrays(c, matrix(cs), matrix(lats)), model.base(c), c > 0])
-    return {w.as_py(): i for i, w in enumerate(top["word"])}, numbers, least
+        return {}, np.zeros((0, classes + 2))
+    top = words.filter(F.col("uses") >= least).drop("uses").toArrow()
+    return {w.as_py(): i for i, w in enumerate(top["word"])}, np.column_stack([top[x].to_numpy() for x in _numbers(classes)])
 
 
 def _spread(head, classes: int):
     """Per text one row of what broadcast words add up to (word null), and a row for each other distinct word."""
-    names = [*(f"l{k}" for k in range(classes)), "base", "known"]
+    names = _numbers(classes)
 
     def run(batches):
         rows, numbers = head.value
@@ -392,22 +396,6 @@ def _spread(head, classes: int):
     return run
 
 
-def _weigh(model: Model):
-    classes, cs = model.classes, [f"c{k}" for k in range(model.classes)]
-    lats = [f"lat{k}" for k in range(model.classes)]
-    light = Model.__new__(Model)
-    light.__dict__ = {k: v for k, v in model.__dict__.items() if k != "words"}
-
-    def run(batches):
-        for t in batches:
-            c = t["c"].to_numpy("float64")
-            times = t["times"].to_numpy("float64")
-            got = light.arrays(c, t[cs].to_numpy("float64"), t[lats].to_numpy("float64")) * times[:, None]
-            yield pd.DataFrame({"a": t["a"], "b": t["b"], **{f"l{k}": got[:, k] for k in range(classes)}, "base": light.base(c) * times, "known": np.where(c > 0, times, 0.0)})
-
-    return run
-
-
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", class_column: str | None = "lang", folds: int = 10, held_fold: int = 0, vocabulary: str | None = None, head_limit: int = HEAD_WORDS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
@@ -431,14 +419,13 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", class_col
     for i, name in enumerate(names):
         k = F.when(F.col("label") == name, F.lit(i)).otherwise(k)
     source = source.withColumn("k", F.when(F.col("fold").isNull() | F.col("fold"), F.lit(classes)).otherwise(k).cast("int"))
-    model = train(source, classes, vocabulary)
-    rows, numbers, _ = _head(model, head_limit)
-    head = docs.sparkSession.sparkContext.broadcast((rows, numbers))
-    ls = [f"l{k}" for k in range(classes)]
-    doubles = ", ".join(f"{x} double" for x in [*ls, "base", "known"])
+    model, words = train(source, classes, vocabulary)
+    head = docs.sparkSession.sparkContext.broadcast(_head(words, classes, head_limit))
+    ls, numbers = [f"l{k}" for k in range(classes)], _numbers(classes)
+    doubles = ", ".join(f"{x} double" for x in numbers)
     spread = keep(source.select("doc_id", "held_out", "a", "b", "text").mapInPandas(_spread(head, classes), f"doc_id long, held_out boolean, a long, b long, n_tokens long, word binary, times long, {doubles}"), "spread")
-    tails = spread.filter("word is not null").select("a", "b", "word", "times").join(model.words, "word").mapInPandas(_weigh(model), f"a long, b long, {doubles}")
-    tails = tails.groupBy("a", "b").agg(*[F.sum(x).alias(f"t_{x}") for x in [*ls, "base", "known"]])
+    tails = spread.filter("word is not null").select("a", "b", "word", "times").join(words.drop("uses"), "word")
+    tails = tails.groupBy("a", "b").agg(*[F.sum(F.col(x) * F.col("times")).alias(f"t_{x}") for x in numbers])
     # equal rows (same id and text) put in their words once each: divide by how often they come
     same = spread.filter("word is null")
     copies = same.groupBy("a", "b").agg(F.count(F.lit(1)).alias("copies"))

@@ -73,4 +73,43 @@ QUERIES = {
     "op10_lsh_forest": op10_lsh_forest,
 }
 
-ORACLES: dict[str, str] = {}
+
+
+def _q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _secrets_sql() -> str:
+    """Matches per rule as lists of the texts between them and of themselves; positions are running sums of lengths."""
+    each = []
+    for no, (kind, pattern, group, least) in enumerate(secrets.RULES):
+        p = _q(pattern)
+        each.append(
+            f"select doc_id, {no} as rule, '{kind}' as kind, {least} as least, unnest(gaps) as gap, unnest(wholes) as whole, unnest(parts) as part, generate_subscripts(gaps, 1) as pos "
+            f"from (select doc_id, string_split_regex(text, {p}) as gaps, regexp_extract_all(text, {p}, 0) as wholes, regexp_extract_all(text, {p}, {group}) as parts from d where regexp_matches(text, {p}))"
+        )
+    spelled = "kind || ':' || stop - length(whole) || ':' || stop"
+    base = ", ".join(f"'{k}'" for k in secrets.BASE)
+    counts = ", ".join(f"count(*) filter (kind = '{k}') as n_{k}" for k in secrets.BASE)
+    return f"""with d as (select doc_id, coalesce(text, '') as text from documents), m as ({" union all ".join(each)}),
+s as (select *, sum(length(gap) + coalesce(length(whole), 0)) over (partition by doc_id, rule order by pos) as stop from m),
+f as (select doc_id, rule, kind, stop - length(whole) as start, {spelled} as shown from s where length(part) >= least)
+select d.doc_id, {counts}, sha256(coalesce(string_agg(shown, ',' order by start, rule) filter (kind in ({base})), '')) as base_sha256, coalesce(string_agg(shown, ',' order by start, rule), '') as spans
+from d left join f on d.doc_id = f.doc_id group by d.doc_id"""
+
+
+_ESCAPED = "replace(replace(replace({x}, '\\', '\\\\'), '###', '\\h'), '</turn>', '\\e')"
+
+ORACLES: dict[str, str] = {
+    "op6_secret_scan": _secrets_sql(),
+    "op7_grid_vectors": """with recursive v as (select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings),
+l as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id where list_cosine_similarity(a.e, b.e) >= 0.98),
+reach as (select vec_id as a, vec_id as b from v union select r.a, l.b from reach r join l on r.b = l.a)
+select a as vec_id, (select count(*) from l where l.a = reach.a) as n_links, min(b) as component_id, a = min(b) as kept from reach group by a""",
+    "op9_chat_format": f"""with r as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', {_q(chr(92) + "### Assistant: </turn> ok")} union all select -7, 1, 'assistant', {_q(chr(92) + "### Assistant: </turn> ok")})
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars, sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  cast(sum(4 + length(replace({_ESCAPED.format(x="role")}, chr(10), '\\n')) + 1 + length({_ESCAPED.format(x="text")}) + 8) as bigint) as formatted_chars
+from r group by conv_id""",
+}

@@ -430,7 +430,7 @@ def edit_distance_chars(spark, d):
     return table(spark, d, "customer").join(s, F.col("s_suppkey") == 1 + F.col("c_custkey") % 100).select("c_custkey", F.levenshtein("c_name", "s_name").alias("edits"))
 
 
-@query("""select lang as language, sum(n // 7) as edits, round_even(sum(n // 7)::double / greatest(1, sum(n)), 4) as rate from (select lang, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) as n from documents) group by lang""")
+@query("""select lang as language, cast(sum(n // 7) as bigint) as edits, round_even(sum(n // 7)::double / greatest(1, sum(n)), 4) as rate from (select lang, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) as n from documents) group by lang""")
 def error_rate_by_language(spark, d):
     """Hypotheses lack every seventh word, so a seventh of the words are deletions."""
     parts = F.filter(F.split("text", r"\s+"), lambda w: w != "")

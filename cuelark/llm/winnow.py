@@ -4,7 +4,9 @@ A text's words are hashed, every run of ``GRAM`` words gets a hash of its own, a
 of ``WINDOW`` runs the smallest hash is chosen, the rightmost of equal ones. The chosen hashes and
 their positions (counted in words) are the fingerprint. A passage of GRAM + WINDOW - 1 words that
 two texts share puts at least one common hash into both fingerprints; with up to ``SHORT`` runs
-every run is kept. Everything here is a DataFrame expression.
+every run is kept. Texts of up to ``TINY`` code points have too few words for that: their
+characters, without white space, stand in for words, and every run is kept. Everything here is a
+DataFrame expression.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import restored, solid
 
-GRAM, WINDOW, SHORT = 4, 8, 32
+GRAM, WINDOW, SHORT, TINY = 4, 8, 32, 64
 #: Positions take the low bits of a key, so that the smallest key is the smallest hash at its rightmost place.
 _LAST = 2**31 - 1
 
@@ -26,7 +28,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def fingerprint(text: Column, gram: int = GRAM, window: int = WINDOW, short: int = SHORT) -> Column:
+def fingerprint(text: Column, gram: int = GRAM, window: int = WINDOW, short: int = SHORT, tiny: int = TINY) -> Column:
     """array<struct<hash, position>> in order of position; empty for a text without words."""
 
     def runs(words: Column) -> Column:
@@ -40,14 +42,14 @@ def fingerprint(text: Column, gram: int = GRAM, window: int = WINDOW, short: int
         def least(keys: Column) -> Column:
             many = F.size(keys)
             each = F.transform(F.sequence(F.lit(1), F.greatest(many - window + 1, F.lit(1))), lambda i: F.array_min(F.slice(keys, i, F.lit(window))))
-            return F.when(many <= short, keys).otherwise(F.array_distinct(each))
+            return F.when(many <= F.when(F.length(text) <= tiny, tiny).otherwise(short), keys).otherwise(F.array_distinct(each))
 
         keys = F.transform(hashes, lambda h, i: F.shiftleft(F.shiftrightunsigned(h, 33), 31).bitwiseOR(F.lit(_LAST) - i))
         places = F.transform(let(keys, least), lambda k: (F.lit(_LAST) - k.bitwiseAND(F.lit(_LAST))).cast("int"))
         return F.transform(places, lambda p: F.struct(F.get(hashes, p).alias("hash"), p.alias("position")))
 
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+", -1), lambda w: F.length(w) > 0)
-    return let(let(words, runs), chosen)
+    parts = F.when(F.length(text) <= tiny, F.split(F.regexp_replace(text, r"[\x20\x09-\x0D]+", ""), "")).otherwise(F.split(text, r"[\x20\x09-\x0D]+", -1))
+    return let(let(F.filter(parts, lambda w: F.length(w) > 0), runs), chosen)
 
 
 def hashes(print_: Column) -> Column:

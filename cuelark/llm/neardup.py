@@ -30,7 +30,7 @@ from .components import components, forest
 
 TREES, DEPTH, VALUES, DEEPER = 20, 4, 128, 8
 #: Neighbours on each side in a region's order, and rows from which a region is split.
-NEIGHBOURS, REGION = 3, 4096
+NEIGHBOURS, REGION = 8, 4096
 #: Of 128 two-bit values so many may differ: 19 are expected at similarity 0.8, deviation 4.
 MOST_APART = 40
 #: Texts, and characters, of a block of a family.

@@ -1,11 +1,11 @@
 """Toxicity by the nearest labelled examples.
 
 Examples are a bounded sample of the labelled rows. Their terms are the words, and word beginnings,
-whose document frequency differs between the labels beyond chance; all other words of a text count
-as one more term, so that few terms in a long text weigh less. Over these a text is a TF-IDF vector
+whose document frequency differs between the labels beyond chance, however rare they are; all other
+words of a text count as one more term, so that few terms in a long text weigh less. Over these a text is a TF-IDF vector
 of unit length. The examples' inverted index keeps, for every term and block of examples, the largest
 weight in the block. A search adds up these maxima to a bound per block, visits blocks from the
-highest bound down, and stops at the first bound below the k-th similarity found: the k nearest
+highest bound down, and leaves out those with a bound below the k-th similarity found: the k nearest
 are exact. Their labels vote, nearer ones more, and a monotone curve fitted on the examples
 (each searched without itself) turns votes into probabilities.
 
@@ -27,9 +27,11 @@ from .common import crc, restored, solid
 EXAMPLES, TERMS, NEAREST = 16_384, 4096, 15
 #: A term needs so many examples, and so large a chi-square statistic (1 degree of freedom: about 1 in 10 million by chance).
 LEAST_EXAMPLES, LEAST_CHI2 = 5, 28.0
-#: ... and at least this share of the examples of one label (words of a few copied texts aren't terms), so many times the other label's share.
-LEAST_SHARE, LEAST_LIFT = 0.05, 4.0
 BLOCK = 64
+#: A search visits so many blocks one by one; all further blocks above the bound are scored together.
+SINGLE = 4
+#: Vectors whose result a task remembers.
+KNOWN = 5_000
 #: Bytes of a word's beginning, and the term that stands for all words that are no term.
 BEGINNINGS, REST = (5, 7), b" "
 _CLEAN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -62,7 +64,7 @@ def counts(text: str | None, at: dict[bytes, int]) -> list[tuple[int, int]]:
         if none:
             other += n
     if seen and other:
-        seen[at[REST]] = 1 << (other.bit_length() - 1)  # to a power of two: alike texts have equal vectors
+        seen[at[REST]] = other
     return sorted(seen.items())
 
 
@@ -111,16 +113,41 @@ class Index:
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Similarities and positions of the k nearest, nearest first, ties by position; only similarities above zero."""
         bound = weights @ self.most[terms]
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
         near: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(near) == k and bound[b] < -near[-1][0] - 1e-12):
-                break
+        for b in order[:SINGLE].tolist():
+            if self._beyond(bound[b], near, k):
+                return self._best(near)
             got = np.zeros(BLOCK)
             for t, w in zip(terms.tolist(), weights.tolist()):
                 lo, hi = self.start[t * self.blocks + b], self.start[t * self.blocks + b + 1]
                 got[self.who[lo:hi] - b * BLOCK] += w * self.weight[lo:hi]
             near += [(-round(float(got[i]), 12), b * BLOCK + i) for i in np.flatnonzero(got).tolist() if b * BLOCK + i != skip]
             near = sorted(near)[:k]
+        left = [b for b in order[SINGLE:].tolist() if not self._beyond(bound[b], near, k)]
+        if left:
+            got = np.zeros(self.blocks * BLOCK)
+            for t, w in zip(terms.tolist(), weights.tolist()):
+                lo, hi = self.start[t * self.blocks], self.start[(t + 1) * self.blocks]
+                got[self.who[lo:hi]] += w * self.weight[lo:hi]
+            open_ = np.zeros(self.blocks, bool)
+            open_[left] = True
+            got = np.where(np.repeat(open_, BLOCK), got, 0.0)
+            if skip is not None:
+                got[skip] = 0.0
+            at = np.flatnonzero(got)
+            if len(at) > k:  # the k-th largest and all that may round to it
+                at = at[got[at] >= np.partition(got[at], len(at) - k)[len(at) - k] - 1e-11]
+            near = sorted(near + [(-round(float(got[i]), 12), i) for i in at.tolist()])[:k]
+        return self._best(near)
+
+    @staticmethod
+    def _beyond(bound: float, near: list[tuple[float, int]], k: int) -> bool:
+        return len(near) == k and bound < -near[-1][0] - 1e-12
+
+    @staticmethod
+    def _best(near: list[tuple[float, int]]) -> tuple[np.ndarray, np.ndarray]:
         return np.array([-s for s, _ in near]), np.array([i for _, i in near], "int64")
 
     def vote(self, similarity: np.ndarray, at: np.ndarray, rate: float) -> float:
@@ -170,7 +197,7 @@ def _scores(shared, terms):
             for text in b["text"]:
                 key = tuple(counts(text, at))
                 if key not in known:
-                    if len(known) > 100_000:
+                    if len(known) > KNOWN:
                         known.clear()
                     if not key or not len(index.ids):
                         known[key] = (plain, [], [], [])
@@ -207,10 +234,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     b, n0 = F.col("df") - F.col("toxic"), float(many - toxic)
     df = F.col("df").cast("double")
     chi2 = F.when((df < many) & F.lit(0 < n1 < many), F.lit(float(many)) * F.pow(a * (n0 - b) - b * (n1 - a), F.lit(2.0)) / F.greatest(df * (many - df) * n1 * n0, F.lit(1e-9))).otherwise(0.0)
-    p1, p0 = a / max(n1, 1.0), b / max(n0, 1.0)
-    lifted = ((p1 >= LEAST_SHARE) & (p1 >= LEAST_LIFT * p0)) | ((p0 >= LEAST_SHARE) & (p0 >= LEAST_LIFT * p1))
     counted = some.select("text", "y").mapInPandas(_example_words, "word binary, y int").groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.sum("y").alias("toxic"))
-    best = counted.filter((df >= LEAST_EXAMPLES) & lifted).withColumn("chi2", chi2).filter(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "word").limit(TERMS).collect()
+    best = counted.filter(df >= LEAST_EXAMPLES).withColumn("chi2", chi2).filter(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "word").limit(TERMS).collect()
     at = spark.sparkContext.broadcast({**{bytes(r["word"]): i for i, r in enumerate(best)}, REST: len(best)})
     idf = np.array([*(np.log((1 + many) / (1 + r["df"])) + 1 for r in best), 1.0])
     vectors = some.mapInPandas(_vectors(at), "doc_id long, y int, terms array<long>, tf array<long>")

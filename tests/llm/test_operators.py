@@ -184,6 +184,17 @@ def test_toxicity(spark, none):
     assert {r.score for r in toxicity.score(docs, labels.limit(0)).collect()} == {0.0}
 
 
+def test_toxicity_rare_terms(spark):
+    """A marker in 4 % of the toxic examples is a term; other words count exactly."""
+    rows = [(i, prose(i, 40) + (" vicious" if i % 250 == 0 else " vile rotten" if i % 10 == 0 else "")) for i in range(3000)]
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(3000)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
+    rare = [r for i, r in got.items() if i % 250 == 0 and r.held_out]
+    assert rare and all(r.predicted == 1 and r.evidence_labels == [1, 1, 1] for r in rare)
+    assert sum(r.predicted for i, r in got.items() if i % 10) == 0
+    assert toxicity.counts("vile a b c d e", {b"vile": 0, toxicity.REST: 1}) == [(0, 1), (1, 5)]
+
+
 # ------------------------------------------------------------- fingerprints
 
 

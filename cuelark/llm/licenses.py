@@ -1,7 +1,9 @@
 """Licence scans: notices by TF-IDF cosine to templates, then inheritance along directories.
 
-Every line of every text that shares a word with a template, and every whole text, is compared
-with all templates; the best cosine decides. A file whose whole text is near a template, or whose
+Every line of every text that shares a word with a template, every whole text, and every block is
+compared with all templates; the best cosine decides. Blocks are runs of consecutive lines of up to
+``RUN`` words (twice the longest template), and paragraphs of any length: a notice may be wrapped.
+A text with too few words of each template for a cosine of ``LEAST`` needs no blocks. A file whose whole text is near a template, or whose
 name is that of a licence file and that holds a notice, is a licence file and speaks for its
 directory. Files without a notice of their own take the licence of the nearest directory above
 them that has one: directories, not files, are joined to their ancestors, so a directory with a
@@ -55,6 +57,8 @@ def words_of(text: str | None) -> list[bytes]:
     return _WORD.findall((text or "").encode("utf-8", "surrogatepass").lower())
 
 
+#: Most words of a run of lines.
+RUN = 2 * max(len(words_of(t)) for _, t in TEMPLATES)
 VOCABULARY = sorted({w for _, t in TEMPLATES for w in words_of(t)})
 
 
@@ -87,6 +91,48 @@ class Weights:
         size = math.sqrt(sum(x * x for x in v.values()))
         return {w: x / size for w, x in v.items()} if size else {}
 
+    def blocks(self, lines: list[list[bytes]]) -> tuple[float, str | None]:
+        """Best cosine of the runs of consecutive lines and of the paragraphs, if it is ``LEAST`` or more.
+
+        A cosine is at most the length of the template's vector over the words they share, so
+        templates below that are out; and a first or last line without their words only lowers it.
+        """
+        mass = [0.0] * len(self.templates)
+        for w in {w for x in lines for w in x}:
+            for i, y in self.by.get(w, ()):
+                mass[i] += y * y
+        open_ = {i for i, m in enumerate(mass) if m >= LEAST * LEAST - 1e-9}
+        if not open_ or len(lines) < 2:
+            return 0.0, None
+        near = [any(i in open_ for w in x for i, _ in self.by.get(w, ())) for x in lines]
+        top, name = 0.0, None
+        for start in range(len(lines)):
+            if not near[start]:
+                continue
+            tf: dict[bytes, int] = {}
+            size, many, dot = 0.0, 0, dict.fromkeys(sorted(open_), 0.0)
+            for end in range(start, len(lines)):
+                many += len(lines[end])
+                if many > RUN:
+                    break
+                for w in lines[end]:
+                    x, n = self.idf.get(w, self.other), tf.get(w, 0)
+                    tf[w] = n + 1
+                    size += (2 * n + 1) * x * x
+                    for i, y in self.by.get(w, ()):
+                        if i in open_:
+                            dot[i] += x * y
+                if near[end] and end > start:
+                    i = max(dot, key=dot.get)
+                    if (s := dot[i] / math.sqrt(size)) > top:
+                        top, name = s, self.templates[i]
+        paragraph: list[bytes] = []
+        for x in [*lines, []]:
+            if not x and len(paragraph) > RUN:
+                top, name = max((top, name), self.best(paragraph), key=lambda p: p[0])
+            paragraph = paragraph + x if x else []
+        return (top, name) if top >= LEAST else (0.0, None)
+
     def best(self, words: list[bytes]) -> tuple[float, str | None]:
         """Best cosine and its licence; ties go to the template listed first."""
         tf = Counter(words)
@@ -100,28 +146,24 @@ class Weights:
         return (top, self.templates[score.index(top)]) if top > 0 else (0.0, None)
 
 
-#: Words that a notice can hardly do without; a text without any of them has none.
-TRIGGERS = ("licen", "rights", "permission", "redistribution", "public domain")
-
-
 def _detect(weights: Weights):
     def run(batches):
         for b in batches:
             out = []
             for text in b["text"]:
-                low = (text or "").lower()
-                line, name, whole, of = 0.0, None, 0.0, None
-                if any(t in low for t in TRIGGERS):
-                    whole, of = weights.best(words_of(low))
-                    for x in dict.fromkeys(low.splitlines()):
-                        if any(t in x for t in TRIGGERS):
-                            line, name = max((line, name), weights.best(words_of(x)), key=lambda p: p[0])
-                out.append((line, name, whole, of))
-            yield b.drop(columns="text").assign(**dict(zip(("line_similarity", "line_license", "text_similarity", "text_license"), map(list, zip(*out)) if out else ([], [], [], []))))
+                lines = [words_of(x) for x in (text or "").lower().splitlines()]
+                line, name = 0.0, None
+                for x in dict.fromkeys(map(tuple, lines)):
+                    line, name = max((line, name), weights.best(x), key=lambda p: p[0])
+                out.append((line, name, *weights.blocks(lines), *weights.best([w for x in lines for w in x])))
+            yield b.drop(columns="text").assign(**dict(zip(_FOUND, map(list, zip(*out)) if out else ([],) * len(_FOUND))))
 
     return run
 
 
+_FOUND = [f"{unit}_{what}" for unit in ("line", "block", "text") for what in ("similarity", "license")]
+
+
 def detect(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """(path, directory, own_license, similarity, license_file) of every row of files.
 
@@ -130,12 +172,14 @@ def detect(files: DataFrame, path: str = "path", text: str = "text") -> DataFram
     source = files.select(F.col(path).cast("string").alias("path"), F.col(text).alias("text"))
     df = {bytes(r["word"]): r["n"] for r in source.select("text").mapInPandas(_presence, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}  # the vocabulary's size
     weights = Weights(source.count(), df)
-    found = source.mapInPandas(_detect(weights), "path string, line_similarity double, line_license string, text_similarity double, text_license string")
+    found = source.mapInPandas(_detect(weights), "path string, " + ", ".join(f"{c} {'double' if c.endswith('similarity') else 'string'}" for c in _FOUND))
     by_text = F.col("text_similarity") >= F.greatest(F.col("line_similarity"), F.lit(LEAST))
-    own = F.when(by_text, F.col("text_license")).when(F.col("line_similarity") >= LEAST, F.col("line_license"))
+    most = F.greatest("line_similarity", "block_similarity", "text_similarity")
+    nearest = F.when(F.col("text_similarity") >= most, F.col("text_license")).when(F.col("line_similarity") >= most, F.col("line_license")).otherwise(F.col("block_license"))
+    own = F.when(most >= LEAST, nearest)
     name = F.element_at(F.split("path", "/"), -1)
     is_file = F.coalesce(F.col("path").isNotNull() & own.isNotNull() & (by_text | name.rlike(FILE_NAME)), F.lit(False))
-    return found.select("path", directory(F.col("path")).alias("directory"), own.alias("own_license"), F.greatest("line_similarity", "text_similarity").alias("similarity"), is_file.alias("license_file"))
+    return found.select("path", directory(F.col("path")).alias("directory"), own.alias("own_license"), most.alias("similarity"), is_file.alias("license_file"))
 
 
 def directory(path: Column) -> Column:

@@ -365,6 +365,22 @@ def test_licenses(spark):
     assert licenses.scan(spark.createDataFrame([], "path string, text string")).collect() == []
 
 
+def test_license_notices_without_trigger_words_and_wrapped(spark):
+    import textwrap
+
+    def header(name, at, mark):
+        text = [t for n, t in licenses.TEMPLATES if n == name][at]
+        return "\n".join(mark + x for x in textwrap.wrap(text, 76)) + "\n\n" + "\n".join(prose(i, 9) for i in range(150))
+
+    rows = [
+        ("/a/1", "MIT", header("MIT", 1, " * ")), ("/b/1", "GPL-3.0", header("GPL-3.0", 1, "# ")), ("/c/1", "BSD-3-Clause", header("BSD-3-Clause", 1, "// ")),
+        ("/d/1", "MIT", prose(1, 30) + "\nReleased under MIT\n" + prose(2, 30)), ("/e/1", "CC-BY-4.0", prose(3, 30) + "\nCC BY 4.0\n" + prose(4, 30)), ("/f/1", None, prose(5, 900)),
+        ("/g/1", None, "\n".join("the use of this in " + prose(i, 8) for i in range(40))),
+    ]
+    got = {r.path: (r.own_license, r.license_file) for r in licenses.detect(spark.createDataFrame([(p, t) for p, _, t in rows], "path string, text string")).collect()}
+    assert got == {p: (n, False) for p, n, _ in rows}
+
+
 # ------------------------------------------------------------- chat
 
 

@@ -38,28 +38,32 @@ def unescape(text: Column, role: bool = False) -> Column:
 def fold_events(events: DataFrame) -> DataFrame:
     """Final messages of an event log (conv_id, seq, message_id, kind, role, text).
 
-    ``message`` rows are whole messages and are never folded. Other kinds belong to the
-    message ``message_id`` of their conversation: ``edit`` and ``regenerate`` replace what
-    came before, ``delta`` (and any other kind, null included) appends. A message stands where its first event
-    stood; its role is that of its first event with a role. Null texts are empty, null roles
-    empty, null ``seq`` comes first, and rows of one ``seq`` are ordered by role and text.
+    Events belong to the message ``message_id`` of their conversation: ``message`` is a whole
+    message, ``edit`` and ``regenerate`` replace what came before, ``delta`` (and any other kind,
+    null included) appends. The first ``message`` row of an id takes in what came before it, every
+    further one is a message of its own; other events belong to the last ``message`` row before
+    them. A message stands where its first event stood; its role is that of its first event with a
+    role. Null texts are empty, null roles empty, null ``seq`` comes first; of one ``seq``,
+    ``message`` rows come first, and the rest is ordered by role and text.
     """
-    whole = events.filter(F.col("kind") == "message").select("conv_id", "seq", "role", "text")
-    parts = events.filter(~F.coalesce(F.col("kind") == "message", F.lit(False)))
     seq = F.coalesce(F.col("seq"), F.lit(-(2**63)))
-    folded = (
-        parts.groupBy("conv_id", "message_id")
+    later = F.when(F.col("kind") == "message", 0).otherwise(1)
+    order = Window.partitionBy("conv_id", "message_id").orderBy("seq", "later", "role", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = events.select("conv_id", "message_id", seq.alias("seq"), later.alias("later"), F.col("kind").isin("message", *RESETS).alias("resets"), "role", "text")
+    rows = rows.withColumn("whole", F.greatest(F.sum(1 - F.col("later")).over(order), F.lit(1))).withColumn("at", F.struct("seq", "later"))
+    return (
+        rows.groupBy("conv_id", "message_id", "whole")
         .agg(
-            F.min(seq).alias("seq"),
-            F.min_by("role", F.when(F.col("role").isNotNull(), seq)).alias("role"),
-            F.max(F.when(F.col("kind").isin(*RESETS), seq)).alias("reset"),
-            F.sort_array(F.collect_list(F.struct(seq.alias("s"), F.coalesce("text", F.lit("")).alias("x")))).alias("log"),
+            F.min("seq").alias("seq"),
+            F.min_by("role", F.when(F.col("role").isNotNull(), F.col("at"))).alias("role"),
+            F.max(F.when(F.col("resets"), F.col("at"))).alias("reset"),
+            F.sort_array(F.collect_list(F.struct("at", F.coalesce("text", F.lit("")).alias("x")))).alias("log"),
         )
-        .select("conv_id", "seq", "role", F.array_join(F.transform(F.filter("log", lambda e: F.col("reset").isNull() | (e["s"] >= F.col("reset"))), lambda e: e["x"]), "").alias("text"))
-    )
-    return whole.unionByName(folded).select(
-        "conv_id", seq.alias("seq"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
-    )
+        .select(
+            "conv_id", "seq", F.coalesce("role", F.lit("")).alias("role"),
+            F.array_join(F.transform(F.filter("log", lambda e: F.col("reset").isNull() | (e["at"] >= F.col("reset"))), lambda e: e["x"]), "").alias("text"),
+        )
+    )
 
 
 def render(messages: DataFrame, trained_role: str = "assistant") -> DataFrame:

@@ -408,6 +408,19 @@ def test_chat_events_fold(spark):
     assert [(t.role, t.text) for t in turns] == [("user", "Hi"), ("assistant", "Good day"), ("user", "")]
 
 
+def test_chat_whole_messages_are_edited(spark):
+    rows = [
+        (1, 0, 0, "message", "user", "Hi"), (1, 1, 1, "message", "assistant", "bad start"), (1, 2, 0, "edit", None, "Hello"), (1, 3, 1, "regenerate", None, ""), (1, 4, 1, "delta", None, "Good"),
+        (1, 5, 2, "message", "user", "more"), (1, 6, 2, "delta", None, " of it"), (1, 7, 3, "delta", "assistant", "par"), (1, 8, 3, "message", "assistant", "whole"), (1, 9, 4, "message", "user", "zz"), (1, 9, 4, "edit", "user", "aa"),
+        (2, 0, 0, "message", "user", "twice"), (2, 0, 0, "message", "user", "twice"), (2, 1, 0, "message", "user", "third"), (2, 2, 0, "edit", None, "3rd"),
+    ]
+    log = spark.createDataFrame(rows, "conv_id long, seq long, message_id long, kind string, role string, text string")
+    chats = chat.format_conversations(log)
+    got = {r.conv_id: [tuple(t) for t in r.t] for r in chats.select("conv_id", chat.read_back(chat.F.col("formatted")).alias("t")).collect()}
+    assert got == {1: [("user", "Hello"), ("assistant", "Good"), ("user", "more of it"), ("assistant", "whole"), ("user", "aa")], 2: [("user", "twice"), ("user", "twice"), ("user", "3rd")]}
+    assert {r.conv_id: r.loss_chars for r in chat.digest(chats).collect()} == {1: 9, 2: 0}
+
+
 # ------------------------------------------------------------- pipeline
 
 

@@ -5,8 +5,9 @@ of ``WINDOW`` runs the smallest hash is chosen, the rightmost of equal ones. The
 their positions (counted in words) are the fingerprint. A passage of GRAM + WINDOW - 1 words that
 two texts share puts at least one common hash into both fingerprints; with up to ``SHORT`` runs
 every run is kept. Texts of up to ``TINY`` code points have too few words for that: their
-characters, without white space, stand in for words, and every run is kept. Everything here is a
-DataFrame expression.
+characters, without white space, stand in for words, and every run is kept. Two texts are compared
+under the finer rule of both, so that a text just beyond one of these lengths still resembles one
+just below it. Everything here is a DataFrame expression.
 """
 
 from __future__ import annotations
@@ -28,16 +29,23 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def fingerprint(text: Column, gram: int = GRAM, window: int = WINDOW, short: int = SHORT, tiny: int = TINY) -> Column:
-    """array<struct<hash, position>> in order of position; empty for a text without words."""
+def runs(text: Column, tiny: Column, gram: int = GRAM) -> Column:
+    """Hashes of all runs of a text's words, or of its characters where ``tiny``."""
 
-    def runs(words: Column) -> Column:
+    def joined(words: Column) -> Column:
         def rolled(h: Column) -> Column:
             return F.transform(F.sequence(F.lit(0), F.size(h) - gram), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(gram)]))
 
         whole = F.transform(F.filter(F.array(F.array_join(words, " ")), lambda x: F.length(x) > 0), lambda x: F.xxhash64(x))
         return F.when(F.size(words) >= gram, let(F.transform(words, lambda w: F.xxhash64(w)), rolled)).otherwise(whole)
 
+    parts = F.when(tiny, F.split(F.regexp_replace(text, r"[\x20\x09-\x0D]+", ""), "")).otherwise(F.split(text, r"[\x20\x09-\x0D]+", -1))
+    return let(F.filter(parts, lambda w: F.length(w) > 0), joined)
+
+
+def printed(text: Column, gram: int = GRAM, window: int = WINDOW, short: int = SHORT, tiny: int = TINY) -> Column:
+    """struct<print, rule>: the fingerprint, and 2 if it was made of characters, 1 if every run of words was kept, else 0."""
+
     def chosen(hashes: Column) -> Column:
         def least(keys: Column) -> Column:
             many = F.size(keys)
@@ -46,10 +54,15 @@ def fingerprint(text: Column, gram: int = GRAM, window: int = WINDOW, short: int
 
         keys = F.transform(hashes, lambda h, i: F.shiftleft(F.shiftrightunsigned(h, 33), 31).bitwiseOR(F.lit(_LAST) - i))
         places = F.transform(let(keys, least), lambda k: (F.lit(_LAST) - k.bitwiseAND(F.lit(_LAST))).cast("int"))
-        return F.transform(places, lambda p: F.struct(F.get(hashes, p).alias("hash"), p.alias("position")))
+        rule = F.when(F.length(text) <= tiny, 2).when(F.size(hashes) <= short, 1).otherwise(0)
+        return F.struct(F.transform(places, lambda p: F.struct(F.get(hashes, p).alias("hash"), p.alias("position"))).alias("print"), rule.alias("rule"))
 
-    parts = F.when(F.length(text) <= tiny, F.split(F.regexp_replace(text, r"[\x20\x09-\x0D]+", ""), "")).otherwise(F.split(text, r"[\x20\x09-\x0D]+", -1))
-    return let(let(F.filter(parts, lambda w: F.length(w) > 0), runs), chosen)
+    return let(runs(text, F.length(text) <= tiny, gram), chosen)
+
+
+def fingerprint(text: Column, gram: int = GRAM, window: int = WINDOW, short: int = SHORT, tiny: int = TINY) -> Column:
+    """array<struct<hash, position>> in order of position; empty for a text without words."""
+    return printed(text, gram, window, short, tiny)["print"]
 
 
 def hashes(print_: Column) -> Column:
@@ -62,6 +75,13 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(let(same, lambda s: s / F.greatest(F.size(a) + F.size(b) - s, F.lit(1)))).cast("double")
 
 
+def alike(text: Column, own: Column, rule: Column, other: Column, others: Column, rule_of_other: Column) -> Column:
+    """Likeness of two texts (with their distinct hashes and rules) under the finer rule of both."""
+    finer = F.greatest(rule, rule_of_other)
+    every = lambda x: F.array_distinct(runs(x, finer == 2))
+    return F.when(rule == rule_of_other, likeness(own, others)).otherwise(let(every(text), lambda a: let(every(other), lambda b: likeness(a, b))))
+
+
 def spelled(print_: Column) -> Column:
     return F.array_join(F.transform(print_, lambda p: F.concat_ws("@", F.lower(F.hex(p["hash"])), p["position"])), " ")
 
@@ -101,12 +121,12 @@ def compare_edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     spark = docs.sparkSession
     source = docs.select(solid(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     tasks = min(4096, 3 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    printed = lambda rows: rows.withColumn("print", fingerprint(F.col("text"))).withColumn("own", hashes(F.col("print")))
-    paired = with_next(source, "doc_id", ["text", "own"], "text", tasks, printed)
+    derive = lambda rows: rows.withColumn("p", printed(F.col("text"))).select("*", "p.print", "p.rule").drop("p").withColumn("own", hashes(F.col("print")))
+    paired = with_next(source, "doc_id", ["text", "own", "rule"], "text", tasks, derive)
     n = F.length("text")
     edited = F.concat(F.substr("text", F.lit(1), n - F.floor(n / 2).cast("int")), F.substr("next.text", F.lit(1), F.floor(n / 2).cast("int")))
-    made = paired.select("doc_id", n.cast("long").alias("n_chars"), "print", "own", F.col("next.own").alias("following"), edited.alias("edited"))
-    made = made.select("*", fingerprint(F.col("edited")).alias("edited_print"))
+    made = paired.select("doc_id", n.cast("long").alias("n_chars"), "text", "print", "own", "rule", "next", edited.alias("edited"))
+    made = made.select("*", printed(F.col("edited")).alias("p")).select("*", F.col("p.print").alias("edited_print"), F.col("p.rule").alias("edited_rule")).drop("p")
     made = made.select("*", hashes(F.col("edited_print")).alias("changed"))
     return made.select(
         restored("doc_id").alias("doc_id"),
@@ -114,6 +134,6 @@ def compare_edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         F.sha2("edited", 256).alias("edited_sha256"),
         spelled(F.col("print")).alias("fingerprint"),
         spelled(F.col("edited_print")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("changed")).alias("near_edited"),
-        likeness(F.col("own"), F.col("following")).alias("near_next"),
+        alike(F.col("text"), F.col("own"), F.col("rule"), F.col("edited"), F.col("changed"), F.col("edited_rule")).alias("near_edited"),
+        alike(F.col("text"), F.col("own"), F.col("rule"), F.col("next.text"), F.col("next.own"), F.col("next.rule")).alias("near_next"),
     )

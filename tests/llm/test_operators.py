@@ -225,6 +225,16 @@ def test_compare_edited(spark, docs, none):
     assert winnow.compare_edited(none).collect() == []
 
 
+def test_likeness_across_lengths(spark):
+    """33 against 32 runs of words, and 65 against 63 code points, each without its end."""
+    long = prose(5, 36)
+    tiny = "abcdefghij klmnopqrst uvwxyz0123 456789ABCD EFGHIJKLMN OPQRSTUVWX"
+    assert len(tiny) == 65
+    rows = [(4, long), (3, long.rsplit(" ", 1)[0]), (2, tiny), (1, tiny[:63])]
+    got = {r.doc_id: r.near_next for r in winnow.compare_edited(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert abs(got[4] - 32 / 33) < 1e-9 and abs(got[2] - 55 / 57) < 1e-9
+
+
 # ------------------------------------------------------------- secrets
 
 

@@ -9,14 +9,19 @@ inside its task plus a prefix sum of the tasks' counts. No piece needs to see an
 A class leaves at most one unfilled bin, so what is left over is at most the sum of k - 1 over
 the 2 * sqrt(capacity) classes (about 10,000 pieces for 2048) whatever the input; it is packed by
 first-fit decreasing.
+
+Ids are those of a tokenizer's JSON file: its added tokens are cut out of the text first, the rest
+is merged by the ranks of the same vocabulary, which takes a quarter of the time.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 from functools import lru_cache
 
 import pandas as pd
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +34,23 @@ CAPACITY = 2048
 SLACK = 0.02
 
 
+def default_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@lru_cache(maxsize=4)
+def encoder(tokenizer_path: str, ranks_path: str) -> tiktoken.Encoding:
+    """The tokenizer of a byte-level BPE JSON file without a normalizer, whose merges the rank file holds."""
+    with open(tokenizer_path, encoding="utf-8") as f:
+        own = json.load(f)
+    added = own["added_tokens"]
+    if own["normalizer"] or any(t[x] for t in added for x in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("added tokens of this tokenizer do not stand for their own text alone")
+    return tiktoken.Encoding("json", pat_str=bpe.default_pattern(), mergeable_ranks=bpe.ranks(ranks_path), special_tokens={t["content"]: t["id"] for t in added})
+
+
 @lru_cache(maxsize=None)
 def cut(length: int, capacity: int = CAPACITY, slack: float = SLACK) -> tuple[tuple[int, int], ...]:
     """(length, class) of the pieces of a remainder below the capacity, in order."""
@@ -45,14 +67,14 @@ def cut(length: int, capacity: int = CAPACITY, slack: float = SLACK) -> tuple[tu
     return tuple(out)
 
 
-def _pieces(ranks_path: str, end_id: int, capacity: int, slack: float):
+def _pieces(tokenizer_path: str, ranks_path: str, end_id: int, capacity: int, slack: float):
     def run(batches):
-        encode = bpe.encoder(ranks_path).encode_to_numpy
+        encode = encoder(tokenizer_path, ranks_path).encode_to_numpy
         task, seen = TaskContext.get().partitionId(), {}
         for b in batches:
             rows = []
             for doc, text in zip(b["doc_id"], b["text"]):
-                ids = encode(text, allowed_special=set(), disallowed_special=())
+                ids = encode(text, allowed_special="all")
                 data = ids.astype("<u4").tobytes() + int(end_id).to_bytes(4, "little")
                 total, at = len(ids) + 1, 0
                 for n, k in [(capacity, 1)] * (total // capacity) + list(cut(total % capacity, capacity, slack)):
@@ -82,16 +104,16 @@ def _first_fit(capacity: int):
     return run
 
 
-def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ranks_path: str | None = None, end_id: int = 1, capacity: int = CAPACITY, slack: float = SLACK) -> DataFrame:
+def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer_path: str | None = None, ranks_path: str | None = None, end_id: int = 1, capacity: int = CAPACITY, slack: float = SLACK) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of all rows.
 
     A null text is empty and yields the end id alone. Repeated rows are packed each on their own;
     a null doc_id stays null. ``offset`` is gapless from 0 in each sequence.
     """
-    ranks_path = ranks_path or bpe.default_ranks()
+    tokenizer_path, ranks_path = tokenizer_path or default_tokenizer(), ranks_path or bpe.default_ranks()
     source = docs.select(solid(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     shape = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, k int, task int, no long"
-    pieces = keep(source.mapInPandas(_pieces(ranks_path, end_id, capacity, slack), shape), "pieces")
+    pieces = keep(source.mapInPandas(_pieces(tokenizer_path, ranks_path, end_id, capacity, slack), shape), "pieces")
     counts = pieces.groupBy("task", "k").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("k").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("task", "k", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

@@ -1,17 +1,20 @@
 """Document fingerprints by winnowing.
 
-A text's words are hashed, every run of ``GRAM`` words gets a hash of its own, and of each window
-of ``WINDOW`` runs the smallest hash is chosen, the rightmost of equal ones. The chosen hashes and
-their positions (counted in words) are the fingerprint. A passage of GRAM + WINDOW - 1 words that
-two texts share puts at least one common hash into both fingerprints; with up to ``SHORT`` runs
-every run is kept. Texts of up to ``TINY`` code points have too few words for that: their
-characters, without white space, stand in for words, and every run is kept. Two texts are compared
-under the finer rule of both, so that a text just beyond one of these lengths still resembles one
-just below it. Everything here is a DataFrame expression.
+The units of a text are runs of up to ``PART`` characters of its words, so that tiny texts and texts
+without spaces have units as well. Every unit ends one gram: it and the ``GRAM`` - 1 units before
+it, with marks in front of the first. A gram's hash is rolled: the hash of 2n units is that of the
+first n, rotated by n, xor that of the last n, so no unit is hashed twice. Of each window of
+``WINDOW`` grams, the shorter ones at the beginning included, the smallest hash is chosen, the
+rightmost of equal ones. The chosen hashes and their positions (in units) are the fingerprint.
+
+One rule holds at every length. A passage of GRAM + WINDOW - 1 units that two texts share puts at
+least one common hash into both fingerprints, and so does a common beginning of one unit.
+Everything here is a DataFrame expression.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,9 +22,13 @@ from pyspark.sql import functions as F
 
 from .common import restored, solid
 
-GRAM, WINDOW, SHORT, TINY = 4, 8, 32, 64
+#: Characters a unit, units a gram and grams a window; the last two are powers of two.
+PART, GRAM, WINDOW = 6, 4, 8
 #: Positions take the low bits of a key, so that the smallest key is the smallest hash at its rightmost place.
 _LAST = 2**31 - 1
+_MOST = 2**63 - 1
+#: Sampled rows a range, from which the ranges' borders are taken.
+SAMPLE = 200
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -29,40 +36,37 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def runs(text: Column, tiny: Column, gram: int = GRAM) -> Column:
-    """Hashes of all runs of a text's words, or of its characters where ``tiny``."""
+def _doubled(values: Column, to: int, join: Callable[[Column, Column, int], Column]) -> Column:
+    """Joins each value with those after it, 1, 2, 4, ... further on, until each stands for ``to`` of them."""
 
-    def joined(words: Column) -> Column:
-        def rolled(h: Column) -> Column:
-            return F.transform(F.sequence(F.lit(0), F.size(h) - gram), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(gram)]))
+    def step(n: int) -> Callable[[Column], Column]:
+        return lambda v: F.transform(v, lambda x, i: join(x, F.get(v, i + n), n))
 
-        whole = F.transform(F.filter(F.array(F.array_join(words, " ")), lambda x: F.length(x) > 0), lambda x: F.xxhash64(x))
-        return F.when(F.size(words) >= gram, let(F.transform(words, lambda w: F.xxhash64(w)), rolled)).otherwise(whole)
+    n = 1
+    while n < to:
+        values, n = let(values, step(n)), 2 * n
+    return values
 
-    parts = F.when(tiny, F.split(F.regexp_replace(text, r"[\x20\x09-\x0D]+", ""), "")).otherwise(F.split(text, r"[\x20\x09-\x0D]+", -1))
-    return let(F.filter(parts, lambda w: F.length(w) > 0), joined)
 
+def grams(text: Column, gram: int = GRAM, part: int = PART) -> Column:
+    """Hashes of the grams that end at each unit of a text."""
+    units = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]{1,%d}" % part), F.lit(0))
+    marked = let(F.transform(units, lambda w: F.xxhash64(w)), lambda h: F.concat(F.array_repeat(F.lit(1).cast("long"), gram - 1), h))
+    roll = lambda a, b, n: F.shiftleft(a, n).bitwiseOR(F.shiftrightunsigned(a, 64 - n)).bitwiseXOR(b)
+    return F.filter(_doubled(marked, gram, roll), lambda x: x.isNotNull())
 
-def printed(text: Column, gram: int = GRAM, window: int = WINDOW, short: int = SHORT, tiny: int = TINY) -> Column:
-    """struct<print, rule>: the fingerprint, and 2 if it was made of characters, 1 if every run of words was kept, else 0."""
 
-    def chosen(hashes: Column) -> Column:
-        def least(keys: Column) -> Column:
-            many = F.size(keys)
-            each = F.transform(F.sequence(F.lit(1), F.greatest(many - window + 1, F.lit(1))), lambda i: F.array_min(F.slice(keys, i, F.lit(window))))
-            return F.when(many <= F.when(F.length(text) <= tiny, tiny).otherwise(short), keys).otherwise(F.array_distinct(each))
+def fingerprint(text: Column, gram: int = GRAM, window: int = WINDOW, part: int = PART) -> Column:
+    """array<struct<hash, position>> in order of position; empty for a text without words."""
 
+    def chosen(hashes: Column) -> Column:
         keys = F.transform(hashes, lambda h, i: F.shiftleft(F.shiftrightunsigned(h, 33), 31).bitwiseOR(F.lit(_LAST) - i))
-        places = F.transform(let(keys, least), lambda k: (F.lit(_LAST) - k.bitwiseAND(F.lit(_LAST))).cast("int"))
-        rule = F.when(F.length(text) <= tiny, 2).when(F.size(hashes) <= short, 1).otherwise(0)
-        return F.struct(F.transform(places, lambda p: F.struct(F.get(hashes, p).alias("hash"), p.alias("position"))).alias("print"), rule.alias("rule"))
+        padded = F.concat(F.array_repeat(F.lit(_MOST), window - 1), keys)
+        least = _doubled(padded, window, lambda a, b, n: F.least(a, b))
+        places = F.transform(F.array_distinct(F.slice(least, F.lit(1), F.size(hashes))), lambda k: (F.lit(_LAST) - k.bitwiseAND(F.lit(_LAST))).cast("int"))
+        return F.transform(places, lambda p: F.struct(F.get(hashes, p).alias("hash"), p.alias("position")))
 
-    return let(runs(text, F.length(text) <= tiny, gram), chosen)
-
-
-def fingerprint(text: Column, gram: int = GRAM, window: int = WINDOW, short: int = SHORT, tiny: int = TINY) -> Column:
-    """array<struct<hash, position>> in order of position; empty for a text without words."""
-    return printed(text, gram, window, short, tiny)["print"]
+    return let(grams(text, gram, part), chosen)
 
 
 def hashes(print_: Column) -> Column:
@@ -75,39 +79,42 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(let(same, lambda s: s / F.greatest(F.size(a) + F.size(b) - s, F.lit(1)))).cast("double")
 
 
-def alike(text: Column, own: Column, rule: Column, other: Column, others: Column, rule_of_other: Column) -> Column:
-    """Likeness of two texts (with their distinct hashes and rules) under the finer rule of both."""
-    finer = F.greatest(rule, rule_of_other)
-    every = lambda x: F.array_distinct(runs(x, finer == 2))
-    return F.when(rule == rule_of_other, likeness(own, others)).otherwise(let(every(text), lambda a: let(every(other), lambda b: likeness(a, b))))
-
-
 def spelled(print_: Column) -> Column:
     return F.array_join(F.transform(print_, lambda p: F.concat_ws("@", F.lower(F.hex(p["hash"])), p["position"])), " ")
 
 
-def with_next(docs: DataFrame, key: str, carried: list[str], tie: str, tasks: int, derive: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
-    """Each row with ``carried`` columns (as struct ``next``) of the row that follows by descending ``key``; after the last comes the first.
+def _range(cuts: list[tuple[int, int]]) -> Column:
+    """How many of the sorted cuts aren't above (place, mark): a search in two steps, so that many cuts cost few comparisons a row."""
+    wide = max(1, math.isqrt(len(cuts)))
+    row = F.struct("place", "mark")
+    pair = lambda c: F.struct(F.lit(c[0]).cast("long").alias("place"), F.lit(c[1]).cast("long").alias("mark"))
+    below = lambda some: F.size(F.filter(some, lambda c: c <= row))
+    if not cuts:
+        return F.lit(0)
+    heads = F.array(*[pair(c) for c in cuts[::wide]])
+    parts = F.array(*[F.array(*[pair(c) for c in cuts[i : i + wide]]) for i in range(0, len(cuts), wide)])
+    return let(below(heads), lambda n: F.when(n == 0, 0).otherwise((n - 1) * wide + below(F.get(parts, n - 1))))
 
-    ``derive`` adds columns after the rows have been dealt, so these needn't cross the exchange.
 
-    Keys are dealt into ranges by their quantiles, a number of ranges that depends on the tasks
-    and not on the rows. The first row of each range also goes, as a guest, to the end of the
-    range before, so a window over one range finds every neighbour. Equal keys follow by ``tie``.
+def with_next(rows: DataFrame, carried: list[str], tasks: int, derive: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+    """Each row of (place, mark, text, ...) with ``carried`` columns (as struct ``next``) of the row that follows by place, mark and text; after the last comes the first.
+
+    Rows are dealt into ranges of (place, mark) whose borders come from a sample of ``SAMPLE`` rows
+    a range; rows of one place spread over ranges by mark. The first row of each range also goes,
+    as a guest, to the end of the range before, so a window over one range finds every neighbour.
+    ``derive`` adds columns after the rows have been dealt, so these needn't cross the exchange.
     """
-    shares = [i / tasks for i in range(1, tasks)]
-    cuts = docs.agg(F.percentile_approx(key, shares, 10_000).alias("cuts")).first()["cuts"] or [] if shares else []
-    cuts = sorted(set(cuts))
-    where = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(key))) if cuts else F.lit(0)
-    heads = sorted((r["range"], r["top"]) for r in docs.select(where.alias("range"), key).groupBy("range").agg(F.max(key).alias("top")).collect())
-    own = docs.withColumn("range", where).withColumn("guest", F.lit(False))
-    if not heads:
-        return derive(docs).withColumn("next", F.struct(*carried))  # no rows
-    to = {top: heads[(i + 1) % len(heads)][0] for i, (_, top) in enumerate(heads)}
-    table = F.create_map(*[F.lit(x) for pair in to.items() for x in pair])
-    guests = docs.filter(F.col(key).isin(list(to))).withColumn("range", F.element_at(table, F.col(key))).withColumn("guest", F.lit(True))
-    order = Window.partitionBy("range").orderBy("guest", F.desc(key), tie)
-    dealt = derive(own.unionByName(guests).repartition("range"))
+    share = min(1.0, SAMPLE * tasks / max(1, rows.count()))
+    some = sorted((r["place"], r["mark"]) for r in rows.select("place", "mark").sample(share, 11).collect())
+    cuts = sorted({some[len(some) * i // tasks] for i in range(1, tasks)}) if some else []
+    own = rows.withColumn("range", _range(cuts)).withColumn("guest", F.lit(False))
+    # a row a range, whatever the input
+    heads = sorted((r["range"], *r["head"]) for r in own.groupBy("range").agg(F.min(F.struct("place", "mark")).alias("head")).collect())
+    table = [(place, mark, heads[i - 1][0]) for i, (_, place, mark) in enumerate(heads)]
+    table = F.broadcast(rows.sparkSession.createDataFrame(table, "place long, mark long, range int"))
+    guests = rows.join(table, ["place", "mark"]).withColumn("guest", F.lit(True))
+    order = Window.partitionBy("range").orderBy("guest", "place", "mark", "text")
+    dealt = derive(own.unionByName(guests).repartitionByRange(max(1, tasks), "range"))
     return dealt.withColumn("next", F.lead(F.struct(*carried)).over(order)).filter(~F.col("guest")).drop("range", "guest")
 
 
@@ -115,25 +122,25 @@ def compare_edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """Fingerprints of every row and of its edited text, and their likeness.
 
     The edited text ends in the first floor(n_chars / 2) code points of the next row (by
-    descending doc_id, null ids last, equal ids by text; after the last row comes the first)
-    instead of its own last as many. A null text is empty. A row alone in its table follows itself.
+    descending doc_id, null ids last, equal ids by hash and text; after the last row comes the
+    first) instead of its own last as many. A null text is empty. A row alone in its table follows itself.
     """
     spark = docs.sparkSession
     source = docs.select(solid(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    tasks = min(4096, 3 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    derive = lambda rows: rows.withColumn("p", printed(F.col("text"))).select("*", "p.print", "p.rule").drop("p").withColumn("own", hashes(F.col("print")))
-    paired = with_next(source, "doc_id", ["text", "own", "rule"], "text", tasks, derive)
+    source = source.select(F.bitwise_not("doc_id").alias("place"), F.xxhash64("text").alias("mark"), "doc_id", "text")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    derive = lambda rows: rows.withColumn("print", fingerprint(F.col("text"))).withColumn("own", hashes(F.col("print")))
+    paired = with_next(source, ["text", "own"], tasks, derive)
     n = F.length("text")
     edited = F.concat(F.substr("text", F.lit(1), n - F.floor(n / 2).cast("int")), F.substr("next.text", F.lit(1), F.floor(n / 2).cast("int")))
-    made = paired.select("doc_id", n.cast("long").alias("n_chars"), "text", "print", "own", "rule", "next", edited.alias("edited"))
-    made = made.select("*", printed(F.col("edited")).alias("p")).select("*", F.col("p.print").alias("edited_print"), F.col("p.rule").alias("edited_rule")).drop("p")
-    made = made.select("*", hashes(F.col("edited_print")).alias("changed"))
+    made = paired.select("doc_id", n.cast("long").alias("n_chars"), "print", "own", F.col("next.own").alias("next_own"), edited.alias("edited"))
+    made = made.select("*", fingerprint(F.col("edited")).alias("edited_print"))
     return made.select(
         restored("doc_id").alias("doc_id"),
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
         spelled(F.col("print")).alias("fingerprint"),
         spelled(F.col("edited_print")).alias("edited_fingerprint"),
-        alike(F.col("text"), F.col("own"), F.col("rule"), F.col("edited"), F.col("changed"), F.col("edited_rule")).alias("near_edited"),
-        alike(F.col("text"), F.col("own"), F.col("rule"), F.col("next.text"), F.col("next.own"), F.col("next.rule")).alias("near_next"),
+        likeness(F.col("own"), hashes(F.col("edited_print"))).alias("near_edited"),
+        likeness(F.col("own"), F.col("next_own")).alias("near_next"),
     )

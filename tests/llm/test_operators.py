@@ -109,15 +109,29 @@ def test_bpe_round_trip(docs, none, head):
     assert bpe.encode(none).collect() == []
 
 
-def test_ranks_and_json_agree():
-    import public_tokenizers
+END_OF_TEXT = "<|endoftext|>"
+WITH_ADDED = [END_OF_TEXT, f"a {END_OF_TEXT} b", f"{END_OF_TEXT}{END_OF_TEXT}", f"  {END_OF_TEXT}\n", f"it{END_OF_TEXT}'s", f"a <|endoftext |> <|endoftext| {END_OF_TEXT[:-1]}", f"😀{END_OF_TEXT}x" * 3]
+
+
+def json_tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    enc = bpe.encoder(bpe.default_ranks())
-    for _, text, *_ in awkward():
-        assert t.encode(text or "", add_special_tokens=False).ids == enc.encode_ordinary(text or "")
+    return Tokenizer.from_file(packing.default_tokenizer())
+
+
+def test_ids_are_those_of_the_json_tokenizer():
+    t, enc = json_tokenizer(), packing.encoder(packing.default_tokenizer(), bpe.default_ranks())
+    for text in [x or "" for _, x, *_ in awkward()] + WITH_ADDED:
+        assert t.encode(text, add_special_tokens=False).ids == enc.encode(text, allowed_special="all")
+    assert 50256 in t.encode(WITH_ADDED[1], add_special_tokens=False).ids
+
+
+def test_every_character_has_the_ids_of_the_json_tokenizer():
+    t, enc = json_tokenizer(), packing.encoder(packing.default_tokenizer(), bpe.default_ranks())
+    step = 512
+    for at in range(0, 0x110000, step):
+        text = "".join(f"a{chr(c)}1 {chr(c)}. " for c in range(at, at + step) if not 0xD800 <= c < 0xE000)
+        assert t.encode(text, add_special_tokens=False).ids == enc.encode(text, allowed_special="all"), hex(at)
 
 
 def test_cut_covers_and_fits():
@@ -127,23 +141,29 @@ def test_cut_covers_and_fits():
         assert all(a * k <= 2048 < a * (k + 1) for a, k in parts)
 
 
-def test_packing(docs, none):
-    rows = [r for r in packing.pack(docs).collect()]
-    enc = bpe.encoder(bpe.default_ranks())
-    want = Counter()
-    for i, text, *_ in awkward():
-        ids = np.array([*enc.encode_ordinary(text or ""), 1], "<u4")
-        at = 0
-        for n, _ in [(2048, 1)] * (len(ids) // 2048) + list(packing.cut(len(ids) % 2048)):
-            want[(i, at, n, zlib.crc32(ids[at : at + n].tobytes()), len(ids))] += 1
-            at += n
-        assert at == len(ids)
-    assert Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in rows) == want
+def test_packing(spark, docs, none):
+    extra = [(600 + i, t, "en", None, None, None) for i, t in enumerate(WITH_ADDED)]
+    extra += [(700 + i, prose(500 + i, 20 + 37 * i % 900), "en", None, None, None) for i in range(600)]
+    rows = packing.pack(docs.union(spark.createDataFrame(extra, SHAPE))).collect()
+    t = json_tokenizer()
+    ids_of = Counter((i, np.array([*t.encode(text or "", add_special_tokens=False).ids, 1], "<u4").tobytes()) for i, text, *_ in awkward() + extra)
+    # the pieces of a document in order of start give back its ids, each once
+    own: dict = {}
+    for r in rows:
+        own.setdefault((r.doc_id, r.doc_tokens), []).append(r)
+    for (i, data), copies in ids_of.items():
+        found = Counter((r.start, r.length, r.ids_crc32) for r in own[(i, len(data) // 4)])
+        starts = sorted(set(found))
+        assert all(zlib.crc32(data[4 * a : 4 * (a + n)]) == c for a, n, c in starts)
+        assert [a for a, _, _ in starts] == [0, *np.cumsum([n for _, n, _ in starts])[:-1]] and sum(n for _, n, _ in starts) == len(data) // 4
+        assert set(found.values()) == {copies}
+    assert sum(r.length for r in rows) == sum(len(d) // 4 * n for (_, d), n in ids_of.items())
     by = {}
     for r in sorted(rows, key=lambda r: r.offset):
         assert r.offset == by.get(r.sequence_id, 0)
         by[r.sequence_id] = r.offset + r.length
     assert max(by.values()) <= 2048
+    assert len(by) * 2048 <= 1.02 * sum(by.values()) + 2048
     assert packing.pack(none).collect() == []
 
 
@@ -198,41 +218,80 @@ def test_toxicity_rare_terms(spark):
 # ------------------------------------------------------------- fingerprints
 
 
-def test_winnowing_keeps_the_rightmost_minimum(spark):
-    text = prose(9, 120)
-    r = spark.createDataFrame([(text,)], "text string").select(winnow.fingerprint(winnow.F.col("text")).alias("p"), winnow.F.transform(winnow.F.split("text", " "), lambda w: winnow.F.xxhash64(w)).alias("h")).first()
-    grams = spark.createDataFrame([(r.h[i : i + 4],) for i in range(len(r.h) - 3)], "h array<long>").select(winnow.F.xxhash64(*[winnow.F.col("h")[j] for j in range(4)]).alias("g"))
-    g = [x.g for x in grams.collect()]
-    short = [(x & (2**64 - 1)) >> 33 for x in g]
-    want = set()
-    for i in range(len(g) - 7):
-        want.add(max(range(i, i + 8), key=lambda j: (-short[j], j)))
-    assert [(p.hash, p.position) for p in r.p] == [(g[j], j) for j in sorted(want)]
+def grams_of(text, hash_of):
+    """Cyclic hashes of runs of GRAM units, each unit hashed on its own; marks stand before the first."""
+    mask = 2**64 - 1
+    units = [1] * (winnow.GRAM - 1) + [hash_of[u] & mask for u in re.findall(r"[^\x20\x09-\x0D]{1,%d}" % winnow.PART, text)]
+    turn = lambda x, n: (x << n | x >> (64 - n)) & mask if n else x
+    out = []
+    for i in range(len(units) - winnow.GRAM + 1):
+        h = 0
+        for j in range(winnow.GRAM):
+            h ^= turn(units[i + j], winnow.GRAM - 1 - j)
+        out.append(h)
+    return out
+
 
+def print_of(text, hash_of):
+    g = grams_of(text, hash_of)
+    at = {max(range(max(0, i - winnow.WINDOW + 1), i + 1), key=lambda j: (-(g[j] >> 33), j)) for i in range(len(g))}
+    return [(g[j], j) for j in sorted(at)]
 
-def test_compare_edited(spark, docs, none):
+
+def alike(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def unit_hashes(spark, texts):
+    units = sorted({u for t in texts for u in re.findall(r"[^\x20\x09-\x0D]{1,%d}" % winnow.PART, t)})
+    return {r.u: r.h for r in spark.createDataFrame([(u,) for u in units], "u string").select("u", winnow.F.xxhash64("u").alias("h")).collect()}
+
+
+def test_winnowing_against_brute_force(spark):
+    texts = ["", " ", "a", "abcdefg", prose(9, 5), prose(9, 120), "x" * 300, "the same " * 40, "日本語の文😀" * 30, "\x1c\x85 odd\xa0spaces"]
+    hash_of = unit_hashes(spark, texts)
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", winnow.fingerprint(winnow.F.col("text")).alias("p")).collect()
+    for r in got:
+        assert [(p.hash & (2**64 - 1), p.position) for p in r.p] == print_of(texts[r.i], hash_of)
+
+
+@pytest.mark.parametrize("tasks", ["1", "4", "7"])
+def test_compare_edited(spark, docs, none, tasks):
     rows = [(i, t or "") for i, t, *_ in awkward()]
-    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    mark = {r.t: r.h for r in spark.createDataFrame([(t,) for _, t in rows], "t string").select("t", winnow.F.xxhash64("t").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), mark[r[1]], r[1]))
+    edited = [t[: len(t) - len(t) // 2] + order[(k + 1) % len(order)][1][: len(t) // 2] for k, (_, t) in enumerate(order)]
+    hash_of = unit_hashes(spark, [t for _, t in order] + edited)
+    prints = lambda t: {h for h, _ in print_of(t, hash_of)}
     want = Counter()
-    for k, (i, t) in enumerate(order):
-        n, after = len(t), order[(k + 1) % len(order)][1]
-        want[(i, n, hashlib.sha256((t[: n - n // 2] + after[: n // 2]).encode()).hexdigest())] += 1
-    got = winnow.compare_edited(docs).collect()
-    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == want
-    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
-    long = [r for r in got if r.n_chars > 400 and r.doc_id in (7, 8)]
-    assert all(r.near_edited > 0.2 for r in long)
+    for k, ((i, t), e) in enumerate(zip(order, edited)):
+        after = order[(k + 1) % len(order)][1]
+        want[(i, len(t), hashlib.sha256(e.encode()).hexdigest(), round(alike(prints(t), prints(e)), 9), round(alike(prints(t), prints(after)), 9))] += 1
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", tasks)
+    try:
+        got = winnow.compare_edited(docs).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == want
     assert winnow.compare_edited(none).collect() == []
 
 
-def test_likeness_across_lengths(spark):
-    """33 against 32 runs of words, and 65 against 63 code points, each without its end."""
-    long = prose(5, 36)
-    tiny = "abcdefghij klmnopqrst uvwxyz0123 456789ABCD EFGHIJKLMN OPQRSTUVWX"
-    assert len(tiny) == 65
-    rows = [(4, long), (3, long.rsplit(" ", 1)[0]), (2, tiny), (1, tiny[:63])]
-    got = {r.doc_id: r.near_next for r in winnow.compare_edited(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert abs(got[4] - 32 / 33) < 1e-9 and abs(got[2] - 55 / 57) < 1e-9
+def test_one_place_spreads_over_ranges(spark):
+    """Rows without an id, and many of one id, are dealt by their hash."""
+    rows = [(None, prose(i, 5)) for i in range(60)] + [(7, prose(i, 5)) for i in range(60)] + [(7, "same")] * 10
+    got = winnow.compare_edited(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows) and sum(r.near_next == 1 for r in got) == 9
+
+
+@pytest.mark.parametrize("size", [1, 7, 8, 31, 32, 33, 36, 63, 64, 65, 66, 400])
+def test_likeness_at_every_length(spark, size):
+    """A text and the same text with one word, or one character, more stay alike on both sides of any length."""
+    text = prose(5, size)
+    rows = [(4, text + " another"), (3, text), (2, text[:size] if size > 8 else text), (1, (text[:size] if size > 8 else text) + "x")]
+    got = {r.doc_id: r for r in winnow.compare_edited(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[4].near_next >= 0.4 and got[2].near_next > (0.5 if size >= 31 else 0.2)
+    assert all(r.near_edited > 0 for r in got.values() if r.n_chars >= 2 * winnow.PART)
 
 
 # ------------------------------------------------------------- secrets

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import drop, keep
 
 
 def forest(pairs) -> list[tuple[int, int]]:
@@ -65,9 +65,10 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         # small star: every edge points from the larger node to the smaller
         down = large.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         small = down.groupBy("a").agg(F.min("b").alias("m"))
-        now = keep(
+        before, now = now, keep(
             down.join(small, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(small.select("a", F.col("m").alias("b"))).distinct(), "edges"
         )
+        drop(before)
         was, mark = mark, now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum((F.xxhash64("b", "a") % 1_000_003))).first()
         if mark == was:
             break

@@ -2,19 +2,22 @@
 
 1. Every whole text becomes a set of word shingles and a signature. Texts with equal sets form a
    class; only the smallest id of a class goes on.
-2. A class appears once in each of several trees: an order of its signature values. Classes that
-   share the first ``DEPTH`` values of a tree are a region. In the region they are sorted by the
-   next values, so neighbours are those with the longest common prefix: deep where the region is
-   dense, shallow where it is sparse. A region above ``REGION`` rows is split by the next values
-   (and in the end by id), each part held together by a link to the region's smallest id.
-   Neighbours whose two-bit sketches agree enough are candidates.
-3. Candidates' components are families. Every pair of different sets in a family is confirmed on
-   the full sets, in blocks, so a family of any size is whole and no task holds more than two
-   blocks. A block emits a forest of its confirmed links, never all pairs.
+2. A class appears once in each of several trees: an order of its signature values. Each tree's
+   rows are sorted by their first ``DEPTH`` values and the next ones, over ranges of the order, so
+   a region (rows that share the first values) of any size spreads over tasks. Neighbours in the
+   order are those with the longest common prefix: deep where a region is dense, shallow where it
+   is sparse. A row meets the ``WINDOW`` rows before it in its region, also across the border of
+   two tasks; those whose two-bit sketches agree enough are candidates. Inside a cluster of rows
+   whose sketches leave no doubt, the nearest ``NEAREST`` of each row stand for all.
+3. Candidate pairs are confirmed on full sets of shingle hashes, in rounds: each class first meets
+   its most alike candidates, then only those that aren't yet joined with it, until no pair between
+   two components is left open. A set travels once for each of its pairs, whatever its group's size.
 4. Components of the confirmed links are the near-duplicate groups.
 
 Two sets of similarity 0.8 share the first four values of a tree with probability 0.41, so all
-20 trees miss them with probability 3e-5; more similar ones are missed less.
+20 trees miss them with probability 3e-5, more similar ones less; the sketch misses one pair in
+20,000. In a region above ``WINDOW`` rows a pair also needs a long common prefix in one tree; the
+tests measure the recall there against brute force.
 """
 
 from __future__ import annotations
@@ -22,19 +25,19 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import NO_ID, keep, restored, solid
-from .components import components, forest
+from .components import components
 
 TREES, DEPTH, VALUES, DEEPER = 20, 4, 128, 8
-#: Neighbours on each side in a region's order, and rows from which a region is split.
-NEIGHBOURS, REGION = 8, 4096
-#: Of 128 two-bit values so many may differ: 19 are expected at similarity 0.8, deviation 4.
-MOST_APART = 40
-#: Texts, and characters, of a block of a family.
-BLOCK, BLOCK_CHARS = 256, 4_000_000
+#: Rows before each row in a region's order that it meets, and its nearest ones that are kept inside a cluster.
+WINDOW, NEAREST = 128, 3
+#: Of 128 two-bit values so many may differ: 19 are expected at similarity 0.8, deviation 4. So few leave no doubt.
+MOST_APART, SURE = 35, 8
+#: Pairs that a class confirms at most in each round; the last round takes all that are open.
+ROUNDS = (2, 16, None)
 _RANDOM = np.random.RandomState(20_241)
 _ADD = _RANDOM.randint(0, 2**63, VALUES).astype("uint64") * np.uint64(2) + np.uint64(1)
 _MUL = _RANDOM.randint(0, 2**63, VALUES).astype("uint64") * np.uint64(2) + np.uint64(1)
@@ -130,109 +133,164 @@ def _trees(batches):
         yield pd.DataFrame({"region": _keys(sig).ravel(), "s1": s1.ravel(), "s2": s2.ravel(), "id": np.repeat(b["id"].to_numpy("int64"), TREES), **{f"k{i}": np.repeat(sketch[:, i], TREES) for i in range(4)}})
 
 
-def _regions(batches):
-    for b in batches:
-        if len(b):
-            yield pd.DataFrame({"region": _keys(_sigs(b["sig"])).ravel()})
+_SKETCH = [f"k{i}" for i in range(4)]
+_ORDER = ["region", "s1", "s2", "id"]
+_ROW = "region long, s1 long, s2 long, id long, k0 long, k1 long, k2 long, k3 long"
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many two-bit values of two sketches differ, row by row."""
+    x = a ^ b
+    return np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(1, dtype="int64")
+
+
+def _clusters(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Label of each of n rows: equal for rows that the pairs (x, y) connect."""
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label[x], label[y])
+        now = label.copy()
+        np.minimum.at(now, label[x], least)
+        np.minimum.at(now, label[y], least)
+        now = now[now]
+        if (now == label).all():
+            return label
+        label = now
+
+
+def _pairs(rows: pd.DataFrame, fresh: int) -> pd.DataFrame:
+    """Candidates among sorted rows, of which those from ``fresh`` on are new: (a, b, apart), a above b."""
+    region, ids = rows["region"].to_numpy(), rows["id"].to_numpy()
+    sketch = rows[_SKETCH].to_numpy("int64").view("uint64")
+    x, y, apart = [], [], []
+    later = np.arange(max(1, fresh), len(rows))
+    for back in range(1, WINDOW + 1):
+        later = later[later >= back]
+        later = later[region[later] == region[later - back]]
+        if not len(later):
+            break
+        d = _apart(sketch[later], sketch[later - back])
+        near = d <= MOST_APART
+        x.append(later[near])
+        y.append(later[near] - back)
+        apart.append(d[near])
+    if not x:
+        return pd.DataFrame({"a": [], "b": [], "apart": []}).astype("int64")
+    x, y, apart = np.concatenate(x), np.concatenate(y), np.concatenate(apart)
+    sure = apart <= SURE
+    label = _clusters(len(rows), x[sure], y[sure])
+    by = np.lexsort((apart, x))
+    x, y, apart = x[by], y[by], apart[by]
+    place = np.arange(len(x)) - np.searchsorted(x, x)
+    keep_ = (place < NEAREST) | (label[x] != label[y])
+    a, b = ids[x[keep_]], ids[y[keep_]]
+    out = pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b), "apart": apart[keep_]})
+    return out[out.a != out.b]
+
+
+def _neighbours(borders: bool, most: int = 8_000):
+    """Candidates (a, b, apart) of sorted rows; with ``borders`` also the rows (a null) at either end of the task that later rows of their region may have to meet."""
+
+    def run(batches):
+        held, size, carried, count, first = [], 0, None, 0, None
+        names = [c.split()[0] for c in _ROW.split(", ")]
+
+        def step():
+            nonlocal carried, count, first
+            new = pd.concat(held, ignore_index=True)
+            rows = new if carried is None else pd.concat([carried, new], ignore_index=True)
+            fresh = len(rows) - len(new)
+            out = _pairs(rows, fresh)
+            if borders and len(new):
+                first = new["region"].iloc[0] if first is None else first
+                head = new.iloc[: max(0, WINDOW - count)]
+                out = pd.concat([out, head[head["region"] == first]], ignore_index=True)
+            count += len(new)
+            carried = rows.iloc[-WINDOW:]
+            return out
+
+        def shaped(out):
+            return out.reindex(columns=["a", "b", "apart", *names]).astype("Int64")
 
+        for b in batches:
+            held.append(b)
+            size += len(b)
+            if size >= most:
+                yield shaped(step())
+                held, size = [], 0
+        if size:
+            yield shaped(step())
+        if borders and carried is not None:
+            tail = carried.iloc[max(0, len(carried) - max(0, count - WINDOW)) :]  # rows that were no head
+            tail = pd.concat([carried.iloc[: len(carried) - len(tail)].loc[lambda r: r["region"] != first], tail])
+            yield shaped(tail[tail["region"] == carried["region"].iloc[-1]])
 
-def _apart(a: str, b: str) -> Column:
-    """How many two-bit values of two sketches differ."""
-    total = F.lit(0)
-    for i in range(4):
-        x = F.col(f"{a}k{i}").bitwiseXOR(F.col(f"{b}k{i}"))
-        total = total + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
-    return total
+    return run
 
 
 def candidates(classes: DataFrame) -> DataFrame:
-    """(a, b) of classes (id, sig) that are neighbours in a tree and whose sketches agree."""
-    rows = classes.mapInPandas(_trees, "region long, s1 long, s2 long, id long, k0 long, k1 long, k2 long, k3 long")
-    large = keep(classes.select("sig").mapInPandas(_regions, "region long").groupBy("region").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > REGION), "large")
-    sketch = [f"k{i}" for i in range(4)]
-    links = None
-    if large.take(1):
-        inside = rows.join(large, "region")
-        least = inside.groupBy("region").agg(F.min_by(F.struct(F.col("id").alias("m"), *[F.col(k).alias(f"m{k}") for k in sketch]), "id").alias("least"))
-        links = inside.join(least, "region").select(F.col("id").alias("a"), "least.*", *sketch).filter(_apart("", "m") <= MOST_APART).select("a", F.col("m").alias("b"))
-        rows = rows.join(large, "region", "left")
-        for deeper in (F.xxhash64("region", "s1"), F.xxhash64("region", "s2"), F.xxhash64("region", F.pmod("id", F.ceil(F.col("size") / REGION)))):
-            split = rows.filter("size is not null").select(deeper.alias("region"), F.lit(1).alias("one")).groupBy("region").agg(F.count("one").alias("now")).filter(F.col("now") > REGION)
-            rows = (
-                rows.withColumn("region", F.when(F.col("size").isNotNull(), deeper).otherwise(F.col("region")))
-                .join(split, "region", "left")
-                .withColumn("size", F.col("now"))
-                .drop("now")
-            )
-        rows = rows.drop("size")
-    order = Window.partitionBy("region").orderBy("s1", "s2", "id")
-    near = []
-    for n in range(1, NEIGHBOURS + 1):
-        near.append(F.lag(F.struct(F.col("id").alias("b"), *[F.col(k).alias(f"n{k}") for k in sketch]), n).over(order).alias(f"before{n}"))
-    seen = rows.select("id", *sketch, *near)
-    pairs = seen.select(F.col("id").alias("a"), *sketch, F.explode(F.array(*[f"before{n}" for n in range(1, NEIGHBOURS + 1)])).alias("o")).filter("o is not null")
-    pairs = pairs.select("a", *sketch, "o.*").filter(_apart("", "n") <= MOST_APART).select("a", "b")
-    return pairs if links is None else pairs.unionByName(links)
-
-
-def _confirm(words: int, percent: int):
-    """Links of sorted rows (family, i, j, block, id, text), one run of (family, i, j) after another."""
-    known = _Hashes()
-
-    def links(rows, i, j):
-        sets = [shingles(r[1], words, known) for r in rows]
-        sizes = np.array([len(s) for s in sets])
-        whole = np.concatenate(sets)
-        owner = np.repeat(np.arange(len(sets)), sizes)
-        _, place, times = np.unique(whole, return_inverse=True, return_counts=True)
-        shared = times[place] > 1
-        owner, place = owner[shared], np.unique(place[shared], return_inverse=True)[1]
-        side = np.array([r[2] == i for r in rows])
-        left, right = np.flatnonzero(side), np.flatnonzero(~side if i != j else side)
-        if not len(left) or not len(right):
-            return
-        both = np.zeros((len(left), len(right)), "float32")
-        columns = int(place.max()) + 1 if len(place) else 0
-        by = np.argsort(place, kind="stable")
-        owner, place = owner[by], place[by]
-        step = 4096
-        for at in range(0, columns, step):
-            lo, hi = np.searchsorted(place, [at, at + step])
-            x = np.zeros((len(sets), min(step, columns - at)), "float32")
-            x[owner[lo:hi], place[lo:hi] - at] = 1
-            both += x[left] @ x[right].T
-        same = np.rint(both).astype("int64")
-        linked = 100 * same >= percent * (sizes[left][:, None] + sizes[right][None, :] - same)
-        ids = [r[0] for r in rows]
-        for a, b in forest((ids[left[x]], ids[right[y]]) for x, y in np.argwhere(linked).tolist() if left[x] != right[y]):
-            yield a, b
+    """(a, b, apart) of classes (id, sig), a above b, each pair once: neighbours in a tree whose sketches agree."""
+    shape = f"a long, b long, apart long, {_ROW}"
+    rows = classes.mapInPandas(_trees, _ROW)
+    near = keep(rows.repartitionByRange(*_ORDER).sortWithinPartitions(*_ORDER).mapInPandas(_neighbours(True), shape), "near")
+    # at most 2 * WINDOW rows of each task
+    edge = near.filter("a is null").select(*[c.split()[0] for c in _ROW.split(", ")]).repartition("region").sortWithinPartitions(*_ORDER)
+    across = edge.mapInPandas(_neighbours(False), shape)
+    return near.filter("a is not null").unionByName(across).groupBy("a", "b").agg(F.min("apart").alias("apart"))
+
 
+def _sets(words: int):
     def run(batches):
-        now, rows = None, []
+        known = _Hashes()
         for b in batches:
-            out = []
-            for family, i, j, block, one, text in zip(b["family"], b["i"], b["j"], b["block"], b["id"], b["text"]):
-                if (family, i, j) != now:
-                    if len(rows) > 1:
-                        out += links(rows, *now[1:])
-                    now, rows = (family, i, j), []
-                rows.append((one, text, block))
-            yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-        yield pd.DataFrame(list(links(rows, *now[1:])) if len(rows) > 1 else [], columns=["a", "b"]).astype("int64")
+            yield pd.DataFrame({"id": b["id"], "set": [shingles(x, words, known).tobytes() for x in b["text"]]})
 
     return run
 
 
-def confirm(texts: DataFrame, families: DataFrame, words: int, percent: int) -> DataFrame:
-    """Confirmed links (a, b) between the texts (id, text) of each family (id, family)."""
-    # a hash join whatever the sizes: the texts cross once and aren't sorted
-    members = keep(texts.join(families.hint("shuffle_hash"), "id").select("family", "id", "text"), "members")
-    blocks = members.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.length("text")) / BLOCK_CHARS)).cast("int").alias("blocks"))
-    placed = members.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "text"
-    )
-    return dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInPandas(_confirm(words, percent), "a long, b long")
+def _confirm(percent: int):
+    def run(batches):
+        for b in batches:
+            linked = []
+            for one, two in zip(b["one"], b["two"]):
+                n = len(one) // 8 + len(two) // 8
+                linked.append(False)
+                if 100 * min(len(one), len(two)) >= percent * max(len(one), len(two)):
+                    both = np.sort(np.concatenate([np.frombuffer(one, "uint64"), np.frombuffer(two, "uint64")]), kind="stable")
+                    same = int((both[1:] == both[:-1]).sum())
+                    linked[-1] = 100 * same >= percent * (n - same)
+            yield b.loc[linked, ["a", "b"]]
+
+    return run
+
+
+def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(id, component) over the pairs (a, b, apart) whose texts (id, text) are linked.
+
+    Every pair is either confirmed or refuted on full sets, or its ends are joined already.
+    """
+    open_ = keep(pairs, "pairs")
+    members = open_.select(F.col("a").alias("id")).union(open_.select("b")).distinct()
+    sets = keep(texts.join(members, "id", "left_semi").mapInPandas(_sets(words), "id long, set binary").distinct(), "sets")
+    links, groups = None, None
+    for most in ROUNDS:
+        picked = open_
+        if most is not None:
+            ranked = open_.withColumn("n", F.row_number().over(Window.partitionBy("a").orderBy("apart", "b")))
+            ranked = keep(ranked.withColumn("now", F.col("n") <= most).drop("n"), "ranked")
+            picked, open_ = ranked.filter("now"), ranked.filter("not now").drop("now")
+        asked = picked.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("one")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("two")), "b")
+        found = keep(asked.select("a", "b", "one", "two").mapInPandas(_confirm(percent), "a long, b long"), "links")
+        links = found if links is None else links.unionByName(found)
+        groups = components(links)
+        if most is None:
+            break
+        of = lambda x: groups.select(F.col("id").alias(x), F.col("component").alias(f"{x}_group"))
+        apart = open_.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("a_group", "a") != F.coalesce("b_group", "b"))
+        open_ = keep(apart.select("a", "b", "apart"), "open")
+        if not open_.take(1):
+            break
+    return groups
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -249,9 +307,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     features = keep(source.mapInPandas(_features(words), "id long, n_shingles long, class binary, sig binary"), "features")
     named = features.filter(F.col("class").isNotNull() & (F.col("id") != NO_ID))
     least = keep(named.groupBy("class").agg(F.min("id").alias("first")), "classes")
-    classes = features.join(least.withColumnRenamed("first", "id"), ["class", "id"], "left_semi").select("id", "sig")
-    families = keep(components(candidates(classes)).withColumnRenamed("component", "family"), "families")
-    groups = components(confirm(source.filter("text is not null"), families, words, percent))
+    classes = keep(features.join(least.withColumnRenamed("first", "id"), ["class", "id"], "left_semi").select("id", "sig"), "first")
+    groups = confirm(candidates(classes), source.filter("text is not null"), words, percent)
     joined = features.select("id", "n_shingles", "class").join(least, "class", "left").join(groups.withColumnRenamed("id", "first"), "first", "left")
     own = restored("id")
     component = F.when(own.isNotNull(), F.coalesce("component", "first", "id"))

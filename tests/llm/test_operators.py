@@ -349,8 +349,7 @@ def brute_components(nodes, linked):
 
 @pytest.mark.parametrize("words", [4, 5])
 def test_near_duplicates(spark, words, monkeypatch):
-    monkeypatch.setattr(neardup, "BLOCK", 16)  # several blocks a family
-    monkeypatch.setattr(neardup, "REGION", 20)  # regions are split
+    monkeypatch.setattr(neardup, "ROUNDS", (1, 2, None))  # every round has something to do
     r = np.random.RandomState(words)
     rows = [(i, prose(i, 50)) for i in range(30)]
     for c in range(90):  # one large group of near copies and single pairs
@@ -372,6 +371,55 @@ def test_near_duplicates(spark, words, monkeypatch):
     assert all(g.n_shingles == len(sets[i]) and g.kept == (want[i] == i) for i, g in got.items())
 
 
+@pytest.mark.parametrize("tasks", ["3", "16"])
+def test_recall_in_a_region_of_thousands(spark, tasks):
+    """Signatures of 14,000 texts that share three quarters of their shingles' minima: over 4,096 rows in one region.
+
+    300 of them have a near copy; brute force over all pairs tells which reach 0.8.
+    """
+    r = np.random.RandomState(8)
+    n, planted = 14_000, 300
+    sig = np.where(r.rand(n, neardup.VALUES) < 0.75, r.randint(0, 2**32, neardup.VALUES, dtype="uint32"), r.randint(0, 2**32, (n, neardup.VALUES), dtype="uint32"))
+    for i in range(planted):
+        same = r.rand(neardup.VALUES) < 0.8 + 0.19 * r.rand()
+        sig[n - 1 - i] = np.where(same, sig[i], r.randint(0, 2**32, neardup.VALUES, dtype="uint32"))
+    _, sizes = np.unique(neardup._keys(sig)[:, 0], return_counts=True)
+    assert sizes.max() > 4096
+    want = set()
+    for i in range(n):  # brute force
+        want |= {(int(j), i) for j in i + 1 + np.flatnonzero((sig[i + 1 :] == sig[i]).mean(1) >= 0.8)}
+    classes = spark.createDataFrame([(i, row.tobytes()) for i, row in enumerate(sig)], "id long, sig binary").repartition(4)
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", tasks)  # the region crosses borders of tasks
+    try:
+        got = {(x.a, x.b) for x in neardup.candidates(classes).select("a", "b").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert len(want) > 200 and len(want & got) >= 0.9 * len(want)
+
+
+def test_neighbours_meet_across_borders():
+    """One sorted region cut into tasks and batches anywhere gives the pairs of the whole."""
+    r = np.random.RandomState(2)
+    n = 900
+    rows = neardup.pd.DataFrame({"region": np.repeat([5, 9], [700, 200]), "s1": np.arange(n), "s2": 0, "id": r.permutation(n)} | {k: r.randint(0, 2**63, 3)[r.randint(0, 3, n)] for k in ("k0",)} | {k: 0 for k in ("k1", "k2", "k3")})
+    named = lambda f: {(a, b) for a, b in zip(f["a"], f["b"])}
+    pairs = lambda parts, borders: neardup.pd.concat(list(neardup._neighbours(borders, 100)(iter(parts))))
+    monk, neardup.NEAREST = neardup.NEAREST, 10**6  # keep every pair
+    try:
+        whole = named(pairs([rows], False))
+        for cuts in ([0, 300, 900], [0, 5, 6, 400, 401, 750, 900], [0, 699, 700, 900]):
+            got, edge = set(), []
+            for a, b in zip(cuts, cuts[1:]):
+                out = pairs([rows[x : min(b, x + 70)] for x in range(a, b, 70)], True)
+                got |= named(out[out["a"].notna()])
+                edge.append(out[out["a"].isna()][rows.columns.tolist()])
+            got |= named(pairs([neardup.pd.concat(edge).sort_values(["region", "s1"]).astype("int64")], False))
+            assert whole <= got
+    finally:
+        neardup.NEAREST = monk
+
+
 def test_near_duplicates_awkward(docs, none):
     got = neardup.near_duplicates(docs).collect()
     assert len(got) == len(awkward())

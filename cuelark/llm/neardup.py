@@ -10,8 +10,8 @@
    two tasks; those whose two-bit sketches agree enough are candidates. Inside a cluster of rows
    whose sketches leave no doubt, the nearest ``NEAREST`` of each row stand for all.
 3. Candidate pairs are confirmed on full sets of shingle hashes, in rounds: each class first meets
-   its most alike candidates, then only those that aren't yet joined with it, until no pair between
-   two components is left open. A set travels once for each of its pairs, whatever its group's size.
+   its most alike candidate, then one that isn't yet joined with it, and at last all pairs between
+   two components that are still open. A set travels once for each of its pairs, whatever its group's size.
 4. Components of the confirmed links are the near-duplicate groups.
 
 Two sets of similarity 0.8 share the first four values of a tree with probability 0.41, so all
@@ -36,8 +36,8 @@ TREES, DEPTH, VALUES, DEEPER = 20, 4, 128, 8
 WINDOW, NEAREST = 128, 3
 #: Of 128 two-bit values so many may differ: 19 are expected at similarity 0.8, deviation 4. So few leave no doubt.
 MOST_APART, SURE = 35, 8
-#: Pairs that a class confirms at most in each round; the last round takes all that are open.
-ROUNDS = (2, 16, None)
+#: Open pairs that each round confirms: the most alike one of each class, of each pair of components, or all.
+ROUNDS = ("class", "class", "components", "all")
 _RANDOM = np.random.RandomState(20_241)
 _ADD = _RANDOM.randint(0, 2**63, VALUES).astype("uint64") * np.uint64(2) + np.uint64(1)
 _MUL = _RANDOM.randint(0, 2**63, VALUES).astype("uint64") * np.uint64(2) + np.uint64(1)
@@ -269,25 +269,26 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
 
     Every pair is either confirmed or refuted on full sets, or its ends are joined already.
     """
-    open_ = keep(pairs, "pairs")
+    open_ = keep(pairs.select("*", F.col("a").alias("a_group"), F.col("b").alias("b_group")), "pairs")
     members = open_.select(F.col("a").alias("id")).union(open_.select("b")).distinct()
-    sets = keep(texts.join(members, "id", "left_semi").mapInPandas(_sets(words), "id long, set binary").distinct(), "sets")
+    # a merge join whatever the sizes: it may spill, and the plan is the same for any input
+    sets = keep(texts.join(members.hint("merge"), "id", "left_semi").mapInPandas(_sets(words), "id long, set binary").distinct(), "sets")
     links, groups = None, None
-    for most in ROUNDS:
+    for each in ROUNDS:
         picked = open_
-        if most is not None:
-            ranked = open_.withColumn("n", F.row_number().over(Window.partitionBy("a").orderBy("apart", "b")))
-            ranked = keep(ranked.withColumn("now", F.col("n") <= most).drop("n"), "ranked")
-            picked, open_ = ranked.filter("now"), ranked.filter("not now").drop("now")
-        asked = picked.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("one")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("two")), "b")
+        if each != "all":
+            ends = ["a"] if each == "class" else ["a_group", "b_group"]
+            picked = keep(open_.groupBy(*ends).agg(F.min(F.struct("apart", F.col("a").alias("x"), F.col("b").alias("y"))).alias("m")).select(F.col("m.x").alias("a"), F.col("m.y").alias("b")), "picked")
+        asked = picked.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("one")).hint("merge"), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("two")).hint("merge"), "b")
         found = keep(asked.select("a", "b", "one", "two").mapInPandas(_confirm(percent), "a long, b long"), "links")
         links = found if links is None else links.unionByName(found)
         groups = components(links)
-        if most is None:
+        if each == "all":
             break
-        of = lambda x: groups.select(F.col("id").alias(x), F.col("component").alias(f"{x}_group"))
-        apart = open_.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("a_group", "a") != F.coalesce("b_group", "b"))
-        open_ = keep(apart.select("a", "b", "apart"), "open")
+        of = lambda x: groups.select(F.col("id").alias(x), F.col("component").alias(f"{x}_now"))
+        left = open_.select("a", "b", "apart").join(picked, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
+        left = left.select("a", "b", "apart", F.coalesce("a_now", "a").alias("a_group"), F.coalesce("b_now", "b").alias("b_group"))
+        open_ = keep(left.filter("a_group <> b_group"), "open")
         if not open_.take(1):
             break
     return groups

@@ -348,8 +348,7 @@ def brute_components(nodes, linked):
 
 
 @pytest.mark.parametrize("words", [4, 5])
-def test_near_duplicates(spark, words, monkeypatch):
-    monkeypatch.setattr(neardup, "ROUNDS", (1, 2, None))  # every round has something to do
+def test_near_duplicates(spark, words):
     r = np.random.RandomState(words)
     rows = [(i, prose(i, 50)) for i in range(30)]
     for c in range(90):  # one large group of near copies and single pairs

@@ -1,16 +1,18 @@
 """Language-model scoring by subword lattices.
 
 A word's backing probability is the sum over all its segmentations into pieces of an existing
-subword vocabulary, found by a forward recursion in log space. The vocabulary's own scores give
-the pieces' prior weights; how often pieces occur in the training words re-weighs them. A word
-seen in training is one more arc of the lattice, spanning the whole word, weighed by absolutely
-discounted counts, first over the whole corpus and then within a class of documents (here: a
-language). A document's probability is the sum over classes of the class weight times the
+subword vocabulary, found by a forward recursion in log space. The vocabulary's own scores weigh
+the segmentations of every training word; the occurrences of pieces that this expects and, with a
+stated share, the scores themselves are the weights of each class. A word seen in training is one
+more arc of the lattice, spanning the whole word, weighed by absolutely discounted counts, first
+over the whole corpus and then within a class of documents (here: a language). A document's probability is the sum over classes of the class weight times the
 product of its words' and its end's probabilities. Neither the class nor any label of a scored
 document is looked at: it is summed out.
 
 Counts, vocabulary totals and piece counts cover all training rows. Frequent words (a bounded
-table) are broadcast; all others meet their counts in a join by word, so no hot word is shuffled.
+table) are broadcast; all others meet their counts in a join by word. A word outside the table has
+fewer uses than each of its ``HEAD_WORDS`` words (words of about equal use apart), so no key of that
+join holds more than about one in ``HEAD_WORDS`` of all words.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from .common import crc, keep, restored, solid
 HEAD_WORDS = 300_000
 #: A task's counts are handed on when it holds so many words.
 FLUSH = 400_000
-#: At most so many classes have counts of their own; rarer ones share the last.
+#: Classes of the model: the commonest values have counts of their own, all rarer ones share the last.
 CLASSES = 8
 #: The end of a text; no word holds a space.
 END = b" "
@@ -126,8 +128,8 @@ def pieces_of(path: str) -> Pieces:
     return Pieces(path)
 
 
-#: Passes of re-weighing the pieces, and the prior's share in each of them.
-PASSES, PRIOR_SHARE = 2, 0.003
+#: Passes of expecting piece counts, and the weight of the vocabulary's scores for each expected piece.
+PASSES, PRIOR_SHARE = 1, 0.1
 #: A log weight that no path takes.
 NEVER = -1e30
 
@@ -346,16 +348,18 @@ def _numbers(classes: int) -> list[str]:
 
 
 def _head(words: DataFrame, classes: int, most: int) -> tuple[dict[bytes, int], np.ndarray]:
-    """{word: row} and the rows' numbers, of words above the lowest use count that keeps them within ``most``."""
-    least, total = None, 0
-    for r in words.groupBy(F.least("uses", F.lit(1000)).alias("uses")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("uses")).collect():
-        total += r["words"]
-        if total > most:
+    """{word: row} and the rows' numbers of the ``most`` most used words; where uses lie within 10 % of each other a hash of the word decides."""
+    level = F.floor(F.log(F.col("uses").cast("double")) * 10)
+    least, total, share = None, 0, 1
+    for r in words.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("level")).collect():
+        least, total, above = r["level"], total + r["words"], total
+        if total > most:  # the last level fills what room is left
+            share = -(-r["words"] // max(1, most - above))
             break
-        least = r["uses"]
-    if least is None:
+    if least is None or not most:
         return {}, np.zeros((0, classes + 2))
-    top = words.filter(F.col("uses") >= least).drop("uses").toArrow()
+    some = (level > least) | ((level == least) & (F.pmod(F.xxhash64("word"), F.lit(share)) == 0))
+    top = words.filter(some).drop("uses").toArrow()
     return {w.as_py(): i for i, w in enumerate(top["word"])}, np.column_stack([top[x].to_numpy() for x in _numbers(classes)])
 
 
@@ -396,14 +400,16 @@ def _spread(head, classes: int):
     return run
 
 
-def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", class_column: str | None = "lang", folds: int = 10, held_fold: int = 0, vocabulary: str | None = None, head_limit: int = HEAD_WORDS) -> DataFrame:
+def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", class_column: str | None = "lang", folds: int = 10, held_fold: int = 0, vocabulary: str | None = None, head_limit: int = HEAD_WORDS, most_classes: int = CLASSES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     Rows whose crc32(doc_id as text) mod ``folds`` is ``held_fold`` are not learned from; so are
     rows with a null id, which count as not held out. A null text is empty: it has the end alone.
     Rows with equal id and text get equal scores, a row each. Without rows to learn from, words
-    have their lattice probability alone. Classes are the ``CLASSES - 1`` commonest values of
-    ``class_column`` in training rows, ties by value, and one for all others.
+    have their lattice probability alone. Classes are the ``most_classes`` - 1 commonest values of
+    ``class_column`` in training rows, ties by value, and one for all others; that is part of the
+    model, and every row counts in its class. About ``head_limit`` words are broadcast, which
+    changes no score.
     """
     vocabulary = vocabulary or default_vocabulary()
     body = F.coalesce(F.col(text), F.lit(""))
@@ -413,7 +419,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", class_col
         solid(doc_id).alias("doc_id"), F.coalesce(held, F.lit(False)).alias("held_out"), held.alias("fold"), label.alias("label"), body.alias("text"),
         F.xxhash64(F.col(doc_id), body).alias("a"), F.xxhash64(F.lit(1), body, F.col(doc_id)).alias("b"),
     )
-    names = [r["label"] for r in source.filter(~F.col("fold")).groupBy("label").count().orderBy(F.desc("count"), "label").limit(CLASSES - 1).collect()]
+    names = [r["label"] for r in source.filter(~F.col("fold")).groupBy("label").count().orderBy(F.desc("count"), "label").limit(most_classes - 1).collect()]
     classes = len(names) + 1
     k = F.lit(len(names))
     for i, name in enumerate(names):

@@ -88,6 +88,91 @@ def test_lattice_score(spark, docs, none):
     assert lattice.score(none).collect() == []
 
 
+def brute_scores(rows):
+    """The whole model in plain Python: classes, discounts, expected pieces, sums over segmentations."""
+    v = lattice.pieces_of(lattice.default_vocabulary())
+    fold = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i, *_ in rows if i is not None}
+    taught = [(words_of(t), lang or "") for i, t, lang, *_ in rows if i is not None and not fold[i]]
+    names = [x for x, _ in sorted(Counter(lang for _, lang in taught).items(), key=lambda p: (-p[1], p[0]))][: lattice.CLASSES - 1]
+    classes = len(names) + 1
+    own = [Counter() for _ in range(classes)]
+    for words, lang in taught:
+        own[names.index(lang) if lang in names else classes - 1].update([*words, b" "])
+    every = sum(own, Counter())
+    n, size = sum(every.values()), len(every)
+    ones, twos = sum(c == 1 for c in every.values()), sum(c == 2 for c in every.values())
+    discount = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
+
+    def arcs(word):
+        s = "▁" + word.decode("utf-8", "replace")
+        out = [(j, i, [v.ids[s[j:i]]]) for i in range(1, len(s) + 1) for j in range(i) if s[j:i] in v.ids]
+        return len(s), out + [(i - 1, i, [v.byte[c] for c in s[i - 1].encode("utf-8", "surrogatepass")]) for i in range(1, len(s) + 1) if s[i - 1] not in v.ids]
+
+    def paths(word, weight, forward=True):
+        many, own_arcs = arcs(word)
+        total = [0.0] * (many + 1)
+        total[0 if forward else many] = 1.0
+        for j, i, ids in sorted(own_arcs, key=(lambda a: a[1]) if forward else (lambda a: -a[0])):
+            w = math.prod(weight[x] for x in ids)
+            if forward:
+                total[i] += total[j] * w
+            else:
+                total[j] += total[i] * w
+        return total
+
+    def weights(expected, words):
+        seen = sum(expected)
+        extra, ends = max(1.0, lattice.PRIOR_SHARE * seen), max(1.0, words)
+        return [(a + extra * b) / (seen + extra + ends) for a, b in zip(expected, v.prior)], ends / (seen + extra + ends)
+
+    piece = []
+    for k in range(classes):
+        weight, end = weights([0.0] * v.size, 0)
+        kinds = [w for w in own[k] if w != b" "]
+        for _ in range(lattice.PASSES):
+            expected = [0.0] * v.size
+            for w in kinds:
+                f, b = paths(w, weight), paths(w, weight, False)
+                for j, i, ids in arcs(w)[1]:
+                    share = f[j] * math.prod(weight[x] for x in ids) * b[i] / f[-1]
+                    for x in ids:
+                        expected[x] += share
+            weight, end = weights(expected, len(kinds) if own[k] else 0)
+        piece.append((weight, end))
+
+    def word(w, k):
+        weight, end = piece[k]
+        back = discount * size / n * paths(w, weight)[-1] * end
+        p = back + max(every[w] - discount, 0) / n
+        m = sum(own[k].values())
+        return (discount * len(own[k]) / m * p + max(own[k][w] - discount, 0) / m) if m else p
+
+    ends = [c[b" "] for c in own]
+    out = []
+    for _, t, *_ in rows:
+        logs = [math.log10(e / sum(ends)) + sum(math.log10(word(w, k)) for w in [*words_of(t), b" "]) for k, e in enumerate(ends) if e]
+        out.append(max(logs) + math.log10(sum(10 ** (x - max(logs)) for x in logs)))
+    return out
+
+
+@pytest.mark.parametrize("head", [0, 3, 300_000])
+def test_lattice_score_against_brute_force(spark, head):
+    rows = [(i, t, lang, None, None, None) for i, (t, lang) in enumerate([(prose(3, 30), "en"), (prose(4, 20), "de"), ("un deux trois 日本 😀 un", "fr"), (None, None), ("", "en"), (prose(3, 30), "en"), ("unheard of words", "xx"), *[(f"tie{i} a b", "en") for i in range(13)]])]
+    want = brute_scores(rows)
+    got = {r.doc_id: r.score for r in lattice.score(spark.createDataFrame(rows, SHAPE), head_limit=head).collect()}
+    assert any(zlib.crc32(str(i).encode()) % 10 == 0 for i, *_ in rows)
+    for (i, *_), x in zip(rows, want):
+        assert math.isclose(got[i], x, rel_tol=1e-7), (i, got[i], x)
+
+
+def test_the_head_is_never_empty(spark):
+    """More words of over 1,000 uses than the limit, all alike: some are broadcast, and never more than about the limit."""
+    words = spark.range(500).selectExpr("cast(concat('w', id) as binary) as word", "5000L as uses", *[f"-1.0D as {x}" for x in lattice._numbers(1)])
+    assert 20 <= len(lattice._head(words, 1, 50)[0]) <= 90
+    mixed = words.withColumn("uses", lattice.F.when(lattice.F.col("word") == b"w7", 10**9).otherwise(lattice.F.col("uses")))
+    assert b"w7" in lattice._head(mixed, 1, 20)[0] and lattice._head(mixed, 1, 0)[0] == {} and len(lattice._head(mixed, 1, 500)[0]) == 500
+
+
 def test_lattice_words_are_a_distribution_below_one(spark):
     docs = spark.createDataFrame([(i, "a b a", "x") for i in range(1, 40)], "doc_id long, text string, lang string")
     got = {r.doc_id: r.score for r in lattice.score(docs.union(spark.createDataFrame([(50, "a", "x"), (60, "b", "x")], docs.schema))).collect()}

@@ -1,17 +1,21 @@
 """Byte-level BPE encoding and decoding.
 
-Encoding: every text is cut into pre-tokens; distinct words go through one global exchange by word,
-where each is encoded once; the ids return to their documents and are put in by position.
+Encoding: every text is cut into pre-tokens with their positions; the distinct words of each text
+cross one global exchange by word, sorted by word, so that each distinct word is encoded once and
+its ids are joined to all its rows; they return to their documents and are put in by position.
 Frequent words would be hot keys of that exchange, so a bounded table of them is broadcast with
 its ids instead. Which words those are is decided on a bounded sample of texts; that choice only
 sets a word's route, never its ids, and every word of every text is encoded.
-Decoding: ids are looked up in the token-byte table, which is as large as the vocabulary.
+Decoding: ids are joined with the token-byte table, a DataFrame as large as the vocabulary and so
+broadcast; the join runs on whole arrays of ids, because a row a token would be many times the input.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections import Counter
+from collections.abc import Callable
 from functools import lru_cache
 from itertools import repeat
 
@@ -20,13 +24,13 @@ import pandas as pd
 import regex
 import tiktoken
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import keep, restored, solid
 
-#: At most so many words are broadcast, whatever the input (about 120 MB in a worker), chosen on about so many texts.
-HEAD_WORDS, SAMPLE = 800_000, 65_536
+#: About so many words are broadcast, whatever the input (about 60 MB in a worker), chosen on about so many texts.
+HEAD_WORDS, SAMPLE = 400_000, 65_536
 #: A task's counts are handed on when it holds so many words.
 FLUSH = 400_000
 
@@ -54,19 +58,24 @@ def encoder(path: str, pattern: str | None = None) -> tiktoken.Encoding:
     return tiktoken.Encoding("own", pat_str=pattern or default_pattern(), mergeable_ranks=ranks(path), special_tokens={})
 
 
-@lru_cache(maxsize=4)
-def token_bytes(path: str) -> np.ndarray:
-    """The bytes of each id; None where an id is free."""
-    own = ranks(path)
-    table = np.full(max(own.values()) + 1, None, object)
-    for t, i in own.items():
-        table[i] = t
-    return table
+def token_table(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """The token-byte table (id, token) of a rank file."""
+    return spark.createDataFrame(sorted((i, t) for t, i in ranks(path or default_ranks()).items()), "id int, token binary")
+
+
+#: The usual pattern of rank files, and what it matches in a text of ASCII alone, without Unicode classes.
+_USUAL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_ASCII = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"""
 
 
 @lru_cache(maxsize=4)
-def splitter(pattern: str):
-    return regex.compile(pattern).findall
+def splitter(pattern: str) -> Callable[[str], list[str]]:
+    """All matches of a pattern; texts of ASCII alone take a cheaper form of the usual one."""
+    every = regex.compile(pattern).findall
+    if pattern != _USUAL:
+        return every
+    plain = re.compile(_ASCII).findall
+    return lambda text: plain(text) if text.isascii() else every(text)
 
 
 def _count(pattern: str):
@@ -74,10 +83,9 @@ def _count(pattern: str):
         find, seen = splitter(pattern), Counter()
 
         def flush():
-            # a word seen once in a task gains little from the broadcast; it takes the exchange
-            some = [(w, n) for w, n in seen.items() if n > 1]
+            some = pd.DataFrame({"word": pd.Series(list(seen), dtype=object), "n": np.fromiter(seen.values(), "int64", len(seen))})
             seen.clear()
-            return pd.DataFrame(some, columns=["word", "n"])
+            return some
 
         for b in batches:
             for text in b["text"]:
@@ -90,18 +98,15 @@ def _count(pattern: str):
 
 
 def _encode(ranks_path: str, pattern: str):
-    """Adds ids (little-endian unsigned 32-bit) to rows with a word; one encoding per distinct word of a task."""
+    """Adds ids (little-endian unsigned 32-bit) to rows sorted by word: one encoding for each word of a task."""
 
     def run(batches):
-        enc, known = encoder(ranks_path, pattern), {}
+        enc, last, ids = encoder(ranks_path, pattern), None, b""
         for b in batches:
-            if len(known) > FLUSH:
-                known.clear()
             out = []
             for w in b["word"]:
-                ids = known.get(w)
-                if ids is None:
-                    ids = known[w] = np.array(enc.encode_ordinary(w), "<u4").tobytes()
+                if w != last:
+                    last, ids = w, np.array(enc.encode_ordinary(w), "<u4").tobytes()
                 out.append(ids)
             yield b.assign(ids=out).drop(columns="word")
 
@@ -109,20 +114,22 @@ def _encode(ranks_path: str, pattern: str):
 
 
 def head_words(texts: DataFrame, ranks_path: str, pattern: str, most: int = HEAD_WORDS, sample: int = SAMPLE) -> tuple[dict[str, int], np.ndarray]:
-    """Frequent words of about ``sample`` texts by rank, and the ids of each rank: all words above the lowest count that keeps them within ``most``."""
+    """Frequent words of about ``sample`` texts by rank, and the ids of each rank: about the ``most`` most frequent ones."""
     share = min(1.0, sample / max(1, texts.count()))
     some = texts.select("text") if share == 1 else texts.select("text").sample(share, 7)
-    words = keep(some.mapInPandas(_count(pattern), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    least, total = None, 0
-    # counts above 1,000 share a row: words so frequent are few
-    for r in words.groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).collect():
-        total += r["words"]
-        if total > most:
+    # a word seen once gains nothing from the broadcast; it takes the exchange
+    words = keep(some.mapInPandas(_count(pattern), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1"), "words")
+    level = F.floor(F.log(F.col("n").cast("double")) * 10)
+    least, total, part = None, 0, 1
+    for r in words.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("level")).collect():
+        least, total, above = r["level"], total + r["words"], total
+        if total > most:  # the last level fills what room is left, by a hash of the word
+            part = -(-r["words"] // max(1, most - above))
             break
-        least = r["n"]
-    if least is None:
+    if least is None or not most:
         return {}, np.empty(0, object)
-    top = words.filter(F.col("n") >= least).select("word", F.col("word").alias("key"), "n").mapInPandas(_encode(ranks_path, pattern), "key string, n long, ids binary").toArrow()
+    words = words.filter((level > least) | ((level == least) & (F.pmod(F.xxhash64("word"), F.lit(part)) == 0)))
+    top = words.select("word", F.col("word").alias("key"), "n").mapInPandas(_encode(ranks_path, pattern), "key string, n long, ids binary").toArrow()
     top = top.sort_by([("n", "descending"), ("key", "ascending")])
     ids = np.empty(len(top), object)
     ids[:] = top["ids"].to_pylist()
@@ -215,6 +222,7 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ranks_pa
     tails = (
         source.mapInPandas(_tail(pattern, head), "doc_id long, mark long, slot int, word string")
         .repartition("word")
+        .sortWithinPartitions("word")
         .mapInPandas(_encode(ranks_path, pattern), "doc_id long, mark long, slot int, ids binary")
         .repartition("doc_id", "mark")  # rows are smaller than partly collected lists
         .groupBy("doc_id", "mark")
@@ -225,11 +233,11 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ranks_pa
     return joined.mapInPandas(_assemble(head), "doc_id long, ids binary").select(restored("doc_id").alias("doc_id"), "ids")
 
 
-def _decode(ranks_path: str):
+def _decode(tokens):
     import pyarrow as pa
 
     def run(batches):
-        table = token_bytes(ranks_path)
+        table = tokens.value
         for t in batches:
             ids = t.column(t.schema.get_field_index("ids"))
             data = [b"".join(table[np.frombuffer(x, "<u4")].tolist()) for x in ids.to_pylist()]
@@ -238,12 +246,19 @@ def _decode(ranks_path: str):
     return run
 
 
-def decode(encoded: DataFrame, ranks_path: str | None = None) -> DataFrame:
-    """Adds ``decoded`` (bytes) to rows with ``ids``, beside their other columns; an id outside the vocabulary fails the task."""
+def decode(encoded: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
+    """Adds ``decoded`` (bytes) to rows with ``ids``, beside their other columns.
+
+    ``tokens`` (id, token) is the token-byte table, of the rank file if not given; an id that it
+    lacks fails the task.
+    """
     from pyspark.sql.types import BinaryType, StructType
 
-    ranks_path = ranks_path or default_ranks()
-    return encoded.mapInArrow(_decode(ranks_path), StructType([*encoded.schema.fields]).add("decoded", BinaryType()))
+    rows = (token_table(encoded.sparkSession) if tokens is None else tokens).collect()  # the vocabulary
+    table = np.full(max((r["id"] for r in rows), default=-1) + 1, None, object)
+    for r in rows:
+        table[r["id"]] = bytes(r["token"])
+    return encoded.mapInArrow(_decode(encoded.sparkSession.sparkContext.broadcast(table)), StructType([*encoded.schema.fields]).add("decoded", BinaryType()))
 
 
 def digest(decoded: DataFrame) -> DataFrame:

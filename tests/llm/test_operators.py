@@ -219,6 +219,28 @@ def test_every_character_has_the_ids_of_the_json_tokenizer():
         assert t.encode(text, add_special_tokens=False).ids == enc.encode(text, allowed_special="all"), hex(at)
 
 
+def test_ascii_texts_are_split_alike():
+    import public_tokenizers
+    import regex
+
+    r = np.random.RandomState(6)
+    signs = [chr(c) for c in range(128)] * 2 + [" "] * 60 + list("abcd's't're") * 4
+    every, split = regex.compile(public_tokenizers.PATTERN).findall, bpe.splitter(public_tokenizers.PATTERN)
+    for _ in range(3000):
+        text = "".join(r.choice(signs, r.randint(0, 60)))
+        assert split(text) == every(text), text
+    assert split("été 12") == every("été 12")
+
+
+def test_a_frequent_word_of_every_text_is_broadcast(spark):
+    """One word once in each text, in tasks of one text each; and more alike words than the limit."""
+    texts = spark.createDataFrame([(f"the{i} common",) for i in range(40)], "text string").repartition(40)
+    words, ids = bpe.head_words(texts, bpe.default_ranks(), bpe.default_pattern(), 10)
+    assert " common" in words and len(words) == len(ids)
+    many = spark.createDataFrame([(" ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)),)] * 3, "text string")
+    assert 10 <= len(bpe.head_words(many, bpe.default_ranks(), bpe.default_pattern(), 40)[0]) <= 80
+
+
 def test_cut_covers_and_fits():
     for n in range(2048):
         parts = packing.cut(n)

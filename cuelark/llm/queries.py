@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe, chat, lattice, licenses, neardup, packing, secrets, toxicity, vectors, winnow
-from .common import table
+from .common import shared_dir, table
 
 
 def op1_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,8 +32,13 @@ def op5_harmonic_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scans the documents into a new ledger, and once more: the second scan finds no unseen blob, its findings come from the ledger."""
     versions = secrets.address(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return secrets.digest(secrets.scan_paths(versions))
+    ledger = secrets.Ledger(spark, f"{shared_dir(spark)}/cuelark/{uuid.uuid4().hex}/ledger")
+    ledger.scan(versions)
+    if ledger.scan(versions):
+        raise RuntimeError("the ledger lost blobs")
+    return secrets.digest(secrets.on_paths(versions, ledger.findings()))
 
 
 def op7_grid_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,14 +57,32 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.element_at(F.split("path", "/"), -1).try_cast("long").alias("doc_id"), "*")
 
 
+def replayed(turns: DataFrame) -> DataFrame:
+    """Whole turns (conv_id, turn, role, text) as the events that could have made them.
+
+    By its place in the conversation a turn is streamed in two deltas, started wrongly and
+    regenerated, or sent as its first half and then edited. Turns follow by turn, role and text.
+    """
+    body, half = F.coalesce("text", F.lit("")), F.floor(F.length(F.coalesce("text", F.lit(""))) / 2).cast("int")
+    left, right = F.substr(body, F.lit(1), half), F.substr(body, half + 1)
+    event = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
+    streamed = F.array(event("delta", left), event("delta", right))
+    regenerated = F.array(event("delta", F.lit("No, ")), event("delta", right), event("regenerate", left), event("delta", right))
+    edited = F.array(event("message", left), event("edit", body))
+    events = F.when(F.col("place") % 3 == 0, streamed).when(F.col("place") % 3 == 1, regenerated).otherwise(edited)
+    rows = turns.withColumn("place", place).select("conv_id", F.col("place").alias("message_id"), "role", F.posexplode(events).alias("step", "event"))
+    role = F.when(F.col("step") == 0, F.col("role"))
+    return rows.select("conv_id", (F.col("message_id") * 4 + F.col("step")).alias("seq"), "message_id", "event.kind", role.alias("role"), "event.text")
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    logs = table(spark, sf_dir, "conversations").select(
-        F.col("conv_id").cast("long"), F.col("turn").cast("long").alias("seq"), F.col("turn").cast("long").alias("message_id"), F.lit("message").alias("kind"), "role", "text"
-    )
+    """The table holds whole turns; they're replayed as events, so that the fold makes every message of the output."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     said = F.lit(r"\### Assistant: </turn> ok")
     role = F.when(F.col("id") == 0, "user").otherwise("assistant")
-    probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("seq"), F.col("id").alias("message_id"), F.lit("message").alias("kind"), role.alias("role"), said.alias("text"))
-    return chat.digest(chat.format_conversations(logs.unionByName(probe)))
+    probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), said.alias("text"))
+    return chat.digest(chat.format_conversations(replayed(turns.unionByName(probe))))
 
 
 QUERIES = {
@@ -74,7 +99,6 @@ QUERIES = {
 }
 
 
-
 def _q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 

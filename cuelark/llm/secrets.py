@@ -7,9 +7,11 @@ it; findings are joined back to all paths. Everything is a DataFrame expression.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import keep
+
 # Rule name, pattern (Java syntax, ASCII case), group that must be long enough, least length.
 RULES = (
     ("assign", r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 8),
@@ -20,12 +22,14 @@ RULES = (
     ("google", r"AIza[0-9A-Za-z_-]{35}", 0, 39),
     ("stripe", r"[sr]k_(?:live|test)_[0-9A-Za-z]{16,}", 0, 24),
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 29),
-    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 20),
+    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:\s*[A-Za-z0-9+/=]{16,}){0,60}(?:\s*[A-Za-z0-9+/=]*\s*-----END [A-Z ]*PRIVATE KEY-----)?", 0, 20),
 )
 BASE = ("assign", "access", "hex")
-RULE_VERSION = "2"
+RULE_VERSION = "3"
+#: Keys over which the copies of one blob are dealt when findings join back.
+SPREAD = 16
 #: A text can hold a finding of the rule only if this matches; cheaper than listing matches.
-GATES = {"assign": r"(?i:password|passwd|secret|token|api_?key)", "hex": r"[0-9a-f]{32}"}
+GATES = {"assign": r"(?i:password|passwd|secret|token|api_?key)", "hex": r"[0-9a-f]{32}", "pem": r"-----BEGIN [A-Z ]*PRIVATE KEY-----"}
 
 
 def gate(text: Column, rules=RULES) -> Column:
@@ -87,11 +91,53 @@ def findings_by_blob(findings: DataFrame) -> DataFrame:
     return findings.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "rule_no", "stop", "kind"))).alias("found"))
 
 
+def joined(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows with ``blob`` beside ``found`` of their blob; the rows of one blob are dealt over ``SPREAD`` keys, for it may have very many."""
+    many = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(SPREAD)).cast("int")).join(many, ["blob", "salt"], "left").drop("salt")
+
+
 def scan_paths(versions: DataFrame, ledger: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
     """(path, blob, found) for every row of ``versions``; ``known`` holds findings of blobs scanned before."""
     fresh, _ = scan(versions, ledger)
-    found = findings_by_blob(fresh if known is None else fresh.unionByName(known).distinct())
-    return versions.select("path", "blob").join(found, "blob", "left").withColumn("found", F.coalesce("found", F.array().cast(found.schema["found"].dataType)))
+    return on_paths(versions, fresh if known is None else fresh.unionByName(known).distinct())
+
+
+def on_paths(versions: DataFrame, findings: DataFrame) -> DataFrame:
+    """(path, blob, found) for every row of ``versions`` from findings of its blobs."""
+    found = findings_by_blob(findings)
+    return joined(versions.select("path", "blob"), found).withColumn("found", F.coalesce("found", F.array().cast(found.schema["found"].dataType)))
+
+
+class Ledger:
+    """What has been scanned, as two Parquet tables below ``root``: pairs of blob and rule version, and findings.
+
+    Findings are written before the pairs, so a scan that breaks off in between is done again and
+    its findings come twice, which reading them undoes. One scan at a time.
+    """
+
+    ENTRIES = "blob string, rule_version string"
+    FINDINGS = "blob string, rule_no int, kind string, start long, stop long, rule_version string"
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+        for name, schema in (("entries", self.ENTRIES), ("findings", self.FINDINGS)):
+            spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{self.root}/{name}")
+
+    def entries(self) -> DataFrame:
+        return self.spark.read.schema(self.ENTRIES).parquet(f"{self.root}/entries")
+
+    def findings(self, rule_version: str = RULE_VERSION) -> DataFrame:
+        rows = self.spark.read.schema(self.FINDINGS).parquet(f"{self.root}/findings")
+        return rows.filter(F.col("rule_version") == rule_version).drop("rule_version").distinct()
+
+    def scan(self, versions: DataFrame, rules=RULES, rule_version: str = RULE_VERSION) -> int:
+        """Scans the blobs of ``versions`` that this rule version hasn't seen; returns how many these were."""
+        fresh, new = scan(versions, self.entries(), rules, rule_version)
+        new = keep(new, "entries")
+        fresh.withColumn("rule_version", F.lit(rule_version)).write.mode("append").parquet(f"{self.root}/findings")
+        new.write.mode("append").parquet(f"{self.root}/entries")
+        return new.count()
 
 
 def spelled(found: Column) -> Column:

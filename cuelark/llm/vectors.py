@@ -10,6 +10,8 @@ cost nothing; a meeting emits counts and a forest of links, never all pairs.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -17,10 +19,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, keep, restored, solid
+from .common import keep, restored, solid
 from .components import components, forest
 
-#: Leading directions in the grid and in the boxes; vectors a block; coordinates that the directions are found in.
+#: Leading directions in the grid and in the boxes; vectors a block; wider vectors are turned onto so many random directions first.
 GRID, BOX, BLOCK, WIDEST = 3, 8, 512, 256
 LEAF = 64
 
@@ -49,6 +51,18 @@ def _read(raw: bytes, size: int) -> np.ndarray:
     return np.frombuffer(raw, "float32" if len(raw) == 4 * size else "float64").astype("float64")
 
 
+@lru_cache(maxsize=8)
+def _turn(size: int, width: int) -> np.ndarray:
+    """Orthonormal directions over all ``size`` coordinates: distances along them are never longer than the true ones."""
+    return np.linalg.qr(np.random.RandomState(size).randn(size, width))[0]
+
+
+def _narrow(raw: bytes, size: int, width: int) -> np.ndarray:
+    """The unit vector in ``width`` coordinates: itself, or its shadow if it is wider."""
+    u = _unit(_read(raw, size)[None])[0]
+    return u if size <= width else u @ _turn(size, width)
+
+
 def _moments(width: int):
     """Sums of coordinates and of their products over a task; a row a number."""
 
@@ -57,7 +71,7 @@ def _moments(width: int):
         for b in batches:
             x = np.zeros((len(b), width + 1))
             for row, raw, size in zip(x, b["raw"], b["size"]):
-                u = _unit(_read(raw, size)[None])[0][:width]
+                u = _narrow(raw, size, width)
                 row[: len(u)], row[width] = u, 1
             total += x.T @ x
         yield pd.DataFrame({"at": np.arange(total.size), "v": total.ravel()})
@@ -84,7 +98,7 @@ def _place(shared, epsilon: float):
             at = np.zeros((len(b), lead.shape[1]))
             for i, (raw, size) in enumerate(zip(b["raw"], b["size"])):
                 u = np.zeros(len(mean))
-                own = _unit(_read(raw, size)[None])[0][: len(mean)]
+                own = _narrow(raw, size, len(mean))
                 u[: len(own)] = own
                 at[i] = (u - mean) @ lead
             cells = np.floor(at[:, :GRID] / epsilon).astype("int64")
@@ -187,14 +201,16 @@ def near_vectors(rows: DataFrame, least: float = 0.98) -> DataFrame:
     Only vectors of equal, non-null label and equal length are compared. A vector that is null,
     empty, all zero or holds a null or a number that isn't finite links with nothing. n_links
     counts other rows linked directly; component_id is the smallest vec_id reachable, itself
-    included. Rows that repeat an id count as rows. A null id has a null component and isn't kept.
+    included. Rows that repeat an id count as rows. A null id has a null component and isn't kept;
+    such rows count in the links of others. Ids lie below 2^62: larger numbers stand for values that
+    no row with an id has.
     """
     epsilon = float(np.sqrt(2 - 2 * least)) + 1e-9
     source = rows.select(solid("vec_id").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
     usable = keep(source.mapInPandas(_valid, "vec_id long, label string, size int, class binary, raw binary"), "usable")
-    named = usable.filter(F.col("vec_id") != NO_ID)
-    per_class = keep(usable.groupBy("label", "size", "class").agg(F.min(restored("vec_id")).alias("id"), F.count(F.lit(1)).alias("copies")).filter("id is not null"), "classes")
-    firsts = named.withColumnRenamed("vec_id", "id").join(per_class, ["label", "size", "class", "id"]).groupBy("label", "size", "class", "id", "copies").agg(F.min("raw").alias("raw"))
+    stand_in = F.lit(2**62).cast("long") + F.xxhash64("label", "size", "class").bitwiseAND(F.lit(2**61 - 1))
+    per_class = usable.groupBy("label", "size", "class").agg(F.min(restored("vec_id")).alias("id"), F.count(F.lit(1)).alias("copies"), F.min("raw").alias("raw"))
+    firsts = per_class.withColumn("id", F.coalesce("id", stand_in))
     firsts = keep(firsts, "firsts")
     width = min(WIDEST, firsts.agg(F.max("size")).first()[0] or 1)
     shared = rows.sparkSession.sparkContext.broadcast(directions(firsts, width))
@@ -207,7 +223,7 @@ def near_vectors(rows: DataFrame, least: float = 0.98) -> DataFrame:
     met = keep(meetings(blocks, epsilon).join(left, "x").join(right, "y").mapInPandas(_meet(least, epsilon), "a long, b long, n long"), "met")
     counts = met.filter("n > 0").groupBy("a").agg(F.sum("n").alias("others"))
     groups = components(met.filter("n = 0").select("a", "b"))
-    known = per_class.select("label", "size", "class", "id", "copies").join(counts.withColumnRenamed("a", "id"), "id", "left").join(groups, "id", "left")
+    known = firsts.select("label", "size", "class", "id", "copies").join(counts.withColumnRenamed("a", "id"), "id", "left").join(groups, "id", "left")
     found = usable.join(known.select("label", "size", "class", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("group")), ["label", "size", "class"])
     lone = source.mapInPandas(_unusable, "vec_id long").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("group"))
     own = restored("vec_id")

@@ -425,6 +425,30 @@ def test_secrets(spark, none):
     assert secrets.scan_paths(secrets.address(none, "doc_id")).collect() == []
 
 
+def test_a_stored_ledger_grows_over_versions(spark, tmp_path):
+    ledger = secrets.Ledger(spark, f"{tmp_path}/ledger")
+    shape = "path string, text string, blob string, found string"
+    first = secrets.address(spark.createDataFrame([("a", "token=abcdefgh1", "x", "y"), ("b", None, None, None), ("c", "plain", None, None)], shape))
+    assert ledger.scan(first) == 3 and ledger.scan(first) == 0
+    later = secrets.address(spark.createDataFrame([("a", "token=abcdefgh2 " + "x" * 100_000, "x", "y"), ("d", "token=abcdefgh1", None, None), ("c", "plain", None, None), (None, "plain", None, None)], shape))
+    again = secrets.Ledger(spark, f"{tmp_path}/ledger")
+    assert again.scan(later) == 1 and again.entries().count() == 4
+    assert {r.path: len(r.found) for r in secrets.on_paths(first.union(later), again.findings()).collect()} == {"a": 1, "b": 0, "c": 0, "d": 1, None: 0}
+    assert again.scan(later, rule_version="next") == 3
+    assert again.findings("next").count() == 2 and again.findings().count() == 2
+
+
+def test_whole_private_keys_are_masked(spark):
+    line = "MIIEowIBAAKCAQEAx0b1" * 3
+    key = "-----BEGIN RSA PRIVATE KEY-----\n" + (line + "\n") * 25 + "q0Zx+/a=\n-----END RSA PRIVATE KEY-----"
+    texts = [f"before {key} after", "before " + key[:200] + "\nand then, words", "x" * 50_000 + key]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    versions = secrets.address(docs, "doc_id")
+    found = secrets.scan_paths(versions)
+    got = {r.path: r.m for r in found.join(versions.select("path", "text"), "path").select("path", secrets.redact(secrets.F.col("found"), secrets.F.col("text")).alias("m")).collect()}
+    assert got == {0: "before [secret] after", 1: "before [secret]\nand then, words", 2: "x" * 50_000 + "[secret]"}
+
+
 def test_ledger_scans_only_unseen(spark):
     one = secrets.address(spark.createDataFrame([("a", "token=abcdefgh1"), ("b", "token=abcdefgh1")], "path string, text string"))
     found, entries = secrets.scan(one)
@@ -569,6 +593,23 @@ def test_vectors_empty(spark):
     assert vectors.near_vectors(empty).collect() == []
     odd = spark.createDataFrame([(None, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1)], empty.schema)
     assert Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in vectors.near_vectors(odd).collect()) == Counter({(1, 2, 1, True): 2, (None, 2, None, False): 1})
+    lone = spark.createDataFrame([(None, [1.0, 0.0], 1), (None, [0.0, 1.0], 1), (3, [1.0, 0.01], 1), (4, [0.0, 0.0], 1), (None, None, 1)], empty.schema)
+    assert Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in vectors.near_vectors(lone).collect()) == Counter({(None, 1, None, False): 1, (None, 0, None, False): 2, (3, 1, 3, True): 1, (4, 0, 4, True): 1})
+
+
+def test_wide_vectors_that_differ_late(spark, monkeypatch):
+    """All of the variance lies behind the first coordinates; extra columns have clashing names."""
+    monkeypatch.setattr(vectors, "WIDEST", 8)
+    r = np.random.RandomState(5)
+    rows = []
+    for c in range(40):
+        base = np.concatenate([np.ones(30) * 0.01, r.randn(30)])
+        rows += [(len(rows) + k, (base + np.concatenate([np.zeros(30), r.randn(30) * 0.1])).tolist(), 0, "x", 7) for k in range(3)]
+    got = {x.vec_id: x.n_links for x in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, raw string, size int"), 0.98).collect()}
+    u = np.array([v for _, v, *_ in rows])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    want = ((u @ u.T) >= 0.98).sum(1) - 1
+    assert got == {i: int(n) for i, n in enumerate(want)} and want.sum() > 60
 
 
 # ------------------------------------------------------------- licences
@@ -621,6 +662,20 @@ def test_chat(spark):
     assert chat.format_conversations(log.limit(0)).collect() == []
 
 
+def test_replayed_turns_give_back_the_turns(spark):
+    from cuelark.llm import queries
+
+    rows = [(1, t, role, text, "x", 5) for t, role, text in [(0, "user", "Hi there"), (1, "assistant", None), (2, "user", ""), (3, "assistant", "a😀b"), (3, "assistant", "a😀b"), (4, None, "z"), (None, "system", "first")]]
+    rows += [(2, i, "user", f"turn {i}" * (20_000 if i == 3 else 1), "x", 5) for i in range(12)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, kind string, seq int")
+    events = queries.replayed(turns)
+    assert {r.kind for r in events.collect()} == {"delta", "regenerate", "message", "edit"}
+    got = {r.conv_id: [tuple(t) for t in r.t] for r in chat.format_conversations(events).select("conv_id", chat.read_back(chat.F.col("formatted")).alias("t")).collect()}
+    for c in (1, 2):
+        own = sorted((r for r in rows if r[0] == c), key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or ""))
+        assert got[c] == [(r[2] or "", r[3] or "") for r in own]
+
+
 def test_chat_events_fold(spark):
     rows = [
         (1, 0, 0, "delta", "user", "Hel"), (1, 1, 0, "delta", None, "lo"), (1, 2, 1, "delta", "assistant", "bad "), (1, 3, 1, "delta", None, "start"), (1, 4, 1, "regenerate", None, ""), (1, 5, 1, "delta", None, "Good"),

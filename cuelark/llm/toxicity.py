@@ -1,39 +1,43 @@
 """Toxicity by the nearest labelled examples.
 
-Examples are a bounded sample of the labelled rows. Their terms are the words, and word beginnings,
-whose document frequency differs between the labels beyond chance, however rare they are; all other
-words of a text count as one more term, so that few terms in a long text weigh less. Over these a text is a TF-IDF vector
-of unit length. The examples' inverted index keeps, for every term and block of examples, the largest
-weight in the block. A search adds up these maxima to a bound per block, visits blocks from the
-highest bound down, and leaves out those with a bound below the k-th similarity found: the k nearest
-are exact. Their labels vote, nearer ones more, and a monotone curve fitted on the examples
-(each searched without itself) turns votes into probabilities.
+Examples are a bounded sample of the labelled rows. A text is a TF-IDF vector of unit length over
+all its words; words that no example holds count in its length. Terms whose document frequency
+differs between the labels beyond chance weigh more than others, and word beginnings are terms
+where they differ so. The examples' inverted index keeps, for every term and block of examples, the
+largest weight in the block. A search adds up these maxima to a bound per block, and leaves out
+blocks with a bound below the k-th similarity found: the k nearest are exact. Their labels vote,
+nearer ones more, and a monotone curve fitted on the examples (each searched without itself) turns
+votes into probabilities.
 
 The index is bounded by the sample, so it is broadcast; texts are scored where they lie.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc, restored, solid
+from .common import crc, keep, restored, solid
 
-#: At most so many labelled rows become examples, so many words terms; nearest examples that vote.
-EXAMPLES, TERMS, NEAREST = 16_384, 4096, 15
-#: A term needs so many examples, and so large a chi-square statistic (1 degree of freedom: about 1 in 10 million by chance).
-LEAST_EXAMPLES, LEAST_CHI2 = 5, 28.0
+#: At most so many labelled rows become examples; nearest examples that vote.
+EXAMPLES, NEAREST = 4096, 15
+#: A term in so many examples with so large a chi-square statistic (1 degree of freedom: about 1 in 10 million by chance) has its
+#: whole weight; any other term this share of it.
+LEAST_EXAMPLES, LEAST_CHI2, OTHER = 5, 28.0, 0.3
 BLOCK = 64
-#: A search visits so many blocks one by one; all further blocks above the bound are scored together.
-SINGLE = 4
-#: Vectors whose result a task remembers.
+#: If the bounds of blocks differ that much from each other, so many are visited one by one first.
+UNEVEN, SINGLE = 4.0, 4
+#: Texts whose result a task remembers.
 KNOWN = 5_000
-#: Bytes of a word's beginning, and the term that stands for all words that are no term.
-BEGINNINGS, REST = (5, 7), b" "
+#: Bytes of a word's beginning.
+BEGINNINGS = (5, 7)
 _CLEAN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
@@ -47,27 +51,6 @@ def features(words: set[bytes]) -> set[bytes]:
     return words | {w[:n] + b"*" for n in BEGINNINGS for w in words if len(w) > n}
 
 
-def counts(text: str | None, at: dict[bytes, int]) -> list[tuple[int, int]]:
-    """(term, tf) in order; empty if the text has no term, else all its other words count as the last term."""
-    seen: Counter = Counter()
-    words = Counter(words_of(text))
-    other = 0
-    for w, n in words.items():
-        none = True
-        if w in at:
-            seen[at[w]] += n
-            none = False
-        for k in BEGINNINGS:
-            if len(w) > k and (t := at.get(w[:k] + b"*")) is not None:
-                seen[t] += n
-                none = False
-        if none:
-            other += n
-    if seen and other:
-        seen[at[REST]] = other
-    return sorted(seen.items())
-
-
 def _example_words(batches):
     for b in batches:
         rows = []
@@ -76,89 +59,110 @@ def _example_words(batches):
         yield pd.DataFrame(rows, columns=["word", "y"])
 
 
-def _vectors(terms):
-    """tf of the terms in each text; texts without any have empty lists."""
-
-    def run(batches):
-        at = terms.value
-        for b in batches:
-            ids, tfs = [], []
-            for text in b["text"]:
-                own = counts(text, at)
-                ids.append([t for t, _ in own])
-                tfs.append([n for _, n in own])
-            yield b.drop(columns="text").assign(terms=ids, tf=tfs)
-
-    return run
+class Terms:
+    """Terms of the examples: their places, and their weights without term frequency. Beginnings end in a star."""
+
+    def __init__(self, weight: dict[bytes, float], unseen: float):
+        self.at = {t: i for i, t in enumerate(weight)}
+        self.weight = np.array(list(weight.values()))
+        self.unseen = unseen
+        self.begins = [(k, {t[:-1]: i for t, i in self.at.items() if len(t) == k + 1 and t.endswith(b"*")}) for k in BEGINNINGS]
+
+    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """(term, weight) of a text, a unit vector but for the words that no example holds."""
+        words = Counter(words_of(text))
+        times = np.fromiter(words.values(), "float64", len(words))
+        at = np.fromiter(map(self.at.get, words, repeat(-1)), "int64", len(words))
+        lost = 1 + np.log(times[at < 0])
+        at, times = at[at >= 0], times[at >= 0]
+        for k, table in self.begins:
+            begun = [(t, n) for w, n in words.items() if len(w) > k and (t := table.get(w[:k])) is not None] if table else []
+            if begun:
+                at, times = np.append(at, [t for t, _ in begun]), np.append(times, [n for _, n in begun])
+        at, where = np.unique(at, return_inverse=True)
+        w = (1 + np.log(np.bincount(where, times, len(at)))) * self.weight[at]
+        size = math.sqrt(float(w @ w) + float(lost @ lost) * self.unseen * self.unseen)
+        return at, w / size if size else w
 
 
 class Index:
-    """Block-max inverted index of unit vectors; examples are ordered by their weightiest term, so that blocks are alike inside."""
+    """Block-max inverted index of vectors; examples are ordered by their weightiest term, so that blocks are alike inside."""
 
     def __init__(self, ids: list[int], labels: list[int], vectors: list[tuple[np.ndarray, np.ndarray]], terms: int):
         order = sorted(range(len(ids)), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]), -len(vectors[i][0]), ids[i]))
         self.ids = np.array([ids[i] for i in order], "int64")
         self.labels = np.array([labels[i] for i in order], "float64")
         self.place = {int(x): i for i, x in enumerate(self.ids)}
-        self.blocks = -(-len(order) // BLOCK)
-        self.most = np.zeros((terms, self.blocks))
+        self.size = BLOCK
+        self.blocks = -(-len(order) // self.size)
         term = np.concatenate([vectors[i][0] for i in order]) if order else np.zeros(0, "int64")
         who = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order]) if order else np.zeros(0, "int64")
         weight = np.concatenate([vectors[i][1] for i in order]) if order else np.zeros(0)
-        np.maximum.at(self.most, (term, who // BLOCK), weight)
         by = np.lexsort((who, term))
-        self.who, self.weight = who[by], weight[by]
-        self.start = np.searchsorted(term[by] * max(1, self.blocks) + self.who // BLOCK, np.arange(terms * max(1, self.blocks) + 1))
+        term, self.who, self.weight = term[by], who[by], weight[by]
+        self.start = np.searchsorted(term, np.arange(terms + 1))
+        #: where the postings of each term in each block begin, for the pairs that have any
+        pair = term * max(1, self.blocks) + self.who // self.size
+        self.pair, self.begin = np.unique(pair, return_index=True)
+        self.begin = np.append(self.begin, len(pair))
+        most = np.zeros((terms, self.blocks))
+        np.maximum.at(most, (term, self.who // self.size), self.weight)
+        self.most = np.nextafter(most.astype("float32"), np.float32(np.inf))  # rounded up: bounds stay bounds
+
+    def _sums(self, weights: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Similarity to every example over a stretch of the postings for each weight."""
+        size = hi - lo
+        at = np.arange(size.sum()) + np.repeat(lo - np.cumsum(size) + size, size)
+        return np.bincount(self.who[at], self.weight[at] * np.repeat(weights, size), self.blocks * self.size)
+
+    def _block(self, terms: np.ndarray, weights: np.ndarray, block: int) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.pair, terms * self.blocks + block), len(self.pair) - 1)
+        there = self.pair[at] == terms * self.blocks + block
+        return self._sums(weights[there], self.begin[at[there]], self.begin[at[there] + 1])
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Similarities and positions of the k nearest, nearest first, ties by position; only similarities above zero."""
+        none = np.zeros(0), np.zeros(0, "int64")
+        if not len(terms) or not self.blocks:
+            return none
         bound = weights @ self.most[terms]
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        near: list[tuple[float, int]] = []
-        for b in order[:SINGLE].tolist():
-            if self._beyond(bound[b], near, k):
-                return self._best(near)
-            got = np.zeros(BLOCK)
-            for t, w in zip(terms.tolist(), weights.tolist()):
-                lo, hi = self.start[t * self.blocks + b], self.start[t * self.blocks + b + 1]
-                got[self.who[lo:hi] - b * BLOCK] += w * self.weight[lo:hi]
-            near += [(-round(float(got[i]), 12), b * BLOCK + i) for i in np.flatnonzero(got).tolist() if b * BLOCK + i != skip]
-            near = sorted(near)[:k]
-        left = [b for b in order[SINGLE:].tolist() if not self._beyond(bound[b], near, k)]
-        if left:
-            got = np.zeros(self.blocks * BLOCK)
-            for t, w in zip(terms.tolist(), weights.tolist()):
-                lo, hi = self.start[t * self.blocks], self.start[(t + 1) * self.blocks]
-                got[self.who[lo:hi]] += w * self.weight[lo:hi]
-            open_ = np.zeros(self.blocks, bool)
-            open_[left] = True
-            got = np.where(np.repeat(open_, BLOCK), got, 0.0)
+        least, near = 0.0, np.zeros(0, "int64")
+        sums = np.zeros(self.blocks * self.size)
+        open_ = np.flatnonzero(bound > 0)
+        if len(open_) > SINGLE and bound.max() > UNEVEN * np.median(bound[open_]):
+            first = open_[np.argsort(-bound[open_], kind="stable")[:SINGLE]]
+            for b in first.tolist():
+                sums += self._block(terms, weights, b)
             if skip is not None:
-                got[skip] = 0.0
-            at = np.flatnonzero(got)
-            if len(at) > k:  # the k-th largest and all that may round to it
-                at = at[got[at] >= np.partition(got[at], len(at) - k)[len(at) - k] - 1e-11]
-            near = sorted(near + [(-round(float(got[i]), 12), i) for i in at.tolist()])[:k]
-        return self._best(near)
-
-    @staticmethod
-    def _beyond(bound: float, near: list[tuple[float, int]], k: int) -> bool:
-        return len(near) == k and bound < -near[-1][0] - 1e-12
-
-    @staticmethod
-    def _best(near: list[tuple[float, int]]) -> tuple[np.ndarray, np.ndarray]:
-        return np.array([-s for s, _ in near]), np.array([i for _, i in near], "int64")
+                sums[skip] = 0.0
+            near = np.flatnonzero(sums)
+            if len(near) >= k:
+                least = np.partition(sums[near], len(near) - k)[len(near) - k]
+            left = np.setdiff1d(open_[bound[open_] >= least - 1e-11], first)
+        else:
+            left = open_
+        if len(left):
+            inside = np.zeros(self.blocks, bool)
+            inside[left] = True
+            sums = np.where(np.repeat(inside, self.size), self._sums(weights, self.start[terms], self.start[terms + 1]), sums)
+            if skip is not None:
+                sums[skip] = 0.0
+            near = np.flatnonzero(sums)
+        if len(near) > k:  # the k-th largest and all that may round to it
+            near = near[sums[near] >= np.partition(sums[near], len(near) - k)[len(near) - k] - 1e-11]
+        shown = np.round(sums[near], 12)
+        near = near[np.lexsort((near, -shown))[:k]]
+        return np.round(sums[near], 12), near
 
     def vote(self, similarity: np.ndarray, at: np.ndarray, rate: float) -> float:
         """Share of label 1 among the nearest, by inverse distance, with one far vote of the general rate."""
         w = 1 / (1.05 - np.minimum(similarity, 1.0))
-        return float((w @ self.labels[at] + rate) / (w.sum() + 1))
+        return round(float((w @ self.labels[at] + rate) / (w.sum() + 1)), 12)
 
 
 def monotone(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Least-squares nondecreasing steps through (x, y): pooled x (means) and levels."""
-    order = np.argsort(x, kind="stable")
+    order = np.lexsort((y, x))
     pools: list[list[float]] = []
     for a, b in zip(x[order].tolist(), y[order].tolist()):
         pools.append([b, 1.0, a])
@@ -168,43 +172,42 @@ def monotone(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([t / n for _, n, t in pools]), np.array([(s + 0.5 * (s / n)) / (n + 0.5) for s, n, _ in pools])
 
 
-def _unit(terms, tf, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.asarray(terms, "int64")
-    w = (1 + np.log(np.asarray(tf, "float64"))) * idf[at]
-    return at, w / np.sqrt((w * w).sum())
-
-
 def _votes(shared):
     """Each indexed example's vote when it is searched without itself."""
 
     def run(batches):
-        index, idf, rate, *_ = shared.value
+        index, terms, rate, *_ = shared.value
         for b in batches:
-            votes = []
-            for one, terms, tf in zip(b["doc_id"], b["terms"], b["tf"]):
-                votes.append(index.vote(*index.nearest(*_unit(terms, tf, idf), NEAREST, index.place[one]), rate))
+            votes = [index.vote(*index.nearest(*terms.vector(text), NEAREST, index.place[one]), rate) for one, text in zip(b["doc_id"], b["text"])]
             yield b[["y"]].assign(vote=votes)
 
     return run
 
 
-def _scores(shared, terms):
+def _vectors(shared):
+    def run(batches):
+        terms = shared.value
+        for b in batches:
+            both = [terms.vector(text) for text in b["text"]]
+            yield b[["doc_id", "y"]].assign(terms=[t.tolist() for t, _ in both], weights=[w.tolist() for _, w in both])
+
+    return run
+
+
+def _scores(shared):
     def run(batches):
-        index, idf, rate, plain, curve = shared.value
-        at, known = terms.value, {}
+        index, terms, rate, plain, curve = shared.value
+        known: dict = {}
         for b in batches:
             out, ids, labels, sims = [], [], [], []
             for text in b["text"]:
-                key = tuple(counts(text, at))
+                key = xxhash.xxh3_128_digest((text or "").encode("utf-8", "surrogatepass"))
                 if key not in known:
                     if len(known) > KNOWN:
                         known.clear()
-                    if not key or not len(index.ids):
-                        known[key] = (plain, [], [], [])
-                    else:
-                        s, i = index.nearest(*_unit([t for t, _ in key], [n for _, n in key], idf), NEAREST)
-                        p = float(np.interp(index.vote(s, i, rate), *curve)) if len(i) else plain
-                        known[key] = (p, index.ids[i[:3]].tolist(), index.labels[i[:3]].astype("int64").tolist(), s[:3].tolist())
+                    s, i = index.nearest(*terms.vector(text), NEAREST)
+                    p = float(np.interp(index.vote(s, i, rate), *curve)) if len(i) else plain
+                    known[key] = (p, index.ids[i[:3]].tolist(), index.labels[i[:3]].astype("int64").tolist(), s[:3].tolist())
                 p, x, y, s = known[key]
                 out.append(min(1.0, max(0.0, p)))
                 ids.append(x)
@@ -216,7 +219,7 @@ def _scores(shared, terms):
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 3, held_fold: int = 1, examples: int = EXAMPLES):
-    """Broadcasts (index, weights, rates, curve) and (terms), bounded by ``examples`` and ``TERMS``.
+    """Broadcast (index, terms, rates, curve), bounded by the texts of ``examples`` rows.
 
     Labels are read only for rows whose crc32(doc_id as text) mod ``folds`` isn't ``held_fold``;
     of these at most ``examples`` become examples, by the order of a hash of the id. Repeated
@@ -227,7 +230,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     taught = taught.filter((crc(F.col("doc_id")) % folds) != held_fold).groupBy("doc_id").agg(F.max("y").alias("y"))
     chosen = taught.orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)  # at most so many ids and labels
     some = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    some = some.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).persist()
+    some = keep(some.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")), "examples")
     many, toxic = some.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
     rate = toxic / many if many else 0.0
     a, n1 = F.col("toxic").cast("double"), float(toxic)
@@ -235,48 +238,47 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     df = F.col("df").cast("double")
     chi2 = F.when((df < many) & F.lit(0 < n1 < many), F.lit(float(many)) * F.pow(a * (n0 - b) - b * (n1 - a), F.lit(2.0)) / F.greatest(df * (many - df) * n1 * n0, F.lit(1e-9))).otherwise(0.0)
     counted = some.select("text", "y").mapInPandas(_example_words, "word binary, y int").groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.sum("y").alias("toxic"))
-    best = counted.filter(df >= LEAST_EXAMPLES).withColumn("chi2", chi2).filter(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "word").limit(TERMS).collect()
-    at = spark.sparkContext.broadcast({**{bytes(r["word"]): i for i, r in enumerate(best)}, REST: len(best)})
-    idf = np.array([*(np.log((1 + many) / (1 + r["df"])) + 1 for r in best), 1.0])
-    vectors = some.mapInPandas(_vectors(at), "doc_id long, y int, terms array<long>, tf array<long>")
-    rows = vectors.collect()  # at most ``examples`` short vectors
-    inside = [r for r in rows if r["terms"]]
-    outside = [r["y"] for r in rows if not r["terms"]]
+    differs = (df >= LEAST_EXAMPLES) & (chi2 >= LEAST_CHI2)
+    # words of the examples' texts, and beginnings that differ between the labels
+    rows = counted.withColumn("differs", differs).filter(F.col("differs") | ~F.endswith("word", F.lit(b"*"))).orderBy("word").select("word", "df", "differs").toArrow().to_pylist()
+    idf = lambda n: math.log((1 + many) / (1 + n)) + 1
+    terms = Terms({r["word"]: idf(r["df"]) * (1.0 if r["differs"] else OTHER) for r in rows}, idf(0) * OTHER)
+    vectors = some.mapInPandas(_vectors(spark.sparkContext.broadcast(terms)), "doc_id long, y int, terms array<long>, weights array<double>").toArrow().to_pylist()
+    inside = [r for r in vectors if r["terms"]]
+    outside = [r["y"] for r in vectors if not r["terms"]]
     plain = (sum(outside) + rate) / (len(outside) + 1) if many else 0.0
-    index = Index([r["doc_id"] for r in inside], [r["y"] for r in inside], [_unit(r["terms"], r["tf"], idf) for r in inside], len(best) + 1)
+    index = Index([r["doc_id"] for r in inside], [r["y"] for r in inside], [(np.array(r["terms"], "int64"), np.array(r["weights"])) for r in inside], len(rows))
     curve = (np.array([0.0]), np.array([plain]))
     if inside:
-        shared = spark.sparkContext.broadcast((index, idf, rate))
-        votes = spark.createDataFrame([(r["doc_id"], r["y"], r["terms"], r["tf"]) for r in inside], "doc_id long, y int, terms array<long>, tf array<long>").repartition(spark.sparkContext.defaultParallelism)
-        seen = votes.mapInPandas(_votes(shared), "y int, vote double").toPandas()
+        shared = spark.sparkContext.broadcast((index, terms, rate))
+        there = some.repartition(spark.sparkContext.defaultParallelism, "doc_id").filter(F.col("doc_id").isin([r["doc_id"] for r in inside]) if outside else F.lit(True))
+        seen = there.mapInPandas(_votes(shared), "y int, vote double").toPandas()
         curve = monotone(seen["vote"].to_numpy(), seen["y"].to_numpy("float64"))
-    some.unpersist()
-    shared = spark.sparkContext.broadcast((index, idf, rate, plain, curve))
-    return shared, at
+    return spark.sparkContext.broadcast((index, terms, rate, plain, curve))
 
 
 def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 3, held_fold: int = 1, threshold: float = 0.7, examples: int = EXAMPLES) -> DataFrame:
     """(doc_id, held_out, score, predicted) and the three nearest examples (ids, labels, similarities) of every row.
 
-    A row's score depends on its text alone (and on the examples, see :func:`train`). A text
-    without any term, empty and null ones included, gets the share of label 1 among examples
-    without a term. Without examples every score is 0.
+    A row's score depends on its text alone (and on the examples, see :func:`train`). A text that
+    shares no term with an example, empty and null ones included, gets the share of label 1 among
+    examples without words. Without examples every score is 0.
     """
-    shared, at = train(docs, labels, doc_id, text, label, folds, held_fold, examples)
+    shared = train(docs, labels, doc_id, text, label, folds, held_fold, examples)
     held = F.coalesce((crc(F.col(doc_id)) % folds) == held_fold, F.lit(False))
     evidence = "score double, evidence_ids array<long>, evidence_labels array<long>, evidence_similarities array<double>"
     source = docs.select(solid(doc_id).alias("doc_id"), held.alias("held_out"), F.col(text).alias("text"))
-    scored = source.mapInPandas(_scores(shared, at), f"doc_id long, held_out boolean, {evidence}")
+    scored = source.mapInPandas(_scores(shared), f"doc_id long, held_out boolean, {evidence}")
     return scored.select(restored("doc_id").alias("doc_id"), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence_ids", "evidence_labels", "evidence_similarities")
 
 
-def _below(shared, terms, text: str, threshold: float):
+def _below(shared, text: str, threshold: float):
     import pyarrow as pa
 
     def run(batches):
         for b in batches:
             texts = pd.DataFrame({"text": b.column(b.schema.get_field_index(text)).to_pylist()})
-            score = next(_scores(shared, terms)(iter([texts])))["score"] if len(texts) else []
+            score = next(_scores(shared)(iter([texts])))["score"] if len(texts) else []
             yield b.filter(pa.array([x < threshold for x in score], pa.bool_()))
 
     return run
@@ -284,5 +286,4 @@ def _below(shared, terms, text: str, threshold: float):
 
 def reject(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.7, **options) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, with all their columns as they are."""
-    shared, at = train(docs, labels, doc_id, text, **options)
-    return docs.mapInArrow(_below(shared, at, text, threshold), docs.schema)
+    return docs.mapInArrow(_below(train(docs, labels, doc_id, text, **options), text, threshold), docs.schema)

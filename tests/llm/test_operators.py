@@ -312,14 +312,73 @@ def test_toxicity(spark, none):
 
 
 def test_toxicity_rare_terms(spark):
-    """A marker in 4 % of the toxic examples is a term; other words count exactly."""
+    """A marker in 4 % of the toxic examples weighs as much as any."""
     rows = [(i, prose(i, 40) + (" vicious" if i % 250 == 0 else " vile rotten" if i % 10 == 0 else "")) for i in range(3000)]
     labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(3000)], "doc_id long, toxic int")
     got = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
     rare = [r for i, r in got.items() if i % 250 == 0 and r.held_out]
     assert rare and all(r.predicted == 1 and r.evidence_labels == [1, 1, 1] for r in rare)
     assert sum(r.predicted for i, r in got.items() if i % 10) == 0
-    assert toxicity.counts("vile a b c d e", {b"vile": 0, toxicity.REST: 1}) == [(0, 1), (1, 5)]
+
+
+def test_toxicity_against_brute_force(spark, monkeypatch):
+    """Scores and evidence of all rows from dense TF-IDF vectors; ties, repeated rows, empty and very long texts."""
+    monkeypatch.setattr(toxicity, "BLOCK", 16)
+    r = np.random.RandomState(12)
+    rows = [(i, prose(i, 5 + i % 40) + (" vileness rotten" if i % 4 == 0 else " lovely" if i % 4 == 1 else ""), "x", 0.5) for i in range(300)]
+    rows += [(300 + i, rows[i % 7][1], "x", 0.5) for i in range(40)] + [(400, None, None, None), (401, "", None, None), (402, "unheard of", None, None), (403, prose(3, 6000) + " vileness", "x", 1.0), (404, "?!", None, None)]
+    rows += [rows[5], (None, rows[8][1], None, None)]
+    labels = [(i, int(i % 4 == 0) ^ int(r.rand() < 0.05)) for i in range(340)] + [(401, 0), (404, 1)]
+    got = toxicity.score(spark.createDataFrame(rows, "doc_id long, text string, lang string, score double"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+
+    text = {i: t or "" for i, t, *_ in rows}
+    taught = sorted(i for i, _ in labels if zlib.crc32(str(i).encode()) % 3 != 1)
+    y = np.array([dict(labels)[i] for i in taught], "float64")
+    n, n1 = len(taught), y.sum()
+    of = lambda t: re.findall(rb"[a-z0-9\x80-\xff]+", t.encode().lower())
+    held = [{w for w in of(text[i])} | {w[:k] + b"*" for k in (5, 7) for w in of(text[i]) if len(w) > k} for i in taught]
+    weight = {}
+    for w in sorted(set().union(*held)):
+        has = np.array([w in h for h in held])
+        a, b = y[has].sum(), has.sum() - y[has].sum()
+        chi2 = n * (a * (n - n1 - b) - b * (n1 - a)) ** 2 / max(has.sum() * (n - has.sum()) * n1 * (n - n1), 1e-9) if has.sum() < n else 0.0
+        differs = has.sum() >= 5 and chi2 >= 28
+        if differs or not w.endswith(b"*"):
+            weight[w] = (math.log((1 + n) / (1 + has.sum())) + 1) * (1.0 if differs else toxicity.OTHER)
+    assert b"vilen*" in weight
+    names = {w: i for i, w in enumerate(weight)}
+
+    def dense(t):
+        v, extra = np.zeros(len(names)), 0.0
+        words = Counter(of(t))
+        tf = Counter({w: m for w, m in words.items() if w in names})
+        for w, m in words.items():
+            tf.update({w[:k] + b"*": m for k in (5, 7) if len(w) > k and w[:k] + b"*" in names})
+            extra += 0 if w in names else ((1 + math.log(m)) * (math.log(1 + n) + 1) * toxicity.OTHER) ** 2
+        for w, m in tf.items():
+            v[names[w]] = (1 + math.log(m)) * weight[w]
+        size = math.sqrt(v @ v + extra)
+        return v / size if size else v
+
+    inside = [k for k, i in enumerate(taught) if of(text[i])]
+    plain = (sum(y[k] for k in range(n) if k not in inside) + n1 / n) / (n - len(inside) + 1)
+    table, ids = np.array([dense(text[taught[k]]) for k in inside]), np.array([taught[k] for k in inside])
+    index = toxicity.Index(ids.tolist(), [int(y[k]) for k in inside], [(np.flatnonzero(v), v[np.flatnonzero(v)]) for v in table], len(names))
+    order = np.array([index.place[i] for i in ids.tolist()])  # ties follow the index
+
+    def nearest(v, skip=None):
+        s = np.round(table @ v, 12)
+        by = [k for k in np.lexsort((order, -s)).tolist() if s[k] > 0 and k != skip][: toxicity.NEAREST]
+        w = 1 / (1.05 - np.minimum(s[by], 1.0))
+        return s[by], by, round(float((w @ y[[inside[k] for k in by]] + n1 / n) / (w.sum() + 1)), 12)
+
+    curve = toxicity.monotone(np.array([nearest(table[k], k)[2] for k in range(len(inside))]), y[inside])
+    for g in got:
+        t = next(x or "" for i, x, *_ in rows if i == g.doc_id)
+        s, by, vote = nearest(dense(t))
+        want = float(np.interp(vote, *curve)) if by else plain
+        assert math.isclose(g.score, min(1.0, max(0.0, want)), abs_tol=1e-7) and g.predicted == int(g.score >= 0.7), g.doc_id
+        assert np.allclose(g.evidence_similarities, s[:3]) and g.evidence_labels == [int(y[inside[k]]) for k in by[:3]]
 
 
 # ------------------------------------------------------------- fingerprints

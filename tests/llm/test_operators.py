@@ -704,6 +704,58 @@ def test_license_notices_without_trigger_words_and_wrapped(spark):
     assert got == {p: (n, False) for p, n, _ in rows}
 
 
+def best_by_brute_force(texts):
+    """Best cosine over every line, paragraph, run of lines and whole text, with all templates, from dense counts."""
+    lines_of = lambda t: [licenses.words_of(x) for x in (t or "").lower().splitlines()]
+    df = Counter(w for t in texts for w in {w for x in lines_of(t) for w in x})
+    vocabulary = {w for _, t in licenses.TEMPLATES for w in licenses.words_of(t)}
+    idf = lambda w: math.log((1 + len(texts)) / (1 + (df[w] if w in vocabulary else 1))) + 1
+
+    def cosine(a, b):
+        x, y = ({w: n * idf(w) for w, n in Counter(z).items()} for z in (a, b))
+        size = math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+        return sum(v * y.get(w, 0) for w, v in x.items()) / size if size else 0.0
+
+    out = []
+    for t in texts:
+        lines, units = lines_of(t), []
+        for i in range(len(lines)):
+            for j in range(i + 1, len(lines) + 1):
+                run = [w for x in lines[i:j] for w in x]
+                if j == i + 1 or len(run) <= licenses.RUN or all(lines[i:j]):
+                    units.append(run)
+        units.append([w for x in lines for w in x])
+        near = [(cosine(u, licenses.words_of(x)), n) for u in units for n, x in licenses.TEMPLATES]
+        named = max(s for s, n in near if n != "proprietary")
+        out.append(named if named >= licenses.LEAST else max(s for s, _ in near))
+    return out
+
+
+def test_license_cosines_against_brute_force(spark):
+    r = np.random.RandomState(7)
+    texts = [None, "", "license", prose(1, 40)]
+    for i in range(14):
+        words = [w for k in r.choice(len(licenses.TEMPLATES), 2) for w in licenses.TEMPLATES[k][1].split() if r.rand() < 0.85] + prose(i, 6).split()
+        cuts = np.sort(r.randint(0, len(words), 5))
+        texts.append("\n".join(" ".join(x) for x in np.split(np.array(words, object), cuts)))
+    files = spark.createDataFrame([(f"/{i}/x", t, "y", 1.5) for i, t in enumerate(texts)], "path string, text string, license string, similarity double")
+    got = {int(r.path.split("/")[1]): r for r in licenses.scan(files).collect()}
+    for i, want in enumerate(best_by_brute_force(texts)):
+        assert (got[i].own_license is not None) == (want >= licenses.LEAST) and (want < licenses.LEAST or abs(got[i].similarity - want) < 1e-9), i
+
+
+def test_real_license_texts_have_their_names(spark):
+    import os
+
+    names = {"Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+    there = [n for n in names if os.path.isfile(f"/usr/share/common-licenses/{n}")]
+    rows = [(f"/{n}/COPYING", open(f"/usr/share/common-licenses/{n}", encoding="utf-8", errors="replace").read()) for n in there]
+    rows += [(f"/{x}/a.py", f"# SPDX-License-Identifier: {x}\n" + prose(1, 200)) for x in ("MIT", "Apache-2.0", "GPL-2.0-or-later", "BSD-2-Clause", "ISC")]
+    names |= {"MIT": "MIT", "GPL-2.0-or-later": "GPL-2.0", "BSD-2-Clause": "BSD-2-Clause", "ISC": "ISC"}
+    got = {r.path: (r.own_license, r.license_file) for r in licenses.detect(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == {p: (names[p.split("/")[1]], p.endswith("COPYING")) for p, _ in rows}
+
+
 # ------------------------------------------------------------- chat
 
 

@@ -37,30 +37,44 @@ def _codes(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.array([ids.setdefault(x, len(ids)) for x in part], "int64") for part in (a, b))
 
 
-def table_of(a: list[str], b: list[str]) -> np.ndarray:
-    """Least edits between all prefixes. A row is filled at once: after substitutions and deletions
-    an insertion run is a running minimum of cost minus column."""
+def _rows(a: list[str], b: list[str]):
+    """Least edits between each prefix of ``a`` and all prefixes of ``b``, with the row before. A row is filled
+    at once: after substitutions and deletions an insertion run is a running minimum of cost minus column."""
     x, y = _codes(a, b)
-    out = np.empty((len(x) + 1, len(y) + 1), "int64")
     column = np.arange(len(y) + 1)
-    out[0] = column
+    last = column
     for i, token in enumerate(x, 1):
-        row = np.minimum(out[i - 1] + 1, np.concatenate([[i], out[i - 1, :-1] + (y != token)]))
-        out[i] = np.minimum.accumulate(row - column) + column
-    return out
+        changed = np.concatenate([[i], last[:-1] + (y != token)])
+        row = np.minimum.accumulate(np.minimum(last + 1, changed) - column) + column
+        yield row, last, changed
+        last = row
+
+
+def edits(a: list[str], b: list[str]) -> int:
+    """Least token edits; two rows are kept."""
+    last = None
+    for last, *_ in _rows(a, b):
+        pass
+    return len(b) if last is None else int(last[-1])
 
 
 def compare(reference: list[str], output: list[str]) -> dict[str, int]:
-    """Edits of a cheapest path; going back it prefers a match or substitution, then a deletion."""
-    costs = table_of(reference, output)
+    """Edits of a cheapest path; going back it prefers a match or substitution, then a deletion.
+
+    Of the table only two bits a cell are kept: whether either of these reaches it.
+    """
+    across, down, last = [], [], None
+    for last, before, changed in _rows(reference, output):
+        across.append(np.packbits(last == changed))
+        down.append(np.packbits(last == before + 1))
     i, j = len(reference), len(output)
-    n = dict(reference_words=i, output_words=j, edits=int(costs[i, j]), matches=0, substitutions=0, deletions=0, insertions=0)
+    n = dict(reference_words=i, output_words=j, edits=j if last is None else int(last[-1]), matches=0, substitutions=0, deletions=0, insertions=0)
+    bit = lambda rows: i and rows[i - 1][j >> 3] >> (7 - (j & 7)) & 1
     while i or j:
-        same = i and j and reference[i - 1] == output[j - 1]
-        if i and j and costs[i, j] == costs[i - 1, j - 1] + (not same):
-            n["matches" if same else "substitutions"] += 1
+        if i and j and bit(across):
+            n["matches" if reference[i - 1] == output[j - 1] else "substitutions"] += 1
             i, j = i - 1, j - 1
-        elif i and costs[i, j] == costs[i - 1, j] + 1:
+        elif i and bit(down):
             n["deletions"] += 1
             i -= 1
         else:
@@ -82,7 +96,7 @@ def units(text: pd.Series, language: pd.Series) -> pd.Series:
 @F.pandas_udf(T.IntegerType())
 def distance(reference: pd.Series, output: pd.Series) -> pd.Series:
     """Least token edits between two arrays."""
-    return pd.Series([int(table_of(list(a), list(b))[-1, -1]) for a, b in zip(reference, output)], dtype="int32")
+    return pd.Series([edits(list(a), list(b)) for a, b in zip(reference, output)], dtype="int32")
 
 
 METRICS = T.StructType([T.StructField(n, T.IntegerType()) for n in ("reference_words", "output_words", "edits", "matches", "substitutions", "deletions", "insertions")])

@@ -15,27 +15,37 @@ JOB = "id string, project string, kind string, status string, stage string, prog
 
 
 class Store:
-    """Snapshot directories below ``root``, on any file system that Spark writes; ``current`` names the newest of a table."""
+    """Snapshot directories below ``root``, on any file system that Spark writes; the last numbered pointer names the newest of a table."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _pointer(self, name: str) -> str:
-        return f"{self.root}/{name}/current"
+    def _pointers(self, name: str) -> list[str]:
+        """Finished pointers of a table, oldest first: numbered folders, none of which is ever overwritten."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/pointers")
+        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(folder):
+            return []
+        done = lambda p: fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
+        return sorted(s.getPath().getName() for s in fs.listStatus(folder) if done(s.getPath()))
 
     def read(self, name: str, schema: str) -> DataFrame:
-        fs = self.spark._jvm.org.apache.hadoop.fs.Path(self._pointer(name))
-        if not fs.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(fs):
+        pointers = self._pointers(name)
+        if not pointers:
             return self.spark.createDataFrame([], schema)
-        at = self.spark.read.json(self._pointer(name), schema="snapshot string").first()["snapshot"]
+        at = self.spark.read.json(f"{self.root}/{name}/pointers/{pointers[-1]}", schema="snapshot string").first()["snapshot"]
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/{at}")
 
     def write(self, name: str, rows: DataFrame, partition: list[str] | None = None, order: list[str] | None = None) -> None:
-        """Rows of a partition lie together and in order, so that readers of one project or time range skip the rest."""
+        """Rows of a partition lie together and in order, so that readers of one project or time range skip the rest.
+
+        Readers see the old snapshot until the next pointer is whole; a write that breaks off leaves it in force.
+        """
         at = f"snapshot-{uuid.uuid4().hex}"
         out = rows.sortWithinPartitions(*order) if order else rows
         (out.write.partitionBy(*partition) if partition else out.write).parquet(f"{self.root}/{name}/{at}")
-        self.spark.createDataFrame([(at,)], "snapshot string").coalesce(1).write.mode("overwrite").json(self._pointer(name))
+        number = int(self._pointers(name)[-1][:12]) + 1 if self._pointers(name) else 0
+        self.spark.createDataFrame([(at,)], "snapshot string").coalesce(1).write.json(f"{self.root}/{name}/pointers/{number:012d}-{uuid.uuid4().hex[:8]}")
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -54,9 +64,10 @@ def replace_cues(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def checked(cues: DataFrame) -> DataFrame:
-    """Cues with some text and an end after their start; a row that hasn't fails the job."""
+    """Cues with some text and an end after their start; a row that hasn't fails the job, whichever columns are read later."""
     good = (F.length(F.trim("text")) > 0) & (F.col("end") > F.col("start"))
-    return cues.withColumn("text", F.when(F.coalesce(good, F.lit(False)), F.col("text")).otherwise(F.raise_error(F.concat(F.lit("invalid cue "), F.coalesce("id", F.lit("?"))))))
+    wrong = F.raise_error(F.concat(F.lit("invalid cue "), F.coalesce("id", F.lit("?")))).cast("boolean")
+    return cues.filter(F.when(F.coalesce(good, F.lit(False)), F.lit(True)).otherwise(wrong))
 
 
 def update_cues(old: DataFrame, changes: DataFrame) -> DataFrame:

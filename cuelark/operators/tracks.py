@@ -199,10 +199,29 @@ def warnings(entries: DataFrame, keys: list[str]) -> DataFrame:
     return entries.groupBy(*keys).agg(F.filter(F.array(several, unknown), lambda m: m.isNotNull()).alias("warnings"))
 
 
-def first_free_name(stem: str, taken: DataFrame, most: int = 1000) -> DataFrame:
-    """stem, stem-2, stem-3, ...: the first that isn't taken."""
-    names = taken.sparkSession.range(1, most + 1).select("id", F.when(F.col("id") == 1, F.lit(stem)).otherwise(F.concat(F.lit(f"{stem}-"), F.col("id").cast("string"))).alias("name"))
-    return names.join(taken, "name", "left_anti").orderBy("id").limit(1).select("name")
+def first_free_names(stems: DataFrame, taken: DataFrame, most: int = 10_000) -> DataFrame:
+    """(stem, name): stem, stem-2, stem-3, ...: the first that no row (name) of ``taken`` has; none up to ``most`` fails the job.
+
+    The numbers taken of a stem are counted up to the first gap; no range of candidates is expanded.
+    """
+    number = F.coalesce(F.regexp_extract("name", r"^.*-([1-9][0-9]{0,8})$", 1).try_cast("int"), F.lit(0))
+    numbered = taken.select(F.regexp_replace("name", r"-[1-9][0-9]{0,8}$", "").alias("stem"), number.alias("n")).filter("n > 1")
+    used = numbered.unionByName(taken.select(F.col("name").alias("stem"), F.lit(1).alias("n"))).distinct()
+    run = used.withColumn("place", F.row_number().over(Window.partitionBy("stem").orderBy("n"))).filter("n = place").groupBy("stem").agg(F.max("n").alias("last"))
+    free = F.coalesce("last", F.lit(0)) + 1
+    name = F.when(free == 1, F.col("stem")).otherwise(F.concat("stem", F.lit("-"), free.cast("string")))
+    return stems.select("stem").distinct().join(run, "stem", "left").filter(F.when(free <= most, F.lit(True)).otherwise(F.raise_error(F.lit("no free name")).cast("boolean"))).select("stem", name.alias("name"))
+
+
+def field_is(body: Column, path: str, value: str) -> Column:
+    """Rows whose JSON body holds this value under a path like ``$.a.b``; a missing field is no match."""
+    return F.coalesce(F.get_json_object(body, path) == value, F.lit(False))
+
+
+def by_score(values: Column, score) -> Column:
+    """An array ordered by descending score; equal scores keep their order."""
+    marked = F.transform(values, lambda x, i: F.struct((-score(x)).alias("s"), i.alias("i"), x.alias("x")))
+    return F.transform(F.array_sort(marked), lambda r: r["x"])
 
 
 # ------------------------------------------------------------- orders and pages

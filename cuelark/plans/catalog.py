@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring, text
 from ..operators import intervals, media, sequence, signal, store, tracks
-from ..sources import subtitles
+from ..sources import records, subtitles
 from ..streaming import feeds
 from .inputs import CUES, SPOKEN, TRANSLATIONS, WORDS, cues, spoken, table, translations, words
 
@@ -189,9 +189,16 @@ def difference_grid(spark, d):
     return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("cell")).distinct().exceptAll(table(spark, d, "supplier").filter("s_suppkey % 2 = 0").select("s_suppkey"))
 
 
-@query("select 'clip-2' as name")
+_TAKEN = "taken as (select n_name as name from nation where n_nationkey % 4 <> 3 union all select n_name || '-' || k from nation, range(2, 9) t(k) where k < n_nationkey % 9 or (k = 8 and n_nationkey % 2 = 0))"
+
+
+@query(f"""with {_TAKEN}, every as (select n_name as stem, k, case when k = 1 then n_name else n_name || '-' || k end as name from nation, range(1, 20) t(k))
+select stem, arg_min(name, k) as name from every where name not in (select name from taken) group by stem""")
 def first_free_name(spark, d):
-    return tracks.first_free_name("clip", table(spark, d, "region").filter("r_regionkey = 0").select(F.lit("clip").alias("name")))
+    n = table(spark, d, "nation").select(F.col("n_name").alias("stem"), "n_nationkey")
+    more = n.select("stem", "n_nationkey", F.explode(F.sequence(F.lit(2), F.lit(8))).alias("k")).filter("k < n_nationkey % 9 or (k = 8 and n_nationkey % 2 = 0)")
+    taken = n.filter("n_nationkey % 4 <> 3").select(F.col("stem").alias("name")).unionByName(more.select(F.concat("stem", F.lit("-"), F.col("k").cast("string")).alias("name")))
+    return tracks.first_free_names(n, taken)
 
 
 # ------------------------------------------------------------- store
@@ -273,7 +280,11 @@ def monotone_progress(spark, d):
     return feeds.monotone(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], "value").select("event_id", F.round("value", 6).alias("value"))
 
 
-@query()
+@query("""with recursive s as (select event_id, user_id, event_type, epoch_us(ts) / 3.6e9::double as hour, row_number() over (partition by user_id order by ts, event_id) as n from events),
+g as (select user_id, n, event_id, hour as passed_at, event_type as status, true as passed from s where n = 1
+  union all select s.user_id, s.n, s.event_id, case when p then s.hour else g.passed_at end, case when p then s.event_type else g.status end, p
+  from g join s on s.user_id = g.user_id and s.n = g.n + 1, lateral (select s.hour - g.passed_at >= 0.5::double or s.event_type <> g.status as p))
+select event_id from g where passed""")
 def throttled_progress(spark, d):
     log = table(spark, d, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("us"), F.col("event_type").alias("status")).withColumn("at", F.col("us") / 3.6e9)
     return sequence.fold(log, ["user_id"], ["at", "event_id"], feeds.Throttle, "passed", least=0.5, on_change=True).filter("passed = 1").select("event_id")
@@ -338,8 +349,9 @@ def transcript_blocks(spark, d):
     return sequence.transcript_blocks(cues(spark, d).filter("language <> 'system'").withColumn("language", F.lit("en"))).select("track", "id", "block")
 
 
-@query()
+@query(f"with {WORDS} select track, count(*) as words from words group by track")
 def dedup_words(spark, d):
+    """A tenth of the words is heard again by the next chunk, .01 s later; what is left are the words themselves."""
     w = words(spark, d)
     again = w.filter("pos % 50 < 5").withColumn("chunk", F.col("chunk") + 1).withColumn("start", F.col("start") + 0.01)
     return sequence.dedup_words(w.unionByName(again)).groupBy("track").agg(F.count(F.lit(1)).alias("words"))
@@ -565,3 +577,211 @@ def first_of_each_source(spark, d):
 def segments_to_do(spark, d):
     s = table(spark, d, "documents").select((F.col("doc_id") % 40).alias("track"), F.floor(F.col("doc_id") / 40).alias("segment"))
     return feeds.new_segments(s, s.filter("segment % 2 = 0 or track % 4 = 0").withColumn("complete", F.col("track") % 4 == 0))
+
+
+# ------------------------------------------------------------- tables of small, whole texts
+
+
+_CAPTIONS = """captions as (select 'p' as project, n_regionkey as track, n_nationkey * 1.5::double as start, n_nationkey * 1.5::double + 1 as stop, n_name as text, 'c' || lpad(n_nationkey::varchar, 3, '0') as id, 'en' as language from nation)"""
+_SHOWN = "printf('%02d:%02d:%02d,%03d', {x} // 3600000, {x} // 60000 % 60, {x} // 1000 % 60, {x} % 1000)"
+
+
+def captions(spark, d):
+    n, at = table(spark, d, "nation"), F.col("n_nationkey") * 1.5
+    return n.select(F.lit("p").alias("project"), F.col("n_regionkey").cast("int").alias("track"), at.alias("start"), (at + 1).alias("end"), F.col("n_name").alias("text"), F.concat(F.lit("c"), F.lpad(F.col("n_nationkey").cast("string"), 3, "0")).alias("id"), F.lit("en").alias("language"))
+
+
+@query(f"""with {_CAPTIONS}, n as (select *, row_number() over (partition by track order by start) as k, (start * 1000)::bigint as a, (stop * 1000)::bigint as b from captions)
+select track, string_agg(k || chr(10) || {_SHOWN.format(x="a")} || ' --> ' || {_SHOWN.format(x="b")} || chr(10) || text || chr(10), chr(10) order by start) as text from n group by track""")
+def caption_files(spark, d):
+    return subtitles.srt_text(captions(spark, d)).select("track", "text")
+
+
+@query(f"""with {_CAPTIONS}, c as (select *, case when start - lag(stop) over (partition by track order by start) <= 3 then 0 else 1 end as new from captions),
+b as (select *, sum(new) over (partition by track order by start) as block from c), t as (select track, block, string_agg(text, ' ' order by start) as said from b group by track, block)
+select track, string_agg(said, chr(10) || chr(10) order by block) || chr(10) as text from t group by track""")
+def caption_transcripts(spark, d):
+    return subtitles.transcript_text(captions(spark, d)).select("track", "text")
+
+
+@query(f"""with {_CAPTIONS}, e as (select 'p' as project, '{{"info":{{"project":"p"}},"cues":[' || string_agg('{{"track":' || track || ',"start":' || start || ',"end":' || stop || ',"id":"' || id || '","text":"' || text || '","language":"en"}}', ',' order by track, start) || ']}}' as body from captions)
+select project, body from e""")
+def caption_backup(spark, d):
+    c = captions(spark, d)
+    return subtitles.backup(c.select("project").distinct(), c)
+
+
+@query("select p_partkey, string_split(lower(p_name), ' ') as tokens, string_split(lower(p_name), ' ') as units from part")
+def name_tokens(spark, d):
+    return table(spark, d, "part").select("p_partkey", scoring.tokens("p_name").alias("tokens"), scoring.units("p_name", F.lit("en")).alias("units"))
+
+
+@query("select c_custkey, levenshtein(c_name, s_name) as edits, length(c_name) as reference_tokens from customer join supplier on s_suppkey = 1 + c_custkey % 100")
+def token_distance(spark, d):
+    """Substitutions, deletions and insertions: characters as tokens."""
+    s = table(spark, d, "supplier").select("s_suppkey", "s_name")
+    pairs = table(spark, d, "customer").join(s, F.col("s_suppkey") == 1 + F.col("c_custkey") % 100)
+    return pairs.select("c_custkey", scoring.distance(F.split("c_name", ""), F.split("s_name", "")).alias("edits"), F.length("c_name").alias("reference_tokens"))
+
+
+# ------------------------------------------------------------- projects, jobs and caches
+
+
+@query("""select k as fingerprint, case when k <= 60 then 'old' else 'new' end || k as id, case when k <= 40 then 'x' else 'y' end as name, case when k <= 60 then 1.0 else 2.0 end::double as created, case when k <= 60 then 'a' else 'b' end as audio_tracks from (select s_suppkey as k from supplier)""")
+def create_projects(spark, d):
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("fingerprint"))
+    made = lambda rows, at, *x: rows.select("fingerprint", F.concat(F.lit(x[0]), F.col("fingerprint").cast("string")).alias("id"), F.lit(x[1]).alias("name"), F.lit(at).alias("created"), F.lit(x[2]).alias("audio_tracks"))
+    return store.create_project(made(s.filter("fingerprint <= 60"), 1.0, "old", "x", "a"), made(s.filter("fingerprint > 40"), 2.0, "new", "y", "b"))
+
+
+@query("select event_id, case event_id % 4 when 3 then 'done' else 'paused' end as status from events")
+def jobs_after_restart(spark, d):
+    status = F.get(F.array(*[F.lit(x) for x in ("queued", "running", "pausing", "done")]), (F.col("event_id") % 4).cast("int"))
+    return store.after_restart(table(spark, d, "events").select("event_id", status.alias("status")))
+
+
+@query("select p_partkey as key from part where p_partkey % 5 <> 0 and p_partkey % 7 <> 0")
+def cache_hits(spark, d):
+    p, k = table(spark, d, "part"), F.col("p_partkey")
+    cache = p.select(k.alias("key"), F.col("p_size").alias("size"), F.struct(F.col("p_brand").alias("brand")).alias("metadata"))
+    wanted = p.select(k.alias("key"), (F.col("p_size") + (k % 5 == 0).cast("int")).alias("size"), F.struct(F.when(k % 7 == 0, "else").otherwise(F.col("p_brand")).alias("brand")).alias("metadata"))
+    return store.still_cached(cache, wanted).select("key")
+
+
+@query(f"with {CUES} select id, case when track % 2 = 0 then 'Check wording,Fast' else 'Fast' end as flags, false as edited from cues")
+def migrated_cues(spark, d):
+    flags = F.when(F.col("track") % 2 == 0, F.array(F.lit("Check translation"), F.lit("Fast"))).otherwise(F.array(F.lit("Fast")))
+    old = cues(spark, d).select("id", flags.alias("flags"), F.lit("s").alias("speaker"))
+    return store.migrate(old).select("id", F.array_join("flags", ",").alias("flags"), "edited")
+
+
+@query("select o_orderkey, case when o_orderkey % 3 = 0 then 'kept' else o_orderpriority end as o_orderpriority from orders")
+def overlaid_columns(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderpriority")
+    old = o.filter("o_orderkey % 2 = 0 or o_orderkey % 3 = 0").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, "kept").alias("o_orderpriority"))
+    return tracks.overlaid(o, old, "o_orderkey", ["o_orderpriority"])
+
+
+@query("select s_suppkey, case s_suppkey % 4 when 1 then 'new,b,c' when 2 then 'a,new,c' when 3 then 'a,b,new' else 'a,b,c' end as names from supplier")
+def track_replaced(spark, d):
+    make = lambda i, n: F.struct(F.lit(i).alias("stream_index"), F.lit(n).alias("name"))
+    at = (F.col("s_suppkey") % 4).cast("int")
+    made = tracks.replaced_track(F.array(make(1, "a"), make(2, "b"), make(3, "c")), at, F.struct(at.alias("stream_index"), F.lit("new").alias("name")))
+    return table(spark, d, "supplier").select("s_suppkey", F.array_join(F.transform(made, lambda t: t["name"]), ",").alias("names"))
+
+
+@query(f"with {CUES} select id from cues where track = 3")
+def cues_of_track(spark, d):
+    return tracks.of_track(cues(spark, d), 3).select("id")
+
+
+@query("select user_id, event_id from (select *, min(case when event_type = 'purchase' then event_id end) over (partition by user_id) as first from events) where first is null or event_id <= first")
+def rows_until_final(spark, d):
+    log = table(spark, d, "events").select("user_id", "event_id", F.when(F.col("event_type") == "purchase", "done").otherwise("running").alias("status"))
+    return feeds.until_final(log, ["user_id"], ["event_id"]).select("user_id", "event_id")
+
+
+@query("""select event_id, round(case event_id % 4 when 0 then v * 0.05::double when 1 then 0.05::double + v * 0.85::double when 2 then 0.9::double + v * 0.08::double else v * 0.98::double end, 6) as progress from (select event_id, (event_id % 101) / 100.0::double as v from events)""")
+def staged_progress(spark, d):
+    stage = F.get(F.array(*[F.lit(x) for x in ("prepare", "recognize", "recover", "translate")]), (F.col("event_id") % 4).cast("int"))
+    return table(spark, d, "events").select("event_id", F.round(feeds.staged((F.col("event_id") % 101) / 100.0, stage), 6).alias("progress"))
+
+
+# ------------------------------------------------------------- documents, probes and lines
+
+
+@query("""select doc_id % 20 as track, array_to_string(list_sort(list_distinct(list(lang))), ',') as languages, string_agg(lang, ',' order by lpad(doc_id::varchar, 9, '0')) as timeline from documents where lang is not null group by 1""")
+def language_timelines(spark, d):
+    docs = table(spark, d, "documents").filter("lang is not null")
+    part = F.struct(F.lit(0.0).alias("start"), F.lit(1.0).alias("end"), F.col("lang").alias("language"), F.lit(0.5).alias("score"))
+    chunks = docs.select((F.col("doc_id") % 20).alias("track"), F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("file"), F.array(part).alias("languages"))
+    made = records.language_timeline(chunks)
+    return made.select("track", F.array_join("languages", ",").alias("languages"), F.array_join(F.transform("timeline", lambda x: x["language"]), ",").alias("timeline"))
+
+
+def _probes(spark, d):
+    k = F.col("p_partkey")
+    streams = F.format_string('[{"index":0,"codec_type":"video","duration":"%d.5"},{"index":1,"codec_type":"audio","duration":"%d.25"},{"index":2,"codec_type":"audio"},{"index":3,"codec_type":"video","disposition":{"attached_pic":1}}]', k, k + 1)
+    body = F.concat(F.lit('{"format":'), F.when(k % 2 == 0, F.format_string('{"duration":"%d.75"}', k)).otherwise("{}"), F.lit(',"streams":'), streams, F.lit("}"))
+    return table(spark, d, "part").select(k.cast("string").alias("path"), body.alias("body"))
+
+
+@query("select p_partkey::varchar as path, case when p_partkey % 2 = 0 then p_partkey + 0.75 else p_partkey + 1.25 end::double as duration from part")
+def probe_durations(spark, d):
+    return media.durations(_probes(spark, d))
+
+
+@query("select p_partkey::varchar as path, s as index, o as ordinal from part, (values (0, 0), (1, 0), (2, 1)) t(s, o)")
+def probe_streams(spark, d):
+    return media.streams(_probes(spark, d)).select("path", "index", "ordinal")
+
+
+@query("select count(*) filter (event_id % 5 <> 0) as good, count(*) filter (event_id % 5 = 0) as bad, round(sum(case when event_id % 5 <> 0 then (event_id % 100) / 100.0::double end), 4) as progress from events")
+def event_lines(spark, d):
+    line = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("frame "), F.col("event_id").cast("string"))).otherwise(F.format_string('{"type":"progress","track":%d,"progress":%s}', F.col("event_id"), ((F.col("event_id") % 100) / 100.0).cast("string")))
+    good, bad = records.event_lines(table(spark, d, "events").select(line.alias("value")))
+    return good.agg(F.count(F.lit(1)).alias("good"), F.round(F.sum("progress"), 4).alias("progress")).join(bad.agg(F.count(F.lit(1)).alias("bad")))
+
+
+@query("select o_orderkey, case when o_orderkey % 3 <> 0 then round(least(0.96::double, greatest(0.0, o_orderkey * 1000 / 1e6::double / 4)), 6) end as progress from orders")
+def encoder_lines(spark, d):
+    line = F.when(F.col("o_orderkey") % 3 == 0, F.lit("speed=1.0x")).otherwise(F.concat(F.lit("out_time_us="), (F.col("o_orderkey") * 1000).cast("string")))
+    return table(spark, d, "orders").select("o_orderkey", F.round(records.encoder_progress(line, F.lit(4.0)), 6).alias("progress"))
+
+
+@query("select p_name as name, p_size * 100.0::double as total_mb, p_size * 1.0::double as used_mb, (p_partkey % 100)::double as load from part")
+def device_lines(spark, d):
+    size = F.col("p_size")
+    line = F.concat_ws(", ", "p_name", (size * 100).cast("string"), size.cast("string"), (F.col("p_partkey") % 100).cast("string"))
+    return records.gpu_rows(table(spark, d, "part").select(line.alias("value")))
+
+
+@query("select o_orderkey, least(a, 400) as begin, least(400, least(a, 400) + case when b > 0 then b else 400 end) as stop from (select o_orderkey, (o_orderkey % 390)::double as a, (o_orderkey % 50)::double as b from orders)")
+def processed_ranges(spark, d):
+    r = text.processed_range((F.col("o_orderkey") % 390).cast("double"), (F.col("o_orderkey") % 50).cast("double"), F.lit(400.0))
+    return table(spark, d, "orders").select("o_orderkey", r.alias("r")).select("o_orderkey", "r.begin", F.col("r.end").alias("stop"))
+
+
+@query("select doc_id, doc_id % 4 = 1 as good from documents")
+def output_paths(spark, d):
+    k = F.col("doc_id") % 4
+    target = F.when(k == 0, "v/a.mkv").when(k == 1, "/v/a.MKV").when(k == 2, "/v/a.txt").otherwise("/v/source.mkv")
+    return table(spark, d, "documents").select("doc_id", media.output_allowed(target, F.lit("/v/source.mkv"), [".mkv", ".mp4"]).alias("good"))
+
+
+@query("select doc_id, contains('|' || case when doc_id % 2 = 0 then 'en' else 'fr' end || '|', '|en|') as hit from documents")
+def nested_field(spark, d):
+    body = F.concat(F.lit('{"job":{"language":"'), F.when(F.col("doc_id") % 2 == 0, "en").otherwise("fr"), F.lit('"}}'))
+    return table(spark, d, "documents").select("doc_id", tracks.field_is(body, "$.job.language", "en").alias("hit"))
+
+
+@query("""select doc_id, string_agg(name, ',' order by score desc, i) as names from (select doc_id, unnest(['a', 'b', 'c', 'd']) as name, unnest([n_chars % 3, n_chars % 2, n_chars % 5, n_chars % 2]) as score, unnest([1, 2, 3, 4]) as i from documents) group by doc_id""")
+def stable_scores(spark, d):
+    n = F.col("n_chars")
+    pairs = F.array(*[F.struct(F.lit(x).alias("name"), (n % m).alias("score")) for x, m in (("a", 3), ("b", 2), ("c", 5), ("d", 2))])
+    return table(spark, d, "documents").select("doc_id", F.array_join(F.transform(tracks.by_score(pairs, lambda p: p["score"]), lambda p: p["name"]), ",").alias("names"))
+
+
+@query("select l_orderkey, l_linenumber, round(l_quantity / greatest(l_tax * power(10, l_linenumber / 20.0::double), 1e-8::double), 4) as scale from lineitem")
+def noise_scales(spark, d):
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(text.noise_scale(F.col("l_quantity").cast("double"), F.col("l_tax").cast("double"), F.col("l_linenumber")), 4).alias("scale"))
+
+
+@query("select doc_id, case when doc_id % 3 = 0 then 'deu' when doc_id % 3 = 1 then 'fra' else 'und' end as tag, case when doc_id % 3 = 0 then 'German' when doc_id % 3 = 1 then 'French' else 'zz' end as name from documents")
+def language_tags(spark, d):
+    code = F.when(F.col("doc_id") % 3 == 0, "de").when(F.col("doc_id") % 3 == 1, "fr").otherwise("zz")
+    return table(spark, d, "documents").select("doc_id", text.language_tag(code).alias("tag"), text.language_name(code).alias("name"))
+
+
+@query("select n_nationkey, replace(n_name, 'A', '&') as plain from nation")
+def entities(spark, d):
+    return table(spark, d, "nation").select("n_nationkey", text.unescape(F.replace("n_name", F.lit("A"), F.lit("&amp;"))).alias("plain"))
+
+
+@query("select r_regionkey, substr('abcdefgh', 1 + r_regionkey, 2) as first, 4 as cues, 'abcdefghijkl' as whole from region")
+def dealt_translations(spark, d):
+    """Twelve words dealt to four cues of equal length: three words each; the rotation of the alphabet tells rows apart."""
+    letters = F.concat_ws(" ", *[F.lit(c) for c in "abcdefghijkl"])
+    made = sequence.distribute(table(spark, d, "region").select("r_regionkey", letters.alias("text"), F.array(*[F.lit(1.0)] * 4).alias("durations"), F.lit("de").alias("target")))
+    whole = F.replace(F.array_join("pieces", " "), F.lit(" "), F.lit(""))
+    return made.select("r_regionkey", F.substr(whole, (F.col("r_regionkey") + 1).cast("int"), F.lit(2)).alias("first"), F.size("pieces").alias("cues"), whole.alias("whole"))

@@ -24,11 +24,12 @@ def read_srt(files: DataFrame, codec: str = "subrip") -> DataFrame:
     parts = block.select("project", "track", "language", "index", F.get(lines, at).alias("timing"), F.array_join(F.slice(lines, at + 2, F.size(lines)), "\n").alias("styled_text"))
     good = F.coalesce(F.col("timing").rlike(TIMING), F.lit(False))
     start, end = (clock(F.regexp_extract("timing", TIMING, i)) for i in (1, 2))
-    timed = parts.select("project", "track", "language", "index", "styled_text", F.when(good, start).otherwise(F.raise_error(F.lit("unreadable subtitle timing"))).alias("start"), end.alias("end"))
+    # checks are filters: no choice of columns later on removes them
+    timed = parts.filter(F.when(good, F.lit(True)).otherwise(F.raise_error(F.lit("unreadable subtitle timing")).cast("boolean"))).select("project", "track", "language", "index", "styled_text", start.alias("start"), end.alias("end"))
     plain = timed.withColumn("text", strip(unescape(without_markup(F.col("styled_text"))))).filter(F.length("text") > 0)
-    checked = F.when(F.col("end") > F.col("start"), F.col("end")).otherwise(F.raise_error(F.lit("a subtitle ends before it starts")))
-    return plain.select(
-        stable_id(F.col("project"), F.col("track"), F.col("start"), F.col("index")).alias("id"), "project", "track", "start", checked.alias("end"), "text", F.col("text").alias("raw_text"), "styled_text", "language",
+    checked = F.when(F.col("end") > F.col("start"), F.lit(True)).otherwise(F.raise_error(F.lit("a subtitle ends before it starts")).cast("boolean"))
+    return plain.filter(checked).select(
+        stable_id(F.col("project"), F.col("track"), F.col("start"), F.col("index")).alias("id"), "project", "track", "start", "end", "text", F.col("text").alias("raw_text"), "styled_text", "language",
         F.array().cast("array<string>").alias("flags"), F.lit(False).alias("reviewed"), F.lit(False).alias("edited"), F.lit(f"Imported from embedded {codec.upper()} subtitles").alias("verification"), F.lit("embedded").alias("source_kind"),
     )
 

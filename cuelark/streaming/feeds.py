@@ -50,20 +50,25 @@ def until_final(log: DataFrame, keys: list[str], order: list[str], status: str =
     return log.withColumn("ended", ended).filter("ended = 0").drop("ended")
 
 
-def changes_stream(stream: DataFrame, key: str, value: str) -> DataFrame:
-    """:func:`changes` of a stream of (key string, value string), with the last value as state."""
+def changes_stream(stream: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """:func:`changes` of a stream of (key string, order long, value string), with the last row passed on as state.
+
+    Rows of a micro-batch are put in order; a row that comes after a later one was passed on is old news and goes.
+    """
 
     def step(k, batches, state):
-        last, out = (state.get[0], []) if state.exists else (None, [])
-        for b in batches:
-            for v in b[value]:
-                if v != last:
-                    out.append((k[0], v))
-                    last = v
-        state.update((last,))
-        yield pd.DataFrame(out, columns=[key, value])
-
-    return stream.groupBy(key).applyInPandasWithState(step, f"{key} string, {value} string", "last string", "append", "NoTimeout")
+        at, last = state.get if state.exists else (None, None)
+        rows, out = pd.concat(list(batches), ignore_index=True).sort_values(order, kind="stable"), []
+        for n, v in zip(rows[order], rows[value]):
+            if at is not None and n <= at:
+                continue
+            if at is None or v != last:
+                out.append((k[0], n, v))
+            at, last = int(n), v
+        state.update((at, last))
+        yield pd.DataFrame(out, columns=[key, order, value])
+
+    return stream.groupBy(key).applyInPandasWithState(step, f"{key} string, {order} long, {value} string", "at long, last string", "append", "NoTimeout")
 
 
 class Throttle:

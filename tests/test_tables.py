@@ -175,11 +175,50 @@ def test_streams(spark, tmp_path):
 
 def test_change_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "y"), ("a", "z")], "k string, v string").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
-    s = feeds.changes_stream(spark.readStream.schema("k string, v string").json(str(tmp_path / "in")), "k", "v")
+    spark.createDataFrame([("a", 5, "z"), ("a", 1, "x"), ("b", 2, "y"), ("a", 3, "x")], "k string, n long, v string").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    s = feeds.changes_stream(spark.readStream.schema("k string, n long, v string").json(str(tmp_path / "in")), "k", "n", "v")
     q = s.writeStream.format("memory").queryName("changed").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
-    assert sorted((r.k, r.v) for r in spark.table("changed").collect()) == [("a", "x"), ("a", "z"), ("b", "y")]
+    assert sorted((r.k, r.n, r.v) for r in spark.table("changed").collect()) == [("a", 1, "x"), ("a", 5, "z"), ("b", 2, "y")]
+
+
+def test_checks_hold_whatever_is_selected(spark):
+    import pytest
+    from cuelark.operators import store
+    from cuelark.sources import subtitles
+
+    cue = spark.createDataFrame([("c", "text", 1.0, 0.5)], "id string, text string, start double, end double")
+    for columns in (["id"], ["end"], ["text"]):
+        with pytest.raises(Exception, match="invalid cue c"):
+            store.checked(cue).select(*columns).collect()
+    bad = lambda t: spark.createDataFrame([("p", 0, "en", t)], "project string, track int, language string, text string")
+    with pytest.raises(Exception, match="ends before it starts"):
+        subtitles.read_srt(bad("1\n00:00:05,000 --> 00:00:01,000\nhello")).select("text").collect()
+    with pytest.raises(Exception, match="unreadable subtitle timing"):
+        subtitles.read_srt(bad("1\nsoon\nhello")).select("text").collect()
+
+
+def test_a_broken_write_leaves_the_old_snapshot(spark, tmp_path):
+    from cuelark.operators.store import Store
+
+    store = Store(spark, str(tmp_path))
+    for n in range(3):
+        store.write("t", spark.range(n + 1))
+    (tmp_path / "t" / "pointers" / "000000000009-half").mkdir()  # a pointer without its mark
+    assert store.read("t", "id long").count() == 3
+    store.write("t", store.read("t", "id long").filter("id > 0"))
+    assert store.read("t", "id long").count() == 2 and store.read("none", "id long").count() == 0
+
+
+def test_first_free_names(spark):
+    import pytest
+    from cuelark.operators import tracks
+
+    stems = spark.createDataFrame([("a",), ("b",), ("c-1",), ("d",)], "stem string")
+    taken = spark.createDataFrame([("a",), ("a-2",), ("a-4",), ("c-1",), ("b-2",), ("d",), ("d-2",), ("d-2",), ("d-03",)], "name string")
+    assert {r.stem: r.name for r in tracks.first_free_names(stems, taken).collect()} == {"a": "a-3", "b": "b", "c-1": "c-1-2", "d": "d-3"}
+    with pytest.raises(Exception, match="no free name"):
+        tracks.first_free_names(stems, taken, most=2).collect()
 
 
 def test_segments(spark):

@@ -116,3 +116,43 @@ def test_distance_matches_plain_table():
 def test_repetitive(spark, value, loops):
     row = spark.createDataFrame([(value,)], "t string").select(scoring.repetitive("t").alias("x")).first()
     assert row.x is loops
+
+
+def test_long_texts_are_compared_in_little_memory():
+    import random
+
+    from cuelark.functions import scoring
+
+    r = random.Random(3)
+    a = [f"w{r.randint(0, 50)}" for _ in range(3000)]
+    b = [x for x in a if r.random() > 0.1] + ["end"] * 7
+    m = scoring.compare(a, b)
+    assert m["edits"] == scoring.edits(a, b) == m["substitutions"] + m["deletions"] + m["insertions"]
+    assert m["matches"] + m["substitutions"] + m["deletions"] == 3000 and m["matches"] + m["substitutions"] + m["insertions"] == len(b)
+    assert scoring.edits([], ["x"]) == 1 and scoring.edits(["x"], []) == 1 and scoring.compare([], ["x"])["insertions"] == 1
+
+
+def test_shares_of_translations():
+    from cuelark.operators.sequence import cut_points, shares
+
+    assert shares("one two three four", [1.0, 1.0], "de") == ["one two", "three four"]
+    assert shares("a b c", [9.0, 0.0, 0.0], "de") == ["a", "b", "c"] and shares("a b", [1.0] * 3, "de") is None and shares("?! ...", [1.0], "de") is None
+    assert shares("東京、AB 大阪。", [1.0, 1.0], "ja") == ["東京、", "AB 大阪。"] and shares("x", [], "de") is None
+
+    def clamped(durations, n):  # the rule, an end at a time
+        weights = [max(0.1, d) for d in durations]
+        out, passed, at = [], 0.0, 0
+        for i, w in enumerate(weights):
+            passed += w
+            left = len(weights) - i - 1
+            at = max(at + 1, min(round(n * passed / sum(weights)), n - left)) if left else n
+            out.append(at)
+        return out
+
+    import random
+
+    r = random.Random(1)
+    for _ in range(2000):
+        d = [r.choice([0.0, 0.1, 1.0, 7.5]) for _ in range(r.randint(1, 7))]
+        n = r.randint(len(d), 20)
+        assert cut_points(d, n).tolist() == clamped(d, n), (d, n)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelark.llm import neardup, packing, secrets, toxicity
-from cuelark.llm.common import keep, table
+from cuelark.llm.common import keep, shared_dir, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,16 +19,21 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Five-word shingles, similarity 0.8; the smallest doc_id of a group stays, rows without an id stay."""
     found = neardup.near_duplicates(docs, words=5, percent=80)
     gone = found.filter("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every finding becomes ``[secret]``; n_chars follows the text. Texts without findings stay as they are."""
+    """Every finding becomes ``[secret]``; n_chars follows the text. Texts without findings stay as they are.
+
+    The ledger lies where ``cuelark.ledger`` says, so that later runs scan only texts that no run has
+    seen; without that setting a run has a ledger of its own.
+    """
     versions = secrets.address(docs, "doc_id", "text")
-    fresh, _ = secrets.scan(versions)
-    found = secrets.findings_by_blob(fresh)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("blob"))
-    named = rows.join(found.hint("shuffle_hash"), "blob", "left")
+    ledger = secrets.Ledger(spark, spark.conf.get("cuelark.ledger", None) or f"{shared_dir(spark)}/cuelark/{uuid.uuid4().hex}/ledger")
+    ledger.scan(versions)
+    found = secrets.findings_by_blob(ledger.findings())
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("path"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("blob"))
+    named = secrets.joined(rows, found)
     hit = F.col("found").isNotNull()
     masked = F.when(hit, secrets.redact(F.col("found"), F.col("row.text"))).otherwise(F.col("row.text"))
     named = named.withColumn("masked", masked)

@@ -99,20 +99,29 @@ class Index:
         who = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order]) if order else np.zeros(0, "int64")
         weight = np.concatenate([vectors[i][1] for i in order]) if order else np.zeros(0)
         by = np.lexsort((who, term))
-        term, self.who, self.weight = term[by], who[by], weight[by]
+        term, self.who, self.weight = term[by], who[by].astype("int32"), weight[by]
         self.start = np.searchsorted(term, np.arange(terms + 1))
-        #: where the postings of each term in each block begin, for the pairs that have any
+        # for each term and block that meet: where their postings begin, and the largest weight among them
         pair = term * max(1, self.blocks) + self.who // self.size
-        self.pair, self.begin = np.unique(pair, return_index=True)
-        self.begin = np.append(self.begin, len(pair))
-        most = np.zeros((terms, self.blocks))
-        np.maximum.at(most, (term, self.who // self.size), self.weight)
-        self.most = np.nextafter(most.astype("float32"), np.float32(np.inf))  # rounded up: bounds stay bounds
+        self.pair, first = np.unique(pair, return_index=True)
+        self.peak = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.begin = np.append(first, len(pair))
+        self.row = np.searchsorted(self.pair, np.arange(terms + 1) * max(1, self.blocks))
+
+    @staticmethod
+    def _stretches(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All places of stretches, and the sizes of these."""
+        size = hi - lo
+        return np.arange(size.sum()) + np.repeat(lo - np.cumsum(size) + size, size), size
+
+    def _bounds(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """For each block a similarity that none of its examples exceeds."""
+        at, size = self._stretches(self.row[terms], self.row[terms + 1])
+        return np.bincount(self.pair[at] % self.blocks, self.peak[at] * np.repeat(weights, size), self.blocks)
 
     def _sums(self, weights: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Similarity to every example over a stretch of the postings for each weight."""
-        size = hi - lo
-        at = np.arange(size.sum()) + np.repeat(lo - np.cumsum(size) + size, size)
+        at, size = self._stretches(lo, hi)
         return np.bincount(self.who[at], self.weight[at] * np.repeat(weights, size), self.blocks * self.size)
 
     def _block(self, terms: np.ndarray, weights: np.ndarray, block: int) -> np.ndarray:
@@ -125,7 +134,7 @@ class Index:
         none = np.zeros(0), np.zeros(0, "int64")
         if not len(terms) or not self.blocks:
             return none
-        bound = weights @ self.most[terms]
+        bound = self._bounds(terms, weights)
         least, near = 0.0, np.zeros(0, "int64")
         sums = np.zeros(self.blocks * self.size)
         open_ = np.flatnonzero(bound > 0)
@@ -243,7 +252,9 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     rows = counted.withColumn("differs", differs).filter(F.col("differs") | ~F.endswith("word", F.lit(b"*"))).orderBy("word").select("word", "df", "differs").toArrow().to_pylist()
     idf = lambda n: math.log((1 + many) / (1 + n)) + 1
     terms = Terms({r["word"]: idf(r["df"]) * (1.0 if r["differs"] else OTHER) for r in rows}, idf(0) * OTHER)
-    vectors = some.mapInPandas(_vectors(spark.sparkContext.broadcast(terms)), "doc_id long, y int, terms array<long>, weights array<double>").toArrow().to_pylist()
+    shared = spark.sparkContext.broadcast(terms)
+    vectors = some.mapInPandas(_vectors(shared), "doc_id long, y int, terms array<long>, weights array<double>").toArrow().to_pylist()
+    shared.destroy()
     inside = [r for r in vectors if r["terms"]]
     outside = [r["y"] for r in vectors if not r["terms"]]
     plain = (sum(outside) + rate) / (len(outside) + 1) if many else 0.0
@@ -253,6 +264,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         shared = spark.sparkContext.broadcast((index, terms, rate))
         there = some.repartition(spark.sparkContext.defaultParallelism, "doc_id").filter(F.col("doc_id").isin([r["doc_id"] for r in inside]) if outside else F.lit(True))
         seen = there.mapInPandas(_votes(shared), "y int, vote double").toPandas()
+        shared.destroy()
         curve = monotone(seen["vote"].to_numpy(), seen["y"].to_numpy("float64"))
     return spark.sparkContext.broadcast((index, terms, rate, plain, curve))
 

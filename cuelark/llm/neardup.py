@@ -8,7 +8,8 @@
    order are those with the longest common prefix: deep where a region is dense, shallow where it
    is sparse. A row meets the ``WINDOW`` rows before it in its region, also across the border of
    two tasks; those whose two-bit sketches agree enough are candidates. Inside a cluster of rows
-   whose sketches leave no doubt, the nearest ``NEAREST`` of each row stand for all.
+   whose sketches speak for links, each row keeps its nearest one in each tree; a link between
+   such rows is lost only if both have nearer ones in every tree and these lead to no chain of links.
 3. Candidate pairs are confirmed on full sets of shingle hashes, in rounds: each class first meets
    its most alike candidate, then one that isn't yet joined with it, and at last all pairs between
    two components that are still open. A set travels once for each of its pairs, whatever its group's size.
@@ -33,9 +34,9 @@ from .components import components
 
 TREES, DEPTH, VALUES, DEEPER = 20, 4, 128, 8
 #: Rows before each row in a region's order that it meets, and its nearest ones that are kept inside a cluster.
-WINDOW, NEAREST = 128, 3
-#: Of 128 two-bit values so many may differ: 19 are expected at similarity 0.8, deviation 4. So few leave no doubt.
-MOST_APART, SURE = 35, 8
+WINDOW, NEAREST = 128, 1
+#: Of 128 two-bit values so many may differ: 19 are expected at similarity 0.8, deviation 4. So few speak for a link.
+MOST_APART, SURE = 35, 19
 #: Open pairs that each round confirms: the most alike one of each class, of each pair of components, or all.
 ROUNDS = ("class", "class", "components", "all")
 _RANDOM = np.random.RandomState(20_241)

@@ -8,8 +8,9 @@
    order are those with the longest common prefix: deep where a region is dense, shallow where it
    is sparse. A row meets the ``WINDOW`` rows before it in its region, also across the border of
    two tasks; those whose two-bit sketches agree enough are candidates. Inside a cluster of rows
-   whose sketches speak for links, each row keeps its nearest one in each tree; a link between
-   such rows is lost only if both have nearer ones in every tree and these lead to no chain of links.
+   whose sketches speak for links, a row that has one beyond doubt keeps its nearest one in each
+   tree; a link between two such rows is lost only if both have nearer ones in every tree and these
+   lead to no chain of links. All other rows keep every candidate.
 3. Candidate pairs are confirmed on full sets of shingle hashes, in rounds: each class first meets
    its most alike candidate, then one that isn't yet joined with it, and at last all pairs between
    two components that are still open. A set travels once for each of its pairs, whatever its group's size.
@@ -35,8 +36,8 @@ from .components import components
 TREES, DEPTH, VALUES, DEEPER = 20, 4, 128, 8
 #: Rows before each row in a region's order that it meets, and its nearest ones that are kept inside a cluster.
 WINDOW, NEAREST = 128, 1
-#: Of 128 two-bit values so many may differ: 19 are expected at similarity 0.8, deviation 4. So few speak for a link.
-MOST_APART, SURE = 35, 19
+#: Of 128 two-bit values so many may differ: 19 are expected at similarity 0.8, deviation 4. So few speak for a link, and so few leave no doubt.
+MOST_APART, LIKELY, SURE = 35, 19, 8
 #: Open pairs that each round confirms: the most alike one of each class, of each pair of components, or all.
 ROUNDS = ("class", "class", "components", "all")
 _RANDOM = np.random.RandomState(20_241)
@@ -178,12 +179,14 @@ def _pairs(rows: pd.DataFrame, fresh: int) -> pd.DataFrame:
     if not x:
         return pd.DataFrame({"a": [], "b": [], "apart": []}).astype("int64")
     x, y, apart = np.concatenate(x), np.concatenate(y), np.concatenate(apart)
-    sure = apart <= SURE
-    label = _clusters(len(rows), x[sure], y[sure])
+    likely, sure = apart <= LIKELY, apart <= SURE
+    label = _clusters(len(rows), x[likely], y[likely])
+    settled = np.zeros(len(rows), bool)
+    settled[x[sure]] = settled[y[sure]] = True
     by = np.lexsort((apart, x))
     x, y, apart = x[by], y[by], apart[by]
     place = np.arange(len(x)) - np.searchsorted(x, x)
-    keep_ = (place < NEAREST) | (label[x] != label[y])
+    keep_ = (place < NEAREST) | (label[x] != label[y]) | ~settled[x] | ~settled[y]
     a, b = ids[x[keep_]], ids[y[keep_]]
     out = pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b), "apart": apart[keep_]})
     return out[out.a != out.b]

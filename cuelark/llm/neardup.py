@@ -7,13 +7,12 @@
    a region (rows that share the first values) of any size spreads over tasks. Neighbours in the
    order are those with the longest common prefix: deep where a region is dense, shallow where it
    is sparse. A row meets the ``WINDOW`` rows before it in its region, also across the border of
-   two tasks; those whose two-bit sketches agree enough are candidates. Inside a cluster of rows
-   whose sketches speak for links, a row that has one beyond doubt keeps its nearest one in each
-   tree; a link between two such rows is lost only if both have nearer ones in every tree and these
-   lead to no chain of links. All other rows keep every candidate.
-3. Candidate pairs are confirmed on full sets of shingle hashes, in rounds: each class first meets
-   its most alike candidate, then one that isn't yet joined with it, and at last all pairs between
-   two components that are still open. A set travels once for each of its pairs, whatever its group's size.
+   two tasks; those whose two-bit sketches agree enough are candidates.
+3. Candidates are confirmed on full sets of shingle hashes, in rounds. In the first rounds each
+   class asks its most alike candidate of all trees. Its component then goes back into the trees
+   of the classes that have further candidates, so that only pairs between components, not asked
+   before, come out again; the last round asks all of these. No candidate is left out but those
+   whose ends are joined already. A set travels once for each of its pairs, whatever its group's size.
 4. Components of the confirmed links are the near-duplicate groups.
 
 Two sets of similarity 0.8 share the first four values of a tree with probability 0.41, so all
@@ -30,16 +29,16 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, keep, restored, solid
+from .common import NO_ID, drop, keep, restored, solid
 from .components import components
 
 TREES, DEPTH, VALUES, DEEPER = 20, 4, 128, 8
-#: Rows before each row in a region's order that it meets, and its nearest ones that are kept inside a cluster.
-WINDOW, NEAREST = 128, 1
-#: Of 128 two-bit values so many may differ: 19 are expected at similarity 0.8, deviation 4. So few speak for a link, and so few leave no doubt.
-MOST_APART, LIKELY, SURE = 35, 19, 8
-#: Open pairs that each round confirms: the most alike one of each class, of each pair of components, or all.
-ROUNDS = ("class", "class", "components", "all")
+#: Rows before each row in a region's order that it meets.
+WINDOW = 128
+#: Of 128 two-bit values so many may differ: 19 are expected at similarity 0.8, deviation 4.
+MOST_APART = 35
+#: Rounds in which each class asks one candidate, before the round that asks all that are still open.
+PICKS = 2
 _RANDOM = np.random.RandomState(20_241)
 _ADD = _RANDOM.randint(0, 2**63, VALUES).astype("uint64") * np.uint64(2) + np.uint64(1)
 _MUL = _RANDOM.randint(0, 2**63, VALUES).astype("uint64") * np.uint64(2) + np.uint64(1)
@@ -123,7 +122,7 @@ def _keys(sig: np.ndarray) -> np.ndarray:
 
 
 def _trees(batches):
-    """A row a tree: region key, next values packed in order, id, and the sketch."""
+    """A row a tree: region key, next values packed in order, id, the sketch, and what earlier rounds found."""
     for b in batches:
         if not len(b):
             continue
@@ -132,12 +131,15 @@ def _trees(batches):
         s1, s2 = (sum(deep[:, :, 4 * h + i] << np.uint64(48 - 16 * i) for i in range(4)).view("int64") for h in (0, 1))
         bits = (sig & np.uint32(3)).astype("uint64").reshape(-1, 4, 32)
         sketch = (bits << (np.arange(32, dtype="uint64") * np.uint64(2))).sum(2, dtype="uint64").view("int64")
-        yield pd.DataFrame({"region": _keys(sig).ravel(), "s1": s1.ravel(), "s2": s2.ravel(), "id": np.repeat(b["id"].to_numpy("int64"), TREES), **{f"k{i}": np.repeat(sketch[:, i], TREES) for i in range(4)}})
+        yield pd.DataFrame({"region": _keys(sig).ravel(), "s1": s1.ravel(), "s2": s2.ravel(), "id": np.repeat(b["id"].to_numpy("int64"), TREES), **{f"k{i}": np.repeat(sketch[:, i], TREES) for i in range(4)}, **{c: np.repeat(b[c].to_numpy("int64"), TREES) for c in _KNOWN}})
 
 
 _SKETCH = [f"k{i}" for i in range(4)]
 _ORDER = ["region", "s1", "s2", "id"]
-_ROW = "region long, s1 long, s2 long, id long, k0 long, k1 long, k2 long, k3 long"
+#: A class's component and the candidates that it has asked; its own id and none at first.
+_KNOWN = ["component", *(f"asked{i}" for i in range(PICKS))]
+_NAMES = [*_ORDER, *_SKETCH, *_KNOWN]
+_ROW = ", ".join(f"{c} long" for c in _NAMES)
 
 
 def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -146,65 +148,52 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(1, dtype="int64")
 
 
-def _clusters(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Label of each of n rows: equal for rows that the pairs (x, y) connect."""
-    label = np.arange(n)
-    while True:
-        least = np.minimum(label[x], label[y])
-        now = label.copy()
-        np.minimum.at(now, label[x], least)
-        np.minimum.at(now, label[y], least)
-        now = now[now]
-        if (now == label).all():
-            return label
-        label = now
+def _pairs(rows: pd.DataFrame, fresh: int, picks: bool) -> pd.DataFrame:
+    """Open candidates (a, b, apart) among sorted rows, of which those from ``fresh`` on are new.
 
-
-def _pairs(rows: pd.DataFrame, fresh: int) -> pd.DataFrame:
-    """Candidates among sorted rows, of which those from ``fresh`` on are new: (a, b, apart), a above b."""
+    With ``picks`` the most alike one of each new row a, and (a, a, -1) for every row of a pair
+    that was not picked; else all pairs, a above b.
+    """
     region, ids = rows["region"].to_numpy(), rows["id"].to_numpy()
     sketch = rows[_SKETCH].to_numpy("int64").view("uint64")
-    x, y, apart = [], [], []
+    known = rows[_KNOWN].to_numpy("int64")
+    x, y, apart = [np.zeros(0, "int64")], [np.zeros(0, "int64")], [np.zeros(0, "int64")]
     later = np.arange(max(1, fresh), len(rows))
     for back in range(1, WINDOW + 1):
         later = later[later >= back]
         later = later[region[later] == region[later - back]]
         if not len(later):
             break
-        d = _apart(sketch[later], sketch[later - back])
-        near = d <= MOST_APART
+        other = later - back
+        d = _apart(sketch[later], sketch[other])
+        near = (d <= MOST_APART) & (known[later, 0] != known[other, 0])
+        for i in range(1, 1 + PICKS):
+            near &= (known[later, i] != ids[other]) & (known[other, i] != ids[later])
         x.append(later[near])
-        y.append(later[near] - back)
+        y.append(other[near])
         apart.append(d[near])
-    if not x:
-        return pd.DataFrame({"a": [], "b": [], "apart": []}).astype("int64")
     x, y, apart = np.concatenate(x), np.concatenate(y), np.concatenate(apart)
-    likely, sure = apart <= LIKELY, apart <= SURE
-    label = _clusters(len(rows), x[likely], y[likely])
-    settled = np.zeros(len(rows), bool)
-    settled[x[sure]] = settled[y[sure]] = True
-    by = np.lexsort((apart, x))
-    x, y, apart = x[by], y[by], apart[by]
-    place = np.arange(len(x)) - np.searchsorted(x, x)
-    keep_ = (place < NEAREST) | (label[x] != label[y]) | ~settled[x] | ~settled[y]
-    a, b = ids[x[keep_]], ids[y[keep_]]
-    out = pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b), "apart": apart[keep_]})
-    return out[out.a != out.b]
-
-
-def _neighbours(borders: bool, most: int = 8_000):
+    if picks:
+        by = np.lexsort((ids[y], apart, x))
+        x, y, apart = x[by], y[by], apart[by]
+        best = np.r_[True, x[1:] != x[:-1]][: len(x)]
+        more = np.unique(np.concatenate([ids[x[~best]], ids[y[~best]]]))
+        return pd.DataFrame({"a": np.r_[ids[x[best]], more], "b": np.r_[ids[y[best]], more], "apart": np.r_[apart[best], np.full(len(more), -1)]})
+    return pd.DataFrame({"a": np.maximum(ids[x], ids[y]), "b": np.minimum(ids[x], ids[y]), "apart": apart})
+
+
+def _neighbours(borders: bool, most: int = 8_000, picks: bool = False):
     """Candidates (a, b, apart) of sorted rows; with ``borders`` also the rows (a null) at either end of the task that later rows of their region may have to meet."""
 
     def run(batches):
         held, size, carried, count, first = [], 0, None, 0, None
-        names = [c.split()[0] for c in _ROW.split(", ")]
 
         def step():
             nonlocal carried, count, first
             new = pd.concat(held, ignore_index=True)
             rows = new if carried is None else pd.concat([carried, new], ignore_index=True)
             fresh = len(rows) - len(new)
-            out = _pairs(rows, fresh)
+            out = _pairs(rows, fresh, picks)
             if borders and len(new):
                 first = new["region"].iloc[0] if first is None else first
                 head = new.iloc[: max(0, WINDOW - count)]
@@ -214,7 +203,7 @@ def _neighbours(borders: bool, most: int = 8_000):
             return out
 
         def shaped(out):
-            return out.reindex(columns=["a", "b", "apart", *names]).astype("Int64")
+            return out.reindex(columns=["a", "b", "apart", *_NAMES]).astype("Int64")
 
         for b in batches:
             held.append(b)
@@ -232,15 +221,19 @@ def _neighbours(borders: bool, most: int = 8_000):
     return run
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """(a, b, apart) of classes (id, sig), a above b, each pair once: neighbours in a tree whose sketches agree."""
+def candidates(classes: DataFrame, picks: bool = False) -> DataFrame:
+    """(a, b, apart), each pair once, of classes (id, sig and what is known of them): neighbours in a tree whose sketches agree; see ``_pairs``."""
+    fresh = {"component": F.col("id"), **{c: F.lit(NO_ID) for c in _KNOWN[1:]}}
+    classes = classes.select("id", "sig", *[F.coalesce(c, fresh[c]).alias(c) if c in classes.columns else fresh[c].alias(c) for c in _KNOWN])
     shape = f"a long, b long, apart long, {_ROW}"
     rows = classes.mapInPandas(_trees, _ROW)
-    near = keep(rows.repartitionByRange(*_ORDER).sortWithinPartitions(*_ORDER).mapInPandas(_neighbours(True), shape), "near")
+    near = keep(rows.repartitionByRange(*_ORDER).sortWithinPartitions(*_ORDER).mapInPandas(_neighbours(True, picks=picks), shape), "near")
     # at most 2 * WINDOW rows of each task
-    edge = near.filter("a is null").select(*[c.split()[0] for c in _ROW.split(", ")]).repartition("region").sortWithinPartitions(*_ORDER)
-    across = edge.mapInPandas(_neighbours(False), shape)
-    return near.filter("a is not null").unionByName(across).groupBy("a", "b").agg(F.min("apart").alias("apart"))
+    edge = near.filter("a is null").select(*_NAMES).repartition("region").sortWithinPartitions(*_ORDER)
+    across = edge.mapInPandas(_neighbours(False, picks=picks), shape)
+    found = keep(near.filter("a is not null").unionByName(across).groupBy("a", "b").agg(F.min("apart").alias("apart")), "candidates")
+    drop(near)
+    return found
 
 
 def _sets(words: int):
@@ -268,33 +261,46 @@ def _confirm(percent: int):
     return run
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """(id, component) over the pairs (a, b, apart) whose texts (id, text) are linked.
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose sets (id, set) are linked."""
+    # merge joins whatever the sizes: they may spill, and the plan is the same for any input
+    one, two = (sets.select(F.col("id").alias(end), F.col("set").alias(name)).hint("merge") for end, name in (("a", "one"), ("b", "two")))
+    asked = pairs.select("a", "b").join(one, "a").join(two, "b")
+    return keep(asked.select("a", "b", "one", "two").mapInPandas(_confirm(percent), "a long, b long"), "links")
 
-    Every pair is either confirmed or refuted on full sets, or its ends are joined already.
+
+def joined(classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(id, component) of the classes (id, sig) that are linked with another one; texts are (id, text).
+
+    Every candidate pair is either confirmed or refuted on full sets, or its ends are joined already.
     """
-    open_ = keep(pairs.select("*", F.col("a").alias("a_group"), F.col("b").alias("b_group")), "pairs")
-    members = open_.select(F.col("a").alias("id")).union(open_.select("b")).distinct()
-    # a merge join whatever the sizes: it may spill, and the plan is the same for any input
-    sets = keep(texts.join(members.hint("merge"), "id", "left_semi").mapInPandas(_sets(words), "id long, set binary").distinct(), "sets")
-    links, groups = None, None
-    for each in ROUNDS:
-        picked = open_
-        if each != "all":
-            ends = ["a"] if each == "class" else ["a_group", "b_group"]
-            picked = keep(open_.groupBy(*ends).agg(F.min(F.struct("apart", F.col("a").alias("x"), F.col("b").alias("y"))).alias("m")).select(F.col("m.x").alias("a"), F.col("m.y").alias("b")), "picked")
-        asked = picked.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("one")).hint("merge"), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("two")).hint("merge"), "b")
-        found = keep(asked.select("a", "b", "one", "two").mapInPandas(_confirm(percent), "a long, b long"), "links")
-        links = found if links is None else links.unionByName(found)
+    sets, links, groups, asked = None, None, None, []
+    for turn in range(PICKS + 1):
+        picks = turn < PICKS
+        found = candidates(classes, picks)
+        pairs, open_ = found, None
+        if picks:
+            first = F.row_number().over(Window.partitionBy("a").orderBy("apart", "b"))
+            ranked = found.filter("apart >= 0").withColumn("place", first)
+            pairs = keep(ranked.filter("place = 1").select("a", "b"), "asked")
+            rest = ranked.filter("place > 1")
+            open_ = keep(rest.select(F.col("a").alias("id")).union(rest.select("b")).union(found.filter("apart < 0").select("a")).distinct(), "open")
+            asked.append(pairs)
+        if sets is None:  # later rounds ask classes of the first one only
+            ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+            members = keep((ends if open_ is None else ends.union(open_)).distinct(), "members")
+            sets = keep(texts.join(members.hint("merge"), "id", "left_semi").mapInPandas(_sets(words), "id long, set binary").distinct(), "sets")
+        more = confirm(pairs, sets, percent)
+        links = more if links is None else links.unionByName(more)
+        drop(found)
         groups = components(links)
-        if each == "all":
-            break
-        of = lambda x: groups.select(F.col("id").alias(x), F.col("component").alias(f"{x}_now"))
-        left = open_.select("a", "b", "apart").join(picked, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
-        left = left.select("a", "b", "apart", F.coalesce("a_now", "a").alias("a_group"), F.coalesce("b_now", "b").alias("b_group"))
-        open_ = keep(left.filter("a_group <> b_group"), "open")
-        if not open_.take(1):
+        if not picks or not open_.take(1):
             break
+        classes = classes.select("id", "sig").join(open_, "id", "left_semi").join(groups, "id", "left")
+        for i, before in enumerate(asked):
+            classes = classes.join(before.select(F.col("a").alias("id"), F.col("b").alias(f"asked{i}")), "id", "left")
+        classes = keep(classes, "classes")
+    drop(sets)
     return groups
 
 
@@ -313,8 +319,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     named = features.filter(F.col("class").isNotNull() & (F.col("id") != NO_ID))
     least = keep(named.groupBy("class").agg(F.min("id").alias("first")), "classes")
     classes = keep(features.join(least.withColumnRenamed("first", "id"), ["class", "id"], "left_semi").select("id", "sig"), "first")
-    groups = confirm(candidates(classes), source.filter("text is not null"), words, percent)
-    joined = features.select("id", "n_shingles", "class").join(least, "class", "left").join(groups.withColumnRenamed("id", "first"), "first", "left")
+    groups = joined(classes, source.filter("text is not null"), words, percent)
+    rows = features.select("id", "n_shingles", "class").join(least, "class", "left").join(groups.withColumnRenamed("id", "first"), "first", "left")
     own = restored("id")
     component = F.when(own.isNotNull(), F.coalesce("component", "first", "id"))
-    return joined.select(own.alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(own == component, F.lit(False)).alias("kept"))
+    return rows.select(own.alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(own == component, F.lit(False)).alias("kept"))

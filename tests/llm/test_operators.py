@@ -591,22 +591,18 @@ def test_neighbours_meet_across_borders():
     """One sorted region cut into tasks and batches anywhere gives the pairs of the whole."""
     r = np.random.RandomState(2)
     n = 900
-    rows = neardup.pd.DataFrame({"region": np.repeat([5, 9], [700, 200]), "s1": np.arange(n), "s2": 0, "id": r.permutation(n)} | {k: r.randint(0, 2**63, 3)[r.randint(0, 3, n)] for k in ("k0",)} | {k: 0 for k in ("k1", "k2", "k3")})
+    rows = neardup.pd.DataFrame({"region": np.repeat([5, 9], [700, 200]), "s1": np.arange(n), "s2": 0, "id": r.permutation(n)} | {k: r.randint(0, 2**63, 3)[r.randint(0, 3, n)] for k in ("k0",)} | {k: 0 for k in ("k1", "k2", "k3")}).assign(component=lambda f: f["id"], **{k: -1 for k in neardup._KNOWN[1:]})
     named = lambda f: {(a, b) for a, b in zip(f["a"], f["b"])}
     pairs = lambda parts, borders: neardup.pd.concat(list(neardup._neighbours(borders, 100)(iter(parts))))
-    monk, neardup.NEAREST = neardup.NEAREST, 10**6  # keep every pair
-    try:
-        whole = named(pairs([rows], False))
-        for cuts in ([0, 300, 900], [0, 5, 6, 400, 401, 750, 900], [0, 699, 700, 900]):
-            got, edge = set(), []
-            for a, b in zip(cuts, cuts[1:]):
-                out = pairs([rows[x : min(b, x + 70)] for x in range(a, b, 70)], True)
-                got |= named(out[out["a"].notna()])
-                edge.append(out[out["a"].isna()][rows.columns.tolist()])
-            got |= named(pairs([neardup.pd.concat(edge).sort_values(["region", "s1"]).astype("int64")], False))
-            assert whole <= got
-    finally:
-        neardup.NEAREST = monk
+    whole = named(pairs([rows], False))
+    for cuts in ([0, 300, 900], [0, 5, 6, 400, 401, 750, 900], [0, 699, 700, 900]):
+        got, edge = set(), []
+        for a, b in zip(cuts, cuts[1:]):
+            out = pairs([rows[x : min(b, x + 70)] for x in range(a, b, 70)], True)
+            got |= named(out[out["a"].notna()])
+            edge.append(out[out["a"].isna()][rows.columns.tolist()])
+        got |= named(pairs([neardup.pd.concat(edge).sort_values(["region", "s1"]).astype("int64")], False))
+        assert whole <= got
 
 
 def test_near_duplicates_awkward(docs, none):

@@ -11,8 +11,9 @@
 3. Candidates are confirmed on full sets of shingle hashes, in rounds. In the first rounds each
    class asks its most alike candidate of all trees. Its component then goes back into the trees
    of the classes that have further candidates, so that only pairs between components, not asked
-   before, come out again; the last round asks all of these. No candidate is left out but those
-   whose ends are joined already. A set travels once for each of its pairs, whatever its group's size.
+   before, come out again. In the last round the sets travel in the trees as well, once a tree,
+   and all pairs that are still open are compared where they meet; only links come out. No
+   candidate is left out but those whose ends are joined already.
 4. Components of the confirmed links are the near-duplicate groups.
 
 Two sets of similarity 0.8 share the first four values of a tree with probability 0.41, so all
@@ -121,17 +122,22 @@ def _keys(sig: np.ndarray) -> np.ndarray:
     return out.view("int64")
 
 
-def _trees(batches):
-    """A row a tree: region key, next values packed in order, id, the sketch, and what earlier rounds found."""
-    for b in batches:
-        if not len(b):
-            continue
-        sig = _sigs(b["sig"])
-        deep = (sig[:, _NEXT] & np.uint32(0xFFFF)).astype("uint64")
-        s1, s2 = (sum(deep[:, :, 4 * h + i] << np.uint64(48 - 16 * i) for i in range(4)).view("int64") for h in (0, 1))
-        bits = (sig & np.uint32(3)).astype("uint64").reshape(-1, 4, 32)
-        sketch = (bits << (np.arange(32, dtype="uint64") * np.uint64(2))).sum(2, dtype="uint64").view("int64")
-        yield pd.DataFrame({"region": _keys(sig).ravel(), "s1": s1.ravel(), "s2": s2.ravel(), "id": np.repeat(b["id"].to_numpy("int64"), TREES), **{f"k{i}": np.repeat(sketch[:, i], TREES) for i in range(4)}, **{c: np.repeat(b[c].to_numpy("int64"), TREES) for c in _KNOWN}})
+def _trees(names: list[str]):
+    """A row a tree: region key, next values packed in order, id, the sketch, and the columns that earlier rounds found."""
+
+    def run(batches):
+        for b in batches:
+            if not len(b):
+                continue
+            sig = _sigs(b["sig"])
+            deep = (sig[:, _NEXT] & np.uint32(0xFFFF)).astype("uint64")
+            s1, s2 = (sum(deep[:, :, 4 * h + i] << np.uint64(48 - 16 * i) for i in range(4)).view("int64") for h in (0, 1))
+            bits = (sig & np.uint32(3)).astype("uint64").reshape(-1, 4, 32)
+            sketch = (bits << (np.arange(32, dtype="uint64") * np.uint64(2))).sum(2, dtype="uint64").view("int64")
+            new = {"region": _keys(sig).ravel(), "s1": s1.ravel(), "s2": s2.ravel(), **{f"k{i}": np.repeat(sketch[:, i], TREES) for i in range(4)}}
+            yield pd.DataFrame({c: new[c] if c in new else np.repeat(b[c].to_numpy(), TREES) for c in names})
+
+    return run
 
 
 _SKETCH = [f"k{i}" for i in range(4)]
@@ -139,7 +145,6 @@ _ORDER = ["region", "s1", "s2", "id"]
 #: A class's component and the candidates that it has asked; its own id and none at first.
 _KNOWN = ["component", *(f"asked{i}" for i in range(PICKS))]
 _NAMES = [*_ORDER, *_SKETCH, *_KNOWN]
-_ROW = ", ".join(f"{c} long" for c in _NAMES)
 
 
 def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -148,11 +153,11 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(1, dtype="int64")
 
 
-def _pairs(rows: pd.DataFrame, fresh: int, picks: bool) -> pd.DataFrame:
+def _pairs(rows: pd.DataFrame, fresh: int, picks: bool, percent: int | None = None) -> pd.DataFrame:
     """Open candidates (a, b, apart) among sorted rows, of which those from ``fresh`` on are new.
 
     With ``picks`` the most alike one of each new row a, and (a, a, -1) for every row of a pair
-    that was not picked; else all pairs, a above b.
+    that was not picked; else all pairs, a above b, or of these the linked ones with ``percent``.
     """
     region, ids = rows["region"].to_numpy(), rows["id"].to_numpy()
     sketch = rows[_SKETCH].to_numpy("int64").view("uint64")
@@ -179,21 +184,26 @@ def _pairs(rows: pd.DataFrame, fresh: int, picks: bool) -> pd.DataFrame:
         best = np.r_[True, x[1:] != x[:-1]][: len(x)]
         more = np.unique(np.concatenate([ids[x[~best]], ids[y[~best]]]))
         return pd.DataFrame({"a": np.r_[ids[x[best]], more], "b": np.r_[ids[y[best]], more], "apart": np.r_[apart[best], np.full(len(more), -1)]})
+    if percent:
+        sets = [np.frombuffer(one, "uint64") for one in rows["set"]]
+        linked = np.fromiter((_linked(sets[i], sets[j], percent) for i, j in zip(x.tolist(), y.tolist())), bool, len(x))
+        x, y, apart = x[linked], y[linked], apart[linked]
     return pd.DataFrame({"a": np.maximum(ids[x], ids[y]), "b": np.minimum(ids[x], ids[y]), "apart": apart})
 
 
-def _neighbours(borders: bool, most: int = 8_000, picks: bool = False):
+def _neighbours(borders: bool, most: int = 8_000, picks: bool = False, percent: int | None = None):
     """Candidates (a, b, apart) of sorted rows; with ``borders`` also the rows (a null) at either end of the task that later rows of their region may have to meet."""
 
     def run(batches):
         held, size, carried, count, first = [], 0, None, 0, None
+        names = [*_NAMES, *["set"] * bool(percent)]
 
         def step():
             nonlocal carried, count, first
             new = pd.concat(held, ignore_index=True)
             rows = new if carried is None else pd.concat([carried, new], ignore_index=True)
             fresh = len(rows) - len(new)
-            out = _pairs(rows, fresh, picks)
+            out = _pairs(rows, fresh, picks, percent)
             if borders and len(new):
                 first = new["region"].iloc[0] if first is None else first
                 head = new.iloc[: max(0, WINDOW - count)]
@@ -203,11 +213,12 @@ def _neighbours(borders: bool, most: int = 8_000, picks: bool = False):
             return out
 
         def shaped(out):
-            return out.reindex(columns=["a", "b", "apart", *_NAMES]).astype("Int64")
+            out = out.reindex(columns=["a", "b", "apart", *names])
+            return out.astype({c: "object" if c == "set" else "Int64" for c in out.columns})
 
         for b in batches:
             held.append(b)
-            size += len(b)
+            size += len(b) + (int(b["set"].str.len().sum()) // 4096 if percent else 0)
             if size >= most:
                 yield shaped(step())
                 held, size = [], 0
@@ -221,16 +232,18 @@ def _neighbours(borders: bool, most: int = 8_000, picks: bool = False):
     return run
 
 
-def candidates(classes: DataFrame, picks: bool = False) -> DataFrame:
-    """(a, b, apart), each pair once, of classes (id, sig and what is known of them): neighbours in a tree whose sketches agree; see ``_pairs``."""
+def candidates(classes: DataFrame, picks: bool = False, percent: int | None = None) -> DataFrame:
+    """(a, b, apart), each pair once, of classes (id, sig, with ``percent`` set, and what is known of them): neighbours in a tree whose sketches agree; see ``_pairs``."""
     fresh = {"component": F.col("id"), **{c: F.lit(NO_ID) for c in _KNOWN[1:]}}
-    classes = classes.select("id", "sig", *[F.coalesce(c, fresh[c]).alias(c) if c in classes.columns else fresh[c].alias(c) for c in _KNOWN])
-    shape = f"a long, b long, apart long, {_ROW}"
-    rows = classes.mapInPandas(_trees, _ROW)
-    near = keep(rows.repartitionByRange(*_ORDER).sortWithinPartitions(*_ORDER).mapInPandas(_neighbours(True, picks=picks), shape), "near")
+    names = [*_NAMES, *["set"] * bool(percent)]
+    classes = classes.select("id", "sig", *names[len(_NAMES) :], *[F.coalesce(c, fresh[c]).alias(c) if c in classes.columns else fresh[c].alias(c) for c in _KNOWN])
+    row = ", ".join(f"{c} {'binary' if c == 'set' else 'long'}" for c in names)
+    shape = f"a long, b long, apart long, {row}"
+    rows = classes.mapInPandas(_trees(names), row)
+    near = keep(rows.repartitionByRange(*_ORDER).sortWithinPartitions(*_ORDER).mapInPandas(_neighbours(True, picks=picks, percent=percent), shape), "near")
     # at most 2 * WINDOW rows of each task
-    edge = near.filter("a is null").select(*_NAMES).repartition("region").sortWithinPartitions(*_ORDER)
-    across = edge.mapInPandas(_neighbours(False, picks=picks), shape)
+    edge = near.filter("a is null").select(*names).repartition("region").sortWithinPartitions(*_ORDER)
+    across = edge.mapInPandas(_neighbours(False, picks=picks, percent=percent), shape)
     found = keep(near.filter("a is not null").unionByName(across).groupBy("a", "b").agg(F.min("apart").alias("apart")), "candidates")
     drop(near)
     return found
@@ -245,17 +258,19 @@ def _sets(words: int):
     return run
 
 
+def _linked(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are linked."""
+    if 100 * min(len(one), len(two)) < percent * max(len(one), len(two)):
+        return False
+    both = np.sort(np.concatenate([one, two]), kind="stable")
+    same = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * same >= percent * (len(one) + len(two) - same)
+
+
 def _confirm(percent: int):
     def run(batches):
         for b in batches:
-            linked = []
-            for one, two in zip(b["one"], b["two"]):
-                n = len(one) // 8 + len(two) // 8
-                linked.append(False)
-                if 100 * min(len(one), len(two)) >= percent * max(len(one), len(two)):
-                    both = np.sort(np.concatenate([np.frombuffer(one, "uint64"), np.frombuffer(two, "uint64")]), kind="stable")
-                    same = int((both[1:] == both[:-1]).sum())
-                    linked[-1] = 100 * same >= percent * (n - same)
+            linked = [_linked(np.frombuffer(one, "uint64"), np.frombuffer(two, "uint64"), percent) for one, two in zip(b["one"], b["two"])]
             yield b.loc[linked, ["a", "b"]]
 
     return run
@@ -274,32 +289,31 @@ def joined(classes: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
 
     Every candidate pair is either confirmed or refuted on full sets, or its ends are joined already.
     """
-    sets, links, groups, asked = None, None, None, []
-    for turn in range(PICKS + 1):
-        picks = turn < PICKS
-        found = candidates(classes, picks)
-        pairs, open_ = found, None
-        if picks:
-            first = F.row_number().over(Window.partitionBy("a").orderBy("apart", "b"))
-            ranked = found.filter("apart >= 0").withColumn("place", first)
-            pairs = keep(ranked.filter("place = 1").select("a", "b"), "asked")
-            rest = ranked.filter("place > 1")
-            open_ = keep(rest.select(F.col("a").alias("id")).union(rest.select("b")).union(found.filter("apart < 0").select("a")).distinct(), "open")
-            asked.append(pairs)
+    sets, links, asked = None, None, []
+    for turn in range(PICKS):
+        found = candidates(classes, picks=True)
+        first = F.row_number().over(Window.partitionBy("a").orderBy("apart", "b"))
+        ranked = found.filter("apart >= 0").withColumn("place", first)
+        pairs = keep(ranked.filter("place = 1").select("a", "b"), "asked")
+        rest = ranked.filter("place > 1")
+        open_ = keep(rest.select(F.col("a").alias("id")).union(rest.select("b")).union(found.filter("apart < 0").select("a")).distinct(), "open")
+        asked.append(pairs)
         if sets is None:  # later rounds ask classes of the first one only
-            ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
-            members = keep((ends if open_ is None else ends.union(open_)).distinct(), "members")
+            members = keep(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(open_).distinct(), "members")
             sets = keep(texts.join(members.hint("merge"), "id", "left_semi").mapInPandas(_sets(words), "id long, set binary").distinct(), "sets")
         more = confirm(pairs, sets, percent)
         links = more if links is None else links.unionByName(more)
         drop(found)
         groups = components(links)
-        if not picks or not open_.take(1):
+        if not open_.take(1):
             break
         classes = classes.select("id", "sig").join(open_, "id", "left_semi").join(groups, "id", "left")
         for i, before in enumerate(asked):
             classes = classes.join(before.select(F.col("a").alias("id"), F.col("b").alias(f"asked{i}")), "id", "left")
         classes = keep(classes, "classes")
+    else:
+        last = candidates(classes.join(sets.hint("merge"), "id"), percent=percent)
+        groups = components(links.unionByName(last.select("a", "b")))
     drop(sets)
     return groups
 

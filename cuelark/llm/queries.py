@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import bpe, chat, lattice, licenses, neardup, packing, secrets, toxicity, vectors, winnow
+from . import bpe, chat, divergence, lattice, licenses, neardup, packing, secrets, toxicity, vectors, winnow
 from .common import shared_dir, table
 
 
@@ -85,6 +85,10 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(replayed(turns.unionByName(probe))))
 
 
+def op11_term_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_lattice_score": op1_lattice_score,
     "op2_bpe_roundtrip": op2_bpe_roundtrip,
@@ -96,6 +100,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_chat_format": op9_chat_format,
     "op10_lsh_forest": op10_lsh_forest,
+    "op11_term_tiles": op11_term_tiles,
 }
 
 
@@ -136,4 +141,16 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
   cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars, sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
   cast(sum(4 + length(replace({_ESCAPED.format(x="role")}, chr(10), '\\n')) + 1 + length({_ESCAPED.format(x="text")}) + 8) as bigint) as formatted_chars
 from r group by conv_id""",
+    "op11_term_tiles": r"""with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text from documents),
+w as (select r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+k as (select lang, term, count(*) as n from w group by all having count(distinct r) >= 3),
+g as (select distinct lang, source from d), c as (select lang, source, term, count(*) as n from w semi join k using (lang, term) group by all),
+v as (select lang, count(*) as v, sum(n) as n from k group by lang), t as (select lang, source, sum(n) as n from c group by all),
+p as (select g.lang, g.source, k.term, coalesce(c.n, 0) as n, (1 + 1000000000::hugeint * (coalesce(c.n, 0) + 1) // (coalesce(t.n, 0) + v.v))::bigint as p, (1 + 1000000000::hugeint * (k.n + 1) // (v.n + v.v))::bigint as q
+  from g join k using (lang) join v using (lang) left join t using (lang, source) left join c using (lang, source, term)),
+pairs as (select lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p)::bigint as value from p a join p b using (lang, term) where a.source <> b.source group by all),
+found as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value from g a join g b on a.lang = b.lang and a.source <> b.source left join pairs x on x.lang = a.lang and x.source = a.source and x.item = b.source
+  union all select lang, source, 'term', term, (p - q) * (p - q) // q from p where n > 0 and p > q),
+ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from found)
+select * from ranked where part = 'pair' or rank <= 200""",
 }

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import bpe, chat, divergence, lattice, licenses, neardup, packing, secrets, toxicity, vectors, winnow
+from . import bpe, chat, divergence, lattice, licenses, merkle, neardup, packing, secrets, toxicity, vectors, winnow
 from .common import shared_dir, table
 
 
@@ -89,6 +89,10 @@ def op11_term_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_lattice_score": op1_lattice_score,
     "op2_bpe_roundtrip": op2_bpe_roundtrip,
@@ -101,6 +105,7 @@ QUERIES = {
     "op9_chat_format": op9_chat_format,
     "op10_lsh_forest": op10_lsh_forest,
     "op11_term_tiles": op11_term_tiles,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 
@@ -127,6 +132,30 @@ select d.doc_id, {counts}, sha256(coalesce(string_agg(shown, ',' order by start,
 from d left join f on d.doc_id = f.doc_id group by d.doc_id"""
 
 
+def _merkle_sql() -> str:
+    """Levels of the languages' trees, and of the tree over them, by recursion; folds go up the same way."""
+    shown = lambda c: f"coalesce(octet_length(encode({c}::varchar)) || ':' || {c}::varchar, '-')"
+    leaf = lambda n: "sha256(" + " || ".join(shown(c) for c in ("doc_id", "source", "lang", n, "text")) + ")"
+    codes = "list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)"
+    crc = f"xor(list_reduce(list_concat([4294967295::bigint], {codes}), lambda x, b: list_reduce(list_concat([xor(x, b)], range(8)), lambda y, i: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295)"
+    level = lambda t: f"""select level + 1, g, pos // 2, sha256(string_agg(h, '' order by pos)) from (select *, count(*) over (partition by g) as k from {t}) where k > 1 group by level, g, pos // 2"""
+    return f"""with recursive d as (select doc_id, coalesce('1' || lang, '0') as g, {leaf("n_chars")} as leaf, case when {crc} % 7 = 0 then {leaf("(n_chars + 1)")} else {leaf("n_chars")} end as forged from documents),
+l as (select *, row_number() over (partition by g order by doc_id, leaf) - 1 as pos, count(*) over (partition by g) as n from d),
+t(level, g, pos, h) as (select 0, g, pos, leaf from l union all {level("t")}),
+s as (select g, arg_max(h, level) as subroot from t group by g),
+r as (select '' as g, g as name, subroot, row_number() over (order by g) - 1 as pos, count(*) over () as n from s),
+u(level, g, pos, h) as (select 0, g, pos, subroot from r union all {level("u")}),
+top as (select arg_max(h, level) as root from u),
+lower_path as (select l.g, l.pos, string_agg(t.h, '' order by t.level) as path from l join t on t.g = l.g and t.pos = xor(l.pos >> t.level, 1) group by all),
+upper_path as (select r.name as g, string_agg(u.h, '' order by u.level) as path from r join u on u.pos = xor(r.pos >> u.level, 1) group by all),
+f(g, leaf_pos, level, pos, n, h) as (select g, pos, 0, pos, n, forged from l
+  union all select f.g, leaf_pos, f.level + 1, f.pos // 2, (f.n + 1) // 2, sha256(case when f.pos % 2 = 1 then t.h || f.h else f.h || coalesce(t.h, '') end) from f left join t on t.g = f.g and t.level = f.level and t.pos = xor(f.pos, 1) where f.n > 1),
+e(g, leaf_pos, level, pos, n, h) as (select f.g, f.leaf_pos, 0, r.pos, r.n, f.h from f join r on r.name = f.g where f.n = 1
+  union all select e.g, leaf_pos, e.level + 1, e.pos // 2, (e.n + 1) // 2, sha256(case when e.pos % 2 = 1 then u.h || e.h else e.h || coalesce(u.h, '') end) from e left join u on u.level = e.level and u.pos = xor(e.pos, 1) where e.n > 1)
+select l.doc_id, l.leaf, s.subroot, top.root, sha256(coalesce(p.path, '') || coalesce(q.path, '')) as proof_sha256, e.h as folded_root, e.h = top.root as verified
+from l join s using (g) cross join top left join lower_path p on p.g = l.g and p.pos = l.pos left join upper_path q on q.g = l.g join e on e.g = l.g and e.leaf_pos = l.pos and e.n = 1"""
+
+
 _ESCAPED = "replace(replace(replace({x}, '\\', '\\\\'), '###', '\\h'), '</turn>', '\\e')"
 
 ORACLES: dict[str, str] = {
@@ -153,4 +182,5 @@ found as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(va
   union all select lang, source, 'term', term, (p - q) * (p - q) // q from p where n > 0 and p > q),
 ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from found)
 select * from ranked where part = 'pair' or rank <= 200""",
+    "op13_merkle_manifest": _merkle_sql(),
 }

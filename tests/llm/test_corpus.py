@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 pytest.importorskip("cuelark.llm")
-from cuelark.llm import divergence  # noqa: E402
+from cuelark.llm import divergence, merkle  # noqa: E402
 
 SHAPE = "doc_id long, text string, lang string, source string, n_chars long, term string, part string, value double"
 
@@ -96,3 +96,65 @@ def test_tasks_pass_counts_on(spark, monkeypatch):
     keys = ["lang", "source", "term"]
     total = lambda x: x.fillna("-").groupby(keys)[["n", "docs"]].sum().sort_index()
     assert len(parts) > len(whole) and total(parts).equals(total(whole))
+
+
+# ------------------------------------------------------------- manifests
+
+
+def H(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def tree(leaves):
+    """Root, and for each leaf the siblings up to it."""
+    paths, level, under = [[] for _ in leaves], list(leaves), [[i] for i in range(len(leaves))]
+    while len(level) > 1:
+        runs = [range(i, min(i + 2, len(level))) for i in range(0, len(level), 2)]
+        for run in runs:
+            for i in run:
+                for leaf in under[i]:
+                    paths[leaf].append([level[j] for j in run if j != i])
+        level, under = [H(*[level[i] for i in run]) for run in runs], [[x for i in run for x in under[i]] for run in runs]
+    return level[0], paths
+
+
+def manifests(rows):
+    shown = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+    leaf = lambda r, more=0: H(*map(shown, (r[0], r[3], r[2], r[4] if r[4] is None else r[4] + more, r[1])))
+    langs = sorted({r[2] for r in rows}, key=lambda x: (x is not None, (x or "").encode()))
+    of = {x: sorted((r for r in rows if r[2] == x), key=lambda r: (r[0] is not None, r[0] or 0, leaf(r))) for x in langs}
+    trees = {x: tree([leaf(r) for r in of[x]]) for x in langs}
+    root, tops = tree([trees[x][0] for x in langs])
+    out = []
+    for i, x in enumerate(langs):
+        for k, r in enumerate(of[x]):
+            path = trees[x][1][k] + tops[i]
+            bad = r[0] is not None and zlib.crc32(str(r[0]).encode()) % 7 == 0 and r[4] is not None
+            out.append((r[0] if r[0] is not None else -1, leaf(r), trees[x][0], root, H(*[h for run in path for h in run]), bad, not bad))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("step", [2, 14])
+def test_manifest_against_brute_force(docs, step):
+    """Two levels a round take several rounds, and ragged nodes in each."""
+    rows = merkle.manifest(docs, step).collect()
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.leaf, r.subroot, r.root, r.proof_sha256, r.folded_root != r.root, r.verified) for r in rows) == manifests(documents())
+
+
+def test_manifest_of_nothing_and_of_one(spark, docs, none):
+    assert merkle.manifest(none).collect() == []
+    one = merkle.manifest(docs.filter("doc_id = 205")).first()
+    assert one.leaf == one.subroot == one.root and one.proof_sha256 == H("")
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 8, 13, 64, 65])
+def test_fold_and_subtree(n):
+    leaves = [H(str(i)) for i in range(n)]
+    root, paths = tree(leaves)
+    one = merkle.Subtree(n, 14)
+    one.levels[0] = dict(enumerate(leaves))
+    one.build()
+    for i, path in enumerate(paths):
+        level, at, met = one.path(0, i)
+        assert one.levels[level][at] == root and at == 0 and met == "".join(h for run in path for h in run)
+        assert merkle.fold(leaves[i], i, n, met) == root and (n == 1 or merkle.fold(H("x"), i, n, met) != root)

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import bpe, chat, divergence, lattice, licenses, merkle, neardup, packing, secrets, toxicity, vectors, winnow
+from . import bpe, chat, divergence, lattice, licenses, merkle, neardup, packing, private, secrets, toxicity, vectors, winnow
 from .common import shared_dir, table
 
 
@@ -89,6 +89,10 @@ def op11_term_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
 
+def op12_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private.spans_of(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
@@ -105,6 +109,7 @@ QUERIES = {
     "op9_chat_format": op9_chat_format,
     "op10_lsh_forest": op10_lsh_forest,
     "op11_term_tiles": op11_term_tiles,
+    "op12_disclosure": op12_disclosure,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 pytest.importorskip("cuelark.llm")
-from cuelark.llm import divergence, merkle  # noqa: E402
+from cuelark.llm import divergence, merkle, private  # noqa: E402
 
 SHAPE = "doc_id long, text string, lang string, source string, n_chars long, term string, part string, value double"
 
@@ -158,3 +158,110 @@ def test_fold_and_subtree(n):
         level, at, met = one.path(0, i)
         assert one.levels[level][at] == root and at == 0 and met == "".join(h for run in path for h in run)
         assert merkle.fold(leaves[i], i, n, met) == root and (n == 1 or merkle.fold(H("x"), i, n, met) != root)
+
+
+# ------------------------------------------------------------- personal data
+
+# the contract's patterns
+PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def passes(kind, found):
+    number = re.sub("[^0-9]", "", found)
+    if kind == "ip":
+        return all(int(p) <= 255 for p in found.split("."))
+    if kind == "card":
+        return 14 <= len(number) <= 19 and sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(number))) % 10 == 0
+    return kind == "email" or 10 <= len(number) <= 15
+
+
+def plain_matches(text):
+    """(start, kind number, stop, entity, left, right) of what passes."""
+    out = []
+    for no, (kind, pattern) in enumerate(PLAIN.items()):
+        every = list(re.finditer(pattern, text))
+        ends = [0, *(m.end() for m in every)]
+        starts = [*(m.start() for m in every[1:]), len(text)]
+        for m, before, after in zip(every, ends, starts):
+            if passes(kind, m[0]):
+                left, right = text[before : m.start()], text[m.end() : after]
+                left = re.sub(r"^[^ \t\n\r\f\v]+", "", left[-160:]) if len(left) > 160 else left
+                right = re.sub(r"[^ \t\n\r\f\v]+$", "", right[:160]) if len(right) > 160 else right
+                entity = (no, m[0].lower() if no == 0 else m[0] if no == 1 else re.sub("[^0-9]", "", m[0]))
+                out.append((m.start(), no, m.end(), entity, left, right))
+    return out
+
+
+def plain_spans(texts):
+    import regex
+
+    token, letters = r"[A-Za-z0-9._%+-]*@[A-Za-z0-9.@-]*|[\p{L}\p{M}]+", r"[\p{L}\p{M}]+"
+    n = Counter(w.lower() for t in texts for w in regex.findall(letters, t))
+    near, found = Counter(), []
+    for text in texts:
+        base, words = plain_matches(text), set()
+        for start, _, stop, entity, left, right in base:
+            around = [[(m[0], origin + m.start(), origin + m.end()) for m in regex.finditer(token, side) if "@" not in m[0]] for side, origin in ((left, start - len(left)), (right, stop))]
+            around = [x for x in around[0] if x[2] < start][-8:] + [x for x in around[1] if x[1] > stop][:8]
+            words |= {(entity, w.lower(), a, z) for w, a, z in around}
+        near.update((w, entity) for entity, w, _, _ in words)
+        found.append((base, words))
+    out = []
+    for base, words in found:
+        spans = {(a, no, z) for a, no, z, *_ in base}
+        told = {}
+        for entity, w, a, z in words:
+            share = near[w, entity] / (max(n[w], near[w, entity]) + 2)
+            if n[w] and share >= 1 / 3 - 1e-12:
+                told[a, z] = max(told.get((a, z), 4), 5 if share >= 0.5 else 4)
+        out.append(",".join(f"{('email', 'ip', 'card', 'phone', 'generalise', 'remove')[k]}:{a}:{z}" for a, k, z in sorted(spans | {(a, k, z) for (a, z), k in told.items()})))
+    return out
+
+
+def private_rows():
+    r = np.random.RandomState(9)
+    fill = lambda k: " ".join(f"{'ba be bi bo bu'.split()[r.randint(5)]}{'la le li'.split()[r.randint(3)]}" for _ in range(k))
+    texts = [None, "", "   ", "plain words only " + fill(30), "write to Jane.Doe@mail.example.com today", "write to jane.doe@MAIL.example.com or to Zork", "Zork the great, jane.doe@mail.example.com, Zork again"]
+    texts += ["ip 10.0.0.255 and 10.0.0.256 and 1.2.3.4.5 and 00255.1.1.001 x", "a@b.cd_x@e.fg@h.ij me@host me@host.", "card 4111 1111 1111 1111 and 4111-1111-1111-1112 or 4111  1111 1111 1111", "call +1 (743) 555-3824 now, +123 no, +1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6 no"]
+    texts += [fill(40) + " Quux Quux bob@x.org Quux " + fill(40)] * 3 + [f"{fill(12)} mail{i}@y.net {fill(12)} 192.168.{i}.1 {fill(3)}" for i in range(25)]
+    texts += ["1" * 4000, "a" * 4000 + "@", "x" * 3000 + "@long.example.com " + fill(5), "9 " * 30_000, fill(20_000) + " end@of.it", "日本 tél +33 6 12 34 56 78 é̀ñ 😀 jürgen@example.com 😀 naïve", "+" * 3000 + "1 234 567 8901", "ΑΣ Σ info@α.example.com ΟΔΟΣ ας@x.yz"]
+    return [(i, t, "en", None, 1, "t", "p", 0.1) for i, t in enumerate(texts)] + [(4, texts[4], None, None, None, None, None, None), (4, "other text under id four me@host.de", "en", "s", 1, None, None, None), (None, "no id: me@host.de", "en", "s", 1, None, None, None), (None, None, None, None, None, None, None, None)]
+
+
+def test_personal_data_against_brute_force(spark):
+    rows = private_rows()
+    got = private.spans_of(spark.createDataFrame(rows, SHAPE).withColumnsRenamed({"term": "found", "part": "blob"}).repartition(3)).collect()
+    want = plain_spans([t or "" for _, t, *_ in rows])
+    expected = []
+    for (i, *_), spans in zip(rows, want):
+        base = [s for s in spans.split(",") if s and s.split(":")[0] in PLAIN]
+        expected.append((i or 0, *[sum(s.startswith(k + ":") for s in base) for k in PLAIN], H(",".join(base)), spans))
+    assert sorted((r[0] or 0, *r[1:]) for r in got) == sorted(expected)
+    assert any("remove:" in s for s in want) and any("generalise:" in s for s in want) and want[3] == ""
+
+
+def test_texts_are_sanitised(spark):
+    rows = private_rows()
+    clean = {r.doc_id: r.text for r in private.sanitised(spark.createDataFrame(rows, SHAPE).filter("doc_id <> 4")).collect()}
+    assert clean[0] is None and clean[3] == rows[3][1] and clean[1] == ""
+    assert "Quux" not in clean[11] and "[email]" in clean[11] and "@" not in clean[11]
+    assert "255" not in clean[7][:20] and "10.0.0.256" in clean[7] and "[card]" in clean[9] and "[phone]" in clean[10] and "+123 no" in clean[10]
+
+
+def test_disclosure_bits(spark):
+    near = spark.createDataFrame([("b", "e", "rare", 0, 4, 6), ("b", "e", "once", 9, 13, 1), ("b", "e", "the", 20, 23, 6), ("c", "f", "half", 0, 4, 2)], "blob string, entity string, term string, start long, stop long, copies long")
+    corpus = spark.createDataFrame([("rare", 6), ("once", 1), ("the", 1000), ("half", 4), ("other", 13)], "term string, n long")
+    rows = {r.term: r for r in private.evidence(near, corpus).collect()}
+    assert {t: r.kind for t, r in rows.items()} == {"rare": 5, "once": 4, "half": 4}
+    assert all(abs(r.pmi + r.hidden - r.information) < 1e-9 for r in rows.values()) and abs(rows["rare"].information - np.log2(1024 / 13)) < 1e-9
+
+
+def test_personal_data_of_nothing(none):
+    assert private.spans_of(none).collect() == [] and private.sanitised(none).collect() == []
+
+
+def test_long_runs_take_linear_time(spark):
+    """The plain patterns try a run of one class at each of its starts; 2 million characters would take hours."""
+    texts = ["1" * 2_000_000, "a" * 2_000_000 + "@b.cd", "1." * 1_000_000, "9 " * 1_000_000, "a" * 2_000_000 + "@", "a.b" * 600_000 + " x@y.zz"]
+    rows = private.spans_of(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_email, r.n_ip, r.n_card, r.n_phone) for r in rows} == {0: (0, 0, 0, 0), 1: (1, 0, 0, 0), 2: (0, 250_000, 0, 0), 3: (0, 0, 0, 0), 4: (0, 0, 0, 0), 5: (1, 0, 0, 0)}

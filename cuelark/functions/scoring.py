@@ -119,20 +119,20 @@ def error_rate(errors: Column, reference: Column) -> Column:
     return F.bround(errors / F.greatest(reference, F.lit(1)), 4)
 
 
-@F.pandas_udf(T.BooleanType())
-def repetitive(text: pd.Series) -> pd.Series:
+def repeats(text: str | None) -> bool:
     """One token six times in a row, or a pair or triple four times, in a text of eight tokens or more."""
-
-    def loops(x: str | None) -> bool:
-        t = _TOKEN.findall(unicodedata.normalize("NFKC", x or "").casefold())
-        if len(t) < 8:
-            return False
-        for size, times in ((1, 6), (2, 4), (3, 4)):
-            run = 0
-            for a, b in zip(t, t[size:]):
-                run = run + 1 if a == b else 0
-                if run >= size * (times - 1):
-                    return True
+    t = _TOKEN.findall(unicodedata.normalize("NFKC", text or "").casefold())
+    if len(t) < 8:
         return False
+    for size, times in ((1, 6), (2, 4), (3, 4)):
+        run = 0
+        for a, b in zip(t, t[size:]):
+            run = run + 1 if a == b else 0
+            if run >= size * (times - 1):
+                return True
+    return False
 
-    return text.map(loops)
+
+@F.pandas_udf(T.BooleanType())
+def repetitive(text: pd.Series) -> pd.Series:
+    return text.map(repeats)

@@ -79,18 +79,6 @@ def prepare_window(samples: F.Column, length: int) -> F.Column:
     return F.slice(F.concat(samples, F.array_repeat(F.lit(0.0).cast("float"), length)), 1, length)
 
 
-def recover(gaps: DataFrame, narrow: DataFrame, wide: DataFrame) -> DataFrame:
-    """Choice per gap between recognition with a narrow margin and, where that repeats itself, with a wide one.
-
-    Candidates: (gap, text, compression, repeats). A wide result that still repeats is discarded.
-    """
-    n = narrow.select("gap", F.col("text").alias("first"), (F.coalesce(F.col("compression") > 2.4, F.lit(False)) | F.col("repeats")).alias("bad"))
-    w = wide.select("gap", F.col("text").alias("second"), F.col("repeats").alias("still"))
-    joined = gaps.join(n, "gap", "left").join(w, "gap", "left")
-    chosen = F.when(~F.coalesce("bad", F.lit(False)), F.col("first")).when(~F.coalesce("still", F.lit(True)), F.col("second"))
-    return joined.select(*gaps.columns, F.coalesce("bad", F.lit(False)).alias("retried"), chosen.alias("text"))
-
-
 def translate(cues: DataFrame, valid: DataFrame, target: str, make: Callable[[], Callable]) -> DataFrame:
     """Translations of cues whose utterance isn't valid yet: (project, track, cue_id, text, individually).
 

@@ -249,12 +249,6 @@ def test_translate(spark):
     assert seams.translate(cues, spark.createDataFrame([("a",), ("b",), ("c",)], "cue_id string"), "de", lambda: lambda s, t, x: x).count() == 0
 
 
-def test_recover(spark):
-    gaps = spark.createDataFrame([(1,), (2,), (3,)], "gap int")
-    n = spark.createDataFrame([(1, "good", 1.0, False), (2, "la la", 3.0, False), (3, "la la", 1.0, True)], "gap int, text string, compression double, repeats boolean")
-    w = spark.createDataFrame([(2, "better", 1.0, False), (3, "la la", 1.0, True)], n.schema)
-    assert {r.gap: (r.retried, r.text) for r in seams.recover(gaps, n, w).collect()} == {1: (False, "good"), 2: (True, "better"), 3: (True, None)}
-
 
 def test_overlay_and_mix(spark):
     df = spark.createDataFrame([({"a": "1", "b": "2"}, {"b": "3", "c": None})], "x map<string,string>, y map<string,string>")

@@ -186,19 +186,6 @@ def remux_entries(embedded: DataFrame, selections: DataFrame) -> DataFrame:
     return kept.unionByName(selections.select("track", "language", "is_default", F.lit("selected").alias("origin")))
 
 
-def remux_arguments(source: Column, entries: Column, target: Column) -> Column:
-    """Command words of a remux: the source, a map and language per entry, copied streams, the target."""
-    each = F.flatten(F.transform(entries, lambda e, i: F.array(F.lit("-map"), F.concat(F.lit("0:"), e["track"].cast("string")), F.concat(F.lit("-metadata:s:s:"), i.cast("string")), F.concat(F.lit("language="), e["language"]))))
-    return F.concat(F.array(F.lit("-i"), source), each, F.array(F.lit("-c"), F.lit("copy"), target))
-
-
-def warnings(entries: DataFrame, keys: list[str]) -> DataFrame:
-    """Messages of a plan, each once and in order of first appearance."""
-    several = F.when(F.count_if("is_default") > 1, F.lit("More than one default track"))
-    unknown = F.when(F.bool_or(F.col("language") == "und"), F.lit("A track has no language"))
-    return entries.groupBy(*keys).agg(F.filter(F.array(several, unknown), lambda m: m.isNotNull()).alias("warnings"))
-
-
 def first_free_names(stems: DataFrame, taken: DataFrame, most: int = 10_000) -> DataFrame:
     """(stem, name): stem, stem-2, stem-3, ...: the first that no row (name) of ``taken`` has; none up to ``most`` fails the job.
 

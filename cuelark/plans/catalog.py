@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
-from ..operators import intervals, media, recovery, sequence, signal, store, tracks
+from ..operators import intervals, media, recovery, remux, sequence, signal, store, tracks
 from ..sources import records, subtitles
 from ..streaming import feeds
 from .inputs import CUES, SPOKEN, TRANSLATIONS, WORDS, cues, spoken, table, translations, words
@@ -844,3 +844,57 @@ def recovered_gaps(spark, d):
     audio = piece.select("track", "piece", F.transform(F.sequence(F.lit(0), F.lit(79)), sample).alias("samples"))
     found = recovery.recover(gaps, audio, whole.select("track", "duration"), ["track"], lambda: Tones(20), rate=20, width=4.0)
     return found.select("track", "gap", F.round("start", 4).alias("start"), F.round("end", 4).alias("end"), "retried", F.size("words").cast("long").alias("n_words"), "text")
+
+
+# ------------------------------------------------------------- remux plans
+
+_REMUX = """requests as (select c_custkey as project, c_custkey as k, '/in/' || c_custkey || '.mkv' as source, case when c_custkey % 23 = 0 then '/in/' || c_custkey || '.mkv' when c_custkey % 17 = 0 then '/out/' || c_custkey || '.avi' when c_custkey % 3 = 0 then '/out/' || c_custkey || '.mp4' else '/out/' || c_custkey || '.mkv' end as target from customer),
+embedded as (select o_custkey as project, o_orderkey as o, row_number() over (partition by o_custkey order by o_orderkey) - 1 as ordinal, case when o_custkey % 5 = 0 and o_orderkey % 4 = 0 then 'hdmv_pgs_subtitle' else ['subrip', 'ass', 'mov_text'][1 + o_orderkey % 3] end as codec, case when o_orderkey % 2 = 0 then '' else 'T' || o_orderkey end as title from orders),
+cued as (select k as project, 1 as track, unnest(case when k % 2 = 0 then ['en', 'en'] else ['en', 'fr'] end) as language, false as edited from requests where k % 5 <> 4 union all select project, -11, 'en', project % 6 = 0 from embedded where ordinal = 0 and project % 2 = 0),
+chosen as (select k as project, 0 as position, 1 as track, 'original' as language, k % 8 = 0 as is_default from requests where k % 2 = 0 union all select k, 1, 1, 'de', k % 16 = 0 from requests where k % 3 <> 1
+  union all select k, 2, -11, 'original', false from requests where k % 4 = 1 or k % 6 = 0 union all select k, 3, 1, 'original', false from requests where k % 37 = 0 union all select k, 4, 77, 'original', false from requests where k % 43 = 0)"""
+
+
+@query(f"""with {_REMUX}, stats as (select project, track, bool_or(edited) as edited, case when count(distinct language) = 1 then min(language) else 'und' end as spoken from cued group by all),
+picked as (select c.*, e.o, s.spoken, s.project is not null as has, c.track = -11 and e.o is not null and not coalesce(s.edited, false) as native,
+    case when c.track = 77 or (c.track = -11 and e.o is null) then 'source' when not (c.track = -11 and not coalesce(s.edited, false)) and s.project is null then 'cues' when c.language = 'de' and c.project % 4 <> 0 then 'stale' end as wrong,
+    e.title as own, case when coalesce(e.title, '') <> '' then e.title when c.track = 1 then 'Audio 1' else 'Embedded subtitles 1' end as label, case when e.o % 3 = 0 then 'en' else 'de' end as tongue, e.codec, e.o % 7 = 0 as forced
+  from chosen c left join embedded e on e.project = c.project and c.track = -11 and e.ordinal = 0 left join stats s on s.project = c.project and s.track = c.track),
+spoken as (select *, case when native then tongue when language = 'original' then spoken else language end as said from picked),
+entries as (select project, 1 as part, position as pl, track, native, codec, said as language, case when native then own else upper(said) || ' · ' || label end as title, is_default, coalesce(forced, false) as forced from spoken
+  union all select e.project, 0, ordinal, -11 - ordinal, true, codec, case when o % 3 = 0 then 'en' else 'de' end, title, o % 9 = 0 and not exists (select 1 from chosen c where c.project = e.project and c.is_default), o % 7 = 0
+    from embedded e where e.project % 4 <> 0 and not (ordinal = 0 and exists (select 1 from chosen c where c.project = e.project and c.track = -11))),
+asked as (select project, count(*) as n, count(distinct (track, language)) as d, count(*) filter (is_default) as f, arg_min(wrong, position) filter (wrong is not null) as wrong from picked group by project),
+held as (select project, count(*) as n, string_agg(concat_ws(':', track, native, language, title, is_default, forced), '|' order by part, pl) as shown, bool_or(native and codec = 'hdmv_pgs_subtitle') as image, bool_or(native and codec = 'mov_text') as odd, bool_or(not native and track < 0) as plain from entries group by project),
+judged as (select r.k as project, case when k % 29 = 0 then 'changed' when k % 17 = 0 and k % 23 <> 0 then 'target' when k % 23 = 0 then 'same' when k % 41 = 0 then 'exists' when k % 31 = 0 then 'video' when a.n is null then 'none' when d < a.n then 'twice' when f > 1 then 'defaults' when wrong is not null then wrong
+    when target like '%.mkv' and k % 19 = 0 then 'data' when target like '%.mp4' and image then 'image' when target like '%.mp4' and k % 13 = 0 then 'attachment' end as refusal, target like '%.mp4' as mp4, h.*  from requests r left join asked a on a.project = k left join held h on h.project = k)
+select project, refusal, case when refusal is null then n else 0 end as entries, case when refusal is null then shown else '' end as shown,
+  case when refusal is not null then '' else concat_ws(',', case when mp4 then 'timed' end, case when not mp4 and odd then 'converted' end, case when plain then 'plain' end) end as warnings from judged""")
+def remux_plans(spark, d):
+    """Customers as projects and their orders as embedded tracks; every refusal occurs."""
+    from pyspark.sql import Window
+
+    k, o = F.col("c_custkey"), F.col("o_orderkey")
+    source, out = F.concat(F.lit("/in/"), k.cast("string"), F.lit(".mkv")), lambda suffix: F.concat(F.lit("/out/"), k.cast("string"), F.lit(suffix))
+    customers = table(spark, d, "customer").select(k)
+    target = F.when(k % 23 == 0, source).when(k % 17 == 0, out(".avi")).when(k % 3 == 0, out(".mp4")).otherwise(out(".mkv"))
+    requests = customers.select(k.alias("project"), source.alias("source"), target.alias("target"), (k % 29 == 0).alias("changed"), (k % 41 == 0).alias("exists"), (k % 31 != 0).alias("has_video"), (k % 4 != 0).alias("keep_embedded"))
+    numbered = table(spark, d, "orders").select("o_custkey", o, (F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1).alias("ordinal"))
+    codec = F.when((F.col("o_custkey") % 5 == 0) & (o % 4 == 0), "hdmv_pgs_subtitle").otherwise(F.get(F.array(F.lit("subrip"), F.lit("ass"), F.lit("mov_text")), (o % 3).cast("int")))
+    streams = numbered.select(
+        F.col("o_custkey").alias("project"), (F.col("ordinal") + 10).alias("stream_index"), codec.alias("codec"), F.when(o % 3 == 0, "eng").otherwise("ger").alias("tag_language"), F.when(o % 2 != 0, F.concat(F.lit("T"), o.cast("string"))).alias("title"),
+        F.create_map(F.lit("default"), (o % 9 == 0).cast("int"), F.lit("forced"), (o % 7 == 0).cast("int")).alias("dispositions"),
+    )
+    audio = customers.select(k.alias("project"), F.lit(1).alias("stream_index"), F.lit(0).alias("audio_ordinal"), F.lit("").alias("title"))
+    aux = lambda m, number, kind, chapter: customers.filter(k % m == 0).select(k.alias("project"), F.lit(number).cast("long").alias("stream_index"), F.lit(kind).alias("type"), F.lit(chapter).alias("chapter"))
+    spoken_ = customers.filter(k % 5 != 4).select(k.alias("project"), F.lit(1).cast("long").alias("track"), F.explode(F.when(k % 2 == 0, F.array(F.lit("en"), F.lit("en"))).otherwise(F.array(F.lit("en"), F.lit("fr")))).alias("language"), F.lit(False).alias("edited"))
+    own = numbered.filter("ordinal = 0 and o_custkey % 2 = 0").select(F.col("o_custkey").alias("project"), F.lit(-11).cast("long").alias("track"), F.lit("en").alias("language"), (F.col("o_custkey") % 6 == 0).alias("edited"))
+    pick = lambda test, position, track, language, default: customers.filter(test).select(k.alias("project"), F.lit(position).alias("position"), F.lit(track).cast("long").alias("track"), F.lit(language).alias("language"), default.alias("is_default"))
+    no = F.lit(False)
+    chosen = pick(k % 2 == 0, 0, 1, "original", k % 8 == 0).unionByName(pick(k % 3 != 1, 1, 1, "de", k % 16 == 0)).unionByName(pick((k % 4 == 1) | (k % 6 == 0), 2, -11, "original", no))
+    chosen = chosen.unionByName(pick(k % 37 == 0, 3, 1, "original", no)).unionByName(pick(k % 43 == 0, 4, 77, "original", no))
+    complete = customers.filter(k % 4 == 0).select(k.alias("project"), F.lit(1).cast("long").alias("track"), F.lit("de").alias("language"))
+    made = remux.plans(requests, chosen, remux.sources(audio, tracks.describe_subtitles(streams)), aux(19, 90, "data", False).unionByName(aux(13, 91, "attachment", False)).unionByName(aux(7, 92, "data", True)), spoken_.unionByName(own), complete)
+    text_ = lambda c: c.cast("string")
+    shown = F.array_join(F.transform("entries", lambda e: F.concat_ws(":", text_(e["track"]), text_(e["native"]), e["language"], e["title"], text_(e["is_default"]), text_(e["forced"]))), "|")
+    return made.select("project", "refusal", F.size("entries").cast("long").alias("entries"), shown.alias("shown"), F.array_join("warnings", ",").alias("warnings"))

@@ -81,21 +81,13 @@ def test_predicates(spark):
     assert [x.name for x in got] == ["a", "new"]
 
 
-def test_remux(spark):
-    e = spark.createDataFrame([([(3, "en"), (5, "de")],)], "e array<struct<track:int,language:string>>")
-    got = e.select(tracks.remux_arguments(F.lit("in.mkv"), F.col("e"), F.lit("out.mkv"))).first()[0]
-    assert got[:2] == ["-i", "in.mkv"] and got[-1] == "out.mkv" and "0:5" in got
-    w = spark.createDataFrame([(1, "und", True), (1, "en", True), (2, "en", True)], "plan int, language string, is_default boolean")
-    assert {r.plan: len(r.warnings) for r in tracks.warnings(w, ["plan"]).collect()} == {1: 2, 2: 0}
-
-
 def test_srt_round_trip(spark):
-    body = "﻿1\r\n00:00:01,500 --> 00:00:03,200\r\n<i>Hello</i> there\r\n\r\n2\r\n01:02:03.004 --> 01:02:05,000 X1:10\r\nrepeat repeat &amp; &lt;name&gt;\r\n\r\n3\r\n00:00:09,000 --> 00:00:10,000\r\n{\\p1}\r\n"
+    body = "\ufeff1\r\n00:00:07,250 --> 00:00:09,900\r\n<b>Where</b> to?\r\n\r\n2\r\n02:10:11.120 --> 02:10:12,000 X1:10\r\nsalt &amp; pepper &gt; sugar\r\n\r\n3\r\n03:00:00,000 --> 03:00:01,000\r\n{\\an8}\r\n"
     files = spark.createDataFrame([("p", 1, "en", body)], "project string, track int, language string, text string")
     got = subtitles.read_srt(files).orderBy("start").collect()
-    assert [(r.start, r.end, r.text) for r in got] == [(1.5, 3.2, "Hello there"), (3723.004, 3725.0, "repeat repeat & <name>")]
+    assert [(r.start, r.end, r.text) for r in got] == [(7.25, 9.9, "Where to?"), (7811.12, 7812.0, "salt & pepper > sugar")]
     text = subtitles.srt_text(subtitles.read_srt(files)).first().text
-    assert text.startswith("1\n00:00:01,500 --> 00:00:03,200\nHello there\n\n2\n01:02:03,004")
+    assert text.startswith("1\n00:00:07,250 --> 00:00:09,900\nWhere to?\n\n2\n02:10:11,120")
     bad = spark.createDataFrame([("p", 1, "en", "1\nnot a time\nx")], files.schema)
     with pytest.raises(Exception, match="unreadable"):
         subtitles.read_srt(bad).collect()

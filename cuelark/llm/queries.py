@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -32,9 +33,9 @@ def op5_harmonic_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scans the documents into a new ledger, and once more: the second scan finds no unseen blob, its findings come from the ledger."""
+    """Scans the documents into the ledger of ``cuelark.ledger`` (else a new one), and once more: the second scan finds no unseen blob, its findings come from the ledger."""
     versions = secrets.address(table(spark, sf_dir, "documents"), "doc_id", "text")
-    ledger = secrets.Ledger(spark, f"{shared_dir(spark)}/cuelark/{uuid.uuid4().hex}/ledger")
+    ledger = secrets.Ledger(spark, spark.conf.get("cuelark.ledger", None) or f"{shared_dir(spark)}/cuelark/{uuid.uuid4().hex}/ledger")
     ledger.scan(versions)
     if ledger.scan(versions):
         raise RuntimeError("the ledger lost blobs")
@@ -122,7 +123,8 @@ def _secrets_sql() -> str:
     """Matches per rule as lists of the texts between them and of themselves; positions are running sums of lengths."""
     each = []
     for no, (kind, pattern, group, least) in enumerate(secrets.RULES):
-        p = _q(pattern)
+        # this dialect has no possessive repeats; it needs none, for it never goes back
+        p = _q(re.sub(r"([*+}])\+", r"\1", pattern))
         each.append(
             f"select doc_id, {no} as rule, '{kind}' as kind, {least} as least, unnest(gaps) as gap, unnest(wholes) as whole, unnest(parts) as part, generate_subscripts(gaps, 1) as pos "
             f"from (select doc_id, string_split_regex(text, {p}) as gaps, regexp_extract_all(text, {p}, 0) as wholes, regexp_extract_all(text, {p}, {group}) as parts from d where regexp_matches(text, {p}))"

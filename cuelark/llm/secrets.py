@@ -12,6 +12,14 @@ from pyspark.sql import functions as F
 
 from .common import keep
 
+# A private key: from BEGIN over whatever lines to END, header lines and written \n included; five
+# dashes end the body, so it never runs into another key. Without END up to the last line of
+# base64. Possessive repeats: a key may be as long as it likes.
+_GAP = r"(?:[\x20\t\r\n]|\\[nr])*+"
+_BODY = r"(?:[^-]++|-{1,4}+[^-])*+-----END [A-Z ]*PRIVATE KEY-----"
+_LINES = rf"(?:{_GAP}(?:[A-Za-z0-9+/=]{{16,}}+|(?:Proc-Type|DEK-Info): [^\r\n\\]*+))*+(?:{_GAP}[A-Za-z0-9+/]{{1,15}}+={{1,2}}+)?"
+_PEM = rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:{_BODY}|{_LINES})"
+
 # Rule name, pattern (Java syntax, ASCII case), group that must be long enough, least length.
 RULES = (
     ("assign", r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 8),
@@ -22,10 +30,10 @@ RULES = (
     ("google", r"AIza[0-9A-Za-z_-]{35}", 0, 39),
     ("stripe", r"[sr]k_(?:live|test)_[0-9A-Za-z]{16,}", 0, 24),
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 29),
-    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:\s*[A-Za-z0-9+/=]{16,}){0,60}(?:\s*[A-Za-z0-9+/=]*\s*-----END [A-Z ]*PRIVATE KEY-----)?", 0, 20),
+    ("pem", _PEM, 0, 20),
 )
 BASE = ("assign", "access", "hex")
-RULE_VERSION = "3"
+RULE_VERSION = "4"
 #: Keys over which the copies of one blob are dealt when findings join back.
 SPREAD = 16
 #: A text can hold a finding of the rule only if this matches; cheaper than listing matches.

@@ -11,15 +11,27 @@ from cuelark.llm import neardup, packing, secrets, toxicity
 from cuelark.llm.common import keep, shared_dir, table
 
 
+#: Numbers the rows of a stage; no column of documents has this name.
+ROW = "_cuelark_row"
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.reject(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles, similarity 0.8; the smallest doc_id of a group stays, rows without an id stay."""
-    found = neardup.near_duplicates(docs, words=5, percent=80)
-    gone = found.filter("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    """Five-word shingles, similarity 0.8; of each group the row with the smallest doc_id stays (null last).
+
+    Rows, not ids, are judged and dropped: each row has a number of its own here, so rows that
+    repeat an id with another text stay, and of rows that repeat a text one stays. Texts without
+    words belong to no group.
+    """
+    rows = keep(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    found = neardup.near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text"), words=5, percent=80)
+    named = keep(found.select(F.col("doc_id").alias(ROW), "component_id").join(rows.select(ROW, "doc_id").hint("merge"), ROW), "named")
+    groups = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW))[ROW].alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    gone = named.join(groups.hint("merge"), "component_id").filter(F.col(ROW) != F.col("first")).select(ROW)
+    return rows.join(gone.hint("merge"), ROW, "left_anti").select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

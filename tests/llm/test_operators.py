@@ -500,12 +500,16 @@ def test_a_stored_ledger_grows_over_versions(spark, tmp_path):
 def test_whole_private_keys_are_masked(spark):
     line = "MIIEowIBAAKCAQEAx0b1" * 3
     key = "-----BEGIN RSA PRIVATE KEY-----\n" + (line + "\n") * 25 + "q0Zx+/a=\n-----END RSA PRIVATE KEY-----"
+    headed = "-----BEGIN RSA PRIVATE KEY-----\r\nProc-Type: 4,ENCRYPTED\r\nDEK-Info: AES-256-CBC,A1B2-C3--D4\r\n\r\n" + (line + "\r\n") * 98 + "ab==\r\n-----END RSA PRIVATE KEY-----"
     texts = [f"before {key} after", "before " + key[:200] + "\nand then, words", "x" * 50_000 + key]
+    texts += [f"a {headed} b", f"'{headed.replace(chr(13), '').replace(chr(10), chr(92) + 'n')}' c", "d " + key[:-30] + " e", "-----BEGIN PRIVATE KEY-----\n" + (line + "\n") * 50_000 + "-----END PRIVATE KEY----- f"]
+    texts += [f"-----BEGIN EC PRIVATE KEY----- cut off here\n\nmuch later {key} g", "-----BEGIN PRIVATE KEY----- " + "-a " * 100_000]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     versions = secrets.address(docs, "doc_id")
     found = secrets.scan_paths(versions)
     got = {r.path: r.m for r in found.join(versions.select("path", "text"), "path").select("path", secrets.redact(secrets.F.col("found"), secrets.F.col("text")).alias("m")).collect()}
-    assert got == {0: "before [secret] after", 1: "before [secret]\nand then, words", 2: "x" * 50_000 + "[secret]"}
+    want = {0: "before [secret] after", 1: "before [secret]\nand then, words", 2: "x" * 50_000 + "[secret]", 3: "a [secret] b", 4: "'[secret]' c", 5: "d [secret] e", 6: "[secret] f"}
+    assert got == want | {7: "[secret] cut off here\n\nmuch later [secret] g", 8: "[secret] " + "-a " * 100_000}
 
 
 def test_ledger_scans_only_unseen(spark):
@@ -809,6 +813,17 @@ def test_chat_whole_messages_are_edited(spark):
 # ------------------------------------------------------------- pipeline
 
 
+def test_repeated_ids_lose_no_text(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    long, near = prose(1, 60), prose(1, 60) + " more"
+    rows = [(1, long, "first"), (1, long, "again"), (2, near, "copy"), (2, "a text of its own " + prose(2, 50), "own"), (None, long, "copy without id"), (None, prose(3, 40), "b"), (None, prose(3, 40), "c"), (3, None, "x"), (3, None, "y"), (4, "", "z"), (5, "a few", "p"), (6, "a few", "q")]
+    docs = spark.createDataFrame([(i, t, None, None, None, k) for i, t, k in rows], "doc_id long, text string, lang string, source string, n_chars long, kept string")
+    out = pipeline.drop_near_duplicates(spark, docs.repartition(3), "")
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert out.columns == docs.columns and Counter(got) == Counter([(1, long), (2, rows[3][1]), (None, prose(3, 40)), (3, None), (3, None), (4, ""), (5, "a few")])
+    assert pipeline.drop_near_duplicates(spark, docs.limit(0), "").collect() == []
+
+
 def test_pipeline(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     rows = [(i, prose(i, 40) + (" vile rotten" if i % 6 == 0 else ""), "en", "s", 1) for i in range(300)]

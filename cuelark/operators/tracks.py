@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import TRANSLATION_VERSION, language_code, lookup, signature
+from .ranges import running
 from .sequence import utterances
 
 # Subtitle codecs by kind, and (extension, muxer) of codecs that are kept as they are.
@@ -226,9 +227,9 @@ def page(rows: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
 
 
 def evictions(files: DataFrame, most: float, keep: Column) -> DataFrame:
-    """Files to delete, newest first, once the sizes so far pass ``most``; never the kept one. Partition: ``pool``."""
-    w = Window.partitionBy("pool").orderBy(F.desc("modified"), "path").rowsBetween(Window.unboundedPreceding, 0)
-    return files.withColumn("so_far", F.sum("size").over(w)).filter((F.col("so_far") > most) & ~keep)
+    """Files to delete, newest first, once the sizes so far pass ``most``; never the kept one. A pool of any size spreads over tasks."""
+    sized = running(files, ["pool"], [F.desc("modified"), F.col("path")], {"so_far": F.col("size")})
+    return sized.filter((F.col("so_far") > most) & ~keep)
 
 
 # ------------------------------------------------------------- settings and messages

@@ -259,6 +259,13 @@ def eviction_running_total(spark, d):
 # ------------------------------------------------------------- event logs
 
 
+@query("select user_id, count(*) as entries, round(min(epoch_us(ts)) / 1e6, 6) as started, round((max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6, 6) as elapsed, round(max(value), 6) as peak, round(sum(value), 4) as total from events group by user_id")
+def job_usage(spark, d):
+    log = table(spark, d, "events").select("user_id", "value", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
+    used = feeds.job_usage(log, ["user_id"], "at", "value")
+    return used.select("user_id", "entries", F.round("started", 6).alias("started"), F.round("elapsed", 6).alias("elapsed"), F.round("peak", 6).alias("peak"), F.round("total", 4).alias("total"))
+
+
 @query("select event_id from (select event_id, event_type, lag(event_type) over w as b, row_number() over w as n from events window w as (partition by user_id order by ts, event_id)) where n = 1 or event_type is distinct from b")
 def job_changes_only(spark, d):
     return feeds.changes(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], "event_type").select("event_id")

@@ -42,6 +42,17 @@ def event_lines(lines: DataFrame, column: str = "value") -> tuple[DataFrame, Dat
     return read.filter(~bad).select("event.type", "event.track", "event.progress", "event.message"), read.filter(bad).select(column)
 
 
+PULL = "status string, completed double, total double, error string"
+
+
+def pull_progress(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Lines of a download's progress beside their other columns: status, progress (0 to 1) and error. Blank lines go; lines that aren't JSON are errors."""
+    read = lines.filter(F.trim(column) != "").withColumn("_p", F.from_json(column, PULL + ", broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"}))
+    share = F.least(F.lit(1.0), F.coalesce("_p.completed", F.lit(0.0)) / F.greatest(F.lit(1.0), F.coalesce("_p.total", F.lit(1.0))))
+    error = F.coalesce("_p.error", F.when(F.col("_p").isNull() | F.col("_p.broken").isNotNull(), F.concat(F.lit("unreadable: "), F.col(column))))
+    return read.select(*[c for c in lines.columns if c != column], F.coalesce("_p.status", F.lit("Downloading")).alias("status"), share.alias("progress"), error.alias("error"))
+
+
 def encoder_progress(line: F.Column, duration: F.Column) -> F.Column:
     """Share done, 0 to .96, of an encoder's progress line; null for other lines."""
     micros = F.regexp_extract(line, r"^out_time_us=(\d+)$", 1).try_cast("double")

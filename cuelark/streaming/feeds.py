@@ -6,10 +6,11 @@ dropping them would be wrong.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -103,6 +104,43 @@ def new_segments(segments: DataFrame, done: DataFrame) -> DataFrame:
     return segments.join(whole, "track", "left_anti").join(done.select("track", "segment"), ["track", "segment"], "left_anti")
 
 
+class Segments:
+    """Segment checkpoints (track, segment, ..., complete) as a table that grows by streams, each segment once.
+
+    A batch writes a folder of its own, named by its stream's checkpoint and its number, from what
+    no other batch before it has: tried again, it writes the same. A row with ``complete`` marks
+    its track as done; segments that come for it in later batches are not taken. One stream at a time.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, schema: str):
+        self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
+
+    def table(self, run: str | None = None, before: int | None = None) -> DataFrame:
+        """All segments; with ``run`` those that were there before one of its batches."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/batches")
+        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(folder):
+            return self.spark.createDataFrame([], self.schema)
+        rows = self.spark.read.schema(f"{self.schema}, run string, batch int").option("basePath", f"{self.root}/batches").parquet(f"{self.root}/batches")
+        return (rows if run is None else rows.filter((F.col("run") != run) | (F.col("batch") < before))).drop("run", "batch")
+
+    def take(self, rows: DataFrame, number: int, run: str = "r") -> None:
+        new = new_segments(rows, self.table(run, number).select("track", "segment", F.coalesce("complete", F.lit(False)).alias("complete")))
+        first = Window.partitionBy("track", "segment").orderBy(*[F.col(c) for c in rows.columns if c not in ("track", "segment") and not c.startswith("_")])
+        once = new.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+        once.write.mode("overwrite").parquet(f"{self.root}/batches/run={run}/batch={number}")
+
+    def follow(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
+        run = "r" + hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+        return stream.writeStream.foreachBatch(lambda rows, number: self.take(rows, number, run)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def job_usage(log: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
+    """Roll-up of a log: entries, first time, seconds from the first entry to the last (times in seconds), highest value and their sum."""
+    first, last = F.min(at), F.max(at)
+    return log.groupBy(*keys).agg(F.count(F.lit(1)).alias("entries"), first.alias("started"), (last - first).alias("elapsed"), F.max(value).alias("peak"), F.sum(value).alias("total"))
+
+
 def job_states(log: DataFrame) -> DataFrame:
     """Job states by replay of a log (id, at, event): what was last asked or reported, unless it was already over."""
     state = {"create": "queued", "start": "running", "pause": "paused", "resume": "queued", "cancel": "cancelled", "finish": "done", "fail": "failed"}

@@ -190,18 +190,6 @@ def test_checks_hold_whatever_is_selected(spark):
         subtitles.read_srt(bad("1\nsoon\nhello")).select("text").collect()
 
 
-def test_a_broken_write_leaves_the_old_snapshot(spark, tmp_path):
-    from cuelark.operators.store import Store
-
-    store = Store(spark, str(tmp_path))
-    for n in range(3):
-        store.write("t", spark.range(n + 1))
-    (tmp_path / "t" / "pointers" / "000000000009-half").mkdir()  # a pointer without its mark
-    assert store.read("t", "id long").count() == 3
-    store.write("t", store.read("t", "id long").filter("id > 0"))
-    assert store.read("t", "id long").count() == 2 and store.read("none", "id long").count() == 0
-
-
 def test_first_free_names(spark):
     import pytest
     from cuelark.operators import tracks

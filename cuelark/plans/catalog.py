@@ -365,12 +365,26 @@ def dedup_words(spark, d):
     return sequence.dedup_words(w.unionByName(again)).groupBy("track").agg(F.count(F.lit(1)).alias("words"))
 
 
-@query()
+@query(f"""with recursive {WORDS}, g as (select track, pos, start as first, start, stop, language, word, length(word) as size, 1 as k, 0 as cue, regexp_matches(word, '[.!?。！？]$') as dot from words where pos % 37 = 0
+  union all select s.track, s.pos, case when c then s.start else g.first end, s.start, s.stop, s.language, s.word, case when c then 0 else g.size end + length(s.word), case when c then 0 else g.k end + 1, g.cue + c::int, regexp_matches(s.word, '[.!?。！？]$')
+  from g join words s on s.track = g.track and s.pos = g.pos + 1 and s.pos % 37 <> 0, lateral (select s.start - g.stop > 0.8::double or s.stop - g.first > 5.5::double or g.size > 85 or (g.dot and g.k >= 3) as c)),
+c as (select language, count(*) as n, min(start) as start, max(stop) as last, trim(string_agg(word, '' order by pos)) as text from g group by language, track, pos // 37, cue)
+select language, count(*) as cues, sum(n)::bigint as words, (select printf('%02d:%02d:%02d,%03d', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60, ms % 1000) from (select round_even(max(greatest(start + 0.12::double, last)) * 1000, 0)::bigint as ms)) as longest,
+  count(*) filter (length(text) / greatest(0.12::double, last - start) > 28) as flagged from c group by language""")
 def cues_by_language(spark, d):
     return flagship(spark, d)
 
 
-@query()
+@query(f"""with recursive {CUES}, s as (select *, row_number() over (partition by track order by start, stop, id) as n from cues),
+g as (select track, n, text, start as first, stop, language, length(text) as size, 1 as k, 0 as utterance, regexp_matches(text, '[.!?。！？][\\s"”’]*$') as dot from s where n = 1
+  union all select s.track, s.n, s.text, case when c then s.start else g.first end, s.stop, s.language, case when c then 0 else g.size end + length(s.text), case when c then 0 else g.k end + 1, g.utterance + c::int, regexp_matches(s.text, '[.!?。！？][\\s"”’]*$')
+  from g join s on s.track = g.track and s.n = g.n + 1, lateral (select s.language <> g.language or s.start - g.stop > 1.2::double or s.stop - g.first > 30 or g.size + length(s.text) > 900 or g.k >= 8 or g.dot as c)),
+u as (select track, utterance, count(*) as n, regexp_extract_all(trim(string_agg(text, ' ' order by n)), '\\S+\\s*') as parts, string_agg(text, ' ' order by n) as text from g group by track, utterance),
+e as (select *, unnest(range(n)) as i from u where len(parts) >= n and regexp_matches(text, '[\\p{{L}}\\p{{N}}]')),
+f as (select *, case when i = n - 1 then len(parts) else least(round_even(len(parts) * (3.0::double * (i + 1)) / (3.0::double * n), 0)::bigint, len(parts) - n + 1 + i) end as stop from e),
+h as (select *, max(greatest(stop - i, 1)) over (partition by track, utterance order by i rows unbounded preceding) + i as cut from f),
+p as (select track, utterance, i, trim(array_to_string(list_slice(parts, coalesce(lag(cut) over (partition by track, utterance order by i), 0) + 1, cut), '')) as piece from h)
+select u.track::int as track, utterance::int as utterance, case when count(i) > 0 then count(i)::int end as cues, case when count(i) > 0 then string_agg(piece, '|' order by i) end as text from u left join p using (track, utterance) group by all""")
 def distribute_translation(spark, d):
     rows = sequence.utterances(cues(spark, d))
     groups = rows.groupBy("track", "utterance").agg(sequence.in_order(["start", "id"], F.col("text"), " ").alias("text"), F.transform(F.array_sort(F.collect_list(F.struct("start", "id", "end"))), lambda r: r["end"] - r["start"]).alias("durations"))
@@ -489,7 +503,10 @@ def first_locations(spark, d):
     return media.locations(e).select("position", F.regexp_replace("path", "/$", "").alias("path"))
 
 
-@query()
+@query(r"""with t as (select doc_id, unnest(w) as w, generate_subscripts(w, 1) as i, len(w) as n from (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents)),
+e as (select doc_id, k, i, i - row_number() over (partition by doc_id, k order by i) as run from (select doc_id, k, i, w = lead(w, k) over (partition by doc_id, k order by i) as same from t, (values (1), (2), (3)) v(k) where n >= 8) where same),
+r as (select distinct doc_id from (select doc_id, k, count(*) as n from e group by doc_id, k, run) where n >= case k when 1 then 5 when 2 then 6 else 9 end)
+select doc_id, doc_id in (select doc_id from r) as loops from documents""")
 def repetitive_text(spark, d):
     return table(spark, d, "documents").select("doc_id", scoring.repetitive("text").alias("loops"))
 
@@ -511,7 +528,11 @@ def srt_text(spark, d):
     return subtitles.srt_text(cues(spark, d))
 
 
-@query()
+@query(f"""with recursive {CUES}, s as (select *, row_number() over (partition by track order by start, stop, id) as n from cues),
+g as (select track, n, id, start, stop, language, text, length(text) as size, 0 as block from s where n = 1
+  union all select s.track, s.n, s.id, s.start, s.stop, s.language, s.text, case when c then 0 else g.size end + length(s.text), g.block + c::int from g join s on s.track = g.track and s.n = g.n + 1, lateral (select s.language <> g.language or s.start - g.stop > 3 or g.size >= 1000 as c)),
+b as (select track, block, string_agg(text, ' ' order by n) as text from g group by all)
+select 'p' as project, track::int as track, string_agg(text, chr(10) || chr(10) order by block) || chr(10) as text from b group by track""")
 def transcript_text(spark, d):
     return subtitles.transcript_text(cues(spark, d))
 
@@ -522,9 +543,10 @@ def srt_roundtrip(spark, d):
     return subtitles.read_srt(written).groupBy("track").agg(F.count(F.lit(1)).alias("cues"), F.round(F.sum("start"), 3).alias("starts"))
 
 
-@query()
+@query(f"""with {CUES} select project, '{{"info":{{"project":"' || project || '"}},"cues":[' || string_agg('{{"track":' || track || ',"start":' || start || ',"end":' || stop || ',"id":"' || id || '","text":' || to_json(text)::varchar || ',"language":"' || language || '"}}', ',' order by track, start) || ']}}' as body
+from (select 'p' || track as project, * from cues) group by project""")
 def project_backup(spark, d):
-    c = cues(spark, d)
+    c = cues(spark, d).withColumn("project", F.concat(F.lit("p"), F.col("track").cast("string")))
     return subtitles.backup(c.select("project").distinct(), c)
 
 

@@ -4,8 +4,9 @@ Examples are a bounded sample of the labelled rows. A text is a TF-IDF vector of
 all its words; words that no example holds count in its length. Terms whose document frequency
 differs between the labels beyond chance weigh more than others, and word beginnings are terms
 where they differ so. The examples' inverted index keeps, for every term and block of examples, the
-largest weight in the block. A search adds up these maxima to a bound per block, and leaves out
-blocks with a bound below the k-th similarity found: the k nearest are exact. Their labels vote,
+largest weight in the block. A search adds up these maxima to a bound per block, visits blocks by
+falling bound, summing their own postings alone, and stops where bounds lie below the k-th
+similarity found: the k nearest are exact. Their labels vote,
 nearer ones more, and a monotone curve fitted on the examples (each searched without itself) turns
 votes into probabilities.
 
@@ -32,8 +33,8 @@ EXAMPLES, NEAREST = 4096, 15
 #: whole weight; any other term this share of it.
 LEAST_EXAMPLES, LEAST_CHI2, OTHER = 5, 28.0, 0.3
 BLOCK = 64
-#: If the bounds of blocks differ that much from each other, so many are visited one by one first.
-UNEVEN, SINGLE = 4.0, 4
+#: Blocks that are visited first, and how many times more each time after.
+FIRST, MORE = 6, 4
 #: Texts whose result a task remembers.
 KNOWN = 5_000
 #: Bytes of a word's beginning.
@@ -85,15 +86,40 @@ class Terms:
         return at, w / size if size else w
 
 
+def alike(vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, least: int) -> list[int]:
+    """An order of vectors in which neighbours are alike: halves along the direction that tells them apart most, down to blocks of ``least``."""
+    out: list[int] = []
+
+    def halve(mine: list[int]) -> None:
+        if len(mine) <= least:
+            out.extend(mine)
+            return
+        who = np.repeat(np.arange(len(mine)), [len(vectors[i][0]) for i in mine])
+        term, weight = (np.concatenate([vectors[i][part] for i in mine]) for part in (0, 1))
+        x = np.random.RandomState(1).randn(len(mine))
+        for _ in range(12):  # power iteration
+            x = np.bincount(who, weight * np.bincount(term, weight * (x - x.mean())[who], terms)[term], len(mine))
+            x /= np.linalg.norm(x) or 1.0
+        order = np.argsort(x, kind="stable").tolist()
+        half = -(-len(mine) // (2 * least)) * least
+        halve([mine[i] for i in order[:half]])
+        halve([mine[i] for i in order[half:]])
+
+    halve(list(range(len(vectors))))
+    return out
+
+
 class Index:
-    """Block-max inverted index of vectors; examples are ordered by their weightiest term, so that blocks are alike inside."""
+    """Block-max inverted index of vectors; examples are ordered so that blocks are alike inside."""
 
     def __init__(self, ids: list[int], labels: list[int], vectors: list[tuple[np.ndarray, np.ndarray]], terms: int):
-        order = sorted(range(len(ids)), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]), -len(vectors[i][0]), ids[i]))
+        order = alike(vectors, terms, BLOCK)
         self.ids = np.array([ids[i] for i in order], "int64")
         self.labels = np.array([labels[i] for i in order], "float64")
         self.place = {int(x): i for i, x in enumerate(self.ids)}
         self.size = BLOCK
+        #: Postings summed so far.
+        self.summed = 0
         self.blocks = -(-len(order) // self.size)
         term = np.concatenate([vectors[i][0] for i in order]) if order else np.zeros(0, "int64")
         who = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order]) if order else np.zeros(0, "int64")
@@ -114,53 +140,50 @@ class Index:
         size = hi - lo
         return np.arange(size.sum()) + np.repeat(lo - np.cumsum(size) + size, size), size
 
-    def _bounds(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """For each block a similarity that none of its examples exceeds."""
-        at, size = self._stretches(self.row[terms], self.row[terms + 1])
-        return np.bincount(self.pair[at] % self.blocks, self.peak[at] * np.repeat(weights, size), self.blocks)
-
     def _sums(self, weights: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Similarity to every example over a stretch of the postings for each weight."""
         at, size = self._stretches(lo, hi)
+        self.summed += len(at)
         return np.bincount(self.who[at], self.weight[at] * np.repeat(weights, size), self.blocks * self.size)
 
-    def _block(self, terms: np.ndarray, weights: np.ndarray, block: int) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.pair, terms * self.blocks + block), len(self.pair) - 1)
-        there = self.pair[at] == terms * self.blocks + block
-        return self._sums(weights[there], self.begin[at[there]], self.begin[at[there] + 1])
-
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Similarities and positions of the k nearest, nearest first, ties by position; only similarities above zero."""
+        """Similarities and positions of the k nearest, nearest first, ties by id; only similarities above zero.
+
+        Blocks are visited by falling bound, a few first and then more at a time, and only their own
+        postings are summed. Once a bound lies below the k-th similarity so far, no other block counts.
+        """
         none = np.zeros(0), np.zeros(0, "int64")
         if not len(terms) or not self.blocks:
             return none
-        bound = self._bounds(terms, weights)
-        least, near = 0.0, np.zeros(0, "int64")
-        sums = np.zeros(self.blocks * self.size)
-        open_ = np.flatnonzero(bound > 0)
-        if len(open_) > SINGLE and bound.max() > UNEVEN * np.median(bound[open_]):
-            first = open_[np.argsort(-bound[open_], kind="stable")[:SINGLE]]
-            for b in first.tolist():
-                sums += self._block(terms, weights, b)
+        pairs, size = self._stretches(self.row[terms], self.row[terms + 1])
+        block, weight = self.pair[pairs] % self.blocks, np.repeat(weights, size)
+        # a similarity that no example of the block exceeds
+        bound = np.bincount(block, self.peak[pairs] * weight, self.blocks)
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        sums, least, near, at, step = np.zeros(self.blocks * self.size), 0.0, np.zeros(0, "int64"), 0, FIRST
+        while at < len(order):
+            now = order[at : at + step]
+            now = now[bound[now] >= least - 1e-11]
+            if not len(now):
+                break
+            if len(now) == self.blocks:
+                sums += self._sums(weights, self.start[terms], self.start[terms + 1])
+            else:
+                inside = np.zeros(self.blocks, bool)
+                inside[now] = True
+                mine = inside[block]
+                sums += self._sums(weight[mine], self.begin[pairs[mine]], self.begin[pairs[mine] + 1])
             if skip is not None:
                 sums[skip] = 0.0
             near = np.flatnonzero(sums)
             if len(near) >= k:
                 least = np.partition(sums[near], len(near) - k)[len(near) - k]
-            left = np.setdiff1d(open_[bound[open_] >= least - 1e-11], first)
-        else:
-            left = open_
-        if len(left):
-            inside = np.zeros(self.blocks, bool)
-            inside[left] = True
-            sums = np.where(np.repeat(inside, self.size), self._sums(weights, self.start[terms], self.start[terms + 1]), sums)
-            if skip is not None:
-                sums[skip] = 0.0
-            near = np.flatnonzero(sums)
+            at, step = at + step, step * MORE
         if len(near) > k:  # the k-th largest and all that may round to it
-            near = near[sums[near] >= np.partition(sums[near], len(near) - k)[len(near) - k] - 1e-11]
+            near = near[sums[near] >= least - 1e-11]
         shown = np.round(sums[near], 12)
-        near = near[np.lexsort((near, -shown))[:k]]
+        near = near[np.lexsort((self.ids[near], -shown))[:k]]
         return np.round(sums[near], 12), near
 
     def vote(self, similarity: np.ndarray, at: np.ndarray, rate: float) -> float:

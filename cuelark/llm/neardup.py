@@ -123,19 +123,22 @@ def _keys(sig: np.ndarray) -> np.ndarray:
 
 
 def _trees(names: list[str]):
-    """A row a tree: region key, next values packed in order, id, the sketch, and the columns that earlier rounds found."""
+    """A row a tree: region key, next values packed in order, id, the sketch, and the columns that earlier rounds found. One tree at a time, so that a batch of sets is never held twice."""
 
     def run(batches):
         for b in batches:
             if not len(b):
                 continue
             sig = _sigs(b["sig"])
-            deep = (sig[:, _NEXT] & np.uint32(0xFFFF)).astype("uint64")
-            s1, s2 = (sum(deep[:, :, 4 * h + i] << np.uint64(48 - 16 * i) for i in range(4)).view("int64") for h in (0, 1))
+            keys = _keys(sig)
             bits = (sig & np.uint32(3)).astype("uint64").reshape(-1, 4, 32)
             sketch = (bits << (np.arange(32, dtype="uint64") * np.uint64(2))).sum(2, dtype="uint64").view("int64")
-            new = {"region": _keys(sig).ravel(), "s1": s1.ravel(), "s2": s2.ravel(), **{f"k{i}": np.repeat(sketch[:, i], TREES) for i in range(4)}}
-            yield pd.DataFrame({c: new[c] if c in new else np.repeat(b[c].to_numpy(), TREES) for c in names})
+            fixed = {f"k{i}": sketch[:, i] for i in range(4)}
+            for tree in range(TREES):
+                deep = (sig[:, _NEXT[tree]] & np.uint32(0xFFFF)).astype("uint64")
+                s1, s2 = (sum(deep[:, 4 * h + i] << np.uint64(48 - 16 * i) for i in range(4)).view("int64") for h in (0, 1))
+                new = {"region": keys[:, tree], "s1": s1, "s2": s2, **fixed}
+                yield pd.DataFrame({c: new[c] if c in new else b[c] for c in names})
 
     return run
 

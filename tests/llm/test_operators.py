@@ -296,6 +296,31 @@ def test_index_is_exact():
         assert np.allclose(sims, truth[truth > 0][: len(sims)]) and len(sims) == (truth > 0).sum()
 
 
+def test_block_maxima_skip_postings():
+    """Texts of one subject visit the blocks of it: less than half of their postings are summed, and the nearest are those of all."""
+    r, subjects, per = np.random.RandomState(6), 24, 90
+    vectors_ = []
+    for i in range(subjects * per):
+        t = np.unique(np.r_[r.randint(0, 40, 6), 40 + (i % subjects) * 60 + r.randint(0, 60, 25)])
+        w = np.where(t < 40, 0.2, 1.0) * (0.5 + r.rand(len(t)))
+        vectors_.append((t, w / np.sqrt(w @ w)))
+    terms = 40 + subjects * 60
+    index = toxicity.Index(list(range(len(vectors_))), [0] * len(vectors_), vectors_, terms)
+    dense = np.zeros((len(vectors_), terms))
+    for i, (t, w) in enumerate(vectors_):
+        dense[i, t] = w
+    every = 0
+    for i in range(0, len(vectors_), 40):
+        t, w = vectors_[i]
+        every += int((index.start[t + 1] - index.start[t]).sum())
+        sims, at = index.nearest(t, w, 15, index.place[i])
+        q = np.round(dense[:, t] @ w, 12)
+        q[i] = 0
+        truth = sorted(((-v, j) for j, v in enumerate(q) if v > 0))[:15]
+        assert index.ids[at].tolist() == [j for _, j in truth] and np.allclose(sims, [-v for v, _ in truth])
+    assert index.summed < every / 2
+
+
 def test_toxicity(spark, none):
     rows = [(i, prose(i, 40) + (" vile rotten" if i % 5 == 0 else ""), None) for i in range(400)] + [(900, None, None), (901, "", None), (None, "vile rotten", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
@@ -363,12 +388,10 @@ def test_toxicity_against_brute_force(spark, monkeypatch):
     inside = [k for k, i in enumerate(taught) if of(text[i])]
     plain = (sum(y[k] for k in range(n) if k not in inside) + n1 / n) / (n - len(inside) + 1)
     table, ids = np.array([dense(text[taught[k]]) for k in inside]), np.array([taught[k] for k in inside])
-    index = toxicity.Index(ids.tolist(), [int(y[k]) for k in inside], [(np.flatnonzero(v), v[np.flatnonzero(v)]) for v in table], len(names))
-    order = np.array([index.place[i] for i in ids.tolist()])  # ties follow the index
 
     def nearest(v, skip=None):
         s = np.round(table @ v, 12)
-        by = [k for k in np.lexsort((order, -s)).tolist() if s[k] > 0 and k != skip][: toxicity.NEAREST]
+        by = [k for k in np.lexsort((ids, -s)).tolist() if s[k] > 0 and k != skip][: toxicity.NEAREST]
         w = 1 / (1.05 - np.minimum(s[by], 1.0))
         return s[by], by, round(float((w @ y[[inside[k] for k in by]] + n1 / n) / (w.sum() + 1)), 12)
 

@@ -28,7 +28,7 @@ def query(sql: str | None = None):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of documents without overlap, as cues, counted by language."""
-    made = sequence.cues(sequence.dedup_words(words(spark, sf_dir)))
+    made = sequence.cues(words(spark, sf_dir), deduplicate=True)
     return made.groupBy("language").agg(F.count(F.lit(1)).alias("cues"), F.sum("n_words").alias("words"), text.timestamp(F.max("end")).alias("longest"), F.count_if(F.size("flags") > 0).alias("flagged"))
 
 

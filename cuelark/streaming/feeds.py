@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.sequence import cues, dedup_words
+from ..operators.sequence import cues
 
 FINAL = ("complete", "failed", "cancelled", "done")
 
@@ -22,7 +22,7 @@ FINAL = ("complete", "failed", "cancelled", "done")
 def regroup(words: DataFrame, touched: DataFrame) -> DataFrame:
     """Cues of the tracks that new words touch, from all words of those tracks."""
     mine = words.join(touched.select("project", "track").distinct(), ["project", "track"], "left_semi")
-    return cues(dedup_words(mine))
+    return cues(mine, deduplicate=True)
 
 
 def follow_words(stream: DataFrame, append: Callable[[DataFrame, int], None], everything: Callable[[], DataFrame], replace: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:

@@ -120,3 +120,10 @@ def test_cues_of_split_tracks(spread, rows):
         assert (r.start, r.end, r.n_words, r.language) == (made[0][2], max(made[0][2] + 0.12, made[-1][3]), len(made), made[0][5]) and r.text == "".join(x[4] for x in made).strip()
         fast = len(r.text) / max(0.12, made[-1][3] - made[0][2]) > 28
         assert r.flags == sorted({f for x in made for f in x[7]} | ({"Fast speech"} if fast else set())) and r.language_hints == sorted({x[8] for x in made if x[8]})
+
+
+def test_cues_without_words_heard_twice(spread, rows):
+    """One pass does what two do."""
+    table = spread.createDataFrame(rows, WORD)
+    one, two = sequence.cues(table, deduplicate=True), sequence.cues(sequence.dedup_words(table))
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect())) and one.agg(F.sum("n_words")).first()[0] < len(rows)

@@ -139,6 +139,38 @@ select d.doc_id, {counts}, sha256(coalesce(string_agg(shown, ',' order by start,
 from d left join f on d.doc_id = f.doc_id group by d.doc_id"""
 
 
+# The contract's patterns of personal data, without possessive repeats.
+_PRIVATE = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", r"[0-9](?:[\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def _private_sql() -> str:
+    """Matches with the texts between them; words of those texts by running sums of lengths; counts over the corpus."""
+    each = " union all ".join(
+        f"select r, {no} as kind, gaps[i] as gap, wholes[i] as whole, gaps[i + 1] as next, i as pos from (select r, gaps, wholes, unnest(range(1, len(wholes) + 1)) as i from (select r, string_split_regex(text, {_q(p)}) as gaps, regexp_extract_all(text, {_q(p)}) as wholes from d where regexp_matches(text, {_q(p)})))"
+        for no, p in enumerate(_PRIVATE)
+    )
+    token, reach, words = _q(private.TOKEN), private.REACH, private.WORDS
+    luhn = "list_sum(list_transform(range(len(number)), lambda i: case when i % 2 = 1 then number[len(number) - i]::int * 2 // 10 + number[len(number) - i]::int * 2 % 10 else number[len(number) - i]::int end)) % 10 = 0"
+    size = lambda x: f"coalesce(list_sum(list_transform({x}, lambda t: length(t))), 0)"
+    kinds = ", ".join(f"'{k}'" for k in private.KINDS)
+    counts = ", ".join(f"count(*) filter (kind = {no}) as n_{private.KINDS[no]}" for no in range(4))
+    return f"""with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents), m as ({each}),
+s as (select *, sum(length(gap) + length(whole)) over (partition by r, kind order by pos) as stop, regexp_replace(whole, '[^0-9]', '', 'g') as number from m),
+f as (select r, kind, stop - length(whole) as start, stop, kind || ':' || case kind when 0 then lower(whole) when 1 then whole else number end as entity,
+    case when length(gap) > {reach} then regexp_replace(right(gap, {reach}), '^\\S+', '') else gap end as l, case when length(next) > {reach} then regexp_replace(left(next, {reach}), '\\S+$', '') else next end as t
+  from s where case kind when 0 then true when 1 then list_bool_and(list_transform(string_split(whole, '.'), lambda x: coalesce(try_cast(x as bigint) <= 255, false))) when 2 then length(number) between 14 and 19 and {luhn} else length(number) between 10 and 15 end),
+sides as (select r, kind, start, stop, entity, 0 as side, start - length(l) as origin, regexp_extract_all(l, {token}) as w, string_split_regex(l, {token}) as g from f
+  union all select r, kind, start, stop, entity, 1, stop, regexp_extract_all(t, {token}), string_split_regex(t, {token}) from f),
+w as (select *, w[i] as word, origin + {size("g[1:i]")} + {size("w[1:i - 1]")} as a from (select *, unnest(range(1, len(w) + 1)) as i from sides)),
+near as (select distinct r, entity, lower(word) as term, a, a + length(word) as z from (select *, row_number() over (partition by r, kind, start, side order by case side when 0 then -i else i end) as k from w where not contains(word, '@') and case side when 0 then a + length(word) < start else a > stop end) where k <= {words}),
+n as (select lower(x) as term, count(*) as n from (select unnest(string_split_regex(text, '[^\\p{{L}}\\p{{M}}]+')) as x from d) where x <> '' group by 1),
+told as (select term, entity, case when hidden <= {private.REMOVE} + 1e-9 then 5 else 4 end as kind from (select term, entity, -log2(count(*) / (greatest(any_value(n), count(*)) + {private.UNSEEN}.0::double)) as hidden from near join n using (term) group by term, entity) where hidden <= {private.GENERALISE!r}::double + 1e-9),
+spans as (select r, kind, start, stop from f union all select r, max(kind), a, z from near join told using (term, entity) group by r, a, z),
+shown as (select *, list_extract([{kinds}], kind + 1) || ':' || start || ':' || stop as shown from spans)
+select d.doc_id, {counts}, sha256(coalesce(string_agg(shown, ',' order by start, kind) filter (kind < 4), '')) as base_sha256, coalesce(string_agg(shown, ',' order by start, kind), '') as spans
+from d left join shown using (r) group by d.r, d.doc_id"""
+
+
 def _merkle_sql() -> str:
     """Levels of the languages' trees, and of the tree over them, by recursion; folds go up the same way."""
     shown = lambda c: f"coalesce(octet_length(encode({c}::varchar)) || ':' || {c}::varchar, '-')"
@@ -189,5 +221,6 @@ found as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(va
   union all select lang, source, 'term', term, (p - q) * (p - q) // q from p where n > 0 and p > q),
 ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from found)
 select * from ranked where part = 'pair' or rank <= 200""",
+    "op12_disclosure": _private_sql(),
     "op13_merkle_manifest": _merkle_sql(),
 }

@@ -230,4 +230,9 @@ def inherit(found: DataFrame) -> DataFrame:
 
 
 def scan(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
+    """(path, directory, own_license, similarity, license_file, license, inherited_from) of every row of files.
+
+    A null text is empty and declares nothing; a row with a null path has only its own licence.
+    Rows that repeat are judged alike; an empty table gives no rows. Further columns are ignored.
+    """
     return inherit(detect(files, path, text))

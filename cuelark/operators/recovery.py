@@ -28,14 +28,15 @@ def slices(asked: DataFrame, audio: DataFrame, keys: list[str], rate: int, width
     """Requests (keys, gap, since, until in seconds) with their ``samples``.
 
     ``audio`` holds pieces (keys, piece, samples) of ``width`` seconds, numbered from 0; only the
-    last piece of a track may be shorter or be missing, another missing one fails the job.
+    last piece of a track may be shorter or be missing, another missing one fails the job. Pieces are
+    shuffled, never broadcast: what Spark knows of their size may be that of rows not yet exploded.
     """
     size = round(width * rate)
     lo, hi = F.rint(F.col("since") * rate).cast("long"), F.rint(F.col("until") * rate).cast("long")
     ends = asked.withColumn("lo", lo).withColumn("hi", hi)
     spread = ends.withColumn("piece", F.explode(F.sequence(F.floor(F.col("lo") / size), F.floor(F.greatest(F.col("lo"), F.col("hi") - 1) / size))))
     pieces = audio.select(*keys, F.col("piece").cast("long").alias("_piece"), "samples")
-    met = spread.join(pieces, same(spread, pieces, keys) & (F.col("piece") == F.col("_piece")), "left")
+    met = spread.join(pieces.hint("merge"), same(spread, pieces, keys) & (F.col("piece") == F.col("_piece")), "left")
     rows = met.groupBy(*[spread[c] for c in ends.columns]).agg(F.array_sort(F.collect_list(F.when(F.col("_piece").isNotNull(), F.struct("_piece", "samples")))).alias("got"))
     first = F.floor(F.col("lo") / size)
     whole = F.forall(F.transform("got", lambda g, i: g["_piece"] == first + i), lambda x: x)

@@ -114,11 +114,20 @@ def cue_source(cues: DataFrame, audio: DataFrame, subtitles: DataFrame) -> DataF
 
 
 def preview_audio(requests: DataFrame, audio: DataFrame) -> DataFrame:
-    """One audio track per request (request, project, explicit, source, language): the explicit one, the same source, a language match, else the first."""
-    joined = requests.join(audio, "project")
-    rank = F.when(F.col("stream_index") == F.col("explicit"), 0).when(F.col("stream_index") == F.col("source"), 1).when(F.col("audio_language") == F.col("language"), 2).otherwise(3)
+    """One audio track per request (request, project, explicit, source, language): the explicit one, the same source, a language match, else the first.
+
+    The first track of a project, of an index and of a language in it are chosen before the join, so
+    that a request meets at most four tracks, however many its project has.
+    """
+    first = lambda *keys: audio.groupBy("project", *keys).agg(F.min_by(F.struct(*audio.columns), "audio_ordinal").alias("a"))
+    found = requests.join(first().select("project", F.col("a").alias("a3")), "project")
+    for n, (asked, has) in enumerate((("explicit", "stream_index"), ("source", "stream_index"), ("language", "audio_language"))):
+        some = first(has).select(F.col("project").alias("_p"), F.col(has).alias("_has"), F.col("a").alias(f"a{n}"))
+        found = found.join(some, (F.col("project") == F.col("_p")) & (F.col(asked) == F.col("_has")), "left").drop("_p", "_has")
+    chosen = F.coalesce(*[F.when(F.col(f"a{n}").isNotNull(), F.struct(F.lit(n).alias("rank"), F.col(f"a{n}").alias("a"))) for n in range(4)])
     best = Window.partitionBy("request").orderBy("rank", "audio_ordinal")
-    return joined.withColumn("rank", rank).withColumn("n", F.row_number().over(best)).filter("n = 1").drop("n")
+    rows = found.select("project", *[c for c in requests.columns if c != "project"], chosen.alias("c")).select("*", *[F.col(f"c.a.{c}").alias(c) for c in audio.columns if c != "project"], "c.rank").drop("c")
+    return rows.withColumn("n", F.row_number().over(best)).filter("n = 1").drop("n")
 
 
 # ------------------------------------------------------------- aggregates

@@ -5,8 +5,8 @@ from __future__ import annotations
 import re
 import unicodedata
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,13 +14,27 @@ from pyspark.sql import types as T
 # Arabic letters written as their Persian forms, and the half-space.
 PERSIAN = str.maketrans({"ي": "ی", "ك": "ک", "‌": " "})
 _TOKEN = re.compile(r"[^\W_]+")
+#: Rows of a batch that are Python objects at one time.
+_ROWS = 256
+
+
+class _Plain(dict):
+    """What stands for a character: nothing for marks, 0-9 for digits."""
+
+    def __missing__(self, code: int) -> str | None:
+        c = chr(code)
+        self[code] = None if unicodedata.category(c) == "Mn" else str(unicodedata.digit(c)) if c.isdigit() else c
+        return self[code]
+
+
+_PLAIN = _Plain()
 
 
 def tokens_of(text: str | None) -> list[str]:
     """Letters and digits, compatibility forms folded, case folded, marks and tatweel dropped, digits as 0-9."""
-    folded = unicodedata.normalize("NFKC", text or "").casefold().translate(PERSIAN).replace("ـ", "")
-    plain = (c for c in folded if unicodedata.category(c) != "Mn")
-    return _TOKEN.findall("".join(str(unicodedata.digit(c)) if c.isdigit() else c for c in plain))
+    if not text or text.isascii():
+        return _TOKEN.findall((text or "").lower())
+    return _TOKEN.findall(unicodedata.normalize("NFKC", text).casefold().translate(PERSIAN).replace("ـ", "").translate(_PLAIN))
 
 
 def units_of(text: str | None, language: str | None) -> list[str]:
@@ -32,49 +46,56 @@ def units_of(text: str | None, language: str | None) -> list[str]:
     return list("".join(kept.split())) if language == "ja" else kept.split()
 
 
-def _codes(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    ids: dict[str, int] = {}
-    return tuple(np.array([ids.setdefault(x, len(ids)) for x in part], "int64") for part in (a, b))
-
-
-def _rows(a: list[str], b: list[str]):
-    """Least edits between each prefix of ``a`` and all prefixes of ``b``, with the row before. A row is filled
-    at once: after substitutions and deletions an insertion run is a running minimum of cost minus column."""
-    x, y = _codes(a, b)
-    column = np.arange(len(y) + 1)
-    last = column
-    for i, token in enumerate(x, 1):
-        changed = np.concatenate([[i], last[:-1] + (y != token)])
-        row = np.minimum.accumulate(np.minimum(last + 1, changed) - column) + column
-        yield row, last, changed
-        last = row
-
-
-def edits(a: list[str], b: list[str]) -> int:
-    """Least token edits; two rows are kept."""
-    last = None
-    for last, *_ in _rows(a, b):
+def _columns(a: list, b: list):
+    """Least edits between all prefixes of ``a`` and each prefix of ``b``, as differences: whole columns in
+    the bits of three numbers (Myers 1999, Hyyrö 2003). ``up`` and ``down``: one more or less than with a
+    token of ``a`` less; ``same``: as many as with a token of both less."""
+    at: dict = {}
+    for i, token in enumerate(a):
+        at[token] = at.get(token, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    up, down = full, 0
+    for token in b:
+        equal = at.get(token, 0)
+        same = (((equal & up) + up ^ up) | equal | down) & full
+        right = ((down | (same | up) ^ full) << 1 | 1) & full
+        up, down = ((same & up) << 1 | (same | right) ^ full) & full, right & same
+        yield up, down, same
+
+
+def edits(a: list, b: list) -> int:
+    """Least token edits; one column is kept. Equal beginnings and ends cost nothing."""
+    lo, most = 0, min(len(a), len(b))
+    while lo < most and a[lo] == b[lo]:
+        lo += 1
+    end = 0
+    while end < most - lo and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[lo : len(a) - end], b[lo : len(b) - end]
+    if len(a) < len(b):
+        a, b = b, a
+    up, down = (1 << len(a)) - 1, 0
+    for up, down, _ in _columns(a, b):
         pass
-    return len(b) if last is None else int(last[-1])
+    return len(b) + up.bit_count() - down.bit_count()
 
 
 def compare(reference: list[str], output: list[str]) -> dict[str, int]:
     """Edits of a cheapest path; going back it prefers a match or substitution, then a deletion.
 
-    Of the table only two bits a cell are kept: whether either of these reaches it.
+    Of the table only two bits a cell are kept.
     """
-    across, down, last = [], [], None
-    for last, before, changed in _rows(reference, output):
-        across.append(np.packbits(last == changed))
-        down.append(np.packbits(last == before + 1))
-    i, j = len(reference), len(output)
-    n = dict(reference_words=i, output_words=j, edits=j if last is None else int(last[-1]), matches=0, substitutions=0, deletions=0, insertions=0)
-    bit = lambda rows: i and rows[i - 1][j >> 3] >> (7 - (j & 7)) & 1
+    i, j, size = len(reference), len(output), len(reference) // 8 + 1
+    up, down, bits = (1 << i) - 1, 0, [(b"\xff" * size, b"")]
+    for up, down, same in _columns(reference, output):
+        bits.append((up.to_bytes(size, "little"), same.to_bytes(size, "little")))
+    n = dict(reference_words=i, output_words=j, edits=j + up.bit_count() - down.bit_count(), matches=0, substitutions=0, deletions=0, insertions=0)
+    bit = lambda number: number[i - 1 >> 3] >> (i - 1 & 7) & 1
     while i or j:
-        if i and j and bit(across):
+        if i and j and (reference[i - 1] == output[j - 1] or not bit(bits[j][1])):
             n["matches" if reference[i - 1] == output[j - 1] else "substitutions"] += 1
             i, j = i - 1, j - 1
-        elif i and bit(down):
+        elif i and bit(bits[j][0]):
             n["deletions"] += 1
             i -= 1
         else:
@@ -83,20 +104,40 @@ def compare(reference: list[str], output: list[str]) -> dict[str, int]:
     return n
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def tokens(text: pd.Series) -> pd.Series:
-    return text.map(tokens_of)
+def _lists(made, *columns: pa.Array) -> pa.Array:
+    """An array of lists of texts, made from a few rows at a time: as Python texts they take many times the room."""
+    kind = pa.list_(pa.string())
+    parts = [pa.array([made(*row) for row in zip(*[c.slice(lo, _ROWS).to_pylist() for c in columns])], kind) for lo in range(0, len(columns[0]), _ROWS)]
+    return pa.concat_arrays([pa.array([], kind), *parts])
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def tokens(text: pa.Array) -> pa.Array:
+    return _lists(tokens_of, text)
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def units(text: pa.Array, language: pa.Array) -> pa.Array:
+    return _lists(units_of, text, language)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def units(text: pd.Series, language: pd.Series) -> pd.Series:
-    return pd.Series([units_of(t, x) for t, x in zip(text, language)])
+def _coded(a: pa.ListArray, b: pa.ListArray):
+    """Rows of two arrays of lists as numbers, equal for equal texts; None for a missing list."""
+    for lo in range(0, len(a), _ROWS):
+        both = [x.slice(lo, _ROWS) for x in (a, b)]
+        flat = [x.values.slice(x.offsets[0].as_py(), x.offsets[-1].as_py() - x.offsets[0].as_py()) for x in both]
+        codes = pa.concat_arrays(flat).dictionary_encode(null_encoding="encode").indices.to_numpy()
+        sides = []
+        for x, own in zip(both, (codes[: len(flat[0])], codes[len(flat[0]) :])):
+            at = x.offsets.to_numpy() - x.offsets[0].as_py()
+            sides.append([own[i:j].tolist() if there else None for i, j, there in zip(at, at[1:], x.is_valid().to_pylist())])
+        yield from zip(*sides)
 
 
-@F.pandas_udf(T.IntegerType())
-def distance(reference: pd.Series, output: pd.Series) -> pd.Series:
-    """Least token edits between two arrays."""
-    return pd.Series([edits(list(a), list(b)) for a, b in zip(reference, output)], dtype="int32")
+@F.arrow_udf(T.IntegerType())
+def distance(reference: pa.Array, output: pa.Array) -> pa.Array:
+    """Least token edits between two arrays; null where one is null. Words stay in Arrow, only their numbers reach Python."""
+    return pa.array([None if a is None or b is None else edits(a, b) for a, b in _coded(reference, output)], pa.int32())
 
 
 METRICS = T.StructType([T.StructField(n, T.IntegerType()) for n in ("reference_words", "output_words", "edits", "matches", "substitutions", "deletions", "insertions")])

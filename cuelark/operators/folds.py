@@ -17,12 +17,18 @@ from __future__ import annotations
 import pickle
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ranges import laid, written
+from .ranges import laid, same, written
+
+#: A key of more rows is split over tasks.
+WHOLE = 1_000_000
 
 
 def stretches(batches, keys: list[str]) -> Iterator[tuple[bool, pd.DataFrame]]:
@@ -138,31 +144,91 @@ def segments(table: DataFrame, keys: list[str], rule: type, limits: dict) -> Dat
     return spark.createDataFrame(out, "_first long, _known binary")
 
 
-def synchronised(rows: DataFrame, keys: list[str], order: list[str], rule: type, finish: Callable, schema: T.StructType, **limits) -> DataFrame:
+def changes(b: pa.RecordBatch, keys: list[str]) -> np.ndarray:
+    """Which rows have other keys than the row before; null and NaN equal themselves. The first row has not."""
+    out = np.zeros(len(b), bool)
+    for k in keys:
+        c = b.column(k)
+        if pa.types.is_floating(c.type):
+            c = pc.if_else(pc.is_nan(c), None, c)
+        now, before = c.slice(1), c.slice(0, len(b) - 1)
+        differ = pc.or_(pc.fill_null(pc.not_equal(now, before), False), pc.xor(pc.is_null(now), pc.is_null(before)))
+        out[1:] |= differ.to_numpy(zero_copy_only=False)
+    return out
+
+
+def listed(c: pa.Array) -> list:
+    """``to_pylist``, for texts and numbers by way of numpy, which is several times as fast."""
+    fast = pa.types.is_string(c.type) or not c.null_count and (pa.types.is_integer(c.type) or pa.types.is_floating(c.type))
+    return c.to_numpy(zero_copy_only=False).tolist() if fast else c.to_pylist()
+
+
+def answered(batches, keys: list[str], rule: type, limits: dict) -> Iterator[tuple[pa.RecordBatch, list, np.ndarray]]:
+    """Sorted batches with the rule's answer for each row, and which rows have other keys than the row before in the batch.
+
+    A key begins from nothing, or from the state in ``_known`` of its first row, if there is that column.
+    """
+    state, last = None, None
+    for b in batches:
+        if not len(b):
+            continue
+        new = changes(b, keys)
+        first, last_before = b.slice(0, 1).select(keys), last
+        last = b.slice(len(b) - 1).select(keys)
+        if last_before is None or changes(pa.Table.from_batches([last_before, first]).combine_chunks().to_batches()[0], keys)[1]:
+            state = None
+        known = b.column("_known") if "_known" in b.schema.names else None
+        columns = [listed(b.column(c)) for c in rule.columns]
+        answers, cuts = [], [0, *np.flatnonzero(new).tolist(), len(b)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if lo or state is None:
+                state = rule(**limits)
+                if known is not None and known[lo].is_valid:
+                    start, number = pickle.loads(known[lo].as_py())
+                    state.load(pickle.loads(start))
+                    state.number = number
+            answers += map(state, *[c[lo:hi] for c in columns])
+        yield b, answers, new
+
+
+def large_keys(rows: DataFrame, keys: list[str]) -> DataFrame | None:
+    """Keys of more than ``WHOLE`` rows, None if there are none. They number at most the rows over ``WHOLE``."""
+    many = written(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > WHOLE).select(*keys))
+    return None if many.isEmpty() else many
+
+
+def synchronised(rows: DataFrame, keys: list[str], order: list[str], rule: type, finish: Callable, schema: T.StructType, close: Callable | None = None, meet: Callable | None = None, **limits) -> DataFrame:
     """Runs a rule over each key in order, split keys included, and hands every row's answer to ``finish``.
 
-    ``finish(stretch, answers)`` makes the output of a stretch of rows (with ``_part``) of one key.
-    Rows are sorted over ranges and written first, so that segments stay what they are.
+    ``finish(batch, answers, new)`` makes the output of a batch of sorted rows; ``new`` marks rows of other keys
+    than the row before. Most keys are small and run in one task behind one shuffle. Only keys of more than
+    ``WHOLE`` rows are split: they are sorted over ranges and written first, so that segments stay what they are.
+    Where an output row may go on in the next batch, ``close`` puts a task's batches together, and ``meet`` the
+    rows of split keys, which also go on in other tasks.
     """
-    table = laid(rows, keys, order)
+    large = large_keys(rows, keys)
+
+    def run(batches):
+        made = (finish(*x) for x in answered(batches, keys, rule, limits))
+        yield from close(made) if close else made
+
+    few = rows if large is None else rows.join(F.broadcast(large), same(rows, large, keys), "left_anti")
+    whole = few.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    if large is None:
+        return whole
+    table = laid(rows.join(F.broadcast(large), same(rows, large, keys), "left_semi"), keys, order)
     known = segments(table, keys, rule, limits)
     if known is None:
         dealt = table.withColumn("_known", F.lit(None).cast("binary"))
     else:
         dealt = table.join(F.broadcast(known), F.col("_row") == F.col("_first"), "left").drop("_first")
 
-    def run(batches):
-        state = None
-        for begins, b in stretches(batches, [*keys, "_part"]):
-            if begins:
-                state = rule(**limits)
-                if b["_known"].iloc[0] is not None:
-                    start, number = pickle.loads(b["_known"].iloc[0])
-                    state.load(pickle.loads(start))
-                    state.number = number
-            yield finish(b, [state(*row) for row in values(b, rule.columns)])
+    def pieces(batches):
+        for x in answered(batches, [*keys, "_part"], rule, limits):
+            yield finish(*x)
 
-    return dealt.repartition(*keys, "_part").sortWithinPartitions("_row").mapInPandas(run, schema)
+    split = dealt.repartition(*keys, "_part").sortWithinPartitions("_row").mapInArrow(pieces, schema)
+    return whole.unionByName(meet(split) if meet else split)
 
 
 def numbered(rows: DataFrame, keys: list[str], order: list[str], rule: type, name: str, **limits) -> DataFrame:
@@ -170,8 +236,7 @@ def numbered(rows: DataFrame, keys: list[str], order: list[str], rule: type, nam
     names = list(rows.columns)
     schema = T.StructType([*rows.schema.fields]).add(name, T.IntegerType())
 
-    def finish(b: pd.DataFrame, answers: list) -> pd.DataFrame:
-        return b[names].assign(**{name: pd.Series(answers, index=b.index, dtype="int32")})
+    def finish(b: pa.RecordBatch, answers: list, new: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(answers, pa.int32())], names=[*names, name])
 
     return synchronised(rows, keys, order, rule, finish, schema, **limits)
-

@@ -73,11 +73,11 @@ def group_signature(target: Column, digest: Column) -> Column:
 
 
 def signed(cues: DataFrame) -> DataFrame:
-    """Cues with the ordered members of their utterance."""
+    """Cues with the ordered members of their utterance, at most eight: a window, so that the fold runs once."""
     member = F.struct("start", "end", "id", "text", "language", "track")
-    rows = utterances(cues)
-    groups = rows.groupBy("project", "track", "utterance").agg(F.array_sort(F.collect_list(member)).alias("members"))
-    return rows.join(groups, ["project", "track", "utterance"])
+    group = ["project", "track", "utterance"]
+    rows = utterances(cues).withColumn("members", F.array_sort(F.collect_list(member).over(Window.partitionBy(*group))))
+    return rows.select(*group, *[c for c in rows.columns if c not in group])
 
 
 def valid_translations(cues: DataFrame, saved: DataFrame, target: str) -> DataFrame:

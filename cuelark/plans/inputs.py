@@ -9,6 +9,8 @@ from ..operators.tracks import group_signature, signed
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # a Python worker holds a batch at a time: bounded by bytes, it needs no more room for long texts or larger tables
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

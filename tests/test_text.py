@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,3 +195,41 @@ def test_lists_of_words_with_nulls_and_slices(spark):
     long = spark.range(3000).coalesce(1).select(F.transform(F.sequence(F.lit(0), F.col("id") % 5), lambda x: x.cast("string")).alias("a"), F.col("id"))
     assert [r.d for r in long.filter("id % 3 > 0").orderBy("id").select(scoring.distance("a", F.array(F.lit("0"))).alias("d")).collect()] == [i % 5 for i in range(3000) if i % 3]
     assert [r.t for r in spark.createDataFrame([("A b",), (None,), ("",), ("é١ x_y",)], "t string").coalesce(1).select(scoring.tokens("t").alias("t")).collect()] == [["a", "b"], [], [], ["é1", "x", "y"]]
+
+
+def test_edits_near_the_diagonal():
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    draw = random.Random(3)
+    for _ in range(400):
+        a = [draw.randrange(draw.choice([2, 5, 50])) for _ in range(draw.randrange(40))]
+        b = [x for x in a if draw.random() > 0.1 for x in [draw.randrange(50) if draw.random() < 0.1 else x] * (1 + (draw.random() < 0.1))]
+        want = plain(a, b)
+        assert scoring.edits(a, b) == scoring.edits(b, a) == want
+        long, short = sorted((a, b), key=len, reverse=True)
+        for most in range(len(long) - len(short), len(long) + 1):
+            assert scoring._near(long, short, most) == (want if want <= most else None)
+
+
+def test_batches_are_bounded_by_bytes(spark, tmp_path):
+    """A worker never holds many long texts at once, however many there are."""
+    from pyspark.sql import functions as F
+
+    from cuelark.plans import inputs
+
+    spark.range(0, 64, 1, 1).select(F.repeat(F.lit("word "), 100_000).alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.nbytes]})
+
+    got = inputs.table(spark, str(tmp_path), "documents").coalesce(1).mapInArrow(sizes, "n long").collect()
+    assert max(r.n for r in got) < 6_000_000 and sum(r.n for r in got) > 30_000_000

@@ -91,7 +91,7 @@ def _near(a: list, b: list, most: int) -> int | None:
 
 def edits(a: list, b: list) -> int:
     """Least token edits; one column is kept. Equal beginnings and ends cost nothing. Lists of few edits need only the
-    cells near the diagonal; the others take whole columns."""
+    cells near the diagonal; the others take whole columns. Where one list only lacks tokens of the other, one pass is enough."""
     lo, most = 0, min(len(a), len(b))
     while lo < most and a[lo] == b[lo]:
         lo += 1
@@ -101,6 +101,9 @@ def edits(a: list, b: list) -> int:
     a, b = a[lo : len(a) - end], b[lo : len(b) - end]
     if len(a) < len(b):
         a, b = b, a
+    rest = iter(a)
+    if all(token in rest for token in b):  # nothing but left out: no path has fewer edits than the lengths differ
+        return len(a) - len(b)
     few = max(len(a) - len(b), len(a) // 8)
     if 3 * few < len(a) and (found := _near(a, b, few)) is not None:
         return found

@@ -233,3 +233,14 @@ def test_batches_are_bounded_by_bytes(spark, tmp_path):
 
     got = inputs.table(spark, str(tmp_path), "documents").coalesce(1).mapInArrow(sizes, "n long").collect()
     assert max(r.n for r in got) < 6_000_000 and sum(r.n for r in got) > 30_000_000
+
+
+def test_words_left_out_need_no_columns(monkeypatch):
+    def never(*_):
+        raise AssertionError("columns were made")
+
+    monkeypatch.setattr(scoring, "_near", never)
+    monkeypatch.setattr(scoring, "_columns", never)
+    a = [i % 11 for i in range(50_000)]
+    b = [x for i, x in enumerate(a) if i % 7 != 6]
+    assert scoring.edits(a, b) == scoring.edits(b, a) == len(a) - len(b)

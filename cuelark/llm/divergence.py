@@ -3,7 +3,7 @@
 1. Terms are counted where the documents lie: each task sums over its batches before anything is
    shuffled. One shuffle by language and term brings the counts of a term's sources together and
    decides which terms the language keeps.
-2. A block is a share of the kept terms, by hash. For each language of a block a task fills dense
+2. A block is a share of the kept terms, by hash; as many as there is work for. For each language of a block a task fills dense
    int64 tiles, sources by terms, and broadcasts every source's row against all rows of the tile.
    Its pair matrix is summed over its tiles; only the matrix leaves the task. Sources beyond
    ``ROWS`` are split over several tasks a block, each with some rows of the matrix.
@@ -28,8 +28,9 @@ from .common import drop, keep
 SCALE = 1_000_000_000
 #: Documents of a language that must hold a term, and terms listed for a group.
 LEAST_DOCS, BEST = 3, 200
-#: Cells of a tile; sources whose rows of the pair matrix one task makes; cells of pairs that a block should have.
-TILE, ROWS, WORK = 65_536, 256, 50_000_000
+#: Cells of a tile; sources whose rows of the pair matrix one task makes; cells of pairs that a block should have; and
+#: terms that it has at least for each pair it hands out, on average.
+TILE, ROWS, WORK, TERMS = 65_536, 256, 8_000_000, 1000
 #: Counts that a task holds before it passes them on.
 HELD = 600_000
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
@@ -177,6 +178,12 @@ def _blocks(best: int, rows: int, tile: int, enough: int = 8192):
     return run
 
 
+def n_blocks(cells: int, pairs: int) -> int:
+    """Blocks for so many cells (terms by pairs of sources). Every block hands out its pairs and best terms, so their
+    number follows the work alone, not the settings for shuffles: what leaves the tasks grows no faster than the terms."""
+    return max(1, min(-(-cells // WORK), cells // (TERMS * max(1, pairs))))
+
+
 def divergence(docs: DataFrame, least: int = LEAST_DOCS, best: int = BEST, rows: int = ROWS, tile: int = TILE) -> DataFrame:
     """(lang, source, part, item, value, rank) of documents (lang, source, text).
 
@@ -191,16 +198,16 @@ def divergence(docs: DataFrame, least: int = LEAST_DOCS, best: int = BEST, rows:
     by_source = kept.groupBy("lang", "source").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("term").isNotNull(), F.col("first"))), F.lit(0)).alias("firsts"))
     lang = Window.partitionBy("lang")
     heads = keep(by_source.withColumn("terms", F.sum("firsts").over(lang)).withColumn("place", F.row_number().over(lang.orderBy("source")) - 1).drop("firsts"), "heads")
-    sizes = heads.groupBy("lang").agg(F.count(F.lit(1)).cast("double").alias("s"), F.max("terms").alias("v")).agg(F.max("s"), F.sum(F.col("v") * F.col("s") * F.col("s"))).first()
+    sizes = heads.groupBy("lang").agg(F.count(F.lit(1)).cast("double").alias("s"), F.max("terms").alias("v")).agg(F.max("s"), F.sum(F.col("v") * F.col("s") * F.col("s")), F.sum(F.col("s") * F.col("s"))).first()
     lines = max(1, -(-int(sizes[0] or 0) // rows))
-    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(sizes[1] or 0) // WORK))
+    blocks = n_blocks(int(sizes[1] or 0), int(sizes[2] or 0))
     row = F.explode(F.sequence(F.lit(0), F.lit(lines - 1)))
     block = F.pmod(F.xxhash64("lang", "term"), F.lit(blocks)).cast("int")
     nothing = F.lit(None)
     terms = kept.filter("term is not null").select(block.alias("block"), row.alias("row"), "lang", "source", "term", "n", nothing.cast("long").alias("terms"), nothing.cast("int").alias("place"))
     own = heads.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "*").select("block", row.alias("row"), "lang", "source", F.lit(None).cast("string").alias("term"), "n", "terms", "place")
     order = ["block", "row", "lang", F.col("term").asc_nulls_first()]
-    dealt = terms.unionByName(own).repartition(blocks, "block", "row").sortWithinPartitions(*order)
+    dealt = terms.unionByName(own).repartition(4 * blocks, "block", "row").sortWithinPartitions(*order)
     found = keep(dealt.mapInPandas(_blocks(best, rows, tile), "lang string, source string, part string, item string, value long"), "partial")
     group = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     pairs = found.filter("part = 'pair'").groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))

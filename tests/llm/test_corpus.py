@@ -71,6 +71,31 @@ def test_divergence_against_brute_force(docs, best, rows, tile):
     assert sorted(map(tuple, got.collect())) == diverged(documents(), best=best)
 
 
+def test_partial_results_follow_the_terms_and_not_the_shuffles(spark, docs, monkeypatch):
+    """Every block hands out pairs and best terms; there were as many blocks as shuffle partitions."""
+    made, kept = [], divergence.keep
+
+    def counted(df, name):
+        out = kept(df, name)
+        if name == "partial":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(divergence, "keep", counted)
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in ("2", "40"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found.append(sorted(map(tuple, divergence.divergence(docs).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    monkeypatch.setattr(divergence, "WORK", 1)
+    monkeypatch.setattr(divergence, "TERMS", 1)
+    found.append(sorted(map(tuple, divergence.divergence(docs).collect())))
+    assert made[0] == made[1] < made[2] and found[0] == found[1] == found[2]
+    assert divergence.n_blocks(0, 0) == 1 and divergence.n_blocks(10**9, 1600) == 125 and divergence.n_blocks(10**9, 10**6) == 1
+
+
 def test_divergence_of_nothing(none):
     assert divergence.divergence(none).collect() == []
 

@@ -191,29 +191,32 @@ def answered(batches, keys: list[str], rule: type, limits: dict) -> Iterator[tup
         yield b, answers, new
 
 
-def large_keys(rows: DataFrame, keys: list[str]) -> DataFrame | None:
+def large_keys(rows: DataFrame, keys: list[str], sizes: DataFrame | None = None) -> DataFrame | None:
     """Keys of more than ``WHOLE`` rows, None if there are none. They number at most the rows over ``WHOLE``."""
-    many = written(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > WHOLE).select(*keys))
+    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) if sizes is None else sizes.groupBy(*keys).agg(F.sum("_n").alias("_n"))
+    many = written(counted.filter(F.col("_n") > WHOLE).select(*keys))
     return None if many.isEmpty() else many
 
 
-def synchronised(rows: DataFrame, keys: list[str], order: list[str], rule: type, finish: Callable, schema: T.StructType, close: Callable | None = None, meet: Callable | None = None, **limits) -> DataFrame:
+def synchronised(rows: DataFrame, keys: list[str], order: list[str], rule: type, finish: Callable, schema: T.StructType, close: Callable | None = None, meet: Callable | None = None, sizes: DataFrame | None = None, **limits) -> DataFrame:
     """Runs a rule over each key in order, split keys included, and hands every row's answer to ``finish``.
 
     ``finish(batch, answers, new)`` makes the output of a batch of sorted rows; ``new`` marks rows of other keys
     than the row before. Most keys are small and run in one task behind one shuffle. Only keys of more than
     ``WHOLE`` rows are split: they are sorted over ranges and written first, so that segments stay what they are.
     Where an output row may go on in the next batch, ``close`` puts a task's batches together, and ``meet`` the
-    rows of split keys, which also go on in other tasks.
+    rows of split keys, which also go on in other tasks. Rows of keys are counted, which makes ``rows`` once more;
+    ``sizes`` (keys, _n), at least as many rows as each key has, spares that. A key said too large is only split in vain.
     """
-    large = large_keys(rows, keys)
+    large = large_keys(rows, keys, sizes)
 
     def run(batches):
         made = (finish(*x) for x in answered(batches, keys, rule, limits))
         yield from close(made) if close else made
 
     few = rows if large is None else rows.join(F.broadcast(large), same(rows, large, keys), "left_anti")
-    whole = few.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    # sorts compare the first column fastest, and the last key tells most rows apart
+    whole = few.repartition(*keys).sortWithinPartitions(*keys[::-1], *order).mapInArrow(run, schema)
     if large is None:
         return whole
     table = laid(rows.join(F.broadcast(large), same(rows, large, keys), "left_semi"), keys, order)
@@ -231,7 +234,7 @@ def synchronised(rows: DataFrame, keys: list[str], order: list[str], rule: type,
     return whole.unionByName(meet(split) if meet else split)
 
 
-def numbered(rows: DataFrame, keys: list[str], order: list[str], rule: type, name: str, **limits) -> DataFrame:
+def numbered(rows: DataFrame, keys: list[str], order: list[str], rule: type, name: str, sizes: DataFrame | None = None, **limits) -> DataFrame:
     """Adds ``name``: the rule's answer for each row of a key, in order, as :func:`fold` does, but a key may be spread over many tasks."""
     names = list(rows.columns)
     schema = T.StructType([*rows.schema.fields]).add(name, T.IntegerType())
@@ -239,4 +242,4 @@ def numbered(rows: DataFrame, keys: list[str], order: list[str], rule: type, nam
     def finish(b: pa.RecordBatch, answers: list, new: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(answers, pa.int32())], names=[*names, name])
 
-    return synchronised(rows, keys, order, rule, finish, schema, **limits)
+    return synchronised(rows, keys, order, rule, finish, schema, sizes=sizes, **limits)

@@ -26,6 +26,12 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _timed(d.select(F.col("doc_id").alias("track"), F.col("lang").alias("language"), F.posexplode(parts).alias("pos", "word")))
 
 
+def words_at_most(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(project, track, _n): a text of n characters has at most (n + 1) / 2 words. No text is split for that."""
+    n = F.coalesce(F.floor((F.length("text") + 1) / 2), F.lit(0))
+    return table(spark, sf_dir, "documents").select(F.lit("p").alias("project"), F.col("doc_id").cast("int").alias("track"), n.alias("_n"))
+
+
 def spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of conversations in order of turns; the language is the role, so it changes within a track."""
     c = table(spark, sf_dir, "conversations")

@@ -154,3 +154,14 @@ def test_small_tracks_take_one_shuffle_and_large_ones_are_split(spread, rows, mo
             kept.setdefault((r[1], n), []).append(r)
     want = {k: ("".join(r[4] for r in v).strip(), v[0][2], len(v), v[0][5], sorted({f for r in v for f in r[7]}), sorted({r[8] for r in v if r[8]})) for k, v in kept.items()}
     assert {(c.track, c.cue): (c.text, c.start, c.n_words, c.language, [f for f in c.flags if f != "Fast speech"], c.language_hints) for c in cued} == want and len(cued) == len(want)
+
+
+@pytest.mark.parametrize("said", [1, 10_000_000])
+def test_known_sizes_spare_a_count_and_change_nothing(spread, rows, said):
+    """Words were made once more only to count them; a key said too large is split in vain."""
+    table = spread.createDataFrame(rows, WORD)
+    sizes = table.select("project", "track").distinct().withColumn("_n", F.lit(said).cast("long"))
+    got, want = sequence.dedup_words(table, sizes), sequence.dedup_words(table)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    text = spread.createDataFrame([(None,), ("",), ("a b  c",), ("a",)], "text string")
+    assert [r.n for r in text.select(F.coalesce(F.floor((F.length("text") + 1) / 2), F.lit(0)).alias("n")).collect()] == [0, 0, 3, 1]

@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,8 +16,8 @@ from pyspark.sql import types as T
 # Arabic letters written as their Persian forms, and the half-space.
 PERSIAN = str.maketrans({"ي": "ی", "ك": "ک", "‌": " "})
 _TOKEN = re.compile(r"[^\W_]+")
-#: Rows of a batch that are Python objects at one time.
-_ROWS = 256
+#: Rows of a batch that are Python objects at one time, and bytes of their texts, unless one text alone has more.
+_ROWS, _BYTES = 256, 1 << 20
 
 
 class _Plain(dict):
@@ -30,11 +32,20 @@ class _Plain(dict):
 _PLAIN = _Plain()
 
 
+def _folded(text: str | None) -> str:
+    if not text or text.isascii():
+        return (text or "").lower()
+    return unicodedata.normalize("NFKC", text).casefold().translate(PERSIAN).replace("ـ", "").translate(_PLAIN)
+
+
 def tokens_of(text: str | None) -> list[str]:
     """Letters and digits, compatibility forms folded, case folded, marks and tatweel dropped, digits as 0-9."""
-    if not text or text.isascii():
-        return _TOKEN.findall((text or "").lower())
-    return _TOKEN.findall(unicodedata.normalize("NFKC", text).casefold().translate(PERSIAN).replace("ـ", "").translate(_PLAIN))
+    return _TOKEN.findall(_folded(text))
+
+
+def count_of(text: str | None) -> int:
+    """How many tokens a text has; they are never all there at one time."""
+    return sum(1 for _ in _TOKEN.finditer(_folded(text)))
 
 
 def units_of(text: str | None, language: str | None) -> list[str]:
@@ -139,9 +150,14 @@ def compare(reference: list[str], output: list[str]) -> dict[str, int]:
 
 def _lists(made, *columns: pa.Array) -> pa.Array:
     """An array of lists of texts, made from a few rows at a time: as Python texts they take many times the room."""
-    kind = pa.list_(pa.string())
-    parts = [pa.array([made(*row) for row in zip(*[c.slice(lo, _ROWS).to_pylist() for c in columns])], kind) for lo in range(0, len(columns[0]), _ROWS)]
-    return pa.concat_arrays([pa.array([], kind), *parts])
+    kind, size = pa.list_(pa.string()), np.cumsum(pc.fill_null(pc.binary_length(columns[0]), 0).to_numpy(), dtype="int64")
+    parts, lo = [pa.array([], kind)], 0
+    while lo < len(size):
+        fit = int(np.searchsorted(size, (size[lo - 1] if lo else 0) + _BYTES, "right"))
+        n = max(1, min(_ROWS, fit - lo))
+        parts.append(pa.array([made(*row) for row in zip(*[c.slice(lo, n).to_pylist() for c in columns])], kind))
+        lo += n
+    return pa.concat_arrays(parts)
 
 
 @F.arrow_udf(T.ArrayType(T.StringType()))
@@ -149,6 +165,12 @@ def tokens(text: pa.Array) -> pa.Array:
     return _lists(tokens_of, text)
 
 
+@F.arrow_udf(T.IntegerType())
+def token_count(text: pa.Array) -> pa.Array:
+    """Size of ``tokens``, 0 for null: one text at a time is a Python object, and only numbers go back."""
+    return pa.array([count_of(t.as_py()) for t in text], pa.int32())
+
+
 @F.arrow_udf(T.ArrayType(T.StringType()))
 def units(text: pa.Array, language: pa.Array) -> pa.Array:
     return _lists(units_of, text, language)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import operator
 import re
 import unicodedata
 
@@ -221,10 +222,13 @@ def repeats(text: str | None) -> bool:
     if len(t) < 8:
         return False
     for size, times in ((1, 6), (2, 4), (3, 4)):
+        least = size * (times - 1)
+        if sum(map(operator.eq, t, t[size:])) < least:
+            continue
         run = 0
         for a, b in zip(t, t[size:]):
             run = run + 1 if a == b else 0
-            if run >= size * (times - 1):
+            if run >= least:
                 return True
     return False
 

@@ -35,15 +35,20 @@ def valid_choice(asked: Column, there: Column) -> Column:
     return (F.size(F.array_except(asked, there)) == 0) & (F.size(F.array_distinct(asked)) == F.size(asked))
 
 
-def word_flags(probability: Column, logprob: Column, no_speech: Column, compression: Column, start: Column, end: Column, recovered: Column | None = None) -> Column:
-    """Doubts about a recognized word, in a fixed order."""
-    rules = [
+def word_doubts(probability, logprob, no_speech, compression, start, end, recovered) -> list[tuple]:
+    """Doubts about a recognized word and their tests, in a fixed order, on columns or on arrays of numpy."""
+    return [
         ("Low confidence", (probability < 0.5) | (logprob < -0.8)),
         ("Possible non-speech", no_speech > 0.5),
         ("Repetitive", compression > 2.4),
-        ("Recovered", recovered if recovered is not None else F.lit(False)),
+        ("Recovered", recovered),
         ("Unusual timing", (end <= start) | (end - start > 2)),
     ]
+
+
+def word_flags(probability: Column, logprob: Column, no_speech: Column, compression: Column, start: Column, end: Column, recovered: Column | None = None) -> Column:
+    """Doubts about a recognized word, in a fixed order."""
+    rules = word_doubts(probability, logprob, no_speech, compression, start, end, recovered if recovered is not None else F.lit(False))
     return F.filter(F.array(*[F.when(test, F.lit(name)) for name, test in rules]), lambda x: x.isNotNull())
 
 

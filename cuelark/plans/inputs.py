@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.tracks import group_signature, signed
@@ -14,8 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def word_start(pos: Column) -> Column:
+    """Seconds; a word ends .3 s later."""
+    return pos * 0.35 + F.floor(pos / 37) * 1.0
+
+
 def _timed(rows: DataFrame) -> DataFrame:
-    start = F.col("pos") * 0.35 + F.floor(F.col("pos") / 37) * 1.0
+    start = word_start(F.col("pos"))
     return rows.select(F.lit("p").alias("project"), F.col("track").cast("int").alias("track"), "pos", F.concat(F.lit(" "), "word").alias("word"), start.alias("start"), (start + 0.3).alias("end"), "language", F.floor(F.col("pos") / 50).cast("int").alias("chunk"))
 
 
@@ -26,6 +31,12 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _timed(d.select(F.col("doc_id").alias("track"), F.col("lang").alias("language"), F.posexplode(parts).alias("pos", "word")))
 
 
+def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(track, n): how many words each document with words has. Their places are 0 to n - 1."""
+    parts = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("int").alias("track"), F.size(parts).alias("n")).filter("n > 0")
+
+
 def words_at_most(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(project, track, _n): a text of n characters has at most (n + 1) / 2 words. No text is split for that."""
     n = F.coalesce(F.floor((F.length("text") + 1) / 2), F.lit(0))

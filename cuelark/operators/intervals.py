@@ -29,8 +29,11 @@ def _merged(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Disjoint cell ranges (lo, hi; hi exclusive) that cover what the given ones cover."""
     w = Window.partitionBy(*keys).orderBy("lo", "hi")
     reach = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = rows.withColumn("new", F.coalesce(F.col("lo") > reach, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy(*keys, "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("run")
+    marked = rows.select(*keys, "lo", "hi", reach.alias("reach"), F.lead("lo").over(w).isNull().alias("last")).withColumn("new", F.coalesce(F.col("lo") > F.col("reach"), F.lit(True)))
+    # a run ends at what the rows before the next run reach, the last one at what all rows reach
+    most = F.greatest("reach", "hi")
+    ends = F.lead(F.when(F.col("new"), F.col("reach")).otherwise(most)).over(Window.partitionBy(*keys).orderBy("lo", "hi", "last"))
+    return marked.filter("new or last").select(*keys, "lo", F.coalesce(ends, most).alias("hi"), "new").filter("new").drop("new")
 
 
 def _cells(rows: DataFrame, keys: list[str], start, end) -> DataFrame:

@@ -9,6 +9,7 @@ gap is wide enough for both passes, so that the second one needs no other look a
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -138,9 +139,9 @@ def _heard(cut: Callable, make: Callable[[], Callable], names: list[str], rate:
         stop = np.maximum(begin, np.minimum(until - since, end))
         middle = (since + begin + (since + stop)) / 2
         keep = (middle >= column("start")[row]) & (middle <= column("end")[row])
-        texts = []
+        texts, kept, spoken = [], keep.tolist(), [w or "" for w in said]
         for a, z, twice in zip(ends, ends[1:], retried):
-            text = "".join(w for w, k in zip(said[a:z], keep[a:z].tolist()) if k and w is not None)
+            text = "".join(compress(spoken[a:z], kept[a:z]))
             if twice and repeats(text):
                 text, keep[a:z] = "", False
             texts.append(text)
@@ -148,7 +149,7 @@ def _heard(cut: Callable, make: Callable[[], Callable], names: list[str], rate:
         rules = word_doubts(probability[keep], logprob, quiet, compression, begin[keep], stop[keep], np.ones(keep.sum(), bool))
         doubts = np.array([test for _, test in rules]).T
         flags = _lists(np.cumsum(doubts.sum(axis=1)), pa.array([name for name, _ in rules]).take(pa.array(np.nonzero(doubts)[1])))
-        columns = [pa.array([w for w, k in zip(said, keep.tolist()) if k], pa.string()), (since + begin)[keep], (since + stop)[keep], pa.array(probability[keep], from_pandas=True), flags]
+        columns = [pa.array(list(compress(said, keep.tolist())), pa.string()), (since + begin)[keep], (since + stop)[keep], pa.array(probability[keep], from_pandas=True), flags]
         found = pa.StructArray.from_arrays([pa.array(c) for c in columns], ["word", "start", "end", "probability", "flags"])
         made = [pa.array(retried, pa.bool_()), pa.array(languages, pa.string()), pa.array(texts, pa.string()), _lists(np.append(0, np.cumsum(keep))[ends[1:]], found)]
         return pa.RecordBatch.from_arrays([*[b.column(c) for c in names], *made], [*names, "retried", "language", "text", "words"])

@@ -14,7 +14,7 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,15 +43,15 @@ def dealt(asked: DataFrame, audio: DataFrame, keys: list[str], rate: int, width:
     """
     size = round(width * rate)
     lo, hi = F.rint(F.col("since") * rate).cast("long"), F.rint(F.col("until") * rate).cast("long")
-    ends = asked.select(*keys, F.struct(*asked.columns).alias("_asked"), F.struct(lo.alias("lo"), hi.alias("hi"), F.floor(lo / size).alias("first"), F.floor(F.greatest(lo, hi - 1) / size).alias("last")).alias("_cut"))
-    reach = ends.agg(F.max(F.col("_cut.last") - F.col("_cut.first"))).first()[0] or 0
+    ends = asked.select(*keys, F.struct(*asked.columns).alias("_asked"), F.floor(lo / size).alias("_first"))
+    reach = asked.agg(F.max(F.floor(F.greatest(lo, hi - 1) / size) - F.floor(lo / size))).first()[0] or 0
     block = max(1, reach, min(PIECES, SAMPLES // size))
     piece = F.col("piece").cast("long")
     held = audio.filter("piece is not null").select(*keys, F.explode(F.sequence(F.floor(F.greatest(piece - reach, F.lit(0)) / block), F.floor(piece / block))).alias("_block"), piece.alias("_piece"), "samples")
-    both = held.unionByName(ends.select(*keys, F.floor(F.col("_cut.first") / block).alias("_block"), "_asked", "_cut"), allowMissingColumns=True)
+    both = held.unionByName(ends.select(*keys, F.floor(F.col("_first") / block).alias("_block"), "_asked"), allowMissingColumns=True)
     # null as the number of a piece marks a request: those of a block follow its audio
     rows = both.repartition(*keys, "_block").sortWithinPartitions(*keys[::-1], "_block", F.col("_piece").asc_nulls_last())
-    return rows, _cutter([*keys, "_block"], asked.columns, size)
+    return rows, _cutter([*keys, "_block"], asked.columns, rate, size)
 
 
 def slices(asked: DataFrame, audio: DataFrame, keys: list[str], rate: int, width: float) -> DataFrame:
@@ -60,13 +60,15 @@ def slices(asked: DataFrame, audio: DataFrame, keys: list[str], rate: int, width
     return rows.mapInArrow(cut, T.StructType([*asked.schema.fields, audio.schema["samples"]]))
 
 
-def _cutter(keys: list[str], names: list[str], size: int) -> Callable:
+def _cutter(keys: list[str], names: list[str], rate: int, size: int) -> Callable:
     def cut(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         group, wanted = np.cumsum(changes(b, keys)), pc.is_null(b.column("_piece")).to_numpy(zero_copy_only=False)
         there, at = np.flatnonzero(~wanted), np.flatnonzero(wanted)
         if not len(at):
             return
-        lo, hi, first, last = (b.column("_cut").take(pa.array(at)).field(x).to_numpy() for x in ("lo", "hi", "first", "last"))
+        asked = b.column("_asked").take(pa.array(at))
+        lo, hi = (np.rint(asked.field(x).to_numpy() * rate).astype("int64") for x in ("since", "until"))
+        first, last = lo // size, np.maximum(lo, hi - 1) // size
         pieces, bounds, values = b.column("_piece").take(pa.array(there)).to_numpy(), b.column("samples").offsets.to_numpy().astype("int64"), b.column("samples").values
         begin, end = bounds[:-1][there], bounds[1:][there]
         # pieces of all blocks as one rising row of numbers, with a step of more than one where one is missing
@@ -85,8 +87,8 @@ def _cutter(keys: list[str], names: list[str], size: int) -> Callable:
         shares = np.flatnonzero(np.diff(np.cumsum(stop - start) // SAMPLES)) + 1
         for mine in np.split(np.arange(len(at)), shares):
             samples = _lists(np.cumsum((stop - start)[mine]), pa.concat_arrays([values.slice(x, y - x) for x, y in zip(start[mine].tolist(), stop[mine].tolist())]))
-            rows = b.column("_asked").take(pa.array(at[mine]))
-            yield pa.RecordBatch.from_arrays([*[rows.field(c) for c in names], samples], [*names, "samples"])
+            rows = asked.slice(mine[0], len(mine)).flatten()
+            yield pa.RecordBatch.from_arrays([*rows, samples], [*names, "samples"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -105,16 +107,16 @@ def _cutter(keys: list[str], names: list[str], size: int) -> Callable:
     return run
 
 
-def _heard(cut: Callable, make: Callable[[], Callable], names: list[str], rate: int, language: str | None) -> Callable:
+def _heard(cut: Callable, make: Callable[[], Callable], names: list[str], rate: int, margins: tuple[float, float], language: str | None) -> Callable:
     """What :func:`recover` does in a task, behind ``cut``: rows of ``names`` with retried, language, text and words."""
 
     def doubtful(segment: tuple) -> bool:
         return segment[1] is not None and not segment[1] <= COMPRESSED or repeats(segment[0])
 
     def hear(b: pa.RecordBatch, model: Callable) -> pa.RecordBatch:
-        column = lambda c: b.column(c).to_numpy()
-        begun = np.rint(column("since") * rate)
-        near, far = ([b.column(c).field(x).to_numpy() for x in ("since", "until")] for c in ("near", "far"))
+        first, last, duration, begun = (b.column(c).to_numpy(zero_copy_only=False) for c in ("start", "end", "duration", "since"))
+        begun = np.rint(begun * rate)
+        near, far = ((np.maximum(0.0, first - m), np.fmin(duration, last + m)) for m in margins)
         cuts = [(np.rint(x * rate) - begun).astype("int64").tolist() for x in (*near, *far)]
         bounds, samples = b.column("samples").offsets.to_numpy().tolist(), b.column("samples").values.to_numpy(zero_copy_only=False)
         retried, languages, words, traits, sizes, ends = [], [], [], [], [], [0]
@@ -138,7 +140,7 @@ def _heard(cut: Callable, make: Callable[[], Callable], names: list[str], rate:
         begin = np.maximum(0.0, np.minimum(until - since, start))
         stop = np.maximum(begin, np.minimum(until - since, end))
         middle = (since + begin + (since + stop)) / 2
-        keep = (middle >= column("start")[row]) & (middle <= column("end")[row])
+        keep = (middle >= first[row]) & (middle <= last[row])
         texts, kept, spoken = [], keep.tolist(), [w or "" for w in said]
         for a, z, twice in zip(ends, ends[1:], retried):
             text = "".join(compress(spoken[a:z], kept[a:z]))
@@ -178,19 +180,17 @@ def recover(
     logprob, words) and a language; times are within the samples.
     """
 
-    def ends(margin: float) -> list[Column]:
-        return [F.greatest(F.lit(0.0), F.col("start") - margin).alias("since"), F.least(F.col("duration"), F.col("end") + margin).alias("until")]
-
     # written, as a sort over ranges runs its rows twice
     numbered = placed(written(gaps), keys, ["start"], "gap")
     lengths = durations.select(*keys, "duration")
     known = numbered.join(lengths, same(numbered, lengths, keys)).select(*[numbered[c] for c in numbered.columns], lengths["duration"])
     names = [*keys, "gap", "start", "end"]
-    asked = written(known.select(*names, *ends(max(narrow, wide)), F.struct(*ends(narrow)).alias("near"), F.struct(*ends(wide)).alias("far")))
+    margin = max(narrow, wide)
+    asked = written(known.select(*names, "duration", F.greatest(F.lit(0.0), F.col("start") - margin).alias("since"), F.least(F.col("duration"), F.col("end") + margin).alias("until")))
     rows, cut = dealt(asked, audio, keys, rate, width)
     kinds = dict(asked.dtypes)
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "retried boolean", "language string", "text string", f"words array<{FOUND}>"])
-    return written(rows.mapInArrow(_heard(cut, make, names, rate, language), schema))
+    return written(rows.mapInArrow(_heard(cut, make, names, rate, (narrow, wide), language), schema))
 
 
 def recovered_words(found: DataFrame, keys: list[str]) -> DataFrame:
